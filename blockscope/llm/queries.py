@@ -5,9 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockscope.llm.common import load
+from blockscope.llm.common import load, new_path
+from blockscope.llm.decontaminate import contamination
+from blockscope.llm.html_extract import extract_main_text
 from blockscope.llm.packing import pack
+from blockscope.llm.sharding import shard_by_bytes
 from blockscope.llm.token_counts import token_counts
+from blockscope.llm.warc import read_warc, write_warc
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(load(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(load(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(load(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +40,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_sharding": op5_sharding,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_warc": op7_warc,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
