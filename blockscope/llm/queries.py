@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from blockscope.llm.common import load, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
+from blockscope.llm.ngram import held_out_scores
 from blockscope.llm.packing import pack
+from blockscope.llm.quality_rules import quality_verdicts
 from blockscope.llm.sharding import shard_by_bytes
 from blockscope.llm.token_counts import token_counts
 from blockscope.llm.warc import read_warc, write_warc
 
 
+def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(load(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(load(spark, sf_dir, "documents"), shards=8)
 
@@ -40,6 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_scores": op3_ngram_scores,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
