@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockscope.llm.common import load, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
+from blockscope.llm.near_dedup import near_duplicates
 from blockscope.llm.ngram import held_out_scores
 from blockscope.llm.packing import pack
 from blockscope.llm.quality_rules import quality_verdicts
@@ -16,6 +17,10 @@ from blockscope.llm.token_counts import token_counts
 from blockscope.llm.warc import read_warc, write_warc
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(load(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_ngram_scores": op3_ngram_scores,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
