@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from blockscope.llm import oracle
 from blockscope.llm.common import load, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
+from blockscope.llm.line_dedup import line_report
 from blockscope.llm.near_dedup import near_duplicates
 from blockscope.llm.ngram import held_out_scores
 from blockscope.llm.packing import pack
@@ -21,6 +23,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(load(spark, sf_dir, "documents"))
+
+
 def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(load(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_scores": op3_ngram_scores,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
@@ -65,4 +72,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": oracle.LINE_DEDUP}
