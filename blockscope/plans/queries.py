@@ -1,4 +1,278 @@
 """Registered queries of the particle operators, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockscope.functions import bloom
+from blockscope.operators import build, query, relayout
+from blockscope.sources.index_store import index_directory
+from blockscope.sources.particles import GROUP, block_catalogue, dump, with_blocks
+
+BLOCK, SLICE, BITS = 100, 25, 10
+RANGE = (1400.0, 1500.0)
+BOX = {"x": (49.0, 50.0), "y": (950.0, 3000.0), "z": (0.01, 0.02)}
+POSITION = {("position", a): b for a, b in BOX.items()}
+PHASE = {("position", "x"): (40.0, 50.0), ("position", "z"): (0.01, 0.02), ("momentum", "x"): (0.0, 0.03), ("momentum", "y"): (1.0, 5000.0)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Particles, blocks and slices of `lineitem` in SQL.
+PARTICLES = """
+WITH p AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS iteration, l_returnflag AS species, l_orderkey AS id, l_quantity AS x, l_extendedprice AS y, l_discount + 0.0 AS z,
+    l_tax + 0.0 AS ux, CAST(l_partkey AS DOUBLE) AS uy, CAST(l_suppkey AS DOUBLE) AS uz,
+    CAST(row_number() OVER (PARTITION BY year(l_shipdate), l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS BIGINT) AS pos
+  FROM lineitem
+), b AS (SELECT *, pos // 100 AS block_id, (pos % 100) // 25 AS slice_id FROM p),
+long AS (
+  SELECT iteration, species, pos, block_id, slice_id, 'position' AS record, unnest(['x', 'y', 'z']) AS axis, unnest([x, y, z]) AS v FROM b
+  UNION ALL SELECT iteration, species, pos, block_id, slice_id, 'momentum', unnest(['x', 'y', 'z']), unnest([ux, uy, uz]) FROM b
+),
+l1 AS (SELECT iteration, species, min(pos) AS "start", max(pos) + 1 AS "end", record, axis, min(v) AS "min", max(v) AS "max" FROM long GROUP BY iteration, species, block_id, record, axis),
+l2 AS (
+  SELECT iteration, species, block_id * 100 AS block_start, min(pos) AS "start", max(pos) + 1 AS "end", record, axis, min(v) AS "min", max(v) AS "max"
+  FROM long GROUP BY iteration, species, block_id, slice_id, record, axis
+),
+e1 AS (
+  SELECT iteration, species, min(pos) AS "start", max(pos) + 1 AS "end", 'position' AS record, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz
+  FROM b GROUP BY iteration, species, block_id
+  UNION ALL SELECT iteration, species, min(pos), max(pos) + 1, 'momentum', min(ux), max(ux), min(uy), max(uy), min(uz), max(uz) FROM b GROUP BY iteration, species, block_id
+),
+e2 AS (
+  SELECT iteration, species, block_id * 100 AS block_start, min(pos) AS "start", max(pos) + 1 AS "end", min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz
+  FROM b GROUP BY iteration, species, block_id, slice_id
+)
+"""
+IN_BOX = "minx <= 50 AND maxx >= 49 AND miny <= 3000 AND maxy >= 950 AND minz <= 0.02 AND maxz >= 0.01"
+
+
+def registered(sql: str | None = None, with_particles: bool = True):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = (PARTICLES if with_particles else "") + sql
+        return f
+
+    return add
+
+
+@registered("SELECT * FROM l1")
+def minmax_build_l1(spark, sf_dir):
+    return build.minmax_blocks(dump(spark, sf_dir), BLOCK)
+
+
+@registered("SELECT * FROM l2")
+def minmax_build_l2(spark, sf_dir):
+    return build.minmax_slices(dump(spark, sf_dir), BLOCK, SLICE)
+
+
+@registered("SELECT * FROM l1")
+def minmax_rollup(spark, sf_dir):
+    return build.rollup_slices(build.minmax_slices(dump(spark, sf_dir), BLOCK, SLICE))
+
+
+@registered("""SELECT iteration, species, "start", "end" FROM l1 WHERE record = 'position' AND axis = 'y' AND "min" <= 1500 AND "max" >= 1400""")
+def minmax_range_l1(spark, sf_dir):
+    return query.range_blocks(build.minmax_blocks(dump(spark, sf_dir), BLOCK, ["position"]), "position", "y", RANGE)
+
+
+@registered("""
+SELECT h.iteration, h.species, h."start", h."end", s."start" AS slice_start, s."end" AS slice_end
+FROM (SELECT * FROM l1 WHERE record = 'position' AND axis = 'y' AND "min" <= 1500 AND "max" >= 1400) h
+LEFT JOIN (SELECT * FROM l2 WHERE record = 'position' AND axis = 'y' AND "min" <= 1500 AND "max" >= 1400) s
+ON s.iteration = h.iteration AND s.species = h.species AND s.block_start = h."start" """)
+def minmax_range_l2(spark, sf_dir):
+    particles = dump(spark, sf_dir)
+    return query.range_slices(build.minmax_blocks(particles, BLOCK, ["position"]), build.minmax_slices(particles, BLOCK, SLICE, ["position"]), "position", "y", RANGE)
+
+
+@registered("""SELECT iteration, species, "start", "end" FROM l1 WHERE record = 'momentum' AND axis = 'y' AND "max" >= 1500""")
+def minmax_range_open_bounds(spark, sf_dir):
+    return query.range_blocks(build.minmax_blocks(dump(spark, sf_dir), BLOCK, ["momentum"]), "momentum", "y", (1500.0, math.inf))
+
+
+@registered(f"""SELECT iteration, species, "start", "end" FROM e1 WHERE record = 'position' AND {IN_BOX}""")
+def minmax_intersect_axes(spark, sf_dir):
+    return query.blocks_on_all_axes(build.minmax_blocks(dump(spark, sf_dir), BLOCK, ["position"]), POSITION)
+
+
+@registered("SELECT * FROM e1")
+def rtree_build_leaves(spark, sf_dir):
+    return build.leaf_envelopes(dump(spark, sf_dir), BLOCK)
+
+
+@registered(f"""SELECT iteration, species, "start", "end" FROM e1 WHERE record = 'position' AND {IN_BOX}""")
+def rtree_box(spark, sf_dir):
+    return query.box_blocks(build.leaf_envelopes(dump(spark, sf_dir), BLOCK, ["position"]), "position", BOX)
+
+
+@registered(f"""SELECT iteration, species, "start", "end" FROM e1 WHERE record = 'position' AND {IN_BOX}""")
+def rtree_box_descent(spark, sf_dir):
+    return query.tree_box(build.pack_tree(build.leaf_envelopes(dump(spark, sf_dir), BLOCK, ["position"])), "position", BOX)
+
+
+@registered(f"""
+SELECT h.iteration, h.species, h."start", h."end", s."start" AS slice_start, s."end" AS slice_end
+FROM (SELECT * FROM e1 WHERE record = 'position' AND {IN_BOX}) h LEFT JOIN (SELECT * FROM e2 WHERE {IN_BOX}) s
+ON s.iteration = h.iteration AND s.species = h.species AND s.block_start = h."start" """)
+def rtree_box_l2(spark, sf_dir):
+    particles = dump(spark, sf_dir)
+    return query.box_slices(build.leaf_envelopes(particles, BLOCK, ["position"]), build.slice_envelopes(particles, BLOCK, SLICE, ["position"]), "position", BOX)
+
+
+@registered("SELECT * FROM e1 WHERE record = 'position'")
+def rtree_metadata(spark, sf_dir):
+    return build.leaf_envelopes(dump(spark, sf_dir), BLOCK, ["position"])
+
+
+@registered("""
+SELECT iteration, species, record, min(minx) AS minx, max(maxx) AS maxx, min(miny) AS miny, max(maxy) AS maxy, min(minz) AS minz, max(maxz) AS maxz, min("start") AS "start", max("end") AS "end"
+FROM e1 GROUP BY iteration, species, record""")
+def rtree_root(spark, sf_dir):
+    return query.dataset_bounds(build.leaf_envelopes(dump(spark, sf_dir), BLOCK))
+
+
+COLUMNS = [*GROUP, "pos", "id", "x", "y", "z"]
+
+
+@registered("SELECT iteration, species, pos, id, x, y, z FROM p WHERE x BETWEEN 49 AND 50 AND y BETWEEN 950 AND 3000 AND z BETWEEN 0.01 AND 0.02")
+def get_particle_position(spark, sf_dir):
+    particles = dump(spark, sf_dir)
+    return query.get_particle(particles, build.minmax_blocks(particles, BLOCK, ["position"]), POSITION, COLUMNS, BLOCK)
+
+
+@registered("SELECT iteration, species, pos, id, ux, uy, uz FROM p WHERE x BETWEEN 40 AND 50 AND z BETWEEN 0.01 AND 0.02 AND ux BETWEEN 0 AND 0.03 AND uy BETWEEN 1 AND 5000")
+def get_particle_phase_space(spark, sf_dir):
+    particles = dump(spark, sf_dir)
+    return query.get_particle(particles, build.minmax_blocks(particles, BLOCK), PHASE, [*GROUP, "pos", "id", "ux", "uy", "uz"], BLOCK)
+
+
+@registered("SELECT iteration, species, pos, id, x, y, z FROM p WHERE x BETWEEN 49 AND 50 AND y BETWEEN 950 AND 3000 AND z BETWEEN 0.01 AND 0.02")
+def get_particle_secondary(spark, sf_dir):
+    particles = dump(spark, sf_dir)
+    blocks, slices = build.minmax_blocks(particles, BLOCK, ["position"]), build.minmax_slices(particles, BLOCK, SLICE, ["position"])
+    return query.get_particle(particles, blocks, POSITION, COLUMNS, BLOCK, slices=slices, slice_rows=SLICE)
+
+
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to trace: the urgent orders."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("id"))
+
+
+TRACED = """SELECT DISTINCT b.iteration, b.species, s."start", s."end", b.id FROM b
+JOIN (SELECT iteration, species, block_id, min(pos) AS "start", max(pos) + 1 AS "end" FROM b GROUP BY ALL) s USING (iteration, species, block_id)
+WHERE b.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+@registered(TRACED)
+def trace_verified(spark, sf_dir):
+    particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
+    filters = build.block_filters(particles, BLOCK, BITS)
+    return query.trace(particles, ids, BLOCK, query.trace_candidates(filters, ids, BLOCK, bloom.hash_count(BITS), bloom.segments_for(BLOCK, BITS)))
+
+
+@registered(TRACED)
+def trace_intersected_verified(spark, sf_dir):
+    particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
+    return query.intersect_traces(query.trace(particles, ids, BLOCK), query.trace(particles, ids, BLOCK))
+
+
+@registered()
+def bloom_candidates(spark, sf_dir):
+    filters = build.block_filters(dump(spark, sf_dir), BLOCK, BITS)
+    return query.trace_candidates(filters, _urgent(spark, sf_dir), BLOCK, bloom.hash_count(BITS), bloom.segments_for(BLOCK, BITS))
+
+
+@registered()
+def bloom_merge(spark, sf_dir):
+    merged = bloom.merge(build.block_filters(dump(spark, sf_dir), BLOCK, BITS), GROUP)
+    return merged.select(*GROUP, "segment", F.bitmap_count("bitmap").alias("bits"))
+
+
+@registered()
+def str_tree_levels(spark, sf_dir):
+    return build.pack_tree(build.leaf_envelopes(dump(spark, sf_dir), BLOCK))
+
+
+@registered("""SELECT iteration, species, block_id, min(pos) AS "start", count(*) AS "count" FROM b GROUP BY iteration, species, block_id""")
+def block_catalogue_rows(spark, sf_dir):
+    return block_catalogue(with_blocks(dump(spark, sf_dir), BLOCK))
+
+
+@registered("SELECT iteration, species, count(DISTINCT block_id) AS blocks, count(*) AS particles FROM b GROUP BY iteration, species")
+def block_particle_counts(spark, sf_dir):
+    return block_catalogue(with_blocks(dump(spark, sf_dir), BLOCK)).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("blocks"), F.sum("count").alias("particles"))
+
+
+@registered("""SELECT iteration, species, block_id // 10 AS batch, count(DISTINCT block_id) AS blocks, min(pos) AS "start", count(*) AS "count" FROM b GROUP BY iteration, species, block_id // 10""")
+def batch_plan(spark, sf_dir):
+    blocks = block_catalogue(with_blocks(dump(spark, sf_dir), BLOCK)).withColumn("batch", F.floor(F.col("block_id") / 10).cast("long"))
+    return blocks.groupBy(*GROUP, "batch").agg(F.count(F.lit(1)).alias("blocks"), F.min("start").alias("start"), F.sum("count").cast("long").alias("count"))
+
+
+@registered("SELECT iteration, species, pos, id FROM p WHERE pos < 11")
+def first_ids(spark, sf_dir):
+    return dump(spark, sf_dir).where("pos < 11").select(*GROUP, "pos", "id")
+
+
+@registered("""SELECT iteration, species, block_id // 4 AS block_id, min(pos) AS "start", count(*) AS "count", min(x) AS minx, max(x) AS maxx FROM b GROUP BY iteration, species, block_id // 4""")
+def relayout_extend(spark, sf_dir):
+    merged = relayout.extend(dump(spark, sf_dir), BLOCK, 4)
+    return merged.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("count"), F.min("x").alias("minx"), F.max("x").alias("maxx"))
+
+
+def _cell_sql(axis: str) -> str:
+    return f"CASE WHEN hi_{axis} > lo_{axis} THEN CAST(floor(({axis} - lo_{axis}) / ((hi_{axis} - lo_{axis}) * CAST(1.1 AS DOUBLE) / 3)) AS BIGINT) ELSE 0 END"
+
+
+@registered(f"""
+, ext AS (SELECT iteration, species, block_id, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z FROM b GROUP BY ALL),
+cells AS (SELECT iteration, species, block_id, ({_cell_sql("x")} * 3 + {_cell_sql("y")}) * 3 + {_cell_sql("z")} AS cell FROM b JOIN ext USING (iteration, species, block_id)),
+counts AS (SELECT iteration, species, block_id, cell, count(*) AS n FROM cells GROUP BY ALL)
+SELECT iteration, species, block_id, cell, CAST(sum(n) OVER (PARTITION BY iteration, species ORDER BY block_id, cell) - n AS BIGINT) AS "start", n AS "count" FROM counts""")
+def relayout_shrink(spark, sf_dir):
+    return relayout.shrink(dump(spark, sf_dir), BLOCK, 3)
+
+
+@registered(
+    """
+WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS i, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
+SELECT CAST(least(i // 30, greatest(n // 30, 1) - 1) AS BIGINT) AS block_i, CAST(least(j // 10, 64 // 10 - 1) AS BIGINT) AS block_j, min(i) AS first_i, CAST(min(j) AS INTEGER) AS first_j, count(*) AS "count", CAST(min(v) AS DOUBLE) AS "min", CAST(max(v) AS DOUBLE) AS "max"
+FROM c, n GROUP BY 1, 2""",
+    with_particles=False,
+)
+def rechunk_nd(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = vectors.agg(F.max("vec_id")).first()[0] + 1
+    cells = vectors.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return relayout.rechunk(cells, ["i", "j"], [n, 64], [30, 10]).groupBy("block_i", "block_j").agg(
+        F.min("i").alias("first_i"), F.min("j").alias("first_j"), F.count(F.lit(1)).alias("count"), F.min("v").cast("double").alias("min"), F.max("v").cast("double").alias("max")
+    )
+
+
+@registered("SELECT iteration, species, record, axis, count(*) AS nodes FROM l1 GROUP BY ALL")
+def index_directory_rows(spark, sf_dir):
+    return index_directory(build.minmax_blocks(dump(spark, sf_dir), BLOCK))
+
+
+@registered(
+    """WITH e AS (SELECT event_id // 100 AS block_id, min(ts) AS first_ts, max(ts) AS last_ts, min(value) AS "min", max(value) AS "max", count(*) AS n FROM events GROUP BY 1),
+hit AS (SELECT block_id FROM e WHERE first_ts <= (SELECT min(ts) + INTERVAL 2 DAY FROM events) AND last_ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND "min" <= 50 AND "max" >= 10)
+SELECT event_id, user_id, event_type, value FROM events
+WHERE event_id // 100 IN (SELECT block_id FROM hit) AND ts BETWEEN (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND (SELECT min(ts) + INTERVAL 2 DAY FROM events) AND value BETWEEN 10 AND 50""",
+    with_particles=False,
+)
+def events_time_range(spark, sf_dir):
+    """Events as particles: a time and value box, blocks first, then exact rows."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("block_id", F.floor(F.col("event_id") / 100).cast("long"))
+    begin = events.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("a"), (F.min("ts") + F.expr("INTERVAL 2 DAY")).alias("b")).first()
+    blocks = events.groupBy("block_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("value").alias("v0"), F.max("value").alias("v1"))
+    hit = blocks.where((F.col("t0") <= begin["b"]) & (F.col("t1") >= begin["a"]) & (F.col("v0") <= 50) & (F.col("v1") >= 10)).select("block_id")
+    rows = events.join(hit, "block_id", "left_semi")
+    return rows.where(F.col("ts").between(begin["a"], begin["b"]) & F.col("value").between(10, 50)).select("event_id", "user_id", "event_type", "value")
