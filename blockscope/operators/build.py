@@ -96,9 +96,9 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
     while widest > 1:
         level, widest = level + 1, -(-widest // capacity)
         up = hull(made, [*key, "parent"]).withColumnRenamed("parent", "node")
-        made = up.withColumns({"level": F.lit(level), "parent": F.floor(F.col("node") / capacity).cast("long")})
+        made = stored(up.withColumns({"level": F.lit(level), "parent": F.floor(F.col("node") / capacity).cast("long")}), "tree-level")
         nodes = nodes.unionByName(made.select(*names))
-    return nodes
+    return stored(nodes, "tree")
 
 
 def block_filters(particles: DataFrame, block_rows: int, bits_per_key: float = 10) -> DataFrame:

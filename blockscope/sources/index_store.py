@@ -32,7 +32,7 @@ def write_index(particles: DataFrame, path: str, kind: str, block_rows: int, sli
             save(build.slice_envelopes(particles, block_rows, slice_rows, records), "slices")
     if bits_per_key:
         save(build.block_filters(particles, block_rows, bits_per_key), "filters")
-    spark.createDataFrame([(kind, block_rows, slice_rows, bits_per_key)], "kind string, block_rows long, slice_rows long, bits_per_key double").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+    spark.createDataFrame([(kind, block_rows, slice_rows, float(bits_per_key) if bits_per_key else None)], "kind string, block_rows long, slice_rows long, bits_per_key double").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
 
 
 def write_block_catalogue(particles: DataFrame, path: str, block_rows: int) -> None:
