@@ -91,7 +91,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         def start() -> None:
             nonlocal out, packer
             fs.create_dir(base, recursive=True)
-            out = fs.open_output_stream(f"{base}/{name}")
+            out = fs.open_output_stream(f"{base}/{name}", compression=None)  # records are compressed one by one
             content = build_dictionary([r[k : k + (64 << 10)] for r in waiting for k in range(0, len(r), 64 << 10)])
             packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
             out.write(struct.pack("<II", DICT_MAGIC, len(content)) + content)
@@ -127,7 +127,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 def read_records(path: str) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """(WARC header, HTTP header, payload) of each record of an archive, streamed frame by frame."""
     fs, at = pa.fs.FileSystem.from_uri(path)
-    with fs.open_input_stream(at) as source:
+    with fs.open_input_stream(at, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICT_MAGIC:
             raise ValueError(f"{path}: no leading dictionary frame")
