@@ -208,3 +208,13 @@ def test_incremental_index_equals_a_batch_build(spark, tmp_path):
     columns = ["iteration", "species", "start", "end", "record", "axis", "min", "max"]
     got = incremental.read_minmax(spark, f"{tmp_path}/idx").select(columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, build.minmax_blocks(p, 4).select(columns).collect()))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockscope.__main__ import main
+
+    source.write_dump(table(spark, range(10)), f"{tmp_path}/d")
+    for kind in ("minmax", "rtree"):
+        main(["build", f"{tmp_path}/d", f"{tmp_path}/{kind}", "--kind", kind, "--block-rows", "4", "--slice-rows", "2"], spark)
+        main(["query", f"{tmp_path}/{kind}", "--kind", kind, "--iteration", "50", "--species", "e", "--secondary", "--x", "5", "5"], spark)
+        assert "{4 -> {4, 6}}" in capsys.readouterr().out
