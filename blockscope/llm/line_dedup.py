@@ -62,7 +62,7 @@ def suffix_ranks(positions: DataFrame, rounds: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, k, m): runs of m lines from line k on, in distinct texts, that occur earlier as well."""
     lines = materialize(_lines(docs, id_col, text_col), "lines")
-    repeated = lines.groupBy("line").count().where("count > 1").select("line")
+    repeated = materialize(lines.groupBy("line").count().where("count > 1").select("line"), "line-repeated")  # stored, so that the join may split a frequent line
     by_text = Window.partitionBy("digest").orderBy("k")
     found = lines.join(repeated, "line").withColumn("stretch", F.col("k") - F.row_number().over(by_text))
     stretch = Window.partitionBy("digest", "stretch")
@@ -92,6 +92,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     firsts = docs.where(F.col(text_col).isNotNull()).groupBy(F.unhex(F.md5(text_col)).alias("digest")).agg(F.min(id_col).alias("first_id"))
     named = materialize(named.join(firsts, "digest").withColumn("place", F.struct("first_id", "digest", "k")), "line-runs")
     intervals = named.groupBy("m", "head", "tail").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    intervals = materialize(intervals.select("m", "head", "tail", "earliest"), "line-intervals")
     return named.join(intervals, ["m", "head", "tail"]).where("place <> earliest").select("digest", "k", "m")
 
 
@@ -107,7 +108,7 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     lines, ids, where = F.col(P + "lines"), F.col(P + "ids"), P + "digest"
     words = F.aggregate(ids, F.lit(0), lambda total, i: total + F.size(F.split(F.trim(F.get(lines, i), F.lit(SPACE)), WORD_GAP)))
     copy = F.col(P + "first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col(P + "first")) & (F.col(P + "words") >= min_words)
-    out = docs.withColumn(P + "key", F.unhex(F.md5(text))).join(cases, F.col(P + "key") == F.col(where), "left")
+    out = docs.withColumn(P + "key", F.unhex(F.md5(text))).join(cases.hint("merge"), F.col(P + "key") == F.col(where), "left")  # one plan at every size
     out = out.withColumn(P + "lines", F.split(text, "\n"))
     numbered = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(line, F.lit(SPACE)) != "", i)), lambda i: i.isNotNull())
     out = out.withColumn(P + "ids", F.coalesce(numbered, F.array().cast("array<int>")))  # line numbers of the lines with a word
