@@ -49,7 +49,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("longest_run")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,10 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {"op2_line_dedup": oracle.LINE_DEDUP}
+#: The others need a tokenizer, a parser, a learned model or sums of logarithms, which SQL does not give to the last bit; tests/llm checks them.
+ORACLE: dict[str, str] = {
+    "op1_near_dedup": oracle.NEAR_DEDUP,
+    "op2_line_dedup": oracle.LINE_DEDUP,
+    "op7_warc": oracle.WARC,
+    "op8_decontamination": oracle.DECONTAMINATION,
+}
