@@ -1,11 +1,11 @@
 """Quality rules learned as a decision list by sequential covering, from DataFrame operations alone.
 
 `text_statistics` computes the counts of a text inside one projection: no shuffle, no Python. `learn_rules` joins them
-with labels and grows one conjunction of thresholds at a time on two thirds of the labelled rows: each step groups the
-rows still covered by (statistic, threshold bin) and takes the threshold with the best information gain. The other
-third prunes the conjunction, dropping last conditions while that helps, and decides whether the rule is precise
-enough to keep; rows that a kept rule covers leave, and the next rule is grown. Only such sums reach the driver.
-`apply_rules` turns the ordered rules into one conditional expression.
+with a bounded number of labels, and `cover` grows one conjunction of thresholds at a time on two thirds of these rows:
+each step takes the threshold with the best information gain on the rows still covered. The other third prunes the
+conjunction, dropping last conditions while that helps, and decides whether the rule is precise enough to keep; rows
+that a kept rule covers leave, and the next rule is grown. `apply_rules` turns the ordered rules into one conditional
+expression over all rows.
 
 A null text has no words. Rows with a null label or id are not learned from; without labelled rows of both kinds there
 are no rules, and only the base rule rejects. Repeated labelled rows count each. Equal gains go to the earlier
@@ -15,11 +15,12 @@ statistic and lower threshold. Extra columns are kept by `filter_quality`; inter
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockscope.llm.common import LOWER, UPPER, WORD_GAP, materialize
+from blockscope.llm.common import WORD_GAP
 
 #: Labelled rows that rules are learned from, at most; chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -29,41 +30,43 @@ MIN_PRECISION, MIN_COVER = 0.9, 8
 GOOD_WEIGHT = 10
 PREFIX = "__quality_"
 SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _count(text: str, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with a struct column `__quality_stats` of counts; see the module for nulls."""
-    text, words, grams = PREFIX + "text", PREFIX + "words", PREFIX + "grams"
+    text, words, hashes, grams = (PREFIX + c for c in ("text", "words", "hashes", "grams"))
     out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     trimmed = F.trim(F.col(text), F.lit(SPACE))
     out = out.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)))
     # windows of three words with their places, equal ones side by side
-    w, n = F.col(words), F.size(words)
-    triples = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c")), 1, F.greatest(n - 2, F.lit(0)))
+    out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    h, n = F.col(hashes), F.size(hashes)
+    triples = F.slice(F.arrays_zip(h.alias("a"), F.slice(h, 2, n).alias("b"), F.slice(h, 3, n).alias("c")), 1, F.greatest(n - 2, F.lit(0)))
     out = out.withColumn(grams, F.sort_array(F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i")))))
     g = F.col(grams)
-    neighbours = F.filter(F.arrays_zip(g.alias("x"), F.slice(g, 2, F.size(g)).alias("y")), lambda z: z["x"]["h"] == z["y"]["h"])
+    neighbours = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(g)), lambda k: F.get(g, k - 1)["h"] == F.get(g, k)["h"]),
+        lambda k: F.struct(F.get(g, k - 1).alias("x"), F.get(g, k).alias("y")),
+    )
     covered = F.flatten(F.transform(neighbours, lambda z: F.flatten(F.array(*(F.array(z[s]["i"], z[s]["i"] + 1, z[s]["i"] + 2) for s in "xy")))))
     lines = F.filter(F.split(F.col(text), "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "")
     out = out.withColumn(PREFIX + "lines", lines)
     line = F.col(PREFIX + "lines")
     stats = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.translate(F.col(text), SPACE, "")).cast("long").alias("word_chars"),
-        _without(F.col(text), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.length(text) - _count(text, r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
+        _count(text, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"),
         F.size(line).cast("long").alias("n_lines"),
-        _without(F.col(text), UPPER).cast("long").alias("n_upper"),
-        _without(F.col(text), LOWER).cast("long").alias("n_lower"),
-        _without(F.col(text), "!?").cast("long").alias("n_exclaim"),
+        _count(text, "[A-Z]").cast("long").alias("n_upper"),
+        _count(text, "[!?]").cast("long").alias("n_exclaim"),
     )
-    return out.withColumn(PREFIX + "stats", stats).drop(text, words, grams, PREFIX + "lines")
+    return out.withColumn(PREFIX + "stats", stats).drop(text, words, hashes, grams, PREFIX + "lines")
 
 
 def features(stats: Column) -> dict[str, Column]:
@@ -72,7 +75,7 @@ def features(stats: Column) -> dict[str, Column]:
     return {
         "symbols_per_word": stats["n_symbols"] / words,
         "exclaims_per_word": stats["n_exclaim"] / words,
-        "upper_share": stats["n_upper"] / F.greatest(stats["n_upper"] + stats["n_lower"], F.lit(1)).cast("double"),
+        "upper_share": stats["n_upper"] / F.greatest(stats["word_chars"], F.lit(1)).cast("double"),
         "repeat_share": stats["n_repeat_words"] / words,
         "dup_line_share": stats["n_dup_lines"] / F.greatest(stats["n_lines"], F.lit(1)).cast("double"),
         "mean_word": stats["word_chars"] / words,
@@ -99,71 +102,82 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _bin(value: Column, edges: list[float]) -> Column:
-    """How many edges lie below the value."""
-    return F.size(F.filter(F.lit(edges).cast("array<double>"), lambda edge: edge < value)) if edges else F.lit(0)
-
-
 def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> list[list[Condition]]:
-    """Ordered rules, each a list of conditions, that reject rows whose label is 0."""
+    """Ordered rules, each a list of conditions, that reject rows whose label is 0. At most fit_rows rows of statistics are collected."""
     sample = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias(PREFIX + "id"), (F.col(label_col) == 0).alias("bad"))
         .orderBy(F.xxhash64(PREFIX + "id"), PREFIX + "id")
         .limit(fit_rows)
     )
-    chosen = docs.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col(PREFIX + "id"))  # at most fit_rows rows
+    chosen = docs.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col(PREFIX + "id"))  # at most fit_rows labels
     values = features(F.col(PREFIX + "stats"))
-    rows = materialize(text_statistics(chosen, text_col).select("bad", (F.pmod(F.xxhash64(F.lit("fold"), PREFIX + "id"), F.lit(3)) > 0).alias("grow"), *(v.alias(k) for k, v in values.items())), "quality-fit")
-    quantiles = [k / BINS for k in range(1, BINS)]
-    cuts = rows.agg(*(F.percentile_approx(k, quantiles, 10_000).alias(k) for k in values)).first()
-    edges = {k: sorted(set(cuts[k] or [])) for k in values}
-    if not any(edges.values()):
-        return []
-    names = list(values)
-    binned = F.array(*(_bin(F.col(k), edges[k]) for k in names))
-    rows = materialize(rows.withColumn("bins", binned), "quality-bins")
-    columns = {k: F.col(k) for k in names}
-
-    rules: list[list[Condition]] = []
-    left = rows
-    failed: set[str] = set()  # statistics whose rules, when grown first from them, were not precise enough
-    while len(rules) < MAX_RULES and len(failed) < len(names):
+    grow = F.pmod(F.xxhash64(F.lit("fold"), PREFIX + "id"), F.lit(3)) > 0
+    rows = text_statistics(chosen, text_col).select("bad", grow.alias("grow"), *(v.alias(k) for k, v in values.items())).orderBy(F.xxhash64(PREFIX + "id")).limit(fit_rows).collect()
+    return cover([(r[0], r[1], r[2:]) for r in rows], list(values))
+
+
+def cover(rows: list[tuple[bool, bool, tuple]], names: list[str]) -> list[list[Condition]]:
+    """Sequential covering of the bad rows among (bad, in the growing part, values)."""
+    edges = []
+    for k in range(len(names)):
+        ordered = sorted(values[k] for _, _, values in rows)
+        edges.append(sorted({ordered[len(ordered) * q // BINS] for q in range(1, BINS)}) if ordered else [])
+    binned = [(bad, grow, [bisect_left(e, v) for e, v in zip(edges, values)]) for bad, grow, values in rows]
+    index = {name: k for k, name in enumerate(names)}
+
+    def holds(condition: Condition, bins: list[int]) -> bool:
+        k = index[condition[0]]
+        edge = bisect_left(edges[k], condition[2])
+        return bins[k] <= edge if condition[1] == "<=" else bins[k] > edge
+
+    def grown(covered: list[list[int]], bad: list[bool], failed: set[str]) -> list[Condition]:
         rule: list[Condition] = []
-        covered = left.where("grow")
         while len(rule) < MAX_CONDITIONS:
-            counts = covered.select("bad", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-            p0, n0 = (sum(r[k] for r in counts if r["feature"] == 0) for k in ("p", "n"))
+            p0, n0 = sum(bad), len(bad) - sum(bad)
             if p0 < MIN_COVER or not n0:
                 break
             best: tuple[float, Condition] | None = None
             for k, name in enumerate(names):
                 if not rule and name in failed:
                     continue
+                counts = [[0, 0] for _ in range(len(edges[k]) + 1)]
+                for b, bins in zip(bad, covered):
+                    counts[bins[k]][not b] += 1
                 p = n = 0
-                by_bin = {r["bin"]: (r["p"], r["n"]) for r in counts if r["feature"] == k}
-                for b, threshold in enumerate(edges[name]):
-                    p, n = p + by_bin.get(b, (0, 0))[0], n + by_bin.get(b, (0, 0))[1]
+                for edge, (pb, nb) in zip(edges[k], counts):
+                    p, n = p + pb, n + nb
                     for sign, pp, nn in (("<=", p, n), (">", p0 - p, n0 - n)):
                         gain = _gain(pp, nn, p0, n0)
                         if pp >= MIN_COVER and (best is None or gain > best[0] + 1e-9):
-                            best = (gain, (name, sign, float(threshold)))
+                            best = (gain, (name, sign, float(edge)))
             if best is None or best[0] <= 0:
                 break
             rule.append(best[1])
-            covered = covered.where(_holds(best[1], columns))
+            kept = [(bins, b) for bins, b in zip(covered, bad) if holds(best[1], bins)]
+            covered, bad = [c for c, _ in kept], [b for _, b in kept]
+        return rule
+
+    rules: list[list[Condition]] = []
+    failed: set[str] = set()  # statistics whose rules, when grown first from them, were not precise enough
+    while len(rules) < MAX_RULES and len(failed) < len(names):
+        rule = grown([bins for _, g, bins in binned if g], [bad for bad, g, _ in binned if g], failed)
         if not rule:
             break
-        heads = [_all(rule[:k], columns) for k in range(1, len(rule) + 1)]
-        row = left.where(~F.col("grow")).agg(*(F.count_if(h & F.col("bad")) for h in heads), *(F.count_if(h & ~F.col("bad")) for h in heads)).first()
-        worth = [((p - GOOD_WEIGHT * n) / max(1, p + GOOD_WEIGHT * n), (p + 1) / (p + n + 2), -k) for k, (p, n) in enumerate(zip(row[: len(rule)], row[len(rule) :]))]
-        value, precision, k = max(worth)
+        worth = []
+        pruning = [(bad, bins) for bad, g, bins in binned if not g]
+        for k, condition in enumerate(rule):
+            pruning = [(bad, bins) for bad, bins in pruning if holds(condition, bins)]
+            p = sum(bad for bad, _ in pruning)
+            n = len(pruning) - p
+            worth.append(((p - GOOD_WEIGHT * n) / max(1, p + GOOD_WEIGHT * n), (p + 1) / (p + n + 2), -k))
+        _, precision, k = max(worth)
         if precision < MIN_PRECISION:
             failed.add(rule[0][0])
             continue
         rule = rule[: 1 - k]
         rules.append(rule)
-        left = left.where(~_all(rule, columns))
+        binned = [row for row in binned if not all(holds(c, row[2]) for c in rule)]
     return rules
 
 
