@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from blockscope.sources.shared import new_path  # noqa: F401
+from blockscope.sources.shared import stored as materialize  # noqa: F401
 
 #: Fixed value: the word pattern of the shingle, line and quality operators (split on ASCII white space).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the rows as Parquet in the shared folder and read them back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table of an earlier round, on whatever file system the shared folder is."""
     jvm = spark._jvm
@@ -47,16 +25,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ascii_lower(column):
-    """Lower-case A-Z only, as the contracts ask; other letters stay."""
-    return F.translate(column, UPPER, LOWER)
-
-
-def words(column):
-    """Words [^\\x20\\x09-\\x0D]+ of a text as an array; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(column, F.lit("")), WORD_GAP), lambda w: w != "")
-
-
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of consecutive rows holding about `limit` bytes, so that Python objects stay few. Null gives b''."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())

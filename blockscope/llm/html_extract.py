@@ -64,8 +64,10 @@ class LineParser(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 return True
-            if name in ("class", "id", "role") and value and any(w.lower() in FURNITURE for w in _NAMES.findall(value)):
-                return True
+            if name in ("class", "id", "role") and value:
+                own = [v for v in value.split() if not v.lower().startswith(("has", "with", "no-"))]  # "has-sidebar" is a page's, not a sidebar's
+                if any(w.lower() in FURNITURE for v in own for w in _NAMES.findall(v)):
+                    return True
         return False
 
     def _pop(self, names: set[str], stop: set[str]) -> None:
