@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 32768
+#: Hash functions for each bit of budget, and the fewest and most of them.
+HASHES_PER_BIT, FEWEST, MOST = 0.69, 1, 30
 
 
 def hash_count(bits_per_key: float) -> int:
-    """Probes for a budget of bits: 0.69 for each bit, between 1 and 30."""
-    return min(30, max(1, int(bits_per_key * 0.69)))
+    return min(MOST, max(FEWEST, int(bits_per_key * HASHES_PER_BIT)))
 
 
 def segments_for(rows: int, bits_per_key: float) -> int:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Bounds = tuple[float, float]
 EVERYTHING: Bounds = (-math.inf, math.inf)
+#: Fixed value: how much wider than the extent of its values a block is cut.
+INFLATE = 1.1
 
 
 def overlaps(low: Column, high: Column, bounds: Bounds) -> Column:
@@ -43,12 +45,12 @@ def highest(column: Column) -> Column:
     return F.max(F.nanvl(column, F.lit(None).cast("double")))
 
 
-def cell(value: Column, low: Column, high: Column, n: int, inflate: float = 1.1) -> Column:
+def cell(value: Column, low: Column, high: Column, n: int, inflate: float = INFLATE) -> Column:
     """The value's cell among n along [low, high], whose width is inflated so that the maximum falls inside; 0 where flat."""
     return F.when(high > low, F.floor((value - low) / ((high - low) * inflate / n))).otherwise(0).cast("long")
 
 
-def cut_block(low: Column, high: Column, n: int, inflate: float = 1.1) -> Column:
+def cut_block(low: Column, high: Column, n: int, inflate: float = INFLATE) -> Column:
     """The n parts of an interval, as an array of (low, high)."""
     step = (high - low) * inflate / n
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((low + k * step).alias("low"), (low + (k + 1) * step).alias("high")))

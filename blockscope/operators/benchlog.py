@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Formats of log file names and lines.
+NAME = r"index_build_(\w+?)_threads_(\d+)_blocks_(\d+)_(\d+)"
+IO_LINE = r"Read Batch finished in ([0-9.]+) ?s"
+BUILD_LINE = r"IO and CPU Finished in ([0-9.]+) ?s"
+ELAPSED_LINE = r"Elapsed time: ([0-9.]+) ?s"
+
 
 def build_runs(spark: SparkSession, path: str) -> DataFrame:
     """A row for each log file index_build_<type>_threads_<n>_blocks_<b>_<run>.log: its I/O, build, CPU and elapsed seconds."""
@@ -14,13 +20,12 @@ def build_runs(spark: SparkSession, path: str) -> DataFrame:
         return F.regexp_extract("value", pattern, 1).try_cast("double")
 
     found = lines.groupBy("file").agg(
-        F.sum(seconds(r"Read Batch finished in ([0-9.]+) ?s")).alias("io_s"),
-        F.max(seconds(r"IO and CPU Finished in ([0-9.]+) ?s")).alias("build_s"),
-        F.max(seconds(r"Elapsed time: ([0-9.]+) ?s")).alias("elapsed_s"),
+        F.sum(seconds(IO_LINE)).alias("io_s"),
+        F.max(seconds(BUILD_LINE)).alias("build_s"),
+        F.max(seconds(ELAPSED_LINE)).alias("elapsed_s"),
     )
-    name = r"index_build_(\w+?)_threads_(\d+)_blocks_(\d+)_(\d+)"
     return found.select(
-        "file", F.regexp_extract("file", name, 1).alias("index_type"), *(F.regexp_extract("file", name, k).try_cast("int").alias(c) for k, c in ((2, "threads"), (3, "blocks"), (4, "run"))),
+        "file", F.regexp_extract("file", NAME, 1).alias("index_type"), *(F.regexp_extract("file", NAME, k).try_cast("int").alias(c) for k, c in ((2, "threads"), (3, "blocks"), (4, "run"))),
         "io_s", "build_s", (F.col("build_s") - F.col("io_s")).alias("cpu_s"), "elapsed_s",
     )
 

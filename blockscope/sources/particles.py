@@ -124,7 +124,7 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, type string, elements long, value string").parquet(path)
 
 
-#: Attribute types that are written.
+#: Attribute types that are written.
 ATTRIBUTE_TYPES = ("uint32", "float", "double", "string", "uint64")
 
 
