@@ -117,9 +117,9 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     out = out.withColumn(P + "drop", F.coalesce(cut, F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(P + "drop"))
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return out.withColumns(
-        {P + "n": F.size(ids).cast("long"), P + "gone": F.size(P + "drop").cast("long"), P + "text": F.when(F.size(P + "drop") > 0, rest).otherwise(text)}
-    ).select(*docs.columns, P + "n", P + "gone", P + "text")
+    made = F.struct(F.size(ids).cast("long").alias(P + "n"), F.size(P + "drop").cast("long").alias(P + "gone"), F.when(F.size(P + "drop") > 0, rest).otherwise(text).alias(P + "text"))
+    # exploding one row keeps later filters above the arrays, which would else be computed again inside the functions on them
+    return out.select(*docs.columns, F.inline(F.array(made)))
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,7 +66,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _count(text, "[A-Z]").cast("long").alias("n_upper"),
         _count(text, "[!?]").cast("long").alias("n_exclaim"),
     )
-    return out.withColumn(PREFIX + "stats", stats).drop(text, words, hashes, grams, PREFIX + "lines")
+    # exploding one row keeps later filters above the arrays, which would else be computed again inside the functions on them
+    return out.select(*docs.columns, F.explode(F.array(stats)).alias(PREFIX + "stats"))
 
 
 def features(stats: Column) -> dict[str, Column]:
