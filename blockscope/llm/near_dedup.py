@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     clusters = connected_components(met.mapInArrow(_sketch_forest(bound), "a long, b long"))
 
     clustered = materialize(clusters.withColumnRenamed("component", "cluster").join(nodes.select("node", "digest", "sketch"), "node"), "clusters")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(clustered, "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(clustered.hint("merge"), "node")  # one plan at every size
     full = materialize(texts.select("cluster", "node", "digest", "sketch", "text").mapInArrow(_with_sets(width), "cluster long, node long, sketch binary, hashes binary"), "sets")
     group = ["cluster", "left", "right"]
     met = _in_blocks(full, "cluster", "node").select(*group, "node", "sketch", "mine", "hashes").repartition(parts, *group).sortWithinPartitions(*group)
@@ -300,4 +300,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with the columns they came with."""
     gone = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__near_dup_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__near_dup_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("__near_dup_id"), "left_anti")
