@@ -14,7 +14,9 @@ came first. Columns other than the id, the text and the optional prompt length a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from blockscope.llm.common import text_slices
 from blockscope.llm.splitter import WordSplitter
 
-CACHE = 400_000
+#: Words in a worker's cache; chunks may be twice as many. About 0.2 KB each.
+CACHE = 300_000
 #: Pieces that wait in a task before bins are closed, and those that remain after.
 POOL, KEEP = 2048, 512
 
@@ -38,33 +41,38 @@ class ChunkIds:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
-    def _word(self, word: str, special: bool) -> bytes:
+    def _ids(self, word: str) -> bytes:
+        """Of a word in the byte-level alphabet."""
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
-        if ids is None or special:
-            found = [self.splitter.added[word]] if special else [t.id for t in self.tokenize(word)]
-            ids = np.array(found, "<u4").tobytes()
-            if special:
-                return ids
+        if ids is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[word] = ids
+            ids = self.words[word] = self._ids(self.splitter.in_alphabet(word))
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = b"".join(self._word(w, special) for w, special in self.splitter.pieces(chunk.decode()))
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+        words = self.splitter.simple_words(chunk)
+        if words is not None:
+            return b"".join([self._word(w) for w in words])
+        added = self.splitter.added
+        return b"".join([array("I", [added[w]]).tobytes() if special else self._ids(w) for w, special in self.splitter.pieces(chunk.decode())])
 
     def text(self, text: bytes) -> bytes:
-        chunks = text.split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            return b"".join(map(self._chunk, chunks))
+        chunks, known = text.split(), self.chunks
+        if len(known) >= 2 * CACHE:
+            known.clear()
+        for chunk in set(chunks).difference(known):
+            known[chunk] = self._chunk(chunk)
+        return b"".join(map(known.__getitem__, chunks))
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkIds:
+    """One for a worker process, whose next tasks find the cache filled."""
+    return ChunkIds(path)
 
 
 class Packer:
@@ -166,7 +174,7 @@ def pack(
     loss_limit = capacity if max_loss is None else max_loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkIds(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         packer = Packer(capacity, max_segments, loss_limit, (TaskContext.get().partitionId() + 1) << 33)
 
         def out(id_type: pa.DataType) -> pa.RecordBatch:

@@ -38,29 +38,28 @@ class WordSplitter:
         self.plain = regex.compile(pattern) if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
         self.alphabet = _byte_alphabet()
 
-    def pieces(self, chunk: str) -> Iterator[tuple[str, bool]]:
-        """(word in the byte-level alphabet, False) or (special token, True), in order."""
-        if "<|" in chunk and self.special:
-            for k, part in enumerate(self.special.split(chunk)):
-                if k % 2:
-                    yield part, True
-                elif part:
-                    yield from self._words(part)
-        else:
-            yield from self._words(chunk)
+    def simple_words(self, chunk: bytes) -> list[str] | None:
+        """The chunk's words in lower case, not yet in the byte-level alphabet; None where `pieces` has to take the chunk."""
+        if self.plain is None:
+            return None
+        if chunk.isalpha():  # ASCII letters alone
+            return [chunk.decode().lower()]
+        if chunk[-1:] in b",.;:" and chunk[:-1].isalpha():
+            return [chunk[:-1].decode().lower(), chunk[-1:].decode()]
+        text = chunk.decode()
+        if b"<|" in chunk or max(text) >= "\u0250":
+            return None
+        return self.plain.findall(text.lower())
 
-    def _words(self, part: str) -> Iterator[tuple[str, bool]]:
-        if self.plain is not None and max(part) < "ɐ":
-            if part.isascii():
-                for word in self.plain.findall(part.lower()):
-                    yield (word if word.isprintable() else self._bytes(word)), False
-            else:
-                for word in self.plain.findall(part.lower()):
-                    yield self._bytes(word), False
-        else:
-            library = self.library
-            for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
-                yield word, False
+    def in_alphabet(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
 
-    def _bytes(self, word: str) -> str:
-        return word.encode().decode("latin-1").translate(self.alphabet)
+    def pieces(self, chunk: str) -> Iterator[tuple[str, bool]]:
+        """(word in the byte-level alphabet, False) or (special token, True), in order, by the library's own steps."""
+        library = self.library
+        for k, part in enumerate(self.special.split(chunk) if self.special else [chunk]):
+            if k % 2:
+                yield part, True
+            elif part:
+                for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
+                    yield word, False

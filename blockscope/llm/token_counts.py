@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,35 +93,32 @@ class PrefixCounter:
                 return count[begin] + 1
         raise KeyError(word)
 
+    def _closed_count(self, word: str) -> int:
+        last, count = self.table(word[:-1])
+        return self.closed(word, len(word), last, count)
+
     def word_count(self, word: str) -> int:
+        """Of a word in lower case: the last entry of its table."""
         n = self.words.get(word)
         if n is None:
-            if word + END in self.vocab and len(word) == 1:
-                n = 1
-            else:
-                last, count = self.table(word[:-1])
-                n = self.closed(word, len(word), last, count)
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[word] = n
+            n = self.words[word] = self._closed_count(self.splitter.in_alphabet(word))
         return n
 
-    def chunk_count(self, chunk: bytes) -> int:
-        n = self.chunks.get(chunk)
-        if n is None:
-            n = sum(1 if special else self.word_count(word) for word, special in self.splitter.pieces(chunk.decode()))
-            if len(self.chunks) >= 2 * CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = n
-        return n
+    def _count(self, chunk: bytes) -> int:
+        words = self.splitter.simple_words(chunk)
+        if words is not None:
+            return sum([self.word_count(w) for w in words])
+        return sum(1 if special else self._closed_count(word) for word, special in self.splitter.pieces(chunk.decode()))
 
     def total(self, text: bytes) -> int:
-        chunks = text.split()
-        get = self.chunks.get
-        counts = list(map(get, chunks))
-        if None in counts:
-            counts = map(self.chunk_count, chunks)
-        return sum(counts)
+        chunks, known = text.split(), self.chunks
+        if len(known) >= 2 * CACHE:
+            known.clear()
+        for chunk in set(chunks).difference(known):
+            known[chunk] = self._count(chunk)
+        return sum(map(known.__getitem__, chunks))
 
     def prefixes(self, text: str) -> list[int]:
         """The token count of text[:i] for i from 0 to len(text)."""
@@ -137,12 +135,18 @@ class PrefixCounter:
         if chunk.isascii() and chunk.isalpha():  # one word whose normal form has a symbol for each character
             last, count = self.table(lowered)
             return [self.closed(lowered, k, last, count) for k in range(1, len(chunk) + 1)]
-        return [self.chunk_count(chunk[:k].encode()) for k in range(1, len(chunk) + 1)]
+        return [self._count(chunk[:k].encode()) for k in range(1, len(chunk) + 1)]
+
+
+@lru_cache(maxsize=1)
+def _counter(path: str) -> PrefixCounter:
+    """One for a worker process, whose next tasks find the cache filled."""
+    return PrefixCounter(path)
 
 
 def _per_text(path: str, text_col: str, keep: list[str], fields: list[tuple[str, pa.DataType]], row: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         for batch in batches:
             for begin, texts in text_slices(batch, text_col):
                 part = batch.slice(begin, len(texts))
