@@ -27,7 +27,7 @@ from blockscope.llm.common import text_slices
 from blockscope.llm.splitter import WordSplitter
 
 #: Words in a worker's cache; chunks may be twice as many. About 0.2 KB each.
-CACHE = 300_000
+CACHE = 600_000
 #: Pieces that wait in a task before bins are closed, and those that remain after.
 POOL, KEEP = 2048, 512
 
