@@ -1,11 +1,15 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by the workers.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, kept as sorted hash arrays, mapped by the workers.
 
-Counting takes two shuffles of packed arrays. Tasks cut texts into words, hash them to 64 bits and add up the bigrams of
-some two million tokens at a time, before the first shuffle deals them to buckets by the bigram's own hash; so neither a
-frequent word nor a frequent context meets in one task. A bucket's task merges its bigrams, writes their sorted hashes
-and counts as arrays into the shared folder, and sends partial sums by word - as a context: count and followers seen
-once, twice, more often; as a follower: count and distinct predecessors - to the second shuffle, whose tasks write the
-word arrays. The driver gets one row of totals from each task.
+Counting takes a shuffle of packed arrays for each order. Tasks cut texts into words, hash them to 64 bits and add up the
+n-grams of some two million tokens at a time, before the first shuffle deals them to buckets by the n-gram's own hash
+(above two words an eighth of a context's n-grams lie together, so that its sums are few). A bucket's task merges its
+n-grams, writes their sorted hashes and counts as arrays into the shared folder, and sends partial sums to the next
+shuffle, a word shorter: for the first words as a context, count and followers seen once, twice, more often; for the
+last words, distinct predecessors and count. The last shuffle's tasks write the word arrays. So neither a frequent word
+nor a frequent context meets in one task. The driver gets one row of totals from each task.
+
+An n-gram that begins a text has no predecessor; in the sums below the highest order its count stands for them. The
+first words of a text are scored by the order that their context reaches.
 
 Scoring maps those files and looks sorted hashes up bucket by bucket; nothing is broadcast and no worker loads the model.
 The folder must be a path that workers can map. Files are written under a name of the task attempt and then renamed, so
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 
 from blockscope.llm.common import new_path, text_slices
 
-#: Tokens whose bigrams are added up before they are sent.
+#: Tokens whose n-grams are added up before they are sent.
 CHUNK = 2_000_000
+PAD = np.uint64(0)  # before the beginning
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n<", b"\n>"))  # no word has a line feed
-WORD_FIELDS = ("context", "once", "twice", "more", "before", "count")
+FIELDS = ("context", "once", "twice", "more", "before", "count")
 
 
 def bigram_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -47,13 +52,23 @@ def bigram_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return key ^ (key >> np.uint64(29))
 
 
+def gram_hash(grams: list[np.ndarray]) -> np.ndarray:
+    """Of words, their own hash; above two words the context makes the upper bits but three, which are the last word's."""
+    key = grams[0]
+    for word in grams[1:]:
+        context, key = key, bigram_hash(key, word)
+    if len(grams) > 2:
+        key = (grams[-1] & np.uint64(7)) << np.uint64(61) | (context >> np.uint64(43)) << np.uint64(40) | key & np.uint64((1 << 40) - 1)
+    return key
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash, so that bucket by bucket the arrays are in one order."""
     return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, the token before each, first position of each text) of some texts one after another."""
+def hashed(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each token the order - 1 tokens before it and itself, first position of each text) of some texts one after another."""
     words = [t.lower().split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     digest = xxhash.xxh64_intdigest
@@ -64,10 +79,13 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens[ends] = END
     tokens[inner] = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, int(lengths.sum()))
     starts = ends - lengths
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[starts] = BEGIN
-    return tokens, before, starts
+    grams = [tokens]
+    for k in range(order - 1):
+        before = np.empty_like(tokens)
+        before[1:] = grams[0][:-1]
+        before[starts] = PAD if k else BEGIN
+        grams.insert(0, before)
+    return grams, starts
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -89,12 +107,31 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def sums(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, and the columns' sums for each."""
+def pack_grams(grams: list[np.ndarray], *numbers: np.ndarray) -> bytes:
+    """N-grams as places in the list of their words, which is packed before them."""
+    if len(grams) == 1:
+        return pack(*grams, *numbers)
+    words, place = np.unique(np.concatenate(grams), return_inverse=True)
+    head = pack(words)
+    return len(head).to_bytes(4, "little") + head + pack(*place.reshape(len(grams), -1), *numbers)
+
+
+def unpack_grams(blob: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    if order > 1:
+        at = 4 + int.from_bytes(blob[:4], "little")
+        (words,), columns = unpack(blob[4:at]), unpack(blob[at:])
+        return [words[c] for c in columns[:order]], columns[order:]
+    columns = unpack(blob)
+    return columns[:1], columns[1:]
+
+
+def sums(grams: list[np.ndarray], *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the distinct n-grams in order, these n-grams, and the columns' sums for each."""
+    key = gram_hash(grams)
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[first], [np.add.reduceat(c[order].astype(np.int64), first) if len(key) else np.zeros(0, np.int64) for c in columns]
+    return key[first], [g[order[first]] for g in grams], [np.add.reduceat(c[order].astype(np.int64), first) if len(key) else np.zeros(0, np.int64) for c in columns]
 
 
 def _local(path: str) -> str:
@@ -104,11 +141,14 @@ def _local(path: str) -> str:
     return at.path
 
 
-def _save(folder: str, name: str, *columns: np.ndarray) -> None:
+def _save(folder: str, name: str, key: np.ndarray, *columns: np.ndarray) -> None:
+    """Eight bytes that tell the width of each column, the hashes, the columns."""
     os.makedirs(folder, exist_ok=True)
     attempt = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+    columns = [c.astype(np.min_scalar_type(int(c.max()) if len(c) else 0)) for c in columns]
     with open(attempt, "wb") as f:
-        for c in columns:
+        f.write(bytes(c.itemsize for c in columns).ljust(8, b"\0"))
+        for c in (key, *columns):
             f.write(np.ascontiguousarray(c).tobytes())
     os.replace(attempt, f"{folder}/{name}")
 
@@ -118,32 +158,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
 
 
-def _split(buckets: int, key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """Rows (bucket, packed columns); within a bucket in the order given."""
-    b = bucket_of(key, buckets)
-    order = np.argsort(b, kind="stable")
-    edges = np.searchsorted(b[order], np.arange(buckets + 1))
-    return [(k, pack(*(c[order[edges[k] : edges[k + 1]]] for c in columns))) for k in np.flatnonzero(np.diff(edges)).tolist()]
+def _split(buckets: int, key: np.ndarray, grams: list[np.ndarray], *numbers: np.ndarray) -> list[tuple]:
+    """Rows (bucket, packed n-grams and numbers) of n-grams in the order of their hashes."""
+    edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+    cut = [slice(edges[k], edges[k + 1]) for k in range(buckets)]
+    return [(k, pack_grams([g[cut[k]] for g in grams], *(c[cut[k]] for c in numbers))) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _count_bigrams(buckets: int, text_col: str):
+def _count_grams(order: int, buckets: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
+        waiting: list[list] = []
 
         def flush() -> pa.RecordBatch:
-            left, right = (np.concatenate(c) for c in zip(*waiting))
+            grams = [np.concatenate(c) for c in zip(*waiting)]
             waiting.clear()
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
-            count = np.diff(np.concatenate((first, [len(left)])))
-            left, right = left[first], right[first]
-            return _batch(_split(buckets, bigram_hash(left, right), left, right, count))
+            key, grams, count = sums(grams, np.ones(len(grams[0]), np.int64))
+            return _batch(_split(buckets, key, grams, *count))
 
         for batch in batches:
             for _, texts in text_slices(batch, text_col):
-                tokens, before, _ = hashed(texts)
-                waiting.append((before, tokens))
+                waiting.append(hashed(texts, order)[0])
                 if sum(len(w[0]) for w in waiting) >= CHUNK:
                     yield flush()
         if waiting:
@@ -164,49 +198,59 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_bigrams(folder: str, word_buckets: int):
+def _merge_grams(folder: str, order: int, highest: int, buckets: int):
+    """Merge the n-grams of one order above 1, and deal out sums for those a word shorter to `buckets`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _gather(batches)
-        totals = np.zeros(4, np.int64)
-        contexts, followers = [], []
+        totals = np.zeros((highest + 1, 4), np.int64)  # of each order: n-grams seen 1 to 4 times
+        made: list[tuple] = []
         for bucket in sorted(found):
-            left, right, count = (np.concatenate(c) for c in zip(*map(unpack, found.pop(bucket))))
-            key = bigram_hash(left, right)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.add.reduceat(count[order].astype(np.int64), first)
-            left, right, key = left[order[first]], right[order[first]], key[first]
-            _save(folder, f"bigrams-{bucket}", key, count.astype("<u4"))
-            totals += _of_counts(count)
-            contexts.append(sums(left, count, count == 1, count == 2, count > 2))
-            followers.append(sums(right, np.ones_like(count), count))
-        if contexts:
-            key, made = sums(np.concatenate([k for k, _ in contexts]), *(np.concatenate(c) for c in zip(*(c for _, c in contexts))))
-            zero = np.zeros(len(key), np.int64)
-            yield _batch(_split(word_buckets, key, key, *made, zero, zero))
-            key, made = sums(np.concatenate([k for k, _ in followers]), *(np.concatenate(c) for c in zip(*(c for _, c in followers))))
-            zero = np.zeros(len(key), np.int64)
-            yield _batch(_split(word_buckets, key, key, zero, zero, zero, zero, *made))
-            yield _batch([(-1 - TaskContext.get().partitionId(), pack(totals))])
+            blobs = found.pop(bucket)
+            if bucket < 0:
+                totals += sum(unpack(b)[0].astype(np.int64) for b in blobs).reshape(totals.shape)
+                continue
+            grams, numbers = zip(*(unpack_grams(b, order) for b in blobs))
+            key, grams, numbers = sums([np.concatenate(c) for c in zip(*grams)], *(np.concatenate(c) for c in zip(*numbers)))
+            whole = grams[0] != PAD
+            if order == highest:
+                seen = count = numbers[0]
+                _save(folder, f"{order}-{bucket}", key[whole], seen[whole])
+            else:
+                *_, seen, count = numbers
+                _save(folder, f"{order}-{bucket}", key[whole], *(c[whole] for c in numbers[:-1]))  # the plain count is for the words alone
+            own = whole & (seen > 0)  # else a context only
+            totals[order] += _of_counts(seen[own])
+            seen_own, zero = seen[own], np.zeros(int(own.sum()), np.int64)
+            made.append(([g[own] for g in grams[:-1]], [seen_own, seen_own == 1, seen_own == 2, seen_own > 2, zero, zero]))
+            there, zero = seen > 0, np.zeros(int((seen > 0).sum()), np.int64)
+            made.append(([g[there] for g in grams[1:]], [zero, zero, zero, zero, np.where(whole, 1, seen)[there], count[there]]))
+        if made:
+            grams, numbers = zip(*made)
+            key, grams, numbers = sums([np.concatenate(c) for c in zip(*grams)], *(np.concatenate(c) for c in zip(*numbers)))
+            yield _batch(_split(buckets, key, grams, *numbers))
+        if totals.any():
+            yield _batch([(-1 - TaskContext.get().partitionId(), pack(totals.ravel()))])
 
     return run
 
 
-def _merge_words(folder: str):
+def _merge_words(folder: str, highest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _gather(batches)
-        totals = np.zeros(12, np.int64)  # bigrams seen 1 to 4 times, words after 1 to 4 others, others in all, words after 3 and more, words, tokens
+        totals = np.zeros((highest + 1, 4), np.int64)  # the first row: distinct predecessors in all, words after 3 and more, words, tokens; then of each order, n-grams seen 1 to 4 times
         for bucket in sorted(found):
-            blobs = [unpack(b) for b in found.pop(bucket)]
+            blobs = found.pop(bucket)
             if bucket < 0:
-                totals[:4] += sum(b[0].astype(np.int64) for b in blobs)
+                totals += sum(unpack(b)[0].astype(np.int64) for b in blobs).reshape(totals.shape)
                 continue
-            key, made = sums(*(np.concatenate(c) for c in zip(*blobs)))
-            _save(folder, f"words-{bucket}", key, *(c.astype("<i8") for c in made))
+            grams, numbers = zip(*(unpack_grams(b, 1) for b in blobs))
+            key, _, made = sums([np.concatenate(c) for c in zip(*grams)], *(np.concatenate(c) for c in zip(*numbers)))
+            _save(folder, f"1-{bucket}", key, *made)
             before, count = made[4], made[5]
-            totals[4:] += np.array([*_of_counts(before), before.sum(), (before > 2).sum(), (count > 0).sum(), count.sum()])
-        yield pa.RecordBatch.from_arrays([pa.array([totals.tolist()], pa.list_(pa.int64()))], names=["totals"])
+            totals[1] += _of_counts(before)
+            totals[0] += np.array([before.sum(), (before > 2).sum(), (count > 0).sum(), count.sum()])
+        yield pa.RecordBatch.from_arrays([pa.array([totals.ravel().tolist()], pa.list_(pa.int64()))], names=["totals"])
 
     return run
 
@@ -224,37 +268,41 @@ class Model:
     """Where the arrays are, and the totals that the formulas need."""
 
     folder: str
+    order: int
     buckets: int
     word_buckets: int
-    bigram_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]  # of each order from 1
     pairs: int  # distinct bigrams: the words' distinct predecessors in all
     word_left: float  # probability that the words' discounts leave for the uniform distribution
     words: int
     tokens: int
 
 
-def train(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> Model:
+def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 2) -> Model:
+    if order < 2:
+        raise ValueError(f"the order must be 2 or more, not {order}")
     spark = docs.sparkSession
     folder = _local(folder or new_path(spark, "ngram"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, word_buckets = 4 * parts, 2 * parts
     schema = "bucket int, blob binary"
-    bigrams = docs.select(text_col).mapInArrow(_count_bigrams(buckets, text_col), schema)
-    words = bigrams.repartition(parts, "bucket").mapInArrow(_merge_bigrams(folder, word_buckets), schema)
-    rows = words.repartition(parts, "bucket").mapInArrow(_merge_words(folder), "totals array<long>").collect()  # a row of 12 numbers for each task
-    t = [int(x) for x in np.array([r[0] for r in rows] or [[0] * 12]).sum(axis=0)]
-    low = discounts(t[4:8])
-    left = (low[0] * t[4] + low[1] * t[5] + low[2] * t[9]) / t[8] if t[8] else 1.0
-    return Model(folder, buckets, word_buckets, discounts(t[:4]), low, t[8], left, t[10], t[11])
+    grams = docs.select(text_col).mapInArrow(_count_grams(order, buckets, text_col), schema)
+    for k in range(order, 1, -1):
+        grams = grams.repartition(parts, "bucket").mapInArrow(_merge_grams(folder, k, order, buckets if k > 2 else word_buckets), schema)
+    rows = grams.repartition(parts, "bucket").mapInArrow(_merge_words(folder, order), "totals array<long>").collect()  # a row of some numbers for each task
+    t = np.array([r[0] for r in rows] or [[0] * 4 * (order + 1)]).sum(axis=0).reshape(order + 1, 4).tolist()
+    pairs, more, words, tokens = t[0]
+    found = tuple(discounts(n) for n in t[1:])
+    low = found[0]
+    left = (low[0] * t[1][0] + low[1] * t[1][1] + low[2] * more) / pairs if pairs else 1.0
+    return Model(folder, order, buckets, word_buckets, found, pairs, left, words, tokens)
 
 
 class Arrays:
-    """Sorted hash arrays of one kind, mapped bucket by bucket on first use."""
+    """Sorted hash arrays of one order, mapped bucket by bucket on first use."""
 
-    def __init__(self, folder: str, kind: str, buckets: int, fields: list[str]):
-        self.path, self.buckets, self.kinds = f"{folder}/{kind}", buckets, fields
-        self.width = 8 + sum(np.dtype(f).itemsize for f in fields)
+    def __init__(self, folder: str, order: int, buckets: int, fields: int):
+        self.path, self.buckets, self.fields = f"{folder}/{order}", buckets, fields
         self.maps: dict[int, tuple | None] = {}
 
     def _bucket(self, k: int) -> tuple | None:
@@ -264,17 +312,18 @@ class Arrays:
             except FileNotFoundError:
                 self.maps[k] = None
             else:
-                n = len(whole) // self.width
-                at, columns = 8 * n, []
-                for kind in self.kinds:
-                    columns.append(whole[at : at + n * np.dtype(kind).itemsize].view(kind))
-                    at += n * np.dtype(kind).itemsize
-                self.maps[k] = (whole[: 8 * n].view("<u8"), columns)
+                widths = whole[: self.fields].tolist()
+                n = (len(whole) - 8) // (8 + sum(widths))
+                at, columns = 8 + 8 * n, []
+                for width in widths:
+                    columns.append(whole[at : at + n * width].view(f"<u{width}"))
+                    at += n * width
+                self.maps[k] = (whole[8 : 8 + 8 * n].view("<u8"), columns) if n else None
         return self.maps[k]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The columns' values for sorted keys, 0 where a key is not there."""
-        out = [np.zeros(len(keys), np.int64) for _ in self.kinds]
+        out = [np.zeros(len(keys), np.int64) for _ in range(self.fields)]
         edges = np.searchsorted(bucket_of(keys, self.buckets), np.arange(self.buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             if (there := self._bucket(k)) is not None:
@@ -288,29 +337,39 @@ class Arrays:
 
 
 @lru_cache(maxsize=2)
-def _opened(model: Model) -> tuple[Arrays, Arrays]:
-    return Arrays(model.folder, "bigrams", model.buckets, ["<u4"]), Arrays(model.folder, "words", model.word_buckets, ["<i8"] * len(WORD_FIELDS))
+def _opened(model: Model) -> list[Arrays]:
+    """Of each order from 1."""
+    fields = [len(FIELDS), *[len(FIELDS) - 1] * (model.order - 2), 1]
+    return [Arrays(model.folder, k, model.buckets if k > 1 else model.word_buckets, n) for k, n in enumerate(fields, 1)]
 
 
 def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-def token_scores(model: Model, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 probability by the model, log10 probability by add-one counts, count in training) of each token."""
-    bigrams, words = _opened(model)
-    distinct, place = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-    context, once, twice, more, preceding, count = words.find(distinct)
-    own, ctx = place[: len(tokens)], place[len(tokens) :]
-    pairs, pair = np.unique(bigram_hash(before, tokens), return_inverse=True)
-    (seen,) = bigrams.find(pairs)
-    low = np.maximum(preceding - _discount(preceding, model.word_discounts), 0) / max(1, model.pairs) + model.word_left / (model.words + 1)
-    d = model.bigram_discounts
-    known = np.maximum(context, 1)
-    left = np.where(context > 0, (d[0] * once + d[1] * twice + d[2] * more) / known, 1.0)
-    high = np.maximum(seen - _discount(seen, d), 0)[pair] / known[ctx]
+def token_scores(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 probability by the model, log10 probability by add-one counts, count in training) of each last token."""
+    tables, tokens = _opened(model), len(grams[-1])
+    distinct, place = np.unique(np.concatenate(grams[-2:]), return_inverse=True)
+    *context, preceding, count = tables[0].find(distinct)
+    ctx, own = place[:tokens], place[tokens:]
+    low = np.maximum(preceding - _discount(preceding, model.discounts[0]), 0) / max(1, model.pairs) + model.word_left / (model.words + 1)
     base = np.log10((count + 1) / (model.tokens + (model.words + 1)))
-    return np.log10(high + left[ctx] * low[own]), base[own], count[own]
+    score = low[own]
+    for k in range(2, model.order + 1):
+        d = model.discounts[k - 1]
+        total, once, twice, more = context
+        left = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(total, 1), 1.0)
+        total = np.maximum(total, 1)[ctx]
+        keys = [gram_hash(grams[-k:])]
+        if k < model.order:  # as contexts of the next order
+            keys.insert(0, gram_hash(grams[-k - 1 : -1]))
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        *context, seen = tables[k - 1].find(found)
+        seen = np.maximum(seen - _discount(seen, d), 0)[place[-tokens:]]
+        score = seen / total + left[ctx] * score
+        ctx = place[:tokens]
+    return np.log10(score), base[own], count[own]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,9 +380,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col))
             for begin, texts in text_slices(batch, text_col):
-                tokens, before, starts = hashed(texts)
-                scores, base, count = token_scores(model, tokens, before)
-                n = np.diff(np.concatenate((starts, [len(tokens)])))
+                grams, starts = hashed(texts, model.order)
+                scores, base, count = token_scores(model, grams)
+                n = np.diff(np.concatenate((starts, [len(scores)])))
                 total = np.add.reduceat(scores, starts)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(begin, len(texts)), pa.array(n), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(total), pa.array(10.0 ** (-total / n))],
@@ -337,9 +396,9 @@ def in_held_out(id_column: Column, folds: int = 7, held_out: int = 2) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % folds == held_out
 
 
-def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): a model of the documents outside one fold, applied to all."""
-    model = train(docs.where(~in_held_out(F.col(id_col))), text_col)
+def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): a model of that order of the documents outside one fold, applied to all."""
+    model = train(docs.where(~in_held_out(F.col(id_col))), text_col, order=order)
     return score(docs, model, id_col, text_col).select(
         id_col, in_held_out(F.col(id_col)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
     )

@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held_out_scores(load(spark, sf_dir, "documents"))
+    return held_out_scores(load(spark, sf_dir, "documents"), order=3)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,11 +221,52 @@ def test_ngram_scores_against_formulas(spark, docs):
     assert held_out_scores(empty(docs)).count() == 0
 
 
-def test_ngram_scores_beat_the_base_on_held_out_rows(spark):
+@pytest.mark.parametrize("order", [3, 4])
+def test_ngram_scores_of_higher_orders(spark, docs, order):
+    from blockscope.llm.ngram import held_out_scores
+
+    rows = [(i, t) for i, t in rows_of(docs) if i is not None]
+    tokens = {(i, t): ["<", *WORD.findall((t or "").translate(ASCII)), None] for i, t in rows}
+    seen = [Counter() for _ in range(order + 1)]
+    for key in rows:
+        if zlib.crc32(str(key[0]).encode()) % 7 != 2:
+            w = tokens[key]
+            seen[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+            for n in range(2, min(order, len(w) + 1)):
+                seen[n][tuple(w[:n])] += 1
+            seen[0].update(w[1:])
+    for n in range(order - 1, 0, -1):
+        seen[n].update(g[1:] for g in seen[n + 1])
+    steps, total, kinds = [None], defaultdict(int), defaultdict(lambda: [0, 0, 0, 0])
+    for n in range(1, order + 1):
+        k = Counter(seen[n].values())
+        y = k[1] / (k[1] + 2 * k[2]) if all(k[j] for j in (1, 2, 3, 4)) else None
+        steps.append([0, 0.5, 1.0, 1.5] if y is None else [0, *(min(max(j - (j + 1) * y * k[j + 1] / k[j], 0), j) for j in (1, 2, 3))])
+        for g, c in seen[n].items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        n, of = len(g), (len(g), g[:-1])
+        rest = p(g[1:]) if n > 1 else 1 / (len(seen[0]) + 1)
+        if not total[of]:
+            return rest
+        return (max(seen[n][g] - steps[n][min(seen[n][g], 3)], 0) + sum(steps[n][k] * kinds[of][k] for k in (1, 2, 3)) * rest) / total[of]
+
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in held_out_scores(docs.where("doc_id is not null"), order=order).collect()}
+    for key in rows:
+        w = tokens[key]
+        assert got[key[0], len(w) - 1] == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w))))
+    assert held_out_scores(empty(docs), order=order).count() == 0
+
+
+def test_the_registered_scores_are_of_the_third_order(spark):
+    from blockscope.llm.ngram import held_out_scores
     from blockscope.llm.queries import QUERIES
 
-    row = QUERIES["op3_ngram_scores"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert row[0] > row[1]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    registered, second, third = (t.agg(F.sum("score")).first()[0] for t in (QUERIES["op3_ngram_scores"](spark, SF), held_out_scores(docs), held_out_scores(docs, order=3)))
+    assert registered == pytest.approx(third) and registered != pytest.approx(second)
 
 
 def test_text_statistics(spark, docs):
