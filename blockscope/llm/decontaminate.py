@@ -5,8 +5,9 @@ words of every item; a document's words are streamed through it, which gives at
 that some item has. A window is `window` consecutive item words, or the whole item where it is shorter. A document word
 inside any occurrence of a window is hit.
 
-The benchmark is cut into automata of at most MAX_WORDS words, each of which is broadcast; a larger benchmark takes one
-pass over the documents for each. Benchmark rows without an id or without words are ignored; items with one id count
+The benchmark is cut into automata of at most MAX_WORDS words, each of which is broadcast; with a larger benchmark rows go
+through the automata one after another and carry what was hit so far, so that a row is counted, judged and cut by all of
+them together and no rows are joined. Results don't depend on how the benchmark is cut. Benchmark rows without an id or without words are ignored; items with one id count
 once. A null or empty text has no words. Repeated rows are reported each. Extra columns are kept by `decontaminate`.
 """
 
@@ -23,10 +24,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockscope.llm.common import text_slices
+from blockscope.llm.common import materialize, text_slices
 
 #: Words in one automaton: at most twice as many states and three times as many transitions, about 60 MB.
 MAX_WORDS = 100_000
+#: Automata that rows go through between two tables in the shared folder: each has a worker of its own.
+CHAIN = 4
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -158,46 +161,60 @@ def _automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) ->
     yield ItemAutomaton(items, window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run) for each document row.
+def _chained(docs: DataFrame, steps: list[tuple]) -> DataFrame:
+    """Steps (function, schema) one after another."""
+    for n, (run, schema) in enumerate(steps):
+        docs = docs.mapInArrow(run, schema)
+        if (n + 1) % CHAIN == 0 and n + 1 < len(steps):
+            docs = materialize(docs, "hits")
+    return docs
 
-    With several automata (a benchmark of over MAX_WORDS words) rows are joined by the id, which must then be unique.
-    """
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run) for each document row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = []
-    for automaton in _automata(benchmark, window, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, item_col, item_text_col)]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(shared, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(batch.schema.get_field_index(id_col))
                 for begin, texts in text_slices(batch, text_col):
+                    part = batch.slice(begin, len(texts))
+                    carried = repeat(([], [], 0)) if first else zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("__hits", "__items", "__longest")))
                     out = []
-                    for text in texts:
+                    for text, (hits, names, longest) in zip(texts, carried):
                         words = normalised_words(text)
                         mask, items, most = shared.value.hits(words)
-                        out.append((len(words), [] if mask is None else np.flatnonzero(mask).tolist(), sorted(items), most))
-                    n, hit, items, most = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
-                        names=[id_col, "n_words", "hit_words", "items", "longest_run"],
-                    )
-
-        parts.append(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, hit_words array<int>, items array<string>, longest_run long"))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy(id_col).agg(
-            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest_run").alias("longest_run"),
-        )
+                        if mask is not None:
+                            mask[hits] = True
+                            hits, names = np.flatnonzero(mask).tolist(), sorted(items.union(names))
+                        out.append((len(words), hits, names, max(most, longest)))
+                    n, hits, names, longest = zip(*out)
+                    columns = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+                    kept = [id_col] if last else [id_col, text_col]
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *columns], names=[*kept, "__words", "__hits", "__items", "__longest"])
+
+        text = "" if last else f"`{text_col}` {docs.schema[text_col].dataType.simpleString()}, "
+        return run, f"`{id_col}` {kind}, {text}__words long, __hits array<int>, __items array<string>, __longest long"
+
+    found = _chained(docs.select(id_col, text_col), [step(a, k == 0, k == len(automata) - 1) for k, a in enumerate(automata)])
     return found.select(
-        id_col, "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "longest_run",
+        id_col, F.col("__words").alias("n_words"), F.size("__hits").cast("long").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"), (F.size("__hits") > 0).alias("contaminated"), F.col("__longest").alias("longest_run"),
     )
 
 
+def cut_words(text: bytes, mask: np.ndarray) -> bytes:
+    """The text without the spans of words in the mask."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+    out, at = [], 0
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out.append(text[at : spans[first][0]])
+        at = spans[last - 1][1]
+    return b"".join([*out, text[at:]])
+
+
 def cut_hits(text: bytes, automaton: ItemAutomaton) -> tuple[bytes, float]:
     """The text without hit spans, and the share of its words that was hit. Cutting repeats until no window is left."""
     share = None
@@ -206,41 +223,83 @@ def cut_hits(text: bytes, automaton: ItemAutomaton) -> tuple[bytes, float]:
         if mask is None:
             return text, share or 0.0
         share = float(mask.mean()) if share is None else share
-        spans = [m.span() for m in _WORD.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-        out, at = [], 0
-        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            out.append(text[at : spans[first][0]])
-            at = spans[last - 1][1]
-        text = b"".join([*out, text[at:]])
+        text = cut_words(text, mask)
+
+
+def _replaced(batch: pa.RecordBatch, at: int, texts: dict[int, str]) -> pa.RecordBatch:
+    """The batch with other texts in some rows, given in order."""
+    if not texts:
+        return batch
+    marks = np.zeros(batch.num_rows, bool)
+    marks[list(texts)] = True
+    column = batch.column(at)
+    column = pa.compute.replace_with_mask(column, pa.array(marks), pa.array(list(texts.values()), column.type))
+    return pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents with the spans that occur in items cut out of the text; those with more than max_share of their words hit
-    go, as do those that keep no word. Untouched documents, null and empty texts among them, stay as they are, with all columns."""
+    go, as do those that keep no word. Untouched documents, null and empty texts among them, stay as they are, with all columns.
+
+    With several automata a round marks the words that any of them hits and then cuts once; texts that were cut take another.
+    """
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, item_col, item_text_col)]
+    if len(automata) > 1:
+        return _decontaminate_in_rounds(docs, automata, max_share, text_col)
+    (shared,) = automata
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            changed: dict[int, str] = {}
+            for begin, texts in text_slices(batch, text_col):
+                for k, text in enumerate(texts, begin):
+                    cut, share = cut_hits(text, shared.value)
+                    if share:
+                        keep[k] = share <= max_share and bool(_WORD.search(cut))
+                        changed[k] = cut.decode()
+            yield _replaced(batch, batch.schema.get_field_index(text_col), changed).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _decontaminate_in_rounds(docs: DataFrame, automata: list, max_share: float, text_col: str) -> DataFrame:
     names = docs.columns
-    out = docs
-    for automaton in _automata(benchmark, window, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    todo = docs.withColumns({"__hits": F.array().cast("array<int>"), "__cut": F.lit(False)})
+    schema = todo.schema
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(shared, judged: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                keep = np.ones(batch.num_rows, bool)
+                at, carried = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index("__hits")).to_pylist()
+                keep, cut = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
                 changed: dict[int, str] = {}
                 for begin, texts in text_slices(batch, text_col):
                     for k, text in enumerate(texts, begin):
-                        cut, share = cut_hits(text, shared.value)
-                        if share:
-                            keep[k] = share <= max_share and bool(_WORD.search(cut))
-                            changed[k] = cut.decode()
-                if changed:
-                    column = batch.column(at)
-                    marks = np.zeros(batch.num_rows, bool)
-                    marks[list(changed)] = True
-                    column = pa.compute.replace_with_mask(column, pa.array(marks), pa.array(list(changed.values()), column.type))
-                    batch = pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out.select(*names)
+                        words = normalised_words(text)
+                        mask, _, _ = shared.value.hits(words)
+                        if mask is None and not carried[k]:
+                            continue
+                        mask = np.zeros(len(words), bool) if mask is None else mask
+                        mask[carried[k]] = True
+                        if last:
+                            rest = cut_words(text, mask)
+                            keep[k], cut[k] = (judged or mask.mean() <= max_share) and bool(_WORD.search(rest)), True
+                            changed[k], carried[k] = rest.decode(), []
+                        else:
+                            carried[k] = np.flatnonzero(mask).tolist()
+                batch = _replaced(batch, at, changed)
+                own = {"__hits": pa.array(carried, pa.list_(pa.int32())), "__cut": pa.array(cut)}
+                yield pa.RecordBatch.from_arrays([own.get(n, c) for n, c in zip(batch.schema.names, batch.columns)], names=batch.schema.names).filter(pa.array(keep))
+
+        return run, schema
+
+    done = None
+    while True:
+        judged = done is not None
+        made = materialize(_chained(todo, [step(a, judged, k == len(automata) - 1) for k, a in enumerate(automata)]), "decontaminated")
+        clean = made.where("not __cut").select(*names)
+        done = done.unionByName(clean) if judged else clean
+        todo = made.where("__cut")
+        if todo.isEmpty():
+            return done

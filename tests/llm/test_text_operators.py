@@ -437,6 +437,32 @@ def test_contamination(spark, docs, monkeypatch, max_words):
     assert d.contamination(table, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_does_not_depend_on_the_number_of_automata(spark, monkeypatch):
+    from blockscope.llm import decontaminate as d
+
+    words = [f"w{k}" for k in range(200)]
+    items = [(k, " ".join(words[15 * k : 15 * k + 15])) for k in range(10)] + [(20, " ".join(words[8:20])), (21, " ".join(words[150:155] + words[165:170]))]
+    half, near_half = " ".join(words[:12]), " ".join(words[15:28])  # 12 and 13 of 29 words, together over 0.8
+    rows = [(1, " ".join([half, "x " * 2, near_half, "y " * 2])), (None, words[0]), (None, " ".join(words[:15])), (None, " ".join(words[:15])), (2, " ".join(words[30:45])), (2, "other text " + " ".join(words[45:60]) + " end of it all here")]
+    rows += [(2, "other text"), (3, " ".join(words[5:25] + ["a"] * 30)), (4, None), (5, " ".join(["b"] * 40 + words[150:155] + words[30:45] + words[165:170] + ["c"] * 40)), (6, "")]
+    table = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def results():
+        clean = d.decontaminate(table, bench)
+        assert clean.columns == table.columns
+        return Counter(map(tuple, d.contamination(table, bench).collect())), Counter(map(tuple, clean.collect()))
+
+    whole, clean = results()
+    windows = brute_windows(items, 10)
+    assert Counter(r[:6] for r in whole.elements()) == Counter((i, *brute_contamination(t, windows)) for i, t in rows)
+    assert not any(brute_contamination(t, windows)[4] for _, t, _ in clean.elements()) and 1 not in {r[0] for r in clean}
+    for chain in (4, 2):
+        monkeypatch.setattr(d, "CHAIN", chain)
+        monkeypatch.setattr(d, "MAX_WORDS", 40)
+        assert results() == (whole, clean)
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
