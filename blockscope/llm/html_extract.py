@@ -4,8 +4,11 @@ The standard library's parser streams a page's events. Block-level tags start a
 number of tags and the chain of block elements that it stands in. Lines inside elements that are never article text
 (navigation, headers, footers, forms, scripts, and blocks whose class, id or role names an advert, a notice, a sidebar
 or comments) count with no text. The lines' ratios of text characters to tags are smoothed with a Gaussian kernel;
-lines above the ratios' standard deviation cluster into content regions. A region grows to the whole block element
-that its lines share, so that short paragraphs and headings among long ones stay.
+lines above the ratios' standard deviation cluster into content regions. A region grows to the outermost article (else
+main) around its lines, or without these to the block element that its lines share, and from there to the outermost
+element, the body included, that holds no text of the page's frame (navigation, headers, footers, sidebars). All text of
+a region stays, short paragraphs, headings and further sections too, but elements directly in the body that are nothing
+but three links or more.
 
 A null or empty page, or one without such text, gives the empty text. Repeated rows are extracted each. Columns other
 than the id, the address and the page are not read.
@@ -39,36 +42,43 @@ FURNITURE = {
     "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 WHOLE = {"html", "body"}
+FRAME = {"aside", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "copyright", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "sidenav", "toolbar", "topbar"}  # furniture of the page, not of an article in it
+BODY = 0  # its number among the elements
+LEAST_LINKS = 3
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class LineParser(HTMLParser):
-    """Collects the lines of a page: [text parts, tags, chain of open blocks]."""
+    """Collects the lines of a page, [text parts, tags, chain of open blocks, characters in links, links], and the elements that hold text of its frame."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # (tag, number of the element, hidden)
-        self.made = 0
-        self.lines: list[list] = [[[], 0, ()]]
+        self.open: list[tuple[str, int, str]] = []  # (tag, number of the element, what hides it)
+        self.made = BODY
+        self.lines: list[list] = [[[], 0, (), 0, 0]]
+        self.tags: dict[int, str] = {}  # of article and main elements
+        self.framed: set[int] = set()
 
     def _line(self) -> None:
         if self.lines[-1][0] or self.lines[-1][1]:
-            self.lines.append([[], 0, ()])
+            self.lines.append([[], 0, (), 0, 0])
 
     @staticmethod
-    def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """The name that makes the element furniture, or ''."""
         if tag in HIDDEN:
-            return True
+            return tag
         if tag in WHOLE:
-            return False
+            return ""
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
-                return True
+                return "hidden"
             if name in ("class", "id", "role") and value:
                 own = [v for v in value.split() if not v.lower().startswith(("has", "with", "no-"))]  # "has-sidebar" is a page's, not a sidebar's
-                if any(w.lower() in FURNITURE for v in own for w in _NAMES.findall(v)):
-                    return True
-        return False
+                found = [w.lower() for v in own for w in _NAMES.findall(v) if w.lower() in FURNITURE]
+                if found:
+                    return next((w for w in found if w in FRAME), found[0])
+        return ""
 
     def _pop(self, names: set[str], stop: set[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -88,7 +98,9 @@ class LineParser(HTMLParser):
         self.lines[-1][1] += 1
         if tag not in VOID:
             self.made += 1
-            self.open.append((tag, self.made, bool(self.open and self.open[-1][2]) or self._furniture(tag, attrs)))
+            self.open.append((tag, self.made, self.open and self.open[-1][2] or self._furniture(tag, attrs)))
+            if tag in ("article", "main"):
+                self.tags[self.made] = tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,12 +113,20 @@ class LineParser(HTMLParser):
         if tag in BLOCK:
             self._line()
 
+    def _chain(self) -> tuple[int, ...]:
+        return (BODY, *(n for tag, n, hides in self.open if tag in BLOCK and tag not in WHOLE and not hides))
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][2]:
+            if self.open[-1][2] in FRAME and not data.isspace():
+                self.framed.update(self._chain())
             return
         line = self.lines[-1]
         line[0].append(data)
-        line[2] = tuple(n for tag, n, _ in self.open if tag in BLOCK and tag not in WHOLE)
+        line[2] = self._chain()
+        if any(tag == "a" for tag, _, _ in self.open) and not data.isspace():
+            line[3] += len("".join(data.split()))
+            line[4] += 1
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -120,7 +140,7 @@ def main_text(page: str, sigma: float = 1.0) -> str:
     parser = LineParser()
     parser.feed(page)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, chain) for parts, tags, chain in parser.lines]
+    lines = [(" ".join("".join(parts).split()), tags, chain) for parts, tags, chain, _, _ in parser.lines]
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
     if not ratios.any():
         return ""
@@ -131,14 +151,41 @@ def main_text(page: str, sigma: float = 1.0) -> str:
     regions: set[int] = set()  # elements all of whose lines are content
     edges = np.flatnonzero(np.diff(np.concatenate(([False], level > ratios.std(), [False])).astype(np.int8)))
     for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        chains = [lines[k][2] for k in range(first, last) if lines[k][0]]
-        if chains:
-            shared = [a for a, *rest in zip(*chains) if all(a == b for b in rest)]
-            if len(chains) == 1:  # one line alone: the block around its own
-                shared = shared[:-1]
-            if shared:
-                regions.add(shared[-1])
-    return " ".join(text for k, (text, _, chain) in enumerate(lines) if text and (chosen[k] or not regions.isdisjoint(chain)))
+        bare = []
+        for chain in (lines[k][2] for k in range(first, last) if lines[k][0]):
+            named = [n for n in chain if n in parser.tags]
+            if named:
+                top = next((n for n in named if parser.tags[n] == "article"), named[0])
+                regions.add(_grown(chain[: chain.index(top) + 1], parser.framed))
+            else:
+                bare.append(chain)
+        if bare:
+            shared = [a for a, *rest in zip(*bare) if all(a == b for b in rest)]
+            if len(bare) == 1:  # one line alone: the block around its own
+                shared = shared[:-1] or shared
+            regions.add(_grown(shared, parser.framed))
+    menus = _menus(parser.lines) if BODY in regions else set()
+    return " ".join(text for k, (text, _, chain) in enumerate(lines) if text and (chosen[k] or not regions.isdisjoint(chain) and (not regions.isdisjoint(chain[1:]) or menus.isdisjoint(chain))))
+
+
+def _grown(chain: list[int] | tuple[int, ...], framed: set[int]) -> int:
+    """The outermost element of the chain that is its last or holds the last and no text of the frame."""
+    k = len(chain) - 1
+    while k and chain[k - 1] not in framed:
+        k -= 1
+    return chain[k]
+
+
+def _menus(lines: list[list]) -> set[int]:
+    """Elements directly in the body whose text is LEAST_LINKS links or more and nothing else."""
+    found: dict[int, list[int]] = {}
+    for parts, _, chain, linked, links in lines:
+        if len(chain) > 1:
+            of = found.setdefault(chain[1], [0, 0, 0])
+            of[0] += len("".join("".join(parts).split()))
+            of[1] += linked
+            of[2] += links
+    return {n for n, (size, linked, links) in found.items() if size == linked and links >= LEAST_LINKS}
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -354,6 +354,30 @@ def test_html(spark):
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+def _paragraphs(n, size, tag="p"):
+    return [f"<{tag}>{(f'{tag}{k} of {size} ' + 'word ' * size)[:size].strip()}</{tag}>" for k in range(n)]
+
+
+HEAD, LONG, SHORT = "<h2>Summary</h2>", "".join(_paragraphs(3, 600)), "".join(_paragraphs(4, 30))
+
+
+@pytest.mark.parametrize(
+    "page,wanted",
+    [
+        (f"<body><nav>Home</nav><article><section>{LONG}</section><section>{HEAD}{SHORT}</section></article><footer>us</footer></body>", [LONG, HEAD, SHORT]),
+        (f"<body><nav>Home</nav><main><div>{SHORT}</div><aside>side</aside><div>{LONG}</div><div>{HEAD}</div></main></body>", [SHORT, LONG, HEAD]),
+        (f"<body><nav>Home</nav><div><div><div>{LONG}</div><div class='share'>Share</div><div>{HEAD}{SHORT}</div></div></div><div>unmarked</div></body>", [LONG, HEAD, SHORT]),
+        (f"<body><nav>Home</nav>{HEAD}{LONG}{SHORT}<footer>us</footer></body>", [HEAD, LONG, SHORT]),
+        (f"<body><article><p>Opening.</p>{SHORT}<blockquote><blockquote>{LONG}</blockquote><p>Said so.</p></blockquote>{SHORT}</article></body>", ["<p>Opening.</p>", SHORT, LONG, "<p>Said so.</p>", SHORT]),
+        (f"<div><a href=a>Home</a> <a href=b>About</a> <a href=c>More</a></div>{LONG}{SHORT}<p><a href=d>One link</a></p>", [LONG, SHORT, "<p>One link</p>"]),
+    ],
+)
+def test_html_keeps_the_short_parts_of_an_article(page, wanted):
+    from blockscope.llm.html_extract import main_text
+
+    assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", "".join(wanted)).split())
+
+
 def test_warc_round_trip(spark, tmp_path):
     from blockscope.llm.warc import read_records, read_warc, write_warc
 
