@@ -15,7 +15,8 @@ with a probability of about MISS each.
 A null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than a
 shingle the whole sequence is one shingle. Rows with a null id take part with equal texts, never name a component, and
 get a null one if no row of their own set has an id. Rows that repeat an id repeat its result. Columns other than the id
-and the text are not read; `drop_near_duplicates` keeps them.
+and the text are not read; `drop_near_duplicates` keeps them, and goes by rows: it numbers them, so that rows of one id
+or of none are documents of their own.
 """
 
 from __future__ import annotations
@@ -298,6 +299,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its component, with the columns they came with."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__near_dup_id")).distinct()
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("__near_dup_id"), "left_anti")
+    """One row of each component, that of the smallest id (any one of equal ids; none is the largest), with the columns it came with."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    later = materialize(near_duplicates(rows, width, percent, "__row", text_col).where(~F.col("kept")).select("__row", F.col("component_id").alias("__component")), "linked")
+    linked = later.unionByName(later.select(F.col("__component").alias("__row"), "__component").distinct())
+    linked = materialize(linked.join(rows.select("__row", F.col(id_col).alias("__id")).hint("merge"), "__row"), "linked-ids")
+    first = linked.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first")).select("first.__row")
+    gone = linked.select("__row").join(first.hint("merge"), "__row", "left_anti")
+    return rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)

@@ -99,6 +99,24 @@ def test_drop_near_duplicates_keeps_columns_and_one_of_each_group(spark, docs):
     assert {6000, 6001, 6002} <= ids
 
 
+def test_drop_near_duplicates_goes_by_rows(spark):
+    from blockscope.llm.near_dedup import drop_near_duplicates
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"t{k}w{rnd.randrange(500)}" for _ in range(200)) for k in range(7)]
+    near = [t + " end" for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1]), (9, near[0])]  # id 5 stands for two texts, one of them also under id 3
+    rows += [(None, texts[2]), (None, texts[2]), (None, near[2])] + [(None, texts[3]), (4, near[3])]
+    rows += [(6, texts[4])] * 3 + [(7, texts[5]), (7, texts[6]), (2, near[6])]
+    rows += [(8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    left = drop_near_duplicates(docs, 5, 80)
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert sum(got.pop((None, t), 0) for t in (texts[2], near[2])) == 1
+    assert got == Counter([(5, texts[0]), (3, texts[1]), (4, near[3]), (6, texts[4]), (7, texts[5]), (2, near[6]), (8, None), (8, None), (None, "")])
+
+
 def test_sketch_bound_and_banding():
     from blockscope.llm.near_dedup import banding, sketch_bound
 
