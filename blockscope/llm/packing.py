@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from blockscope.llm.common import text_slices
 from blockscope.llm.splitter import WordSplitter
 
-#: Words in a worker's cache; chunks may be twice as many. About 0.2 KB each.
-CACHE = 600_000
+#: Words in a worker's cache; chunks may be twice as many. Those of more than LONG bytes, which seldom recur, are kept for
+#: their text only, so that an entry takes about 0.2 KB.
+CACHE, LONG = 600_000, 64
 #: Pieces that wait in a task before bins are closed, and those that remain after.
 POOL, KEEP = 2048, 512
 
@@ -50,7 +51,9 @@ class ChunkIds:
         if ids is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            ids = self.words[word] = self._ids(self.splitter.in_alphabet(word))
+            ids = self._ids(self.splitter.in_alphabet(word))
+            if len(word) <= LONG:
+                self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -64,9 +67,14 @@ class ChunkIds:
         chunks, known = text.split(), self.chunks
         if len(known) >= 2 * CACHE:
             known.clear()
-        for chunk in set(chunks).difference(known):
+        new = set(chunks).difference(known)
+        for chunk in new:
             known[chunk] = self._chunk(chunk)
-        return b"".join(map(known.__getitem__, chunks))
+        ids = b"".join(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > LONG:
+                del known[chunk]
+        return ids
 
 
 @lru_cache(maxsize=1)
@@ -82,6 +90,7 @@ class Packer:
         self.limits = np.array([capacity, max_segments, max_loss], np.int64)
         self.capacity, self.next = capacity, first_sequence
         self.pool: list[list] = []
+        self.due = POOL  # pieces in the pool at which bins are closed
         self.rows: list[tuple] = []
 
     @staticmethod
@@ -105,8 +114,10 @@ class Packer:
         while start < len(ids):
             self.pool.append([key, start // 4, ids[start : start + size], first_loss])
             start += size
-        if len(self.pool) >= POOL:
-            self.pack(KEEP)
+        if len(self.pool) >= self.due:
+            unfilled = self.pack(KEEP)
+            self.pool += unfilled
+            self.due = len(self.pool) + POOL - KEEP
 
     def pack(self, keep: int) -> list[list]:
         """Close full bins until at most `keep` pieces remain in the pool; an unfilled last bin is returned."""
