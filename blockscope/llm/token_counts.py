@@ -4,17 +4,22 @@ For one word, a table row per prefix holds the last token of the prefix's encodi
 encoding of a prefix ends with the only token `t` such that `t` ends there and the pair (last token before `t`, `t`)
 re-encodes to itself; so each row follows from earlier rows, and no prefix is encoded again. Words are independent
 (the tokenizer never merges across word borders), so the count at any prefix of a text is a running sum over its words
-plus one entry of the table of the word that is cut.
+plus one entry of the table of the word that is cut. Where the cut itself may change how the last word is split or
+normalised (in words of at most SHORT characters, inside a special token, between a letter and its combining marks), that
+word alone is split again.
 
-Null and empty texts have no tokens. Repeated rows are counted each. Columns of the input other than the id and the
-text are not read. Word tables are kept per worker in a cache of bounded size; clearing it costs time, not results.
+Null and empty texts have no tokens; an empty table gives no rows. Repeated rows are counted each. Columns of the input
+other than the id and the text are not read. Counts of words and chunks of up to LONG bytes are kept per worker in caches
+of bounded size; clearing them costs time, not results. The work is linear in the length of a text, spaces or not.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,7 +28,10 @@ from pyspark.sql import functions as F
 from blockscope.llm.common import text_slices
 from blockscope.llm.splitter import WordSplitter
 
-CACHE = 400_000
+#: Words in a worker's cache, chunks being twice as many, and the longest that are kept, in bytes.
+CACHE, LONG = 400_000, 64
+#: No split rule that turns on a word's end looks at more characters: the longest are contractions like 're.
+SHORT = 4
 END = "</w>"
 
 
@@ -72,12 +80,15 @@ class PrefixCounter:
 
     def table(self, word: str) -> tuple[list[str], list[int]]:
         """For each prefix of the word, not taken as a whole word: the last token of its encoding, and its token count."""
+        return self._grown(word, [""], [0])
+
+    def _grown(self, word: str, last: list[str], count: list[int]) -> tuple[list[str], list[int]]:
+        """Add the rows that a table lacks. It may begin within a word, at least the longest token before the first new row."""
         vocab, longest, stable, fits = self.vocab, self.longest, self.stable, self._fits
-        last, count = [""], [0]
-        for end in range(1, len(word) + 1):
+        for end in range(len(last), len(word) + 1):
             for begin in range(max(0, end - longest), end):
                 token = word[begin:end]
-                if token in vocab and (not begin or ((ok := stable.get((last[begin], token))) or (ok is None and fits(last[begin], token)))):
+                if token in vocab and (not last[begin] or ((ok := stable.get((last[begin], token))) or (ok is None and fits(last[begin], token)))):
                     last.append(token)
                     count.append(count[begin] + 1)
                     break
@@ -85,11 +96,17 @@ class PrefixCounter:
                 raise KeyError(word[end - 1])
         return last, count
 
+    def _closed_with(self, word: str, end: int, last: list[str], count: list[int], tail: str) -> int:
+        """The token count of word[:end] + tail as a whole word."""
+        begin = max(0, end - self.longest)
+        near = word[begin:end] + tail
+        return self.closed(near, len(near), *self._grown(near[:-1], last[begin : end + 1], count[begin : end + 1]))
+
     def closed(self, word: str, end: int, last: list[str], count: list[int]) -> int:
         """The token count of word[:end] as a whole word: one more step, onto a token with a word end."""
         for begin in range(max(0, end - self.longest), end):
             token = word[begin:end] + END
-            if token in self.vocab and (not begin or self._fits(last[begin], token)):
+            if token in self.vocab and (not last[begin] or self._fits(last[begin], token)):
                 return count[begin] + 1
         raise KeyError(word)
 
@@ -103,7 +120,9 @@ class PrefixCounter:
         if n is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            n = self.words[word] = self._closed_count(self.splitter.in_alphabet(word))
+            n = self._closed_count(self.splitter.in_alphabet(word))
+            if len(word) <= LONG:
+                self.words[word] = n
         return n
 
     def _count(self, chunk: bytes) -> int:
@@ -116,9 +135,14 @@ class PrefixCounter:
         chunks, known = text.split(), self.chunks
         if len(known) >= 2 * CACHE:
             known.clear()
-        for chunk in set(chunks).difference(known):
+        new = set(chunks).difference(known)
+        for chunk in new:
             known[chunk] = self._count(chunk)
-        return sum(map(known.__getitem__, chunks))
+        total = sum(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > LONG:
+                del known[chunk]
+        return total
 
     def prefixes(self, text: str) -> list[int]:
         """The token count of text[:i] for i from 0 to len(text)."""
@@ -131,11 +155,72 @@ class PrefixCounter:
         return out
 
     def _chunk_prefixes(self, chunk: str) -> list[int]:
+        """For the prefixes of 1, 2, ... characters."""
         lowered = chunk.lower()
         if chunk.isascii() and chunk.isalpha():  # one word whose normal form has a symbol for each character
             last, count = self.table(lowered)
             return [self.closed(lowered, k, last, count) for k in range(1, len(chunk) + 1)]
-        return [self._count(chunk[:k].encode()) for k in range(1, len(chunk) + 1)]
+        out, base = [], 0
+        parts = self.splitter.special.split(chunk) if self.splitter.special else [chunk]
+        for part, special in zip(parts[::2], [*parts[1::2], ""]):
+            counts = self._plain_prefixes(part + special[:-1])  # a special token that is cut is plain text
+            out += [base + n for n in counts[1:]]
+            base += counts[len(part)]
+            if special:
+                base += 1
+                out.append(base)
+        return out
+
+    def _plain_prefixes(self, text: str) -> list[int]:
+        """For the prefixes of 0, 1, ... characters of a text in which no special token is whole."""
+        normal, split = self.splitter.library.normalizer.normalize_str, self.splitter.library.pre_tokenizer.pre_tokenize_str
+        clusters = _clusters(text)
+        forms = [normal(c) for c in clusters]
+        whole = "".join(forms)
+        if whole != normal(text):  # not met so far: a normal form that reaches over clusters
+            return [self._count(text[:k].encode()) if k else 0 for k in range(len(text) + 1)]
+        counts, before, end, base = [0] * (len(whole) + 1), [(k, 0, 0) for k in range(len(whole) + 1)], 0, 0
+        tables: dict[int, tuple[str, list[str], list[int]]] = {}  # of long words, by where they begin
+        for word, (begin, stop) in [*split(whole), ("", (len(whole), len(whole)))]:
+            for k in range(end + 1, begin + 1):  # between words
+                counts[k], before[k] = base, (k, base, 0)
+            if stop - begin == 1:
+                counts[stop] = base + self._closed_count(word)
+            elif stop - begin <= SHORT:
+                for k in range(begin + 1, stop + 1):
+                    counts[k] = base + sum(self._closed_count(w) for w, _ in split(whole[begin:k]))
+            else:
+                tables[begin] = word, *self.table(word)
+            for k, size in enumerate(accumulate(len(c.encode()) for c in whole[begin:stop]), begin + 1):
+                before[k] = (begin, base, size)
+                if begin in tables:
+                    counts[k] = base + self.closed(word, size, *tables[begin][1:])
+            base, end = counts[stop], stop
+        out, at = [0], 0
+        for cluster, form in zip(clusters, forms):
+            begin, base, size = before[at]
+            long = begin in tables and at - begin >= SHORT
+            if at - begin < SHORT:  # the word before may take part
+                begin, base, _ = before[begin]
+            for k in range(1, len(cluster)):  # cut off its combining marks
+                tail = normal(cluster[:k])
+                n = 0
+                if long:  # as much of the tail as continues the word, by the word's last characters
+                    ((_, (_, stop)), *words) = split(whole[at - 2 : at] + tail)
+                    word, last, count = tables[begin]
+                    n = self._closed_with(word, size, last, count, self.splitter.in_alphabet(tail[: stop - 2])) if stop > 2 else self.closed(word, size, last, count)
+                else:
+                    words = split(whole[begin:at] + tail)
+                out.append(base + n + sum(self._closed_count(w) for w, _ in words))
+            at += len(form)
+            out.append(counts[at])
+        return out
+
+
+def _clusters(text: str) -> list[str]:
+    """The text cut where normal forms don't reach over: before each character that is neither a mark nor a Hangul vowel or final."""
+    starts = [k for k, c in enumerate(text) if not k or c < "\u0300" or not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff")]
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
 
 
 @lru_cache(maxsize=1)
