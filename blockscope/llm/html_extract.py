@@ -1,23 +1,27 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Block-level tags start a new line; a line has its text, its
-number of tags and the chain of block elements that it stands in. Lines inside elements that are never article text
-(navigation, headers, footers, forms, scripts, and blocks whose class, id or role names an advert, a notice, a sidebar
-or comments) count with no text. The lines' ratios of text characters to tags are smoothed with a Gaussian kernel;
+number of tags and the block element that it stands in. Lines inside elements that are never article text (navigation,
+headers, footers, forms, scripts, and blocks whose class, id or role names an advert, a notice, a sidebar or comments)
+count with no text. A name is weak evidence: an element that it speaks against is kept all the same where it holds more
+than half of the page's text, little of that in links, at a ratio of text to tags no lower than the rest has, and no
+article or main element outside has text; so a layout or article may be called after a sidebar. Names of comments count unless a main element stands inside. The lines' ratios of text characters to tags are smoothed with a Gaussian kernel;
 lines above the ratios' standard deviation cluster into content regions. A region grows to the outermost article (else
 main) around its lines, or without these to the block element that its lines share, and from there to the outermost
 element, the body included, that holds no text of the page's frame (navigation, headers, footers, sidebars). All text of
 a region stays, short paragraphs, headings and further sections too, but elements directly in the body that are nothing
 but three links or more.
 
-A null or empty page, or one without such text, gives the empty text. Repeated rows are extracted each. Columns other
-than the id, the address and the page are not read.
+A null or empty page, or one without such text, gives the empty text; an empty table gives no rows. Repeated rows are
+extracted each. Columns other than the id, the address and the page are not read. A head ends where the first element or
+text begins that it can't hold. Time is linear in the page's length, unclosed and deeply nested elements included.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,31 +47,40 @@ FURNITURE = {
 }
 WHOLE = {"html", "body"}
 FRAME = {"aside", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "copyright", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "sidenav", "toolbar", "topbar"}  # furniture of the page, not of an article in it
+COMMENTS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "respond"}
+IN_HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
+LISTS = {"ul", "ol", "dl", "table", "select", "menu"}
+NO_P = BLOCK - {"p"}
 BODY = 0  # its number among the elements
 LEAST_LINKS = 3
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class LineParser(HTMLParser):
-    """Collects the lines of a page, [text parts, tags, chain of open blocks, characters in links, links], and the elements that hold text of its frame."""
+    """Collects the lines of a page, [text parts, tags, innermost block, characters in links, links], the elements that hold
+    text of its frame, and what elements hold that their names speak against. Elements are numbered as they open."""
 
-    def __init__(self):
+    def __init__(self, spared: set[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str]] = []  # (tag, number of the element, what hides it)
+        self.spared = spared  # elements whose names don't count
+        self.open: list[tuple[str, str, int, int]] = []  # (tag, what hides it, innermost visible block, innermost named element)
+        self.count: Counter[str] = Counter()  # of open elements by tag
         self.made = BODY
-        self.lines: list[list] = [[[], 0, (), 0, 0]]
+        self.up: dict[int, int] = {}  # the block around each block
+        self.lines: list[list] = [[[], 0, BODY, 0, 0]]
         self.tags: dict[int, str] = {}  # of article and main elements
         self.framed: set[int] = set()
+        self.named: dict[int, list] = {}  # [named element around, comments, characters, in links, tags, a main element inside]
+        self.article = False  # whether an article or main element shows text
+        self.page = [0, 0]  # characters and tags outside of elements hidden by their tag
 
     def _line(self) -> None:
         if self.lines[-1][0] or self.lines[-1][1]:
-            self.lines.append([[], 0, (), 0, 0])
+            self.lines.append([[], 0, BODY, 0, 0])
 
     @staticmethod
-    def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        """The name that makes the element furniture, or ''."""
-        if tag in HIDDEN:
-            return tag
+    def _name(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """The name by which an attribute makes the element furniture, or ''; "hidden" where it isn't shown."""
         if tag in WHOLE:
             return ""
         for name, value in attrs:
@@ -81,26 +94,56 @@ class LineParser(HTMLParser):
         return ""
 
     def _pop(self, names: set[str], stop: set[str]) -> None:
+        if not any(self.count[n] for n in names):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in names:
+                for tag, *_ in self.open[k:]:
+                    self.count[tag] -= 1
                 del self.open[k:]
                 return
             if self.open[k][0] in stop:
                 return
 
+    def _count_tag(self) -> None:
+        self.lines[-1][1] += 1
+        _, hides, _, named = self.open[-1] if self.open else ("", "", BODY, 0)
+        if not hides or named:
+            self.page[1] += 1
+        if named:
+            self.named[named][4] += 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.count["head"] and tag not in IN_HEAD:
+            self._pop({"head"}, set())
         if tag in BLOCK:
             self._line()
             if tag != "br":
-                self._pop({"p"}, BLOCK - {"p"})
+                self._pop({"p"}, NO_P)
             if tag in CLOSES:
-                self._pop(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "menu"})
-        self.lines[-1][1] += 1
-        if tag not in VOID:
-            self.made += 1
-            self.open.append((tag, self.made, self.open and self.open[-1][2] or self._furniture(tag, attrs)))
-            if tag in ("article", "main"):
-                self.tags[self.made] = tag
+                self._pop(CLOSES[tag], LISTS)
+        self._count_tag()
+        if tag in VOID:
+            return
+        self.made += 1
+        number, (_, hides, block, named) = self.made, self.open[-1] if self.open else ("", "", BODY, 0)
+        certain = hides and not named  # hidden by a tag, not by a name
+        if not certain:
+            name = tag if tag in HIDDEN else self._name(tag, attrs)
+            if tag in HIDDEN or name == "hidden":
+                hides, named = hides or name, 0
+            elif name and number not in self.spared:
+                self.named[number] = [named, name in COMMENTS, 0, 0, 0, False]
+                hides, named = hides or name, number
+            elif named and tag == "main":
+                self.named[named][5] = True
+        if tag in BLOCK and tag not in WHOLE and not hides:
+            self.up[number] = block
+            block = number
+        self.open.append((tag, hides, block, named))
+        self.count[tag] += 1
+        if tag in ("article", "main") and not hides:
+            self.tags[number] = tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,26 +151,51 @@ class LineParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.lines[-1][1] += 1
+        self._count_tag()
         self._pop({tag}, set())
         if tag in BLOCK:
             self._line()
 
-    def _chain(self) -> tuple[int, ...]:
-        return (BODY, *(n for tag, n, hides in self.open if tag in BLOCK and tag not in WHOLE and not hides))
-
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][2]:
-            if self.open[-1][2] in FRAME and not data.isspace():
-                self.framed.update(self._chain())
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._pop({"head"}, set())
+        _, hides, block, named = self.open[-1] if self.open else ("", "", BODY, 0)
+        size = len("".join(data.split()))
+        linked = size if self.count["a"] else 0
+        if not hides or named:
+            self.page[0] += size
+        if named:
+            self.named[named][2] += size
+            self.named[named][3] += linked
+        if hides:
+            if hides in FRAME and size:
+                self.framed.add(block)
             return
         line = self.lines[-1]
         line[0].append(data)
-        line[2] = self._chain()
-        if any(tag == "a" for tag, _, _ in self.open) and not data.isspace():
-            line[3] += len("".join(data.split()))
+        line[2] = block
+        self.article |= size > 0 and bool(self.count["article"] or self.count["main"])
+        if linked:
+            line[3] += linked
             line[4] += 1
 
+    def wrongly_named(self) -> set[int]:
+        """Elements that hold the page's text although their names speak against them."""
+        found, (size, tags) = set(), self.page
+        if self.article:
+            return found
+        for number in sorted(self.named, reverse=True):  # inner ones first
+            around, comments, n, linked, own, article = self.named[number]
+            if around:
+                for k, value in ((2, n), (3, linked), (4, own)):
+                    self.named[around][k] += value
+            dense = n * max(1, tags - own) >= (size - n) * max(1, own)
+            if 2 * n > size and 2 * linked < n and dense and (article or not comments):
+                found.add(number)
+                if around and article:
+                    self.named[around][5] = True
+        return found
+
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, math.ceil(2 * sigma))
@@ -136,11 +204,28 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / weight
 
 
-def main_text(page: str, sigma: float = 1.0) -> str:
+def _parsed(page: str) -> LineParser:
     parser = LineParser()
     parser.feed(page)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, chain) for parts, tags, chain, _, _ in parser.lines]
+    spared = parser.wrongly_named()
+    if spared:
+        parser = LineParser(spared)
+        parser.feed(page)
+        parser.close()
+    return parser
+
+
+def _shared(a: int, b: int, up: dict[int, int]) -> int:
+    """The innermost block around both (a block opens after those around it)."""
+    while a != b:
+        a, b = min(a, b), up[max(a, b)]
+    return a
+
+
+def main_text(page: str, sigma: float = 1.0) -> str:
+    parser = _parsed(page)
+    lines = [(" ".join("".join(parts).split()), tags, block) for parts, tags, block, _, _ in parser.lines]
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
     if not ratios.any():
         return ""
@@ -148,40 +233,44 @@ def main_text(page: str, sigma: float = 1.0) -> str:
     chosen = (level > ratios.std()) & (ratios > 0)
     if not chosen.any():
         chosen = ratios > 0
+    up, framed = parser.up, set(parser.framed)
+    for n in sorted(up, reverse=True):
+        if n in framed:
+            framed.add(up[n])
+    # for each block, the outermost one around it (itself included) that is an article, else a main element; that holds no text of the frame; that stands in the body
+    article, whole, grown, top = {BODY: BODY}, {BODY: BODY}, {BODY: BODY}, {BODY: BODY}
+    for n, around in sorted(up.items()):
+        article[n] = article[around] or (n if parser.tags.get(n) == "article" else BODY)
+        whole[n] = whole[around] or (n if parser.tags.get(n) == "main" else BODY)
+        grown[n] = n if around in framed else grown[around]
+        top[n] = top[around] or n
     regions: set[int] = set()  # elements all of whose lines are content
     edges = np.flatnonzero(np.diff(np.concatenate(([False], level > ratios.std(), [False])).astype(np.int8)))
     for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
         bare = []
-        for chain in (lines[k][2] for k in range(first, last) if lines[k][0]):
-            named = [n for n in chain if n in parser.tags]
-            if named:
-                top = next((n for n in named if parser.tags[n] == "article"), named[0])
-                regions.add(_grown(chain[: chain.index(top) + 1], parser.framed))
+        for block in (lines[k][2] for k in range(first, last) if lines[k][0]):
+            found = article[block] or whole[block]
+            if found:
+                regions.add(grown[found])
             else:
-                bare.append(chain)
-        if bare:
-            shared = [a for a, *rest in zip(*bare) if all(a == b for b in rest)]
-            if len(bare) == 1:  # one line alone: the block around its own
-                shared = shared[:-1] or shared
-            regions.add(_grown(shared, parser.framed))
-    menus = _menus(parser.lines) if BODY in regions else set()
-    return " ".join(text for k, (text, _, chain) in enumerate(lines) if text and (chosen[k] or not regions.isdisjoint(chain) and (not regions.isdisjoint(chain[1:]) or menus.isdisjoint(chain))))
-
-
-def _grown(chain: list[int] | tuple[int, ...], framed: set[int]) -> int:
-    """The outermost element of the chain that is its last or holds the last and no text of the frame."""
-    k = len(chain) - 1
-    while k and chain[k - 1] not in framed:
-        k -= 1
-    return chain[k]
+                bare.append(block)
+        if len(bare) == 1:  # one line alone: the block around its own
+            regions.add(grown[up.get(bare[0], BODY)])
+        elif bare:
+            regions.add(grown[_shared(min(bare), max(bare), up)])
+    inside = {BODY: False}
+    for n, around in sorted(up.items()):
+        inside[n] = inside[around] or n in regions
+    menus = _menus(parser.lines, top) if BODY in regions else set()
+    return " ".join(text for k, (text, _, block) in enumerate(lines) if text and (chosen[k] or inside[block] or BODY in regions and top[block] not in menus))
 
 
-def _menus(lines: list[list]) -> set[int]:
+def _menus(lines: list[list], top: dict[int, int]) -> set[int]:
     """Elements directly in the body whose text is LEAST_LINKS links or more and nothing else."""
     found: dict[int, list[int]] = {}
-    for parts, _, chain, linked, links in lines:
-        if len(chain) > 1:
-            of = found.setdefault(chain[1], [0, 0, 0])
+    for parts, _, block, linked, links in lines:
+        if block != BODY:
+            of = found.setdefault(top[block], [0, 0, 0])
             of[0] += len("".join("".join(parts).split()))
             of[1] += linked
             of[2] += links

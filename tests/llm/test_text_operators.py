@@ -396,6 +396,37 @@ def test_html_keeps_the_short_parts_of_an_article(page, wanted):
     assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", "".join(wanted)).split())
 
 
+LONG = "<p>" + "word " * 60 + "</p>"
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<html><head><title>T</title><body>" + LONG * 3, 3),
+    ("<html><head><title>T</title>" + LONG * 3, 3),
+    ('<body><div class="layout sidebar-right"><article>' + LONG * 3 + "</article></div>", 3),
+    ('<body><div class="post share-enabled">' + LONG * 3 + "</div><nav>Home</nav>", 3),
+    ('<body><div id="search-results-page"><div>' + LONG * 3 + "</div></div>", 3),
+    ('<body><div class="content-comments"><main>' + LONG + "</main></div>", 1),
+    ("<body><article>" + LONG + '</article><ol class="commentlist">' + ("<li><article>" + LONG + "</article>") * 5 + "</ol>", 1),
+    ('<body><div class="ad">' + LONG + "</div><article><h1>word</h1></article>", 1 / 60),
+    ('<body><div class="menu">' + '<a href="#">word word</a>' * 9 + "</div>" + LONG, 1),
+])
+def test_html_takes_names_as_weak_evidence(page, wanted):
+    from blockscope.llm.html_extract import main_text
+
+    assert main_text(page).split() == ["word"] * round(60 * wanted)
+
+
+@pytest.mark.parametrize("part", ["<font>", "<font>x", "<div>x", "<p>x", "<a>x", "</b>", '<div class="menu">x', "<li><ul>x"])
+def test_html_takes_linear_time(part):
+    import time
+
+    from blockscope.llm.html_extract import main_text
+
+    began = time.process_time()
+    main_text(part * 100_000)
+    assert time.process_time() - began < 20  # seconds; hours where the time is quadratic
+
+
 def test_warc_round_trip(spark, tmp_path):
     from blockscope.llm.warc import read_records, read_warc, write_warc
 
@@ -527,6 +558,20 @@ def test_token_counts_against_the_library(spark, docs, library):
         assert r["at7"] == want[min(7, len(want) - 1)] and r["within5"] == max(k for k, n in enumerate(want) if n <= 5)
 
 
+def test_prefix_counts_of_cut_words_and_long_chunks(library):
+    from blockscope.llm.token_counts import PrefixCounter
+
+    counter, rnd = PrefixCounter(TOKENIZER), random.Random(4)
+    parts = ["a", "the", "E", "'s", "'re", "'", "'v", "12", "!", "<|endoftext|>", "<|", "é", "e\u0301", "\u0130", "中", "文字", "한", "\u1112\u1161\u11ab", "Σ", " ", "क\u093c", "\u0301", "...", "x" * 9, "\x85"]
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        assert counter.prefixes(text) == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
+    for part in ("中文字符", "abcde,", "x", "e\u0301a", "12"):  # 20,000 characters or more without spaces
+        text = part * (20_000 // len(part))
+        assert counter.prefixes(text)[-1] == counter.total(text.encode())
+    assert max(map(len, counter.chunks)) <= 64
+
+
 def test_every_token_is_its_own_encoding():
     from blockscope.llm.token_counts import PrefixCounter
 
@@ -561,6 +606,15 @@ def test_packing(spark, docs, library, segments, loss):
     assert pack(empty(docs), TOKENIZER).count() == 0
 
 
+def test_packing_keeps_pieces_of_bins_that_the_pool_cannot_fill(spark):
+    from blockscope.llm.packing import pack
+
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b").alias("text")).coalesce(1)
+    got = pack(docs, TOKENIZER, max_segments=4096, capacity=8192).collect()
+    assert sorted(r["doc_id"] for r in got if r["start"] == 0) == list(range(6000))
+    assert sum(r["length"] for r in got) == 6000 + 2 * 2000
+
+
 def test_packing_counts_prompts_as_free_of_loss(spark):
     from blockscope.llm.packing import pack
 
