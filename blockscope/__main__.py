@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--species", required=True)
     ask.add_argument("--record", default="position")
     ask.add_argument("--secondary", action="store_true")
+    ask.add_argument("--output", help="write all windows to this folder as Parquet")
     for axis in "xyz":
         ask.add_argument(f"--{axis}", nargs=2, type=float, metavar=("LOW", "HIGH"))
     return top
@@ -55,7 +56,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         box = {f"{end}{axis}": bounds.get(axis, (-math.inf, math.inf))[k] for axis in "xyz" for k, end in enumerate(("min", "max"))}
         found = RTreeQuery(spark, a.index, a.secondary).query_xyz(a.iteration, a.species, a.record, **box)
-    found.orderBy("start").show(1000, truncate=False)
+    if a.output:
+        found.write.mode("errorifexists").parquet(a.output)
+        return
+    for row in found.orderBy("start").selectExpr("concat_ws(' ', iteration, species, start, end, cast(q AS string))").toLocalIterator():
+        print(row[0])
 
 
 if __name__ == "__main__":

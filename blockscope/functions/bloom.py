@@ -1,7 +1,7 @@
 """Bloom filters as bitmap aggregates: built, merged and probed by built-in functions.
 
-A filter is a set of 32768-bit bitmaps, one for each segment; an id belongs to one segment, so that nodes of any size keep
-their error rate by having more segments.
+A filter is a set of bitmaps of up to 32768 bits, one for each segment; an id belongs to one segment, so that nodes of any
+size keep their error rate by having more segments, and small ones have a shorter bitmap.
 """
 
 from __future__ import annotations
@@ -22,23 +22,28 @@ def segments_for(rows: int, bits_per_key: float) -> int:
     return max(1, -(-int(rows * bits_per_key) // BITS))
 
 
+def bits_for(rows: int, bits_per_key: float) -> int:
+    """Bits of a segment's bitmap: whole bytes, at least eight."""
+    return min(BITS, 8 * max(8, -(-int(rows * bits_per_key) // 8)))
+
+
 def segment_of(id_: Column, segments: Column | int) -> Column:
     return F.pmod(F.xxhash64(id_, F.lit(-1)), F.lit(segments) if isinstance(segments, int) else segments).cast("int")
 
 
-def probes(id_: Column, k: int) -> Column:
-    return F.array(*(F.pmod(F.xxhash64(id_, F.lit(n)), F.lit(BITS)).cast("long") for n in range(k)))
+def probes(id_: Column, k: int, bits: int = BITS, seed: int = 0) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(id_, F.lit(n)), F.lit(bits)).cast("long") for n in range(seed, seed + k)))
 
 
-def build(ids: DataFrame, by: list[str], id_col: str = "id", segments: int = 1, k: int = 7) -> DataFrame:
+def build(ids: DataFrame, by: list[str], id_col: str = "id", segments: int = 1, k: int = 7, bits: int = BITS, seed: int = 0) -> DataFrame:
     """(by..., segment, bitmap) from rows (by..., id)."""
-    bits = ids.select(*by, segment_of(F.col(id_col), segments).alias("segment"), F.explode(probes(F.col(id_col), k)).alias("bit"))
-    return bits.groupBy(*by, "segment").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    rows = ids.select(*by, segment_of(F.col(id_col), segments).alias("segment"), F.explode(probes(F.col(id_col), k, bits, seed)).alias("bit"))
+    return rows.groupBy(*by, "segment").agg(F.substring(F.bitmap_construct_agg("bit"), 1, bits // 8).alias("bitmap"))
 
 
 def merge(filters: DataFrame, by: list[str]) -> DataFrame:
     """Filters of larger groups: the union of their parts' bits."""
-    return filters.groupBy(*by, "segment").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return filters.groupBy(*by, "segment").agg(F.substring(F.bitmap_or_agg("bitmap"), F.lit(1), F.max(F.octet_length("bitmap"))).alias("bitmap"))
 
 
 def may_contain(bitmap: Column, bits: Column) -> Column:

@@ -6,6 +6,8 @@ row for each block and task through the shuffle. Axes are unpivoted after aggreg
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from blockscope.functions.predicates import highest, lowest
 from blockscope.sources.particles import AXES, GROUP, with_blocks, with_positions
 from blockscope.sources.shared import stored
 
+#: Children of a node of the filter tree.
+FAN = 16
+#: First hash function of each record's filters, so that their false positives are independent.
+SEEDS = {"position": 0, "momentum": bloom.MOST}
 ENVELOPE = ["minx", "maxx", "miny", "maxy", "minz", "maxz"]
 
 
@@ -80,19 +86,21 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
     number at level L is its rank over capacity^L. The tree only speeds pruning up; results never depend on it.
     """
     key = [*GROUP, "record"]
-    marks = [k / 64 for k in range(1, 64)]
     sizes = leaves.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     slabs = F.ceil(F.pow(F.col("n") / capacity, F.lit(1 / 3))).cast("int")
+    widest = sizes.agg(F.max("n")).first()[0] or 0
+    most = max(2, math.ceil((widest / capacity) ** (1 / 3)))
+    marks = [k / most for k in range(1, most)]
     out = leaves.join(sizes.select(*key, slabs.alias("slabs")), key)
     for axis, tile, by in (("x", "tile_x", key), ("y", "tile_y", [*key, "tile_x"])):
         out = out.withColumn("centre", (F.col(f"min{axis}") + F.col(f"max{axis}")) / 2)
-        out = out.join(out.groupBy(*by).agg(F.percentile_approx("centre", marks, 1000).alias("cuts")), by)
-        out = out.withColumn(tile, F.floor(F.size(F.filter("cuts", lambda c: c < F.col("centre"))) * F.col("slabs") / 64).cast("int")).drop("cuts")
+        out = out.join(out.groupBy(*by).agg(F.percentile_approx("centre", marks, max(1000, 20 * most)).alias("cuts")), by)
+        out = out.withColumn(tile, F.floor(F.size(F.filter("cuts", lambda c: c < F.col("centre"))) * F.col("slabs") / most).cast("int")).drop("cuts")
     out = out.withColumn("centre", (F.col("minz") + F.col("maxz")) / 2).drop("slabs")
     ranked = with_positions(out, ["tile_x", "tile_y", "centre", "start"], key).drop("tile_x", "tile_y", "centre")
     made = stored(ranked.withColumns({"level": F.lit(0), "node": F.col("pos"), "parent": F.floor(F.col("pos") / capacity).cast("long")}).drop("pos"), "tree-level")
     names = [*key, "level", "node", "parent", *ENVELOPE, "start", "end"]
-    nodes, widest, level = made.select(*names), sizes.agg(F.max("n")).first()[0] or 0, 0
+    nodes, level = made.select(*names), 0
     while widest > 1:
         level, widest = level + 1, -(-widest // capacity)
         up = hull(made, [*key, "parent"]).withColumnRenamed("parent", "node")
@@ -104,4 +112,21 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
 def block_filters(particles: DataFrame, block_rows: int, bits_per_key: float = 10) -> DataFrame:
     """(iteration, species, block_id, segment, bitmap): a Bloom filter over the ids of each block."""
     ids = with_blocks(particles, block_rows).select(*GROUP, "block_id", "id")
-    return bloom.build(ids, [*GROUP, "block_id"], segments=bloom.segments_for(block_rows, bits_per_key), k=bloom.hash_count(bits_per_key))
+    return bloom.build(ids, [*GROUP, "block_id"], segments=bloom.segments_for(block_rows, bits_per_key), k=bloom.hash_count(bits_per_key), bits=bloom.bits_for(block_rows, bits_per_key))
+
+
+def filter_tree(particles: DataFrame, block_rows: int, bits_per_key: float = 10, record: str = "position") -> DataFrame:
+    """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of blocks (level 0) and of runs
+    of FAN^level blocks, each sized by its rows, up to a single run for the largest species."""
+    last = particles.agg(F.max("pos")).first()[0]
+    levels, blocks = 1, 1 if last is None else last // block_rows + 1
+    while blocks > 1:
+        levels, blocks = levels + 1, -(-blocks // FAN)
+    out = None
+    for level in range(levels):
+        rows = block_rows * FAN**level
+        ids = particles.select(*GROUP, F.floor(F.col("pos") / rows).cast("long").alias("node"), "id").where("id is not null")
+        made = bloom.build(ids, [*GROUP, "node"], segments=bloom.segments_for(rows, bits_per_key), k=bloom.hash_count(bits_per_key), bits=bloom.bits_for(rows, bits_per_key), seed=SEEDS[record])
+        made = made.select(*GROUP, F.lit(record).alias("record"), F.lit(level).alias("level"), "node", "segment", "bitmap")
+        out = made if out is None else out.unionByName(made)
+    return out

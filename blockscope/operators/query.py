@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
-from blockscope.operators.build import hull
+from blockscope.operators.build import FAN, SEEDS, hull
 from blockscope.sources.particles import AXES, GROUP, with_blocks
+from blockscope.sources.shared import stored
 
 #: Rows of an index hit list that are broadcast; beyond, the join is left to Spark.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 500_000
+#: Blocks of a run whose hits make one range of offsets, and the most ranges that become conditions on the scan.
+RUN, MAX_WINDOWS = 1_000, 100
 
 
 def range_blocks(blocks: DataFrame, record: str, axis: str, bounds: Bounds = EVERYTHING) -> DataFrame:
@@ -73,8 +76,21 @@ def dataset_bounds(envelopes: DataFrame) -> DataFrame:
 
 
 def _small(hits: DataFrame) -> DataFrame:
-    """Broadcast a hit list whose size has been counted."""
-    return F.broadcast(hits) if hits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else hits
+    """Broadcast a hit list (numbers and a species' name in each row) whose rows have been counted. It is made once, as a table."""
+    hits = stored(hits, "hits")
+    return F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
+
+
+def _windows(rows: DataFrame, hits: DataFrame, block_rows: int) -> DataFrame:
+    """The rows within the offsets that the hit blocks span, in runs of RUN blocks or, where those are too many, in all. As
+    plain conditions these reach the scan: folders of other iterations and species, and files and row groups of other
+    offsets, aren't read. Where even that makes too many conditions, or names are null, the join alone does the work."""
+    for run in (F.floor(F.col("block_id") / RUN), F.lit(0)):
+        spans = hits.groupBy(*GROUP, run.alias("run")).agg(F.min("block_id").alias("first"), F.max("block_id").alias("last")).limit(MAX_WINDOWS + 1).collect()
+        if len(spans) <= MAX_WINDOWS:
+            same = [(F.col("iteration") == s["iteration"]) & (F.col("species") == s["species"]) & F.col("pos").between(s["first"] * block_rows, (s["last"] + 1) * block_rows - 1) for s in spans]
+            return rows.where(reduce(lambda x, y: x | y, same, F.lit(False)))
+    return rows
 
 
 def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str, str], Bounds], columns: list[str], block_rows: int, iteration: int | None = None, species: str | None = None, slices: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
@@ -85,7 +101,6 @@ def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str,
     chosen = [c for c in ((F.col("iteration") == iteration) if iteration is not None else None, (F.col("species") == species) if species is not None else None) if c is not None]
     narrowed = lambda df: reduce(lambda d, c: d.where(c), chosen, df)
     blocks = blocks_on_all_axes(narrowed(index), select).select(*GROUP, F.floor(F.col("start") / block_rows).cast("long").alias("block_id"))
-    rows = with_blocks(narrowed(particles), block_rows, slice_rows if slices is not None else None)
     on = [*GROUP, "block_id"]
     if slices is not None:
         parts = blocks_on_all_axes(narrowed(slices), select)
@@ -94,18 +109,32 @@ def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str,
         on = [*on, "slice_id"]
     else:
         hits = blocks
-    rows = rows.join(_small(hits), on, "left_semi")
+    hits = _small(hits)
+    rows = _windows(with_blocks(narrowed(particles), block_rows, slice_rows if slices is not None else None), hits, block_rows)
+    rows = rows.join(hits, on, "left_semi")
     for (record, axis), bounds in select.items():
         rows = rows.where(within(F.col(AXES[record][axis]), bounds))
     return rows.select(*columns)
 
 
-def trace_candidates(filters: DataFrame, ids: DataFrame, block_rows: int, k: int, segments: int, id_col: str = "id") -> DataFrame:
+def trace_candidates(filters: DataFrame, ids: DataFrame, block_rows: int, bits_per_key: float, record: str = "position", id_col: str = "id") -> DataFrame:
     """(iteration, species, block_id, id): blocks whose Bloom filter may have the id. Distinct ids count once.
 
-    Ids meet only the bitmaps of their segment."""
-    probes = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().select("id", bloom.segment_of(F.col("id"), segments).alias("segment"), bloom.probes(F.col("id"), k).alias("bits"))
-    return filters.join(_small(probes), "segment").where(bloom.may_contain(F.col("bitmap"), F.col("bits"))).select(*GROUP, "block_id", "id")
+    Filters of a tree are descended: an id is asked of the single node at the top of each iteration and species, then of
+    the children of those nodes that may have it. A probe is a join on node and segment."""
+    filters = filters.where(F.col("record") == record)
+    top, k = filters.agg(F.max("level")).first()[0] or 0, bloom.hash_count(bits_per_key)
+    found = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    for level in range(top, -1, -1):
+        rows = block_rows * FAN**level
+        on = ["segment"] if level == top else [*GROUP, "node", "segment"]
+        if level < top:
+            found = found.withColumn("node", F.explode(F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)))
+        asked = found.withColumn("segment", bloom.segment_of(F.col("id"), bloom.segments_for(rows, bits_per_key)))
+        held = filters.where(F.col("level") == level).select(*GROUP, "node", "segment", "bitmap")
+        probes = bloom.probes(F.col("id"), k, bloom.bits_for(rows, bits_per_key), SEEDS[record])
+        found = stored(asked.join(held, on).where(bloom.may_contain(F.col("bitmap"), probes)).select(*GROUP, "node", "id"), "descent")
+    return found.withColumnRenamed("node", "block_id")
 
 
 def trace(particles: DataFrame, ids: DataFrame, block_rows: int, candidates: DataFrame | None = None, id_col: str = "id") -> DataFrame:
@@ -114,7 +143,8 @@ def trace(particles: DataFrame, ids: DataFrame, block_rows: int, candidates: Dat
     wanted = ids.select(F.col(id_col).cast("long").alias("id")).distinct()
     rows = with_blocks(particles, block_rows).select(*GROUP, "block_id", "pos", "id")
     if candidates is not None:
-        rows = rows.join(_small(candidates.select(*GROUP, "block_id").distinct()), [*GROUP, "block_id"], "left_semi")
+        blocks = _small(candidates.select(*GROUP, "block_id").distinct())
+        rows = _windows(rows, blocks, block_rows).join(blocks, [*GROUP, "block_id"], "left_semi")
     hits = rows.join(_small(wanted), "id", "left_semi").select(*GROUP, "block_id", "id").distinct()
     # a block's end is its last offset plus one
     ends = with_blocks(particles, block_rows).groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
@@ -122,8 +152,8 @@ def trace(particles: DataFrame, ids: DataFrame, block_rows: int, candidates: Dat
 
 
 def intersect_traces(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Hits of two records on the same block and id; blocks left without an id go."""
-    on = [*GROUP, "start", "end", "id"]
+    """Hits of two records (candidates or verified ones) on the same block and id; blocks left without an id go."""
+    on = [c for c in (*GROUP, "block_id", "start", "end", "id") if c in a.columns]
     return a.join(b.select(*on), on, "left_semi").select(*on)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from blockscope.functions import bloom
 from blockscope.operators import build, query, relayout
 from blockscope.sources.index_store import index_directory
-from blockscope.sources.particles import GROUP, block_catalogue, dump, with_blocks
+from blockscope.sources.particles import AXES, GROUP, block_catalogue, dump, with_blocks
+from blockscope.sources.shared import stored
 
 BLOCK, SLICE, BITS = 100, 25, 10
 RANGE = (1400.0, 1500.0)
@@ -173,20 +174,24 @@ WHERE b.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
 @registered(TRACED)
 def trace_verified(spark, sf_dir):
     particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
-    filters = build.block_filters(particles, BLOCK, BITS)
-    return query.trace(particles, ids, BLOCK, query.trace_candidates(filters, ids, BLOCK, bloom.hash_count(BITS), bloom.segments_for(BLOCK, BITS)))
+    filters = stored(build.filter_tree(particles, BLOCK, BITS), "filters", "level")
+    return query.trace(particles, ids, BLOCK, query.trace_candidates(filters, ids, BLOCK, BITS))
 
 
 @registered(TRACED)
 def trace_intersected_verified(spark, sf_dir):
     particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
-    return query.intersect_traces(query.trace(particles, ids, BLOCK), query.trace(particles, ids, BLOCK))
+    found = []
+    for record in AXES:
+        filters = stored(build.filter_tree(particles, BLOCK, BITS, record), "filters", "level")
+        found.append(query.trace_candidates(filters, ids, BLOCK, BITS, record))
+    return query.trace(particles, ids, BLOCK, query.intersect_traces(*found))
 
 
 @registered()
 def bloom_candidates(spark, sf_dir):
-    filters = build.block_filters(dump(spark, sf_dir), BLOCK, BITS)
-    return query.trace_candidates(filters, _urgent(spark, sf_dir), BLOCK, bloom.hash_count(BITS), bloom.segments_for(BLOCK, BITS))
+    filters = stored(build.filter_tree(dump(spark, sf_dir), BLOCK, BITS), "filters", "level")
+    return query.trace_candidates(filters, _urgent(spark, sf_dir), BLOCK, BITS)
 
 
 @registered()

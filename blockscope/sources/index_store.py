@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockscope.operators import build, query
-from blockscope.sources.particles import GROUP, block_catalogue, with_blocks
+from blockscope.sources.particles import AXES, GROUP, block_catalogue, with_blocks
 
 KINDS = ("minmax", "rtree")
 
 
 def write_index(particles: DataFrame, path: str, kind: str, block_rows: int, slice_rows: int | None = None, bits_per_key: float | None = None, capacity: int = 10, records: list[str] | None = None) -> None:
     """Build an index of a kind (with slices where slice_rows is given, with Bloom filters where bits_per_key is) and replace
-    what is stored at the path: blocks/, slices/, tree/, filters/ and the parameters."""
+    what is stored at the path: blocks/, slices/, tree/, filters/ and the parameters. Each build writes to a folder of its own;
+    `parameters`, written last, names it, so that readers see one whole index or the other. Only then the old one goes."""
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind!r}; there are {KINDS}")
-    spark = particles.sparkSession
+    spark, root, path = particles.sparkSession, path, f"{path}/build-{uuid.uuid4().hex}"
     save = lambda df, name: df.write.mode("overwrite").partitionBy(*GROUP).parquet(f"{path}/{name}")
     if kind == "minmax":
         save(build.minmax_blocks(particles, block_rows, records), "blocks")
@@ -31,8 +34,19 @@ def write_index(particles: DataFrame, path: str, kind: str, block_rows: int, sli
         if slice_rows:
             save(build.slice_envelopes(particles, block_rows, slice_rows, records), "slices")
     if bits_per_key:
-        save(build.block_filters(particles, block_rows, bits_per_key), "filters")
-    spark.createDataFrame([(kind, block_rows, slice_rows, float(bits_per_key) if bits_per_key else None)], "kind string, block_rows long, slice_rows long, bits_per_key double").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+        for record in records or list(AXES):
+            build.filter_tree(particles, block_rows, bits_per_key, record).write.mode("append").partitionBy("record", "level").parquet(f"{path}/filters")
+    row = (kind, block_rows, slice_rows, float(bits_per_key) if bits_per_key else None, path.rsplit("/", 1)[1])
+    spark.createDataFrame([row], "kind string, block_rows long, slice_rows long, bits_per_key double, build string").coalesce(1).write.mode("overwrite").parquet(f"{root}/parameters")
+    _drop_other_builds(spark, root, row[-1])
+
+
+def _drop_other_builds(spark: SparkSession, root: str, keep: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        if found.getPath().getName().startswith("build-") and found.getPath().getName() != keep:
+            files.delete(found.getPath(), True)
 
 
 def write_block_catalogue(particles: DataFrame, path: str, block_rows: int) -> None:
@@ -51,8 +65,9 @@ class _Stored:
     kind = ""
 
     def __init__(self, spark: SparkSession, path: str, secondary: bool = False):
-        self.spark, self.path, self.secondary = spark, path, secondary
+        self.spark, self.secondary = spark, secondary
         self.parameters = spark.read.parquet(f"{path}/parameters").first()
+        self.path = f"{path}/{self.parameters['build']}"
         if self.parameters["kind"] != self.kind:
             raise ValueError(f"{path} holds a {self.parameters['kind']} index")
         if secondary and self.parameters["slice_rows"] is None:
@@ -107,17 +122,19 @@ class RTreeQuery(_Stored):
 
     def trace_intersected(self, particles: DataFrame, iteration: int, species: str, ids: list[int] | DataFrame) -> DataFrame:
         """As trace, for ids that both the position and the momentum tree lead to."""
-        hits = self._hits(particles, iteration, species, ids)
-        return query.trace_result(query.intersect_traces(hits, hits))
+        return query.trace_result(self._hits(particles, iteration, species, ids, tuple(AXES)))
 
-    def _hits(self, particles: DataFrame, iteration: int, species: str, ids: list[int] | DataFrame) -> DataFrame:
+    def _hits(self, particles: DataFrame, iteration: int, species: str, ids: list[int] | DataFrame, records: tuple[str, ...] = ()) -> DataFrame:
         if self.parameters["bits_per_key"] is None:
             raise ValueError(f"{self.path} has no Bloom filters")
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id long")
         rows, bits = self.parameters["block_rows"], self.parameters["bits_per_key"]
         particles = particles.where((F.col("iteration") == iteration) & (F.col("species") == species))
-        from blockscope.functions import bloom
-
-        found = query.trace_candidates(self.table("filters", iteration, species), ids, rows, bloom.hash_count(bits), bloom.segments_for(rows, bits))
+        filters = self.table("filters", iteration, species)
+        held = [r[0] for r in filters.select("record").distinct().collect()]
+        missing = set(records).difference(held)
+        if missing and held:
+            raise ValueError(f"{self.path} has no filters of {sorted(missing)}")
+        found = reduce(query.intersect_traces, (query.trace_candidates(filters, ids, rows, bits, r) for r in records or held[:1] or ["position"]))
         return query.trace(particles, ids, rows, found)

@@ -88,13 +88,14 @@ def test_reading_through_the_index_equals_a_scan(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     p = table(spark, range(300), ids=[7 * k for k in range(300)])
-    filters = build.block_filters(p, 50)
+    filters, flat = build.filter_tree(p, 50), build.block_filters(p, 50)
+    assert flat.select(F.max(F.octet_length("bitmap"))).first()[0] == 63  # 50 ids of 10 bits
     ids = spark.createDataFrame([(k,) for k in [7, 7, 2100 - 7, 5, 700, None]], "id long")
-    k, segments = bloom.hash_count(10), bloom.segments_for(50, 10)
-    found = {(r["block_id"], r["id"]) for r in query.trace_candidates(filters, ids, 50, k, segments).collect()}
+    k = bloom.hash_count(10)
+    found = {(r["block_id"], r["id"]) for r in query.trace_candidates(filters, ids, 50, 10).collect()}
     assert {(0, 7), (5, 2093), (2, 700)} <= found
-    merged = bloom.merge(filters, ["iteration", "species"])
-    probes = ids.where("id in (7, 2093, 700)").select(bloom.probes(F.col("id"), k).alias("bits"))
+    merged = bloom.merge(flat, ["iteration", "species"])
+    probes = ids.where("id in (7, 2093, 700)").select(bloom.probes(F.col("id"), k, bloom.bits_for(50, 10)).alias("bits"))
     assert probes.crossJoin(merged).where(~bloom.may_contain(F.col("bitmap"), F.col("bits"))).count() == 0
 
 
@@ -121,7 +122,30 @@ def test_stored_box_query_with_slices(spark, tmp_path):
     assert [(r["start"], {k: tuple(v) for k, v in r["q"].items()}) for r in sliced] == [(0, {"2": (2, 4)})]
     root = RTreeQuery(spark, path).metadata_root(50, "e", "position").first()
     assert (root["minx"], root["maxx"], root["start"], root["end"]) == (0.0, 8.0, 0, 6)
-    assert index_directory(spark.read.parquet(f"{path}/blocks")).count() == 2
+    assert RTreeQuery(spark, path).directory().count() == 2
+    write_index(p, path, "minmax", 4)  # replaces the whole index
+    assert len(list(tmp_path.glob("s/build-*"))) == 1 and not list(tmp_path.glob("s/*/tree"))
+    with pytest.raises(ValueError):
+        RTreeQuery(spark, path)
+
+
+def test_filter_tree_descends_by_levels(spark):
+    p = table(spark, range(3000), ids=[3 * k for k in range(3000)]).unionByName(table(spark, range(9), species="i"))
+    filters = build.filter_tree(p, 5, 10, "momentum")
+    assert filters.agg(F.max("level")).first()[0] == 3
+    ids = spark.createDataFrame([(k,) for k in (0, 3, 4500, 8997, 1)], "id long")
+    found = {(r["species"], r["block_id"], r["id"]) for r in query.trace_candidates(filters, ids, 5, 10, "momentum").collect()}
+    assert {("e", 0, 0), ("e", 0, 3), ("e", 300, 4500), ("e", 599, 8997), ("i", 0, 0), ("i", 0, 3), ("i", 0, 1)} <= found and len(found) < 15
+    assert query.trace_candidates(filters.limit(0), ids, 5, 10, "momentum").count() == 0
+
+
+def test_index_hits_reach_the_scan_as_conditions(spark, tmp_path):
+    source.write_dump(table(spark, range(1000)).unionByName(table(spark, range(1000), iteration=60)), f"{tmp_path}/d")
+    p = source.read_dump(spark, f"{tmp_path}/d")
+    got = query.get_particle(p.where("iteration = 50"), build.minmax_blocks(p.where("iteration = 50"), 10), {("position", "x"): (500.0, 520.0)}, ["pos"], 10)
+    assert sorted(r[0] for r in got.collect()) == list(range(500, 521))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(pos,500)" in plan and "LessThanOrEqual(pos,529)" in plan
 
 
 def test_unknown_kind(spark, tmp_path):
@@ -218,3 +242,5 @@ def test_command_line(spark, tmp_path, capsys):
         main(["build", f"{tmp_path}/d", f"{tmp_path}/{kind}", "--kind", kind, "--block-rows", "4", "--slice-rows", "2"], spark)
         main(["query", f"{tmp_path}/{kind}", "--kind", kind, "--iteration", "50", "--species", "e", "--secondary", "--x", "5", "5"], spark)
         assert "{4 -> {4, 6}}" in capsys.readouterr().out
+        main(["query", f"{tmp_path}/{kind}", "--kind", kind, "--iteration", "50", "--species", "e", "--x", "5", "5", "--output", f"{tmp_path}/hits-{kind}"], spark)
+        assert spark.read.parquet(f"{tmp_path}/hits-{kind}").count() == 1
