@@ -6,6 +6,8 @@ size keep their error rate by having more segments, and small ones have a shorte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,16 @@ def merge(filters: DataFrame, by: list[str]) -> DataFrame:
     return filters.groupBy(*by, "segment").agg(F.substring(F.bitmap_or_agg("bitmap"), F.lit(1), F.max(F.octet_length("bitmap"))).alias("bitmap"))
 
 
+def _is_set(bitmap: Column, p: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(p, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1
+
+
 def may_contain(bitmap: Column, bits: Column) -> Column:
     """Whether all probed bits are set: false is certain."""
+    return F.forall(bits, lambda p: _is_set(bitmap, p))
 
-    def is_set(p: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(bitmap, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, (p % 8).cast("int")) == 1
 
-    return F.forall(bits, is_set)
+def may_hold(bitmap: Column, id_: Column, k: int, bits: int = BITS, seed: int = 0) -> Column:
+    """As may_contain for an id, one condition for each hash function: the first clear bit ends the probe."""
+    return reduce(lambda x, y: x & y, (_is_set(bitmap, F.pmod(F.xxhash64(id_, F.lit(n)), F.lit(bits)).cast("long")) for n in range(seed, seed + k)))

@@ -132,8 +132,8 @@ def trace_candidates(filters: DataFrame, ids: DataFrame, block_rows: int, bits_p
             found = found.withColumn("node", F.explode(F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)))
         asked = found.withColumn("segment", bloom.segment_of(F.col("id"), bloom.segments_for(rows, bits_per_key)))
         held = filters.where(F.col("level") == level).select(*GROUP, "node", "segment", "bitmap")
-        probes = bloom.probes(F.col("id"), k, bloom.bits_for(rows, bits_per_key), SEEDS[record])
-        found = stored(asked.join(held, on).where(bloom.may_contain(F.col("bitmap"), probes)).select(*GROUP, "node", "id"), "descent")
+        hit = bloom.may_hold(F.col("bitmap"), F.col("id"), k, bloom.bits_for(rows, bits_per_key), SEEDS[record])
+        found = stored(asked.join(held, on).where(hit).select(*GROUP, "node", "id"), "descent")
     return found.withColumnRenamed("node", "block_id")
 
 
