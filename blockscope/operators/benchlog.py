@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Formats of log file names and lines.
@@ -32,9 +32,8 @@ def build_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(blocks, count, seconds) of a read log, whose lines alternate between what was read and how long it took."""
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    whole = spark.read.text(path, wholetext=True)  # a log is a row, so that its lines keep their order
+    lines = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
     here = Window.partitionBy("file").orderBy("at")
     paired = lines.withColumn("after", F.lead("value").over(here))
     number = lambda c, p: F.regexp_extract(c, p, 1).try_cast("double")
@@ -56,3 +55,11 @@ def pivoted(mean: DataFrame, threads: list[int]) -> DataFrame:
 
 def write_summary(runs: DataFrame, path: str) -> None:
     runs.orderBy("index_type", "threads", "blocks", "run").write.mode("overwrite").csv(path, header=True)
+
+
+SUMMARY = "file string, index_type string, threads int, blocks int, run int, io_s double, build_s double, cpu_s double, elapsed_s double"
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that write_summary wrote; columns go by their names."""
+    return spark.read.csv(path, header=True, schema=SUMMARY, enforceSchema=False)

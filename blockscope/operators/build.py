@@ -36,8 +36,9 @@ def _by_axis(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
     return wide.select(*keep, F.inline(cases))
 
 
-def minmax_blocks(particles: DataFrame, block_rows: int, records: list[str] | None = None) -> DataFrame:
-    """(iteration, species, start, end, record, axis, min, max): a row for each block and axis. NaN is ignored."""
+def minmax_blocks(particles: DataFrame, block_rows: int | None, records: list[str] | None = None) -> DataFrame:
+    """(iteration, species, start, end, record, axis, min, max): a row for each block and axis. NaN is ignored. Without
+    block_rows the rows' own block_id counts."""
     records = records or list(AXES)
     wide = _extrema(with_blocks(particles, block_rows), [*GROUP, "block_id"], records)
     return _by_axis(wide, [*GROUP, "start", "end"], records)
@@ -60,7 +61,7 @@ def _envelopes(wide: DataFrame, keep: list[str], records: list[str]) -> DataFram
     return wide.select(*keep, F.inline(cases))
 
 
-def leaf_envelopes(particles: DataFrame, block_rows: int, records: list[str] | None = None) -> DataFrame:
+def leaf_envelopes(particles: DataFrame, block_rows: int | None, records: list[str] | None = None) -> DataFrame:
     """(iteration, species, start, end, record, minx ... maxz) of each block."""
     records = records or list(AXES)
     return _envelopes(_extrema(with_blocks(particles, block_rows), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
@@ -115,15 +116,34 @@ def block_filters(particles: DataFrame, block_rows: int, bits_per_key: float = 1
     return bloom.build(ids, [*GROUP, "block_id"], segments=bloom.segments_for(block_rows, bits_per_key), k=bloom.hash_count(bits_per_key), bits=bloom.bits_for(block_rows, bits_per_key))
 
 
-def filter_tree(particles: DataFrame, block_rows: int, bits_per_key: float = 10, record: str = "position") -> DataFrame:
-    """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of blocks (level 0) and of runs
-    of FAN^level blocks, each sized by its rows, up to a single run for the largest species."""
+def _levels(particles: DataFrame, block_rows: int) -> int:
+    """Levels of a tree of runs of blocks, up to a single run for the largest species."""
     last = particles.agg(F.max("pos")).first()[0]
     levels, blocks = 1, 1 if last is None else last // block_rows + 1
     while blocks > 1:
         levels, blocks = levels + 1, -(-blocks // FAN)
+    return levels
+
+
+def ids_per_node(particles: DataFrame, block_rows: int) -> DataFrame:
+    """(iteration, species, level, node, ids): how many distinct ids blocks (level 0) and runs of FAN^level blocks hold. Null
+    ids don't count. Each level starts from the distinct ids of the one below."""
+    held = with_blocks(particles, block_rows).select(*GROUP, F.col("block_id").alias("node"), "id").where("id is not null")
+    out = None
+    for level in range(_levels(particles, block_rows)):
+        if level:
+            held = held.withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
+        held = stored(held.distinct(), "node-ids")
+        made = held.groupBy(*GROUP, "node").agg(F.count(F.lit(1)).alias("ids")).select(*GROUP, F.lit(level).alias("level"), "node", "ids")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def filter_tree(particles: DataFrame, block_rows: int, bits_per_key: float = 10, record: str = "position") -> DataFrame:
+    """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of blocks (level 0) and of runs
+    of FAN^level blocks, each sized by its rows, up to a single run for the largest species."""
     out = None
-    for level in range(levels):
+    for level in range(_levels(particles, block_rows)):
         rows = block_rows * FAN**level
         ids = particles.select(*GROUP, F.floor(F.col("pos") / rows).cast("long").alias("node"), "id").where("id is not null")
         made = bloom.build(ids, [*GROUP, "node"], segments=bloom.segments_for(rows, bits_per_key), k=bloom.hash_count(bits_per_key), bits=bloom.bits_for(rows, bits_per_key), seed=SEEDS[record])

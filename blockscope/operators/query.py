@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from blockscope.functions import bloom
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
 from blockscope.operators.build import FAN, SEEDS, hull
-from blockscope.sources.particles import AXES, GROUP, with_blocks
+from blockscope.sources.particles import AXES, GROUP, SEGMENT, in_windows, with_blocks
 from blockscope.sources.shared import stored
 
 #: Rows of an index hit list that are broadcast; beyond, the join is left to Spark.
@@ -81,37 +81,47 @@ def _small(hits: DataFrame) -> DataFrame:
     return F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
 
 
-def _windows(rows: DataFrame, hits: DataFrame, block_rows: int) -> DataFrame:
-    """The rows within the offsets that the hit blocks span, in runs of RUN blocks or, where those are too many, in all. As
-    plain conditions these reach the scan: folders of other iterations and species, and files and row groups of other
-    offsets, aren't read. Where even that makes too many conditions, or names are null, the join alone does the work."""
-    for run in (F.floor(F.col("block_id") / RUN), F.lit(0)):
-        spans = hits.groupBy(*GROUP, run.alias("run")).agg(F.min("block_id").alias("first"), F.max("block_id").alias("last")).limit(MAX_WINDOWS + 1).collect()
+def _windows(rows: DataFrame, hits: DataFrame, block_rows: int | None) -> DataFrame:
+    """The rows within the offsets that the hit blocks span, in runs of RUN blocks (of RUN segments, for blocks that differ
+    in length) or, where those are too many, in all. As plain conditions these reach the scan: folders of other iterations
+    and species, and files and row groups of other offsets, aren't read. Where even that makes too many conditions, or names
+    are null, the join alone does the work."""
+    first, end = (F.col("start"), F.col("end")) if block_rows is None else (F.col("block_id") * block_rows, (F.col("block_id") + 1) * block_rows)
+    for run in (F.floor(first / (RUN * (block_rows or SEGMENT))), F.lit(0)):
+        spans = hits.groupBy(*GROUP, run.alias("run")).agg(F.min(first).alias("first"), F.max(end).alias("end")).limit(MAX_WINDOWS + 1).collect()
         if len(spans) <= MAX_WINDOWS:
-            same = [(F.col("iteration") == s["iteration"]) & (F.col("species") == s["species"]) & F.col("pos").between(s["first"] * block_rows, (s["last"] + 1) * block_rows - 1) for s in spans]
+            same = [(F.col("iteration") == s["iteration"]) & (F.col("species") == s["species"]) & F.col("pos").between(s["first"], s["end"] - 1) for s in spans]
             return rows.where(reduce(lambda x, y: x | y, same, F.lit(False)))
     return rows
 
 
-def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str, str], Bounds], columns: list[str], block_rows: int, iteration: int | None = None, species: str | None = None, slices: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
+def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str, str], Bounds], columns: list[str], block_rows: int | None, iteration: int | None = None, species: str | None = None, slices: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
     """Exact rows within all closed intervals, read through the blocks (and slices) that the index leaves.
 
     `index` has block extrema by axis, `slices` slice extrema. The result equals a full scan with the same conditions.
+    Without block_rows the blocks may differ in length, and rows are found by the offsets of the hit blocks.
     """
     chosen = [c for c in ((F.col("iteration") == iteration) if iteration is not None else None, (F.col("species") == species) if species is not None else None) if c is not None]
     narrowed = lambda df: reduce(lambda d, c: d.where(c), chosen, df)
-    blocks = blocks_on_all_axes(narrowed(index), select).select(*GROUP, F.floor(F.col("start") / block_rows).cast("long").alias("block_id"))
-    on = [*GROUP, "block_id"]
-    if slices is not None:
-        parts = blocks_on_all_axes(narrowed(slices), select)
-        block = F.floor(F.col("start") / block_rows).cast("long")
-        hits = parts.select(*GROUP, block.alias("block_id"), F.floor((F.col("start") - block * block_rows) / slice_rows).cast("long").alias("slice_id")).join(blocks, on, "left_semi")
-        on = [*on, "slice_id"]
+    found = blocks_on_all_axes(narrowed(index), select)
+    if block_rows is None:
+        if slices is not None:
+            raise ValueError("blocks of different lengths have no slices")
+        hits = _small(found)
+        rows = in_windows(_windows(narrowed(particles), hits, None), hits)
     else:
-        hits = blocks
-    hits = _small(hits)
-    rows = _windows(with_blocks(narrowed(particles), block_rows, slice_rows if slices is not None else None), hits, block_rows)
-    rows = rows.join(hits, on, "left_semi")
+        blocks = found.select(*GROUP, F.floor(F.col("start") / block_rows).cast("long").alias("block_id"))
+        on = [*GROUP, "block_id"]
+        if slices is not None:
+            parts = blocks_on_all_axes(narrowed(slices), select)
+            block = F.floor(F.col("start") / block_rows).cast("long")
+            hits = parts.select(*GROUP, block.alias("block_id"), F.floor((F.col("start") - block * block_rows) / slice_rows).cast("long").alias("slice_id")).join(blocks, on, "left_semi")
+            on = [*on, "slice_id"]
+        else:
+            hits = blocks
+        hits = _small(hits)
+        rows = _windows(with_blocks(narrowed(particles), block_rows, slice_rows if slices is not None else None), hits, block_rows)
+        rows = rows.join(hits, on, "left_semi")
     for (record, axis), bounds in select.items():
         rows = rows.where(within(F.col(AXES[record][axis]), bounds))
     return rows.select(*columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockscope.functions.predicates import cell, highest, lowest
-from blockscope.sources.particles import GROUP, with_blocks
+from blockscope.sources.particles import GROUP, with_blocks, with_positions
+from blockscope.sources.shared import stored
 
 
 def extend(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
@@ -29,13 +30,28 @@ def shrink(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
 
     A block's offset is the old block's (the sum of whole blocks before it) plus the smaller cells' counts within it, so the
     running sum stays within one old block."""
-    from pyspark.sql import Window
-
     counts = shrink_cells(particles, block_rows, n).groupBy(*GROUP, "block_id", "cell").agg(F.count(F.lit(1)).alias("count"))
     before = F.sum("count").over(Window.partitionBy(*GROUP, "block_id").orderBy("cell")) - F.col("count")
     return counts.withColumn("start", F.col("block_id") * block_rows + before).select(*GROUP, "block_id", "cell", "start", "count")
 
 
+def shrink_rows(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
+    """The rows as the smaller blocks hold them: pos is the new offset, block_id the new block's number from 0 in its
+    iteration and species, and rows of one block keep their order. All other columns stay.
+
+    Ranks are taken within an old block, whose rows the cells have brought together already; the numbers of the new blocks
+    before it come from a distributed ranking of the block list."""
+    blocks = with_positions(stored(shrink(particles, block_rows, n), "new-blocks"), ["block_id", "cell"])
+    first = blocks.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("_first"))
+    old = Window.partitionBy(*GROUP, "block_id")
+    placed = shrink_cells(particles, block_rows, n).withColumns({
+        "_pos": F.col("block_id") * block_rows + F.row_number().over(old.orderBy("cell", "pos")) - 1,
+        "_nth": F.dense_rank().over(old.orderBy("cell")) - 1,
+    })
+    names = [c for c in particles.columns if c not in ("pos", "block_id")]
+    return placed.join(first, [*GROUP, "block_id"]).select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_first") + F.col("_nth")).cast("long").alias("block_id"))
+
+
 def write_relayout(particles: DataFrame, path: str, block: str = "block_id") -> None:
     """Write rows so that a block's rows lie together, blocks in order."""
     parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))

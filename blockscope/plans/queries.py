@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.operators import build, query, relayout
-from blockscope.sources.index_store import index_directory
-from blockscope.sources.particles import AXES, GROUP, block_catalogue, dump, with_blocks
-from blockscope.sources.shared import stored
+from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_index
+from blockscope.sources.particles import AXES, GROUP, SCHEMA, block_catalogue, dump, read_dump, with_blocks, with_listed_blocks, write_dump
+from blockscope.sources.shared import new_path, stored
 
 BLOCK, SLICE, BITS = 100, 25, 10
 RANGE = (1400.0, 1500.0)
+#: The iteration and species that lookups in stored indexes ask for.
+STORED = (1996, "N")
 BOX = {"x": (49.0, 50.0), "y": (950.0, 3000.0), "z": (0.01, 0.02)}
 POSITION = {("position", a): b for a, b in BOX.items()}
 PHASE = {("position", "x"): (40.0, 50.0), ("position", "z"): (0.01, 0.02), ("momentum", "x"): (0.0, 0.03), ("momentum", "y"): (1.0, 5000.0)}
@@ -245,6 +247,88 @@ def relayout_shrink(spark, sf_dir):
     return relayout.shrink(dump(spark, sf_dir), BLOCK, 3)
 
 
+#: Rows of the shrunk dump: new offsets and block numbers.
+SHRUNK = f"""
+, ext AS (SELECT iteration, species, block_id, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z FROM b GROUP BY ALL),
+cells AS (SELECT b.*, ({_cell_sql("x")} * 3 + {_cell_sql("y")}) * 3 + {_cell_sql("z")} AS cell FROM b JOIN ext USING (iteration, species, block_id)),
+shrunk AS (SELECT iteration, species, CAST(row_number() OVER (g ORDER BY block_id, cell, pos) - 1 AS BIGINT) AS pos, CAST(dense_rank() OVER (g ORDER BY block_id, cell) - 1 AS BIGINT) AS block_id, id, x, y, z
+  FROM cells WINDOW g AS (PARTITION BY iteration, species))
+"""
+
+
+@registered(SHRUNK + "SELECT iteration, species, pos, block_id, id, x, y, z FROM shrunk")
+def relayout_shrink_rows(spark, sf_dir):
+    return relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3).select(*GROUP, "pos", "block_id", "id", "x", "y", "z")
+
+
+@registered(SHRUNK + "SELECT iteration, species, pos, id, x, y, z FROM shrunk WHERE x BETWEEN 49 AND 50 AND y BETWEEN 950 AND 3000 AND z BETWEEN 0.01 AND 0.02")
+def shrink_reindexed(spark, sf_dir):
+    """Shrink, write the rows anew, index their blocks, which differ in length, and read through that index."""
+    path = new_path(spark, "shrunk")
+    relayout.write_relayout(relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3), path)
+    rows = spark.read.schema(f"{SCHEMA}, block_id long").parquet(path)
+    return query.get_particle(rows, build.minmax_blocks(rows, None, ["position"]), POSITION, COLUMNS, None)
+
+
+@registered("""SELECT iteration, species, block_id, min(pos) AS "start", max(pos) + 1 AS "end", min(x) AS minx, max(x) AS maxx FROM (SELECT iteration, species, pos, x, CASE WHEN pos < 130 THEN 0 ELSE 1 + (pos - 130) // 70 END AS block_id FROM p) GROUP BY iteration, species, block_id""")
+def listed_blocks(spark, sf_dir):
+    """Extrema of blocks from a block list of its own: a first block of 130 rows, then runs of 70."""
+    particles = dump(spark, sf_dir)
+    block = F.when(F.col("pos") < 130, 0).otherwise(1 + F.floor((F.col("pos") - 130) / 70)).cast("long")
+    blocks = block_catalogue(particles.withColumn("block_id", block))
+    rows = with_listed_blocks(particles, blocks)
+    return rows.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("x").alias("minx"), F.max("x").alias("maxx"))
+
+
+@registered(f"""
+SELECT iteration, species, level, block_id // CAST(pow({build.FAN}, level) AS BIGINT) AS node, count(DISTINCT id) AS ids
+FROM b, (SELECT CAST(l AS INTEGER) AS level FROM range(0, 12) t(l) WHERE l = 0 OR (SELECT max(block_id) + 1 FROM b) > pow({build.FAN}, l - 1)) GROUP BY ALL""")
+def ids_per_node(spark, sf_dir):
+    return build.ids_per_node(dump(spark, sf_dir), BLOCK)
+
+
+@registered(f"""
+SELECT h.iteration, h.species, h."start", h."end", count(s."start") AS slices, CAST(coalesce(sum(s."end" - s."start"), 0) AS BIGINT) AS slice_rows
+FROM (SELECT * FROM l1 WHERE record = 'position' AND axis = 'y' AND "min" <= {RANGE[1]} AND "max" >= {RANGE[0]} AND iteration = {STORED[0]} AND species = '{STORED[1]}') h
+LEFT JOIN (SELECT * FROM l2 WHERE record = 'position' AND axis = 'y' AND "min" <= {RANGE[1]} AND "max" >= {RANGE[0]}) s
+ON s.iteration = h.iteration AND s.species = h.species AND s.block_start = h."start" GROUP BY ALL""")
+def stored_minmax_slices(spark, sf_dir):
+    write_index(dump(spark, sf_dir), path := new_path(spark, "index"), "minmax", BLOCK, SLICE, records=["position"])
+    return _slices(MinMaxQuery(spark, path, secondary=True).query_minmax(*STORED, "position", "y", *RANGE))
+
+
+@registered(f"""
+SELECT h.iteration, h.species, h."start", h."end", count(s."start") AS slices, CAST(coalesce(sum(s."end" - s."start"), 0) AS BIGINT) AS slice_rows
+FROM (SELECT * FROM e1 WHERE record = 'position' AND {IN_BOX} AND iteration = {STORED[0]} AND species = '{STORED[1]}') h LEFT JOIN (SELECT * FROM e2 WHERE {IN_BOX}) s
+ON s.iteration = h.iteration AND s.species = h.species AND s.block_start = h."start" GROUP BY ALL""")
+def stored_rtree_slices(spark, sf_dir):
+    write_index(dump(spark, sf_dir), path := new_path(spark, "index"), "rtree", BLOCK, SLICE, records=["position"])
+    return _slices(RTreeQuery(spark, path, secondary=True).query_xyz(*STORED, "position", *(e for a in "xyz" for e in BOX[a])))
+
+
+def _slices(found: DataFrame) -> DataFrame:
+    """How many slices a nested result has, and how many rows they hold."""
+    held = F.map_values("q")
+    rows = F.aggregate(held, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(*GROUP, "start", "end", F.size(held).cast("long").alias("slices"), rows.alias("slice_rows"))
+
+
+@registered("""SELECT layout, iteration, species, count(*) AS particles, min(pos) AS first_pos, max(pos) AS last_pos, min(x) AS minx, max(y) AS maxy FROM p, (SELECT unnest(['group', 'file', 'variable']) AS layout) GROUP BY ALL""")
+def dump_layouts(spark, sf_dir):
+    """The dump written in each of the three layouts and read back."""
+    particles, root, out = dump(spark, sf_dir), new_path(spark, "layouts"), None
+    write_dump(particles, f"{root}/group")
+    particles.write.parquet(f"{root}/variable")
+    for (iteration,) in particles.select("iteration").distinct().collect():  # a folder for each
+        particles.where(F.col("iteration") == iteration).drop("iteration").write.parquet(f"{root}/file/dump_{iteration:06d}.parquet")
+    for layout in ("group", "file", "variable"):
+        made = read_dump(spark, f"{root}/{layout}", layout).groupBy(F.lit(layout).alias("layout"), *GROUP).agg(
+            F.count(F.lit(1)).alias("particles"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("x").alias("minx"), F.max("y").alias("maxy")
+        )
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 @registered(
     """
 WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS i, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)

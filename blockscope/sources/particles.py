@@ -6,7 +6,7 @@ species. Blocks are runs of `block_rows` offsets, slices runs of `slice_rows` wi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockscope.sources.shared import new_path, stored
@@ -19,23 +19,16 @@ def with_positions(rows: DataFrame, order: list[str], group: list[str] = GROUP)
     """Add pos: the row's rank from 0 within its group, by `order` (which should tell rows apart).
 
     No task sees a whole group: rows are sorted over range partitions, and a row's rank is its place in its partition
-    plus the sizes of the group's earlier partitions. Only those sizes, a row for each partition and group that meet,
-    reach the driver.
+    plus the sizes of the group's earlier partitions. Those sizes, a row for each partition and group that meet, are a
+    table, which Spark broadcasts if it is small.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part"), *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()
-    total: dict[tuple, int] = {}
-    before = []
-    for row in sizes:
-        key = tuple(row[g] for g in group)
-        before.append((row["_part"], *key, total.get(key, 0) - row["_first"]))
-        total[key] = total.get(key, 0) + row["_n"]
-    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-    offsets = spark.createDataFrame(before, f"_part long, {kinds}, _shift long")
-    same = placed.withColumn("_part", part).alias("l").join(F.broadcast(offsets.alias("r")), (F.col("l._part") == F.col("r._part")) & _same(group))
+    sizes = placed.groupBy(part.alias("_part"), *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # over one row for each partition
+    offsets = stored(sizes.select("_part", *group, (before - F.col("_first")).alias("_shift")), "offsets")
+    same = placed.withColumn("_part", part).alias("l").join(offsets.alias("r"), (F.col("l._part") == F.col("r._part")) & _same(group))
     return same.select(*(F.col(f"l.{c}") for c in rows.columns), (F.col("l._at") + F.col("r._shift")).alias("pos"))
 
 
@@ -99,12 +92,44 @@ def variable_path(path: Column) -> dict[str, Column]:
     return {"iteration": part(2).cast("int"), "species": part(4), "record": part(5), "axis": part(6)}
 
 
-def with_blocks(particles: DataFrame, block_rows: int, slice_rows: int | None = None) -> DataFrame:
-    """Add block_id (and slice_id within the block): both from the offset, without a shuffle."""
+def with_blocks(particles: DataFrame, block_rows: int | None, slice_rows: int | None = None) -> DataFrame:
+    """Add block_id (and slice_id within the block): both from the offset, without a shuffle. Without block_rows the rows
+    have the block_id of blocks that differ in length; these have no slices."""
+    if block_rows is None:
+        if "block_id" not in particles.columns or slice_rows is not None:
+            raise ValueError("blocks of different lengths need rows with block_id, and have no slices")
+        return particles
     out = particles.withColumn("block_id", F.floor(F.col("pos") / block_rows).cast("long"))
     return out if slice_rows is None else out.withColumn("slice_id", F.floor((F.col("pos") - F.col("block_id") * block_rows) / slice_rows).cast("long"))
 
 
+#: Offsets of one segment; windows of offsets meet rows by segment.
+SEGMENT = 1_000
+
+
+def _by_segment(windows: DataFrame) -> DataFrame:
+    first, last = (F.floor(c / SEGMENT).cast("long") for c in (F.col("start"), F.col("end") - 1))
+    return windows.where("end > start").withColumn("segment", F.explode(F.sequence(first, last)))
+
+
+def in_windows(particles: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows whose offsets lie in one of the windows (iteration, species, start, end) of any lengths: a join on segments."""
+    held = particles.withColumn("segment", F.floor(F.col("pos") / SEGMENT).cast("long")).alias("l")
+    asked = _by_segment(windows.select(*GROUP, "start", "end")).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*GROUP, "segment")]
+    return held.join(asked, [*same, F.col("l.pos") >= F.col("r.start"), F.col("l.pos") < F.col("r.end")], "left_semi").drop("segment")
+
+
+def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Add block_id from a block list (iteration, species, block_id, start, count) of blocks of any lengths that don't
+    overlap. Rows outside all of them go."""
+    held = particles.drop("block_id").withColumn("segment", F.floor(F.col("pos") / SEGMENT).cast("long")).alias("l")
+    listed = _by_segment(blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end"))).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*GROUP, "segment")]
+    met = held.join(listed, [*same, F.col("l.pos") >= F.col("r.start"), F.col("l.pos") < F.col("r.end")])
+    return met.select(*(F.col(f"l.{c}") for c in held.columns if c != "segment"), "r.block_id")
+
+
 def block_catalogue(blocked: DataFrame) -> DataFrame:
     """(iteration, species, block_id, start, count) of each block: one row each, whatever the records."""
     return blocked.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("count"))

@@ -160,6 +160,41 @@ def test_shrink_keeps_rows_of_flat_blocks(spark):
     assert [r["start"] for r in cells] == [0, *[sum(c["count"] for c in cells[:k]) for k in range(1, len(cells))]]
 
 
+def test_shrunk_rows_are_indexed_and_read(spark, tmp_path):
+    rnd = random.Random(3)
+    p = table(spark, [rnd.random() for _ in range(230)], ys=[rnd.random() for _ in range(230)]).unionByName(table(spark, [1, 1, 2], species="i"))
+    p = p.withColumn("charge", F.col("pos") % 3).cache()
+    rows = relayout.shrink_rows(p, 50, 2).cache()
+    want = {(r["species"], r["start"]): (k, r["count"]) for s in "ei" for k, r in enumerate(relayout.shrink(p, 50, 2).where(F.col("species") == s).orderBy("start").collect())}
+    got = {(r["species"], r["start"]): (r["block_id"], r["count"]) for r in source.block_catalogue(rows).collect()}
+    assert got == want and {c for _, c in want.values()} != {50}
+    assert sorted(r["pos"] for r in rows.where("species = 'e'").collect()) == list(range(230))
+    assert sorted(map(tuple, rows.select("species", "id", "x", "charge").collect())) == sorted(map(tuple, p.select("species", "id", "x", "charge").collect()))
+    conditions = {("position", "x"): (0.2, 0.4), ("position", "y"): (0.5, 0.9)}
+    found = query.get_particle(rows, build.minmax_blocks(rows, None), conditions, ["id"], None)
+    assert sorted(found.collect()) == sorted(p.where("x between 0.2 and 0.4 and y between 0.5 and 0.9").select("id").collect())
+    listed = source.with_listed_blocks(rows, source.block_catalogue(rows))
+    assert sorted(map(tuple, listed.select("species", "pos", "block_id").collect())) == sorted(map(tuple, rows.select("species", "pos", "block_id").collect()))
+    with pytest.raises(ValueError):
+        build.minmax_blocks(p, None)
+    with pytest.raises(ValueError):
+        source.with_blocks(rows, None, 2)
+    assert relayout.shrink_rows(p.where("false"), 50, 2).count() == 0
+
+
+def test_windows_longer_than_a_segment(spark):
+    p = table(spark, range(3500))
+    windows = spark.createDataFrame([(50, "e", 990, 3005), (50, "e", 3005, 3005), (50, "e", 3400, 9000), (60, "e", 0, 50)], "iteration int, species string, start long, end long")
+    assert sorted(r["pos"] for r in source.in_windows(p, windows).collect()) == [*range(990, 3005), *range(3400, 3500)]
+
+
+def test_distinct_ids_of_nodes(spark):
+    p = table(spark, range(40), ids=[k % 7 for k in range(40)])
+    got = {(r["level"], r["node"]): r["ids"] for r in build.ids_per_node(p, 2).collect()}
+    assert len([k for k in got if k[0] == 0]) == 20 and {got[0, k] for k in range(20)} == {2}
+    assert (got[1, 0], got[1, 1], got[2, 0]) == (7, 7, 7)
+
+
 def test_extend_and_catalogue(spark, tmp_path):
     p = table(spark, range(10))
     merged = relayout.extend(p, 2, 2)
@@ -219,6 +254,14 @@ def test_logs(spark, tmp_path):
     assert benchlog.pivoted(benchlog.means(runs, "minmax"), [2]).first()["2"] == 4.5
     benchlog.write_summary(runs, f"{tmp_path}/summary")
     assert spark.read.csv(f"{tmp_path}/summary", header=True).count() == 2
+    assert sorted(map(tuple, benchlog.read_summary(spark, f"{tmp_path}/summary").collect())) == sorted(map(tuple, runs.collect()))
+    (tmp_path / "read.txt").write_text("".join(f"Blocks {k} Count {10 * k}\nread in {k}.5 s\n" for k in range(1, 400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # a log over many splits
+    try:
+        pairs = sorted(map(tuple, benchlog.read_pairs(spark, f"{tmp_path}/read.txt").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert pairs == [(k, 10 * k, k + 0.5) for k in range(1, 400)]
 
 
 def test_incremental_index_equals_a_batch_build(spark, tmp_path):
