@@ -8,8 +8,8 @@
 3. The full sets of each cluster meet, and links are confirmed on exact intersections; again a forest of the links
    leaves. Its components are the result.
 
-Buckets and clusters of more than BLOCK nodes are cut into blocks, and each pair of blocks is a group of its own, so no
-task holds an unbounded group and no pair is left out. A pair at the threshold escapes all bands, or the sketch bound,
+Buckets and clusters of more than BLOCK nodes, and clusters of more than BLOCK_SHINGLES shingles, are cut into blocks, and
+each pair of blocks is a group of its own, so no task holds an unbounded group and no pair is left out. A pair at the threshold escapes all bands, or the sketch bound,
 with a probability of about MISS each.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than a
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockscope.llm.common import materialize, text_slices
@@ -35,6 +35,8 @@ from blockscope.llm.graph import connected_components
 
 MISS = 1e-6
 BLOCK = 512
+#: Shingles of a block's full sets, in the mean; a longer text is a block of its own.
+BLOCK_SHINGLES = 2_000_000
 SKETCH_BITS = 256
 #: Keys of oversized groups that may be broadcast; with more of them the join is left to Spark.
 MAX_HOT = 100_000
@@ -142,9 +144,11 @@ def _signatures(width: int, threshold: float, id_col: str, text_col: str) -> Cal
     return run
 
 
-def _in_blocks(members: DataFrame, key: str, node: str) -> DataFrame:
-    """The rows with a group for each pair of blocks of their key: columns `left`, `right` (blocks) and `mine`."""
-    hot = materialize(members.groupBy(key).count().where(F.col("count") > BLOCK).select(key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-groups")
+def _in_blocks(members: DataFrame, key: str, node: str, weight: Column | None = None) -> DataFrame:
+    """The rows with a group for each pair of blocks of their key: columns `left`, `right` (blocks) and `mine`. A block has
+    some BLOCK rows and, given their weight in shingles, some BLOCK_SHINGLES."""
+    sizes = [F.ceil(F.count(F.lit(1)) / BLOCK), *([] if weight is None else [F.ceil(F.sum(weight) / BLOCK_SHINGLES)]), F.lit(1)]
+    hot = materialize(members.groupBy(key).agg(F.least(F.count(F.lit(1)), F.greatest(*sizes)).cast("int").alias("blocks")).where("blocks > 1"), "hot-groups")
     n = hot.count()
     one = {"left": F.lit(0), "right": F.lit(0), "mine": F.lit(0)}
     if not n:
@@ -220,13 +224,14 @@ def _link_forest(percent: int, bound: int) -> Callable:
             flat = np.concatenate(hashes)
             distinct, place, times = np.unique(flat, return_inverse=True, return_counts=True)
             column = np.cumsum(times > 1) - 1
-            row = np.repeat(np.arange(len(nodes)), sizes)
-            shared = times[place] > 1
             wide = (int((times > 1).sum()) + 63) // 64 * 64
-            has = np.zeros((len(nodes), wide), bool)
-            has[row[shared], column[place[shared]]] = True
-            maps = np.packbits(has, axis=1).view(np.uint64) if wide else np.zeros((len(nodes), 0), np.uint64)
-            del has, flat, distinct, place
+            maps, ends = np.zeros((len(nodes), wide // 64), np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+            for k in range(len(nodes) if wide else 0):
+                has = np.zeros(wide, bool)
+                mine_at = place[ends[k] : ends[k + 1]]
+                has[column[mine_at[times[mine_at] > 1]]] = True
+                maps[k] = np.packbits(has).view(np.uint64)
+            del flat, distinct, place
             near = [np.bitwise_count(bits ^ bits[k]).sum(axis=1) <= bound for k in range(len(nodes))]
             across = len(set(mine.tolist())) > 1
             forest, group = Forest(len(nodes)), np.arange(len(nodes))
@@ -289,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(clustered.hint("merge"), "node")  # one plan at every size
     full = materialize(texts.select("cluster", "node", "digest", "sketch", "text").mapInArrow(_with_sets(width), "cluster long, node long, sketch binary, hashes binary"), "sets")
     group = ["cluster", "left", "right"]
-    met = _in_blocks(full, "cluster", "node").select(*group, "node", "sketch", "mine", "hashes").repartition(parts, *group).sortWithinPartitions(*group)
+    met = _in_blocks(full, "cluster", "node", F.octet_length("hashes") / 8).select(*group, "node", "sketch", "mine", "hashes").repartition(parts, *group).sortWithinPartitions(*group)
     components = materialize(connected_components(met.mapInArrow(_link_forest(percent, bound), "a long, b long")), "components")
 
     named = nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

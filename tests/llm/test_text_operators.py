@@ -85,8 +85,25 @@ def test_oversized_groups_are_cut_into_blocks(spark, docs, monkeypatch):
     from blockscope.llm import near_dedup
 
     want = sorted(map(tuple, near_dedup.near_duplicates(docs, 3, 85).select("doc_id", "component_id").where("doc_id is not null").collect()))
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    assert sorted(map(tuple, near_dedup.near_duplicates(docs, 3, 85).select("doc_id", "component_id").where("doc_id is not null").collect())) == want
+    for name, size in (("BLOCK", 4), ("BLOCK_SHINGLES", 150)):
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup, name, size)
+            assert sorted(map(tuple, near_dedup.near_duplicates(docs, 3, 85).select("doc_id", "component_id").where("doc_id is not null").collect())) == want, name
+
+
+def test_blocks_of_a_hot_cluster_are_bounded_by_shingles(spark, monkeypatch):
+    from blockscope.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
+    members = spark.range(60).select(F.lit(1).alias("cluster"), F.col("id").alias("node"), F.lit(100).alias("n")).unionByName(spark.createDataFrame([(2, 1, 10**7), (3, 1, 10**7), (3, 2, 5)], "cluster int, node long, n int"))
+    groups = near_dedup._in_blocks(members, "cluster", "node", F.col("n")).cache()
+    met = {}
+    for r in groups.collect():
+        met.setdefault((r["cluster"], r["left"], r["right"]), []).append(r["node"])
+    assert all(len(nodes) < 45 for (c, *_), nodes in met.items() if c == 1) and (2, 0, 0) in met
+    pairs = {(a, b) for (c, *_), nodes in met.items() if c == 1 for a in nodes for b in nodes if a < b}
+    assert len(pairs) == 60 * 59 // 2  # every pair meets
+    assert any(c == 3 and set(nodes) == {1, 2} for (c, *_), nodes in met.items())
 
 
 def test_drop_near_duplicates_keeps_columns_and_one_of_each_group(spark, docs):
