@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockscope.llm import oracle
+from blockscope.llm import bpe_index, oracle
 from blockscope.llm.common import load, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
@@ -60,6 +61,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe_index.decode(bpe_index.encode(load(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +78,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_bpe": op11_bpe,
 }
 #: The others need a tokenizer, a parser, a learned model or sums of logarithms, which SQL does not give to the last bit; tests/llm checks them.
 ORACLE: dict[str, str] = {
