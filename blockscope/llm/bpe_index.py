@@ -29,9 +29,9 @@ from blockscope.llm.common import text_slices
 from blockscope.llm.splitter import WordSplitter
 
 #: Entries of a worker's caches (words, and as many chunks), and the longest that are kept, in bytes.
-CACHE, LONG = 600_000, 64
-#: Symbols that are indexed together.
-BATCH = 1 << 19
+CACHE, LONG = 300_000, 64
+#: Symbols that are indexed together, and bytes of text that are taken together.
+BATCH, SLICE = 1 << 18, 2 << 20
 END = "</w>"
 
 
@@ -226,20 +226,23 @@ def _decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, token_ids) for each row; token_ids is binary, 4 little-endian bytes for each id. No shuffle."""
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, token_ids) for each row; token_ids is binary, 4 little-endian bytes for each id. No shuffle. With
+    `decoded`, also the text that the ids decode to, made in the same worker, as from `decode`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            for begin, texts in text_slices(batch, text_col):
+            for begin, texts in text_slices(batch, text_col, SLICE):
                 ids = encoder.encode(texts)
                 part = batch.slice(begin, len(texts))
                 columns = [part.column(part.schema.get_field_index(id_col)), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "token_ids"])
+                if decoded:
+                    columns.append(pa.array(map(_decoder(tokenizer_path).decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "token_ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, token_ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, token_ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -251,7 +254,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token_ids")
             at, begin = batch.schema.get_field_index(ids_col), 0
             while begin < batch.num_rows:
                 texts, size, end = [], 0, begin
-                while end < batch.num_rows and size < 4 << 20:
+                while end < batch.num_rows and size < SLICE:
                     ids = batch.column(at)[end].as_py()
                     texts.append(None if ids is None else decoder.decode(ids))
                     size, end = size + len(ids or b""), end + 1

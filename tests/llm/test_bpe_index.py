@@ -69,6 +69,7 @@ def test_awkward_tables(spark):
     assert sorted(((r["doc_id"], r["n_tokens"], r["decoded"][:12]) for r in got.collect()), key=str) == sorted(
         [(1, 0, ""), (None, 0, ""), (2, 2, "a</w> b</w>"), (2, 2, "a</w> b</w>"), (3, 20000, "word</w> wor")], key=str
     )
+    assert sorted(map(str, bpe_index.encode(docs, PATH, decoded=True).collect())) == sorted(map(str, got.collect()))
     assert bpe_index.decode(bpe_index.encode(docs.limit(0), PATH), PATH).count() == 0
     nulls = bpe_index.decode(spark.createDataFrame([(None,)], "token_ids binary"), PATH)
     assert nulls.first()["decoded"] is None
