@@ -77,3 +77,72 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots ON spots.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+
+#: The unsigned CRC-32 of the text in {0}, bit by bit.
+CRC32 = """CAST(xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), lambda b: [CAST(ascii(b) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) AS BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+_MEMBERS = "SELECT *, string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM"
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claimed FROM documents
+), g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+leaves AS (
+  SELECT doc_id, leaf, claimed, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY tree) AS n FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source
+), levels AS (
+  SELECT tree, 0 AS lev, nth, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, lev + 1, nth // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY nth)) FROM levels WHERE n > 1 GROUP BY tree, lev, nth // 3, n
+), tops AS (
+  SELECT -1 AS tree, 0 AS lev, tree AS nth, (SELECT count(*) FROM g) AS n, h FROM levels WHERE n = 1
+  UNION ALL
+  SELECT tree, lev + 1, nth // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY nth)) FROM tops WHERE n > 1 GROUP BY tree, lev, nth // 3, n
+), members AS (
+  {_MEMBERS} (SELECT * FROM levels WHERE n > 1 UNION ALL SELECT * FROM tops WHERE n > 1) WINDOW run AS (PARTITION BY tree, lev, nth // 3 ORDER BY nth)
+), nodes AS (
+  SELECT tree, lev, nth, coalesce(before, '') AS before, coalesce(after, '') AS after, CASE WHEN n <= 3 AND tree >= 0 THEN -1 ELSE tree END AS up_tree,
+    CASE WHEN n <= 3 AND tree >= 0 THEN 0 ELSE lev + 1 END AS up_lev, CASE WHEN n <= 3 AND tree >= 0 THEN tree ELSE nth // 3 END AS up_nth FROM members
+), climb AS (
+  SELECT tree AS own, nth AS own_nth, CASE WHEN n = 1 THEN -1 ELSE tree END AS tree, 0 AS lev, CASE WHEN n = 1 THEN tree ELSE nth END AS nth, claimed AS h, '' AS proof, 0 AS step FROM leaves
+  UNION ALL
+  SELECT own, own_nth, up_tree, up_lev, up_nth, sha256(before || h || after), proof || before || after, step + 1 FROM climb JOIN nodes USING (tree, lev, nth)
+), last AS (SELECT own, own_nth, arg_max(h, step) AS folded_root, sha256(arg_max(proof, step)) AS proof_sha256 FROM climb GROUP BY own, own_nth)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified
+FROM leaves JOIN last ON own = leaves.tree AND own_nth = leaves.nth JOIN (SELECT tree, h FROM levels WHERE n = 1) s ON s.tree = leaves.tree, (SELECT h FROM tops WHERE n = 1) r
+"""
+
+PREFIX_TRIE = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k,
+    CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '') AS token, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT c, count(*) AS n, {CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h, c - c % 20 AS d FROM t GROUP BY c),
+plan AS (SELECT x.c, x.d, CASE WHEN x.c = x.d THEN 0 ELSE x.h END AS h, CASE WHEN x.c = x.d THEN 0 ELSE least(x.h, coalesce(y.n, 0)) END AS g FROM c x LEFT JOIN c y ON y.c = x.d),
+r AS (
+  SELECT p.c, t.k - p.h + p.g AS k, token, words FROM plan p JOIN t ON t.c = p.c WHERE t.k >= p.h
+  UNION ALL SELECT p.c, t.k, token, words FROM plan p JOIN t ON t.c = p.d WHERE t.k < p.g
+), path AS (
+  SELECT c, k + 1 AS d, sha256(string_agg(sha256(token), ',') OVER (PARTITION BY c ORDER BY k)) AS node, coalesce(sha256(string_agg(sha256(token), ',') OVER (PARTITION BY c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS up,
+    words, k + 1 = count(*) OVER (PARTITION BY c) AS ends FROM r
+  UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM r) FROM plan
+), nodes AS (
+  SELECT d, node, up, min(c) AS owner, count(*) AS n, max(words) AS words, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM path GROUP BY d, node, up
+), kids AS (SELECT up AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT x.d, x.node, x.owner, (x.n - 1) * x.words AS saved, k.n IS NULL AS leaf FROM nodes x LEFT JOIN kids k USING (d, node)),
+sums AS (
+  SELECT p.d, p.node, sum(o.saved) AS saved, count(*) FILTER (WHERE o.leaf) AS leaves FROM path p JOIN own o ON o.owner = p.c AND o.d >= p.d GROUP BY p.d, p.node
+)
+SELECT x.owner AS conv_id, CAST(x.d AS BIGINT) AS depth, y.owner AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums s USING (d, node) LEFT JOIN kids k USING (d, node) LEFT JOIN nodes y ON y.d = x.d - 1 AND y.node = x.up
+"""

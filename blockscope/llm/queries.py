@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockscope.llm import bpe_index, oracle
+from blockscope.llm import bpe_index, merkle, oracle
 from blockscope.llm.common import load, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
@@ -14,6 +14,7 @@ from blockscope.llm.line_dedup import line_report
 from blockscope.llm.near_dedup import near_duplicates
 from blockscope.llm.ngram import held_out_scores
 from blockscope.llm.packing import pack
+from blockscope.llm.prefix_trie import prefix_trie
 from blockscope.llm.quality_rules import quality_verdicts
 from blockscope.llm.sharding import shard_by_bytes
 from blockscope.llm.token_counts import token_counts
@@ -63,8 +64,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe_index.decode(bpe_index.encode(load(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_index.encode(load(spark, sf_dir, "documents"), path, decoded=True).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build_manifest(load(spark, sf_dir, "documents"), claimed=merkle.without_newlines)
+    return merkle.verify(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(load(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
@@ -79,6 +88,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_bpe": op11_bpe,
+    "op12_merkle": op12_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 #: The others need a tokenizer, a parser, a learned model or sums of logarithms, which SQL does not give to the last bit; tests/llm checks them.
 ORACLE: dict[str, str] = {
@@ -86,4 +97,6 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": oracle.LINE_DEDUP,
     "op7_warc": oracle.WARC,
     "op8_decontamination": oracle.DECONTAMINATION,
+    "op12_merkle": oracle.MERKLE,
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
