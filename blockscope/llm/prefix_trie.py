@@ -93,7 +93,7 @@ class SlotTable:
 class Shard:
     """The nodes of a shard's rows: slots, parent slots, and sums over subtrees."""
 
-    def __init__(self, rows: dict[str, np.ndarray]):
+    def __init__(self, rows: dict[str, np.ndarray], segment: int):
         names = [rows[c] for c in NAME]
         order = np.lexsort(names)
         new = np.ones(len(order), bool)
@@ -103,9 +103,11 @@ class Shard:
         self.row = np.empty(len(first), np.int64)  # a row of each slot's node
         self.row[self.table.slots] = first
         self.of_row = self.table.find(*names)
+        if any((rows[c] != rows[c][self.row][self.of_row]).any() for c in (*PARENT, "words") if c in rows):
+            raise ValueError("prefix digests collide")
         depth, pa, pb = (rows[c][self.row] for c in ("depth", *PARENT))
         self.parent = self.table.find(depth - 1, pa, pb)
-        self.parent[depth == 0] = -1
+        self.parent[(depth == 0) | (depth > 1) & ((depth - 1) % segment == 0)] = -1  # pieces of a path are linked by what enters at their ends
         by_depth = np.argsort(-depth, kind="stable")
         self.levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)
 
@@ -121,10 +123,10 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def _local_counts(table: pa.Table) -> pa.Table:
+def _local_counts(table: pa.Table, segment: int) -> pa.Table:
     """Members of each node among the shard's paths, and the smallest of them."""
     rows = _columns(table)
-    shard = Shard(rows)
+    shard = Shard(rows, segment)
     order = np.lexsort((rows["depth"], rows["piece"], rows["conv"]))  # the deepest row of each piece stands for it
     last = np.ones(len(order), bool)
     last[:-1] = (rows["conv"][order[1:]] != rows["conv"][order[:-1]]) | (rows["piece"][order[1:]] != rows["piece"][order[:-1]])
@@ -137,10 +139,10 @@ def _local_counts(table: pa.Table) -> pa.Table:
     return pa.table({c: rows[c][shard.row] for c in (*NAME, *PARENT, "words")} | {"members": members, "owner": smallest})
 
 
-def _local_sums(table: pa.Table) -> pa.Table:
+def _local_sums(table: pa.Table, segment: int) -> pa.Table:
     """Sums over the subtrees of each node, of what the shard's paths own."""
     rows = _columns(table)
-    shard = Shard(rows)
+    shard = Shard(rows, segment)
     sums = {}
     for c in ("saved", "leaves"):
         sums[c] = np.zeros(len(shard.row), np.int64)
@@ -214,9 +216,10 @@ def paths_of(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     return below.unionByName(root)
 
 
-def _sharded(rows: DataFrame, shards: int, work: Callable[[pa.Table], pa.Table], columns: list[str], schema: str) -> DataFrame:
+def _sharded(rows: DataFrame, shards: int, work: Callable[[pa.Table, int], pa.Table], columns: list[str], schema: str) -> DataFrame:
+    segment = SEGMENT
     shard = F.pmod(F.xxhash64("conv", "piece"), F.lit(shards)).cast("int").alias("shard")
-    return rows.select(shard, *columns).groupBy("shard").applyInArrow(lambda table: work(table.select(columns)), schema)
+    return rows.select(shard, *columns).groupBy("shard").applyInArrow(lambda table: work(table.select(columns), segment), schema)
 
 
 def prefix_trie(conversations: DataFrame, every: int = 20) -> DataFrame:
