@@ -6,8 +6,11 @@ size keep their error rate by having more segments, and small ones have a shorte
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,58 @@ def may_contain(bitmap: Column, bits: Column) -> Column:
     return F.forall(bits, lambda p: _is_set(bitmap, p))
 
 
-def may_hold(bitmap: Column, id_: Column, k: int, bits: int = BITS, seed: int = 0) -> Column:
-    """As may_contain for an id, one condition for each hash function: the first clear bit ends the probe."""
-    return reduce(lambda x, y: x & y, (_is_set(bitmap, F.pmod(F.xxhash64(id_, F.lit(n)), F.lit(bits)).cast("long")) for n in range(seed, seed + k)))
+def _power(n: float) -> int:
+    """The smallest power of two that is at least n."""
+    return 1 << max(0, math.ceil(n) - 1).bit_length()
+
+
+@dataclass(frozen=True)
+class FilterShape:
+    """Sizes of the filters of a packed tree, by level: leaves (level 0) hold about `leaf_rows` ids, nodes of the next level
+    `capacity` times as many. A leaf's filter has `bits_per_key` bits for an id, and each level above one bit less.
+
+    Sizes are powers of two, and all bits of an id come from the same two hashes, so that a child's bits are a fold of its
+    parent's and an id is hashed once for all levels. An id belongs to one segment of a filter."""
+
+    leaf_rows: int
+    capacity: int
+    bits_per_key: float
+    seed: int = 0
+
+    def per_key(self, level: int) -> float:
+        return max(1.0, self.bits_per_key - level)
+
+    def _total(self, level: int) -> float:
+        return self.leaf_rows * self.capacity**level * self.per_key(level)
+
+    def segments(self, level: int) -> int:
+        return _power(self._total(level) / BITS)
+
+    def bits(self, level: int) -> int:
+        return min(BITS, max(64, _power(self._total(level))))
+
+    def hashes(self, level: int) -> int:
+        return hash_count(self.per_key(level))
+
+    def hashed(self, id_: Column) -> dict[str, Column]:
+        """The two hashes that all levels use: one for the segment, one for the bits."""
+        return {"_g": F.xxhash64(id_, F.lit(-1 - self.seed)), "_h": F.xxhash64(id_, F.lit(self.seed))}
+
+    def segment(self, level: int) -> Column:
+        return F.col("_g").bitwiseAND(F.lit(self.segments(level) - 1)).cast("int")
+
+    def may_hold(self, bitmap: Column, level: int) -> Column:
+        """Whether all bits of an id are set, one condition for each: the first clear bit ends the probe. False is certain."""
+        low, high = F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("_h", 32).bitwiseOR(F.lit(1))
+        return reduce(lambda x, y: x & y, (_is_set(bitmap, (low + high * n).bitwiseAND(F.lit(self.bits(level) - 1))) for n in range(self.hashes(level))))
+
+    def bitmaps(self, level: int, node: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(node, segment, bitmap) of ids, given by their nodes and hashes, that are all of a tree."""
+        segments, bits = self.segments(level), self.bits(level)
+        keys, at = np.unique(node * segments + (g & (segments - 1)), return_inverse=True)
+        held = np.zeros(len(keys) * (bits // 8), np.uint8)
+        low, high = h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF | 1
+        for n in range(self.hashes(level)):
+            bit = (low + high * n) & (bits - 1)
+            np.bitwise_or.at(held, at * (bits // 8) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+        return keys // segments, keys % segments, [row.tobytes() for row in held.reshape(len(keys), -1)]

@@ -7,16 +7,19 @@ row for each block and task through the shuffle. Axes are unpivoted after aggreg
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.functions.predicates import highest, lowest
-from blockscope.sources.particles import AXES, GROUP, with_blocks, with_positions
+from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, matched, with_blocks, with_positions
 from blockscope.sources.shared import stored
 
-#: Children of a node of the filter tree.
+#: Blocks of a node for which distinct ids are counted, as a power for each level.
 FAN = 16
 #: First hash function of each record's filters, so that their false positives are independent.
 SEEDS = {"position": 0, "momentum": bloom.MOST}
@@ -24,7 +27,8 @@ ENVELOPE = ["minx", "maxx", "miny", "maxy", "minz", "maxz"]
 
 
 def _extrema(blocked: DataFrame, keys: list[str], records: list[str]) -> DataFrame:
-    made = [F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")]
+    start = "block_start" if "block_start" in blocked.columns and "slice_id" not in keys else "pos"
+    made = [F.min(start).alias("start"), (F.max("pos") + 1).alias("end")]
     for record in records:
         for axis, column in AXES[record].items():
             made += [lowest(F.col(column)).alias(f"{record}_{axis}_min"), highest(F.col(column)).alias(f"{record}_{axis}_max")]
@@ -36,19 +40,25 @@ def _by_axis(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
     return wide.select(*keep, F.inline(cases))
 
 
-def minmax_blocks(particles: DataFrame, block_rows: int | None, records: list[str] | None = None) -> DataFrame:
-    """(iteration, species, start, end, record, axis, min, max): a row for each block and axis. NaN is ignored. Without
-    block_rows the rows' own block_id counts."""
+def _blocked(particles: DataFrame, layout: Layout) -> DataFrame:
+    """Rows that carry their block need nothing else: its start is its least offset."""
+    return particles if layout is None and "block_id" in particles.columns else with_blocks(particles, layout)
+
+
+def _by_slice(particles: DataFrame, layout: Layout, slice_rows: int, records: list[str]) -> DataFrame:
+    return _extrema(with_blocks(particles, layout, slice_rows), [*GROUP, "block_id", "block_start", "slice_id"], records)
+
+
+def minmax_blocks(particles: DataFrame, layout: Layout, records: list[str] | None = None) -> DataFrame:
+    """(iteration, species, start, end, record, axis, min, max): a row for each block and axis. NaN is ignored."""
     records = records or list(AXES)
-    wide = _extrema(with_blocks(particles, block_rows), [*GROUP, "block_id"], records)
-    return _by_axis(wide, [*GROUP, "start", "end"], records)
+    return _by_axis(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
 
 
-def minmax_slices(particles: DataFrame, block_rows: int, slice_rows: int, records: list[str] | None = None) -> DataFrame:
+def minmax_slices(particles: DataFrame, layout: Layout, slice_rows: int, records: list[str] | None = None) -> DataFrame:
     """As for blocks, for each slice, with its block's start."""
     records = records or list(AXES)
-    wide = _extrema(with_blocks(particles, block_rows, slice_rows), [*GROUP, "block_id", "slice_id"], records)
-    return _by_axis(wide.withColumn("block_start", F.col("block_id") * block_rows), [*GROUP, "block_start", "start", "end"], records)
+    return _by_axis(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
 
 
 def rollup_slices(slices: DataFrame) -> DataFrame:
@@ -61,16 +71,15 @@ def _envelopes(wide: DataFrame, keep: list[str], records: list[str]) -> DataFram
     return wide.select(*keep, F.inline(cases))
 
 
-def leaf_envelopes(particles: DataFrame, block_rows: int | None, records: list[str] | None = None) -> DataFrame:
+def leaf_envelopes(particles: DataFrame, layout: Layout, records: list[str] | None = None) -> DataFrame:
     """(iteration, species, start, end, record, minx ... maxz) of each block."""
     records = records or list(AXES)
-    return _envelopes(_extrema(with_blocks(particles, block_rows), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
+    return _envelopes(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
 
 
-def slice_envelopes(particles: DataFrame, block_rows: int, slice_rows: int, records: list[str] | None = None) -> DataFrame:
+def slice_envelopes(particles: DataFrame, layout: Layout, slice_rows: int, records: list[str] | None = None) -> DataFrame:
     records = records or list(AXES)
-    wide = _extrema(with_blocks(particles, block_rows, slice_rows), [*GROUP, "block_id", "slice_id"], records)
-    return _envelopes(wide.withColumn("block_start", F.col("block_id") * block_rows), [*GROUP, "block_start", "start", "end"], records)
+    return _envelopes(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
 
 
 def hull(nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -92,10 +101,10 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
     widest = sizes.agg(F.max("n")).first()[0] or 0
     most = max(2, math.ceil((widest / capacity) ** (1 / 3)))
     marks = [k / most for k in range(1, most)]
-    out = leaves.join(sizes.select(*key, slabs.alias("slabs")), key)
+    out = matched(leaves, sizes.select(*key, slabs.alias("slabs")), key)
     for axis, tile, by in (("x", "tile_x", key), ("y", "tile_y", [*key, "tile_x"])):
         out = out.withColumn("centre", (F.col(f"min{axis}") + F.col(f"max{axis}")) / 2)
-        out = out.join(out.groupBy(*by).agg(F.percentile_approx("centre", marks, max(1000, 20 * most)).alias("cuts")), by)
+        out = matched(out, out.groupBy(*by).agg(F.percentile_approx("centre", marks, max(1000, 20 * most)).alias("cuts")), by)
         out = out.withColumn(tile, F.floor(F.size(F.filter("cuts", lambda c: c < F.col("centre"))) * F.col("slabs") / most).cast("int")).drop("cuts")
     out = out.withColumn("centre", (F.col("minz") + F.col("maxz")) / 2).drop("slabs")
     ranked = with_positions(out, ["tile_x", "tile_y", "centre", "start"], key).drop("tile_x", "tile_y", "centre")
@@ -139,14 +148,89 @@ def ids_per_node(particles: DataFrame, block_rows: int) -> DataFrame:
     return out
 
 
-def filter_tree(particles: DataFrame, block_rows: int, bits_per_key: float = 10, record: str = "position") -> DataFrame:
-    """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of blocks (level 0) and of runs
-    of FAN^level blocks, each sized by its rows, up to a single run for the largest species."""
-    out = None
-    for level in range(_levels(particles, block_rows)):
-        rows = block_rows * FAN**level
-        ids = particles.select(*GROUP, F.floor(F.col("pos") / rows).cast("long").alias("node"), "id").where("id is not null")
-        made = bloom.build(ids, [*GROUP, "node"], segments=bloom.segments_for(rows, bits_per_key), k=bloom.hash_count(bits_per_key), bits=bloom.bits_for(rows, bits_per_key), seed=SEEDS[record])
-        made = made.select(*GROUP, F.lit(record).alias("record"), F.lit(level).alias("level"), "node", "segment", "bitmap")
-        out = made if out is None else out.unionByName(made)
-    return out
+def sketch_ids_per_node(particles: DataFrame, tree: DataFrame, layout: Layout, record: str = "position", lg_k: int = 12) -> DataFrame:
+    """(iteration, species, level, node, sketch, ids): about how many distinct ids each node of a packed tree holds. One pass over
+    the rows makes the leaves' sketches, and each node's is the union of its children's; the error is about 1.04 / 2^(lg_k / 2)."""
+    nodes = tree.where(F.col("record") == record)
+    leaves = nodes.where("level = 0").select(*GROUP, F.col("start").alias("block_start"), "node", "parent")
+    rows = with_blocks(particles, layout).where("id is not null").groupBy(*GROUP, "block_start").agg(F.hll_sketch_agg("id", F.lit(lg_k)).alias("sketch"))
+    made = stored(matched(leaves, rows, [*GROUP, "block_start"]).drop("block_start"), "sketches")
+    out, top = made.withColumn("level", F.lit(0)), nodes.agg(F.max("level")).first()[0] or 0
+    for level in range(1, top + 1):
+        up = made.groupBy(*GROUP, F.col("parent").alias("node")).agg(F.hll_union_agg("sketch").alias("sketch"))
+        parents = nodes.where(F.col("level") == level).select(*GROUP, "node", "parent")
+        made = stored(matched(up, parents, [*GROUP, "node"]), "sketches")
+        out = out.unionByName(made.withColumn("level", F.lit(level)))
+    return out.select(*GROUP, "level", "node", "sketch", F.hll_sketch_estimate("sketch").alias("ids"))
+
+
+def filter_shape(particles: DataFrame, layout: Layout, bits_per_key: float, capacity: int = 10, record: str = "position") -> bloom.FilterShape:
+    """Filter sizes for a layout. Blocks that differ in length are taken at their mean: longer ones have more false positives."""
+    rows = layout
+    if not isinstance(layout, int):
+        blocks = layout if layout is not None else block_catalogue(particles)
+        rows = math.ceil(blocks.agg(F.avg("count")).first()[0] or 1)
+    return bloom.FilterShape(rows, capacity, float(bits_per_key), SEEDS[record])
+
+
+#: Ids of a task that are turned into bitmaps at a time.
+AT_ONCE = 500_000
+
+
+def _runs(table: pa.Table) -> list[tuple[int, int]]:
+    """Where iteration and species stay the same in rows that are sorted by them."""
+    change = np.zeros(table.num_rows, bool)
+    change[:1] = True
+    for c in GROUP:
+        codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    begins = np.flatnonzero(change).tolist()
+    return list(zip(begins, [*begins[1:], table.num_rows]))
+
+
+def node_filters(particles: DataFrame, tree: DataFrame, layout: Layout, shape: bloom.FilterShape, record: str = "position") -> DataFrame:
+    """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of the packed tree's nodes, the
+    root's left out unless it is a leaf. Null ids don't count.
+
+    Ids are hashed once and sorted once, by their leaf's number, in which the nodes of every level are runs; a task turns its
+    runs into bitmaps of all levels. Only bitmaps at the ends of what a task has at a time are merged with others."""
+    nodes = tree.where(F.col("record") == record)
+    leaves = nodes.where("level = 0").select(*GROUP, F.col("start").alias("block_start"), F.col("node").alias("leaf"))
+    levels = max(1, nodes.agg(F.max("level")).first()[0] or 0)
+    ids = with_blocks(particles, layout).where("id is not null").select(*GROUP, "block_start", "id")
+    ids = matched(ids, leaves, [*GROUP, "block_start"]).select(*GROUP, "leaf", *(c.alias(n) for n, c in shape.hashed(F.col("id")).items()))
+    parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = ids.repartitionByRange(parts, *GROUP, "leaf").sortWithinPartitions(*GROUP, "leaf")
+    made_of = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("segment", pa.int32()), ("bitmap", pa.binary()), ("whole", pa.bool_())])
+
+    def made(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        for begin, end in _runs(table):
+            part = table.slice(begin, end - begin)
+            leaf, g, h = (part.column(c).to_numpy() for c in ("leaf", "_g", "_h"))
+            for level in range(levels):
+                node, segment, bitmaps = shape.bitmaps(level, leaf // shape.capacity**level, g, h)
+                whole = (node != node[0]) & (node != node[-1])
+                for k in range(0, len(node), 10_000):
+                    some = slice(k, k + 10_000)
+                    columns = [pa.array(v, f.type) for v, f in zip((np.full(len(node[some]), level), node[some], segment[some], bitmaps[some], whole[some]), made_of)]
+                    group = [pa.repeat(part.column(c)[0], len(node[some])) for c in GROUP]
+                    yield pa.RecordBatch.from_arrays([*group, *columns], names=[*GROUP, *made_of.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= AT_ONCE:
+                yield from made(held)
+                held, n = [], 0
+        if n:
+            yield from made(held)
+
+    kinds = ", ".join(f"{c} {ids.schema[c].dataType.simpleString()}" for c in GROUP)
+    bitmaps = stored(ids.mapInArrow(run, f"{kinds}, level int, node long, segment int, bitmap binary, whole boolean"), "bitmaps")
+    key = [*GROUP, "level", "node", "segment"]
+    cut = bitmaps.where("not whole").groupBy(*key).agg(F.substring(F.bitmap_or_agg("bitmap"), F.lit(1), F.max(F.octet_length("bitmap"))).alias("bitmap"))
+    out = bitmaps.where("whole").select(*key, "bitmap").unionByName(cut)
+    return out.select(*GROUP, F.lit(record).alias("record"), "level", "node", "segment", "bitmap")

@@ -7,16 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockscope.functions import bloom
+from blockscope.functions.bloom import FilterShape
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
-from blockscope.operators.build import FAN, SEEDS, hull
-from blockscope.sources.particles import AXES, GROUP, SEGMENT, in_windows, with_blocks
-from blockscope.sources.shared import stored
+from blockscope.operators.build import hull
+from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, in_buckets_of, in_windows, matched, with_blocks
+from blockscope.sources.shared import stored, stored_and_counted
 
 #: Rows of an index hit list that are broadcast; beyond, the join is left to Spark.
 MAX_BROADCAST = 500_000
-#: Blocks of a run whose hits make one range of offsets, and the most ranges that become conditions on the scan.
-RUN, MAX_WINDOWS = 1_000, 100
 
 
 def range_blocks(blocks: DataFrame, record: str, axis: str, bounds: Bounds = EVERYTHING) -> DataFrame:
@@ -30,7 +28,7 @@ def range_slices(blocks: DataFrame, slices: DataFrame, record: str, axis: str, b
     A block none of whose slices meets it stays, with null slices."""
     hits = slices.where((F.col("record") == record) & (F.col("axis") == axis) & overlaps(F.col("min"), F.col("max"), bounds))
     hits = hits.select(*GROUP, F.col("block_start").alias("start"), F.col("start").alias("slice_start"), F.col("end").alias("slice_end"))
-    return range_blocks(blocks, record, axis, bounds).join(hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
+    return matched(range_blocks(blocks, record, axis, bounds), hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
 
 
 def nested(flat: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def box_blocks(envelopes: DataFrame, record: str, box: dict[str, Bounds]) -> Dat
 def box_slices(envelopes: DataFrame, slices: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
     hits = slices.where((F.col("record") == record) & meets_box(box))
     hits = hits.select(*GROUP, F.col("block_start").alias("start"), F.col("start").alias("slice_start"), F.col("end").alias("slice_end"))
-    return box_blocks(envelopes, record, box).join(hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
+    return matched(box_blocks(envelopes, record, box), hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
 
 
 def tree_box(tree: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
@@ -66,7 +64,7 @@ def tree_box(tree: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
     found = tree.where(F.col("level") == top)
     for level in range(top - 1, -1, -1):
         parents = found.select(*key, F.col("node").alias("parent"))
-        found = tree.where(F.col("level") == level).join(parents, [*key, "parent"], "left_semi")
+        found = matched(tree.where(F.col("level") == level), parents, [*key, "parent"], "left_semi")
     return found.select(*GROUP, "start", "end")
 
 
@@ -75,96 +73,62 @@ def dataset_bounds(envelopes: DataFrame) -> DataFrame:
     return hull(envelopes, [*GROUP, "record"])
 
 
-def _small(hits: DataFrame) -> DataFrame:
-    """Broadcast a hit list (numbers and a species' name in each row) whose rows have been counted. It is made once, as a table."""
-    hits = stored(hits, "hits")
-    return F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
+def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str, str], Bounds], columns: list[str], layout: Layout, iteration: int | None = None, species: str | None = None, slices: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Exact rows within all closed intervals, read through the blocks (or, where `slices` is given, the slices) that the index
+    leaves. The result equals a full scan with the same conditions, whatever lengths the blocks have.
 
-
-def _windows(rows: DataFrame, hits: DataFrame, block_rows: int | None) -> DataFrame:
-    """The rows within the offsets that the hit blocks span, in runs of RUN blocks (of RUN segments, for blocks that differ
-    in length) or, where those are too many, in all. As plain conditions these reach the scan: folders of other iterations
-    and species, and files and row groups of other offsets, aren't read. Where even that makes too many conditions, or names
-    are null, the join alone does the work."""
-    first, end = (F.col("start"), F.col("end")) if block_rows is None else (F.col("block_id") * block_rows, (F.col("block_id") + 1) * block_rows)
-    for run in (F.floor(first / (RUN * (block_rows or SEGMENT))), F.lit(0)):
-        spans = hits.groupBy(*GROUP, run.alias("run")).agg(F.min(first).alias("first"), F.max(end).alias("end")).limit(MAX_WINDOWS + 1).collect()
-        if len(spans) <= MAX_WINDOWS:
-            same = [(F.col("iteration") == s["iteration"]) & (F.col("species") == s["species"]) & F.col("pos").between(s["first"], s["end"] - 1) for s in spans]
-            return rows.where(reduce(lambda x, y: x | y, same, F.lit(False)))
-    return rows
-
-
-def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str, str], Bounds], columns: list[str], block_rows: int | None, iteration: int | None = None, species: str | None = None, slices: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
-    """Exact rows within all closed intervals, read through the blocks (and slices) that the index leaves.
-
-    `index` has block extrema by axis, `slices` slice extrema. The result equals a full scan with the same conditions.
-    Without block_rows the blocks may differ in length, and rows are found by the offsets of the hit blocks.
+    `index` has block extrema by axis, `slices` slice extrema; a slice that meets all conditions lies in a block that does.
+    Folders of the dump without a hit aren't read; within the others, rows meet the hits by segments of offsets.
     """
     chosen = [c for c in ((F.col("iteration") == iteration) if iteration is not None else None, (F.col("species") == species) if species is not None else None) if c is not None]
     narrowed = lambda df: reduce(lambda d, c: d.where(c), chosen, df)
-    found = blocks_on_all_axes(narrowed(index), select)
-    if block_rows is None:
-        if slices is not None:
-            raise ValueError("blocks of different lengths have no slices")
-        hits = _small(found)
-        rows = in_windows(_windows(narrowed(particles), hits, None), hits)
-    else:
-        blocks = found.select(*GROUP, F.floor(F.col("start") / block_rows).cast("long").alias("block_id"))
-        on = [*GROUP, "block_id"]
-        if slices is not None:
-            parts = blocks_on_all_axes(narrowed(slices), select)
-            block = F.floor(F.col("start") / block_rows).cast("long")
-            hits = parts.select(*GROUP, block.alias("block_id"), F.floor((F.col("start") - block * block_rows) / slice_rows).cast("long").alias("slice_id")).join(blocks, on, "left_semi")
-            on = [*on, "slice_id"]
-        else:
-            hits = blocks
-        hits = _small(hits)
-        rows = _windows(with_blocks(narrowed(particles), block_rows, slice_rows if slices is not None else None), hits, block_rows)
-        rows = rows.join(hits, on, "left_semi")
+    hits, n = stored_and_counted(blocks_on_all_axes(narrowed(index if slices is None else slices), select), "hits")
+    length = (slice_rows if slices is not None else None) or (layout if isinstance(layout, int) else SEGMENT)
+    rows = in_windows(in_buckets_of(narrowed(particles), hits), hits, length, few=n <= MAX_BROADCAST)
     for (record, axis), bounds in select.items():
         rows = rows.where(within(F.col(AXES[record][axis]), bounds))
     return rows.select(*columns)
 
 
-def trace_candidates(filters: DataFrame, ids: DataFrame, block_rows: int, bits_per_key: float, record: str = "position", id_col: str = "id") -> DataFrame:
-    """(iteration, species, block_id, id): blocks whose Bloom filter may have the id. Distinct ids count once.
+def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape: FilterShape, record: str = "position", id_col: str = "id") -> DataFrame:
+    """(iteration, species, start, end, id): blocks whose Bloom filters may have the id. Distinct ids count once.
 
-    Filters of a tree are descended: an id is asked of the single node at the top of each iteration and species, then of
-    the children of those nodes that may have it. A probe is a join on node and segment."""
-    filters = filters.where(F.col("record") == record)
-    top, k = filters.agg(F.max("level")).first()[0] or 0, bloom.hash_count(bits_per_key)
+    The packed tree is descended: an id is asked of the nodes below the root, then of the children of those that may have it.
+    A probe is a join on node and segment; only candidates grow with the ids, filters are read as they are stored."""
+    filters, nodes = filters.where(F.col("record") == record), tree.where(F.col("record") == record)
+    top = filters.agg(F.max("level")).first()[0] or 0
     found = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     for level in range(top, -1, -1):
-        rows = block_rows * FAN**level
-        on = ["segment"] if level == top else [*GROUP, "node", "segment"]
         if level < top:
-            found = found.withColumn("node", F.explode(F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)))
-        asked = found.withColumn("segment", bloom.segment_of(F.col("id"), bloom.segments_for(rows, bits_per_key)))
+            found = found.withColumn("node", F.explode(F.sequence(F.col("node") * shape.capacity, (F.col("node") + 1) * shape.capacity - 1)))
+        asked = found.withColumns(shape.hashed(F.col("id"))).withColumn("segment", shape.segment(level))
         held = filters.where(F.col("level") == level).select(*GROUP, "node", "segment", "bitmap")
-        hit = bloom.may_hold(F.col("bitmap"), F.col("id"), k, bloom.bits_for(rows, bits_per_key), SEEDS[record])
-        found = stored(asked.join(held, on).where(hit).select(*GROUP, "node", "id"), "descent")
-    return found.withColumnRenamed("node", "block_id")
-
-
-def trace(particles: DataFrame, ids: DataFrame, block_rows: int, candidates: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """(iteration, species, start, end, id): each block that has the id. Candidates narrow the blocks that are read; hits are
-    verified on the rows either way, so that false positives of filters never show."""
-    wanted = ids.select(F.col(id_col).cast("long").alias("id")).distinct()
-    rows = with_blocks(particles, block_rows).select(*GROUP, "block_id", "pos", "id")
-    if candidates is not None:
-        blocks = _small(candidates.select(*GROUP, "block_id").distinct())
-        rows = _windows(rows, blocks, block_rows).join(blocks, [*GROUP, "block_id"], "left_semi")
-    hits = rows.join(_small(wanted), "id", "left_semi").select(*GROUP, "block_id", "id").distinct()
-    # a block's end is its last offset plus one
-    ends = with_blocks(particles, block_rows).groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    return hits.join(ends, [*GROUP, "block_id"]).select(*GROUP, "start", "end", "id")
+        met = asked.join(held, "segment") if level == top else matched(asked, held, [*GROUP, "node", "segment"])
+        found = stored(met.where(shape.may_hold(F.col("bitmap"), level)).select(*GROUP, "node", "id"), "descent")
+    leaves = nodes.where("level = 0").select(*GROUP, "node", "start", "end")
+    return matched(found, leaves, [*GROUP, "node"]).select(*GROUP, "start", "end", "id")
+
+
+def trace(particles: DataFrame, ids: DataFrame, layout: Layout = None, candidates: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(iteration, species, start, end, id): each block that has the id, verified on the rows, so that false positives of
+    filters never show. Of a dump, only folders that have a candidate block are read, and blocks' ends come from the
+    candidates; without candidates all rows are read, and blocks come from the layout."""
+    wanted = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    if candidates is None:
+        blocked = with_blocks(particles, layout).select(*GROUP, "block_id", "pos", "id")
+        ends = blocked.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+        hits = blocked.join(wanted, "id", "left_semi").select(*GROUP, "block_id", "id").distinct()
+        return matched(hits, ends, [*GROUP, "block_id"]).select(*GROUP, "start", "end", "id")
+    candidates = stored(candidates.join(wanted, "id", "left_semi").select(*GROUP, "start", "end", "id").distinct(), "candidates")
+    rows = in_buckets_of(particles, candidates.select(*GROUP, "start", "end").distinct()).select(*GROUP, "pos", "id")
+    inside = (F.col("l.pos") >= F.col("r.start")) & (F.col("l.pos") < F.col("r.end"))
+    return matched(rows, candidates, [*GROUP, "id"], "inner", inside).select(*GROUP, "start", "end", "id").distinct()
 
 
 def intersect_traces(a: DataFrame, b: DataFrame) -> DataFrame:
     """Hits of two records (candidates or verified ones) on the same block and id; blocks left without an id go."""
-    on = [c for c in (*GROUP, "block_id", "start", "end", "id") if c in a.columns]
-    return a.join(b.select(*on), on, "left_semi").select(*on)
+    on = [*GROUP, "start", "end", "id"]
+    return matched(a.select(*on), b.select(*on), on, "left_semi")
 
 
 def trace_result(hits: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Re-layout of blocks: merge, split in space, re-chunk N-D variables. All columns of the rows are kept."""
+"""Re-layout of blocks: merge, split in space, re-chunk N-D variables. All columns of the rows are kept, and all rows, those of
+a null iteration or species included."""
 
 from __future__ import annotations
 
@@ -6,56 +7,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockscope.functions.predicates import cell, highest, lowest
-from blockscope.sources.particles import GROUP, with_blocks, with_positions
+from blockscope.sources.particles import BUCKET_ROWS, GROUP, Layout, block_catalogue, matched, with_blocks, with_listed_blocks, with_positions, write_dump
 from blockscope.sources.shared import stored
 
 
-def extend(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
-    """Merge n consecutive blocks: rows keep their offsets and get block_id of the larger block. No shuffle."""
-    return particles.withColumn("block_id", F.floor(F.col("pos") / (block_rows * n)).cast("long"))
+def merged_blocks(blocks: DataFrame, n: int) -> DataFrame:
+    """The block table of n consecutive blocks each, whatever their lengths; the last of a group may be fewer."""
+    numbered = with_positions(blocks.select(*GROUP, "start", "count"), ["start"])
+    end = F.max(F.col("start") + F.col("count"))
+    return numbered.groupBy(*GROUP, F.floor(F.col("pos") / n).cast("long").alias("block_id")).agg(F.min("start").alias("start"), (end - F.min("start")).alias("count"))
 
 
-def shrink_cells(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
-    """The rows with block_id and their cell (i*n + j)*n + k among the n^3 cells of their block's envelope."""
-    blocked = with_blocks(particles, block_rows)
-    ends = [f(F.col(a)).alias(f"{name}_{a}") for a in "xyz" for name, f in (("low", lowest), ("high", highest))]
-    out = blocked.join(blocked.groupBy(*GROUP, "block_id").agg(*ends), [*GROUP, "block_id"])
-    at = {a: cell(F.col(a), F.col(f"low_{a}"), F.col(f"high_{a}"), n) for a in "xyz"}
+def extend(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
+    """Merge n consecutive blocks: rows keep their offsets and get block_id of the larger block. Blocks of equal length need
+    no shuffle."""
+    if isinstance(layout, int):
+        return particles.withColumn("block_id", F.floor(F.col("pos") / (layout * n)).cast("long"))
+    return with_listed_blocks(particles, stored(merged_blocks(layout if layout is not None else block_catalogue(particles), n), "merged")).drop("block_start")
+
+
+def shrink_cells(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
+    """The rows with block_id, block_start and their cell (i*n + j)*n + k among the n^3 cells of their block's envelope."""
+    blocked = with_blocks(particles, layout)
+    ends = [f(F.col(a)).alias(f"_{name}_{a}") for a in "xyz" for name, f in (("low", lowest), ("high", highest))]
+    out = matched(blocked, blocked.groupBy(*GROUP, "block_id").agg(*ends), [*GROUP, "block_id"])
+    at = {a: cell(F.col(a), F.col(f"_low_{a}"), F.col(f"_high_{a}"), n) for a in "xyz"}
     number = (at["x"] * n + at["y"]) * n + at["z"]
-    return out.withColumn("cell", F.coalesce(number, F.lit(0))).drop(*(f"{s}_{a}" for a in "xyz" for s in ("low", "high")))
+    return out.withColumn("cell", F.coalesce(number, F.lit(0))).drop(*(f"_{s}_{a}" for a in "xyz" for s in ("low", "high")))
 
 
-def shrink(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
+def shrink(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     """(iteration, species, block_id, cell, start, count): the new blocks in order, without empty ones.
 
     A block's offset is the old block's (the sum of whole blocks before it) plus the smaller cells' counts within it, so the
     running sum stays within one old block."""
-    counts = shrink_cells(particles, block_rows, n).groupBy(*GROUP, "block_id", "cell").agg(F.count(F.lit(1)).alias("count"))
+    counts = shrink_cells(particles, layout, n).groupBy(*GROUP, "block_id", "block_start", "cell").agg(F.count(F.lit(1)).alias("count"))
     before = F.sum("count").over(Window.partitionBy(*GROUP, "block_id").orderBy("cell")) - F.col("count")
-    return counts.withColumn("start", F.col("block_id") * block_rows + before).select(*GROUP, "block_id", "cell", "start", "count")
+    return counts.withColumn("start", F.col("block_start") + before).select(*GROUP, "block_id", "cell", "start", "count")
 
 
-def shrink_rows(particles: DataFrame, block_rows: int, n: int) -> DataFrame:
+def shrink_rows(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     """The rows as the smaller blocks hold them: pos is the new offset, block_id the new block's number from 0 in its
     iteration and species, and rows of one block keep their order. All other columns stay.
 
     Ranks are taken within an old block, whose rows the cells have brought together already; the numbers of the new blocks
     before it come from a distributed ranking of the block list."""
-    blocks = with_positions(stored(shrink(particles, block_rows, n), "new-blocks"), ["block_id", "cell"])
-    first = blocks.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("_first"))
+    blocks = with_positions(stored(shrink(particles, layout, n), "new-blocks"), ["start"])
+    first = blocks.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("_number"))
     old = Window.partitionBy(*GROUP, "block_id")
-    placed = shrink_cells(particles, block_rows, n).withColumns({
-        "_pos": F.col("block_id") * block_rows + F.row_number().over(old.orderBy("cell", "pos")) - 1,
+    placed = shrink_cells(particles, layout, n).withColumns({
+        "_pos": F.col("block_start") + F.row_number().over(old.orderBy("cell", "pos")) - 1,
         "_nth": F.dense_rank().over(old.orderBy("cell")) - 1,
     })
-    names = [c for c in particles.columns if c not in ("pos", "block_id")]
-    return placed.join(first, [*GROUP, "block_id"]).select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_first") + F.col("_nth")).cast("long").alias("block_id"))
+    names = [c for c in particles.columns if c not in ("pos", "block_id", "block_start")]
+    return matched(placed, first, [*GROUP, "block_id"]).select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_number") + F.col("_nth")).cast("long").alias("block_id"))
 
 
-def write_relayout(particles: DataFrame, path: str, block: str = "block_id") -> None:
-    """Write rows so that a block's rows lie together, blocks in order."""
-    parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    particles.repartitionByRange(parts, *GROUP, block, "pos").sortWithinPartitions(*GROUP, block, "pos").write.partitionBy(*GROUP).parquet(path)
+def write_relayout(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Write rows as a dump: a block's rows lie together, since blocks are runs of offsets."""
+    write_dump(particles, path, bucket_rows)
 
 
 def rechunk(cells: DataFrame, indices: list[str], shape: list[int], block_shape: list[int]) -> DataFrame:
@@ -63,3 +73,39 @@ def rechunk(cells: DataFrame, indices: list[str], shape: list[int], block_shape:
     for index, n, b in zip(indices, shape, block_shape):
         cells = cells.withColumn(f"block_{index}", F.least(F.floor(F.col(index) / b), F.lit(max(n // b, 1) - 1)).cast("long"))
     return cells
+
+
+def dense_chunks(cells: DataFrame, indices: list[str], shape: list[int], block_shape: list[int], value: str) -> DataFrame:
+    """Chunks as data: (block_<index> ..., start, count, values) with the first index and the length along each dimension and
+    the values in row-major order, the last index running fastest. Cells that are missing are null; a chunk is bounded by
+    twice the block shape along each dimension."""
+    chunked = rechunk(cells, indices, shape, block_shape)
+    blocks = [f"block_{i}" for i in indices]
+    start = [F.col(b) * size for b, size in zip(blocks, block_shape)]
+    last = [max(n // size, 1) - 1 for n, size in zip(shape, block_shape)]
+    count = [F.when(F.col(b) == end, F.lit(n) - s).otherwise(F.lit(size)) for b, end, n, s, size in zip(blocks, last, shape, start, block_shape)]
+    offset = F.lit(0).cast("long")
+    for i, s, c in zip(indices, start, count):
+        offset = offset * c + (F.col(i) - s)
+    held = chunked.select(*blocks, offset.alias("_at"), F.col(value).alias("_value")).groupBy(*blocks).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_value"))).alias("_cells"))
+    size = F.lit(1).cast("long")
+    for c in count:
+        size = size * c
+    values = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.try_element_at("_cells", k))
+    return held.select(*blocks, F.array(*start).alias("start"), F.array(*(c.cast("long") for c in count)).alias("count"), values.alias("values"))
+
+
+def read_box(chunks: DataFrame, indices: list[str], box: list[tuple[int, int]]) -> DataFrame:
+    """(index ..., value) of the cells with low <= index < high along each dimension, from the chunks that meet the box."""
+    met = F.lit(True)
+    for k, (low, high) in enumerate(box):
+        met = met & (F.col("start")[k] < high) & (F.col("start")[k] + F.col("count")[k] > low)
+    rows = chunks.where(met).select("start", "count", F.posexplode("values").alias("_at", "value"))
+    found, stride = {}, F.lit(1).cast("long")
+    for k in range(len(indices) - 1, -1, -1):
+        found[indices[k]] = (F.col("start")[k] + F.floor(F.col("_at") / stride) % F.col("count")[k]).cast("long")
+        stride = stride * F.col("count")[k]
+    out = rows.select(*(found[i].alias(i) for i in indices), "value")
+    for i, (low, high) in zip(indices, box):
+        out = out.where((F.col(i) >= low) & (F.col(i) < high))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from blockscope.functions import bloom
 from blockscope.operators import build, query, relayout
 from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_index
-from blockscope.sources.particles import AXES, GROUP, SCHEMA, block_catalogue, dump, read_dump, with_blocks, with_listed_blocks, write_dump
+from blockscope.sources.particles import AXES, GROUP, SCHEMA, block_catalogue, dump, matched, read_dump, with_blocks, with_listed_blocks, write_dump
 from blockscope.sources.shared import new_path, stored
 
 BLOCK, SLICE, BITS = 100, 25, 10
@@ -173,27 +173,43 @@ JOIN (SELECT iteration, species, block_id, min(pos) AS "start", max(pos) + 1 AS
 WHERE b.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
+def _candidates(particles: DataFrame, ids: DataFrame, layout, record: str = "position") -> DataFrame:
+    """Candidate blocks of the ids, from filters in the nodes of a packed tree."""
+    tree = build.pack_tree(build.leaf_envelopes(particles, layout, [record]))
+    shape = build.filter_shape(particles, layout, BITS, record=record)
+    filters = stored(build.node_filters(particles, tree, layout, shape, record), "filters", "level")
+    return query.trace_candidates(tree, filters, ids, shape, record)
+
+
 @registered(TRACED)
 def trace_verified(spark, sf_dir):
     particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
-    filters = stored(build.filter_tree(particles, BLOCK, BITS), "filters", "level")
-    return query.trace(particles, ids, BLOCK, query.trace_candidates(filters, ids, BLOCK, BITS))
+    return query.trace(particles, ids, candidates=_candidates(particles, ids, BLOCK))
 
 
 @registered(TRACED)
 def trace_intersected_verified(spark, sf_dir):
     particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
-    found = []
-    for record in AXES:
-        filters = stored(build.filter_tree(particles, BLOCK, BITS, record), "filters", "level")
-        found.append(query.trace_candidates(filters, ids, BLOCK, BITS, record))
-    return query.trace(particles, ids, BLOCK, query.intersect_traces(*found))
+    return query.trace(particles, ids, candidates=query.intersect_traces(*(_candidates(particles, ids, BLOCK, r) for r in AXES)))
 
 
 @registered()
 def bloom_candidates(spark, sf_dir):
-    filters = stored(build.filter_tree(dump(spark, sf_dir), BLOCK, BITS), "filters", "level")
-    return query.trace_candidates(filters, _urgent(spark, sf_dir), BLOCK, BITS)
+    return _candidates(dump(spark, sf_dir), _urgent(spark, sf_dir), BLOCK)
+
+
+@registered(f"""
+SELECT h.iteration, h.species, h.hits, CAST(0 AS BIGINT) AS missed, true AS few_false FROM (SELECT iteration, species, count(*) AS hits FROM ({TRACED}) GROUP BY ALL) h""")
+def bloom_accuracy(spark, sf_dir):
+    """Candidates of the filters against the blocks that have the ids: none is missed, and few are false."""
+    particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
+    hits = query.trace(particles, ids, BLOCK)
+    found = _candidates(particles, ids, BLOCK).withColumn("found", F.lit(1))
+    both = matched(hits.withColumn("hit", F.lit(1)), found, [*GROUP, "start", "end", "id"], "left")
+    asked, blocks = ids.distinct().count(), matched(particles.groupBy(*GROUP).agg(F.ceil(F.max("pos") / BLOCK).alias("blocks")), found.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("candidates")), GROUP)
+    per = both.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("found").isNull().cast("long")).alias("missed"))
+    few = (F.col("candidates") - F.col("hits")) < 0.02 * asked * F.col("blocks")  # about 1 % at ten bits for an id
+    return matched(per, blocks, GROUP).select(*GROUP, "hits", "missed", few.alias("few_false"))
 
 
 @registered()
@@ -217,12 +233,6 @@ def block_particle_counts(spark, sf_dir):
     return block_catalogue(with_blocks(dump(spark, sf_dir), BLOCK)).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("blocks"), F.sum("count").alias("particles"))
 
 
-@registered("""SELECT iteration, species, block_id // 10 AS batch, count(DISTINCT block_id) AS blocks, min(pos) AS "start", count(*) AS "count" FROM b GROUP BY iteration, species, block_id // 10""")
-def batch_plan(spark, sf_dir):
-    blocks = block_catalogue(with_blocks(dump(spark, sf_dir), BLOCK)).withColumn("batch", F.floor(F.col("block_id") / 10).cast("long"))
-    return blocks.groupBy(*GROUP, "batch").agg(F.count(F.lit(1)).alias("blocks"), F.min("start").alias("start"), F.sum("count").cast("long").alias("count"))
-
-
 @registered("SELECT iteration, species, pos, id FROM p WHERE pos < 11")
 def first_ids(spark, sf_dir):
     return dump(spark, sf_dir).where("pos < 11").select(*GROUP, "pos", "id")
@@ -261,12 +271,16 @@ def relayout_shrink_rows(spark, sf_dir):
     return relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3).select(*GROUP, "pos", "block_id", "id", "x", "y", "z")
 
 
+def _shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump with its blocks split in space: blocks of many lengths."""
+    relayout.write_relayout(relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3), path := new_path(spark, "shrunk"))
+    return spark.read.schema(f"{SCHEMA}, block_id long").parquet(path)
+
+
 @registered(SHRUNK + "SELECT iteration, species, pos, id, x, y, z FROM shrunk WHERE x BETWEEN 49 AND 50 AND y BETWEEN 950 AND 3000 AND z BETWEEN 0.01 AND 0.02")
 def shrink_reindexed(spark, sf_dir):
     """Shrink, write the rows anew, index their blocks, which differ in length, and read through that index."""
-    path = new_path(spark, "shrunk")
-    relayout.write_relayout(relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3), path)
-    rows = spark.read.schema(f"{SCHEMA}, block_id long").parquet(path)
+    rows = _shrunk(spark, sf_dir)
     return query.get_particle(rows, build.minmax_blocks(rows, None, ["position"]), POSITION, COLUMNS, None)
 
 
@@ -365,3 +379,138 @@ def events_time_range(spark, sf_dir):
     hit = blocks.where((F.col("t0") <= begin["b"]) & (F.col("t1") >= begin["a"]) & (F.col("v0") <= 50) & (F.col("v1") >= 10)).select("block_id")
     rows = events.join(hit, "block_id", "left_semi")
     return rows.where(F.col("ts").between(begin["a"], begin["b"]) & F.col("value").between(10, 50)).select("event_id", "user_id", "event_type", "value")
+
+
+#: A block table of the shrunk dump, in SQL, and slices of SLICE rows within its blocks.
+LISTED = SHRUNK.rstrip() + f"""
+, lb AS (SELECT iteration, species, block_id, min(pos) AS "start", max(pos) + 1 AS "end", min(y) AS lo, max(y) AS hi FROM shrunk GROUP BY ALL),
+ls AS (SELECT s.iteration, s.species, s.block_id, min(pos) AS slice_start, max(pos) + 1 AS slice_end, min(y) AS lo, max(y) AS hi
+  FROM shrunk s JOIN lb USING (iteration, species, block_id) GROUP BY s.iteration, s.species, s.block_id, (pos - lb."start") // {SLICE // 5})
+"""
+
+
+@registered(LISTED + f"""
+SELECT b.iteration, b.species, b."start", b."end", s.slice_start, s.slice_end FROM lb b
+LEFT JOIN (SELECT * FROM ls WHERE lo <= {RANGE[1]} AND hi >= {RANGE[0]}) s USING (iteration, species, block_id) WHERE b.lo <= {RANGE[1]} AND b.hi >= {RANGE[0]}""")
+def listed_slices(spark, sf_dir):
+    """Blocks of many lengths, given by a block table, and their slices."""
+    rows = _shrunk(spark, sf_dir)
+    table = stored(block_catalogue(rows), "block-table")
+    rows = rows.drop("block_id")
+    return query.range_slices(build.minmax_blocks(rows, table, ["position"]), build.minmax_slices(rows, table, SLICE // 5, ["position"]), "position", "y", RANGE)
+
+
+@registered(LISTED + """
+SELECT DISTINCT s.iteration, s.species, b."start", b."end", s.id FROM shrunk s JOIN lb b USING (iteration, species, block_id)
+WHERE s.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def listed_trace(spark, sf_dir):
+    """Ids traced through filters of blocks of many lengths."""
+    rows, ids = _shrunk(spark, sf_dir), _urgent(spark, sf_dir)
+    table = stored(block_catalogue(rows), "block-table")
+    return query.trace(rows, ids, candidates=_candidates(rows.drop("block_id"), ids, table))
+
+
+@registered(LISTED + f"""
+, hit AS (SELECT iteration, species, "start", "end" FROM lb WHERE lo <= {RANGE[1]} AND hi >= {RANGE[0]})
+SELECT 'box' AS kind, iteration, species, "start", "end", CAST(NULL AS BIGINT) AS ids FROM hit WHERE iteration = {STORED[0]} AND species = '{STORED[1]}'
+UNION ALL
+SELECT 'trace', s.iteration, s.species, b."start", b."end", count(DISTINCT s.id) FROM shrunk s JOIN lb b USING (iteration, species, block_id)
+WHERE s.iteration = {STORED[0]} AND s.species = '{STORED[1]}' AND s.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY ALL""")
+def listed_stored_index(spark, sf_dir):
+    """A stored tree with filters over blocks of many lengths, asked for a box and for ids."""
+    rows, ids = _shrunk(spark, sf_dir), _urgent(spark, sf_dir)
+    write_index(rows, path := new_path(spark, "index"), "rtree", None, bits_per_key=BITS, records=["position"])
+    index = RTreeQuery(spark, path)
+    box = index.query_xyz(*STORED, "position", miny=RANGE[0], maxy=RANGE[1]).select(F.lit("box").alias("kind"), *GROUP, "start", "end", F.lit(None).cast("long").alias("ids"))
+    hits = index.trace(rows, *STORED, ids).select(F.lit("trace").alias("kind"), *GROUP, "start", "end", F.size("id_data").cast("long").alias("ids"))
+    return box.unionByName(hits)
+
+
+@registered(LISTED + """
+, numbered AS (SELECT *, row_number() OVER (PARTITION BY iteration, species ORDER BY "start") - 1 AS k FROM lb)
+SELECT iteration, species, CAST(k // 5 AS BIGINT) AS block_id, min("start") AS "start", CAST(sum("end" - "start") AS BIGINT) AS "count", min(lo) AS miny, max(hi) AS maxy FROM numbered GROUP BY iteration, species, k // 5""")
+def listed_extend(spark, sf_dir):
+    """Runs of five blocks of many lengths merged."""
+    merged = relayout.extend(_shrunk(spark, sf_dir), None, 5)
+    return merged.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("count"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
+
+
+@registered("SELECT iteration, species, pos, id, x, y, z FROM p WHERE x BETWEEN 10 AND 12 AND y BETWEEN 9000 AND 11000")
+def get_particle_scattered(spark, sf_dir):
+    """Hits scattered over the whole of a dump in small folders, of which only those with a hit are read."""
+    particles = dump(spark, sf_dir, 10 * BLOCK)
+    select = {("position", "x"): (10.0, 12.0), ("position", "y"): (9000.0, 11000.0)}
+    slices = build.minmax_slices(particles, BLOCK, 5, ["position"])
+    return query.get_particle(particles, build.minmax_blocks(particles, BLOCK, ["position"]), select, COLUMNS, BLOCK, slices=slices, slice_rows=5)
+
+
+def _null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump with species A and iteration 1996 unknown: offsets run through the groups that this makes."""
+    from blockscope.sources.particles import ORDER, lineitem_particles, with_positions
+
+    rows = lineitem_particles(spark, sf_dir).withColumns({"species": F.expr("nullif(species, 'A')"), "iteration": F.expr("nullif(iteration, 1996)")})
+    write_dump(with_positions(rows, ORDER).drop(*ORDER), path := new_path(spark, "null-groups"), 1000)
+    return read_dump(spark, path)
+
+
+#: The same particles in SQL.
+NULL_PARTICLES = PARTICLES.replace("CAST(year(l_shipdate) AS INTEGER) AS iteration, l_returnflag AS species", "nullif(CAST(year(l_shipdate) AS INTEGER), 1996) AS iteration, nullif(l_returnflag, 'A') AS species").replace(
+    "PARTITION BY year(l_shipdate), l_returnflag ORDER", "PARTITION BY nullif(CAST(year(l_shipdate) AS INTEGER), 1996), nullif(l_returnflag, 'A') ORDER"
+)
+_SAME = "s.iteration IS NOT DISTINCT FROM h.iteration AND s.species IS NOT DISTINCT FROM h.species"
+
+
+@registered(NULL_PARTICLES + "SELECT iteration, species, pos, id, x, y, z FROM p WHERE x BETWEEN 49 AND 50 AND y BETWEEN 950 AND 3000 AND z BETWEEN 0.01 AND 0.02", False)
+def null_groups_get_particle(spark, sf_dir):
+    particles = _null_groups(spark, sf_dir)
+    return query.get_particle(particles, build.minmax_blocks(particles, BLOCK, ["position"]), POSITION, COLUMNS, BLOCK)
+
+
+@registered(NULL_PARTICLES + """
+SELECT h.iteration, h.species, h."start", h."end", s."start" AS slice_start, s."end" AS slice_end
+FROM (SELECT * FROM l1 WHERE record = 'position' AND axis = 'y' AND "min" <= 1500 AND "max" >= 1400) h
+LEFT JOIN (SELECT * FROM l2 WHERE record = 'position' AND axis = 'y' AND "min" <= 1500 AND "max" >= 1400) s ON """ + _SAME + """ AND s.block_start = h."start" """, False)
+def null_groups_slices(spark, sf_dir):
+    particles = stored(_null_groups(spark, sf_dir), "null-groups")
+    return query.range_slices(build.minmax_blocks(particles, BLOCK, ["position"]), build.minmax_slices(particles, BLOCK, SLICE, ["position"]), "position", "y", RANGE)
+
+
+@registered(NULL_PARTICLES + f"""SELECT iteration, species, "start", "end" FROM e1 WHERE record = 'position' AND {IN_BOX}""", False)
+def null_groups_tree(spark, sf_dir):
+    return query.tree_box(build.pack_tree(build.leaf_envelopes(_null_groups(spark, sf_dir), BLOCK, ["position"])), "position", BOX)
+
+
+@registered(NULL_PARTICLES + """SELECT DISTINCT h.iteration, h.species, s."start", s."end", h.id FROM b h
+JOIN (SELECT iteration, species, block_id, min(pos) AS "start", max(pos) + 1 AS "end" FROM b GROUP BY ALL) s ON """ + _SAME + """ AND s.block_id = h.block_id
+WHERE h.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""", False)
+def null_groups_trace(spark, sf_dir):
+    particles, ids = _null_groups(spark, sf_dir), _urgent(spark, sf_dir)
+    return query.trace(particles, ids, candidates=_candidates(particles, ids, BLOCK))
+
+
+@registered(NULL_PARTICLES + SHRUNK.replace("JOIN ext USING (iteration, species, block_id)", "JOIN ext ON ext.iteration IS NOT DISTINCT FROM b.iteration AND ext.species IS NOT DISTINCT FROM b.species AND ext.block_id = b.block_id").replace(
+    "SELECT b.*,", "SELECT b.iteration, b.species, b.block_id, b.pos, b.id, b.x, b.y, b.z,") + "SELECT iteration, species, pos, block_id, id, x, y, z FROM shrunk", False)
+def null_groups_shrink(spark, sf_dir):
+    return relayout.shrink_rows(_null_groups(spark, sf_dir), BLOCK, 3).select(*GROUP, "pos", "block_id", "id", "x", "y", "z")
+
+
+@registered("""
+WITH c AS (SELECT vec_id AS i, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
+SELECT i, CAST(j AS BIGINT) AS j, v AS "value" FROM c WHERE i >= 25 AND i < 95 AND j >= 8 AND j < 41""", with_particles=False)
+def rechunked_box(spark, sf_dir):
+    """Vectors rewritten as dense chunks, of which a box over chunk borders is read back."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = vectors.agg(F.max("vec_id")).first()[0] + 1
+    cells = vectors.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return relayout.read_box(stored(relayout.dense_chunks(cells, ["i", "j"], [n, 64], [30, 10], "v"), "chunks"), ["i", "j"], [(25, 95), (8, 41)])
+
+
+@registered("SELECT iteration, species, count(DISTINCT id) AS ids, true AS near FROM p GROUP BY ALL")
+def sketched_ids(spark, sf_dir):
+    """Distinct ids of each tree's root from mergeable sketches, against the exact number."""
+    particles = dump(spark, sf_dir)
+    tree = build.pack_tree(build.leaf_envelopes(particles, BLOCK, ["position"]))
+    found = build.sketch_ids_per_node(particles, tree, BLOCK)
+    roots = matched(found, found.groupBy(*GROUP).agg(F.max("level").alias("top")), GROUP).where("level = top").withColumnRenamed("ids", "about")
+    exact = particles.groupBy(*GROUP).agg(F.countDistinct("id").alias("ids"))
+    return matched(exact, roots.select(*GROUP, "about"), GROUP).select(*GROUP, "ids", (F.abs(F.col("about") - F.col("ids")) <= 0.06 * F.col("ids") + 2).alias("near"))

@@ -9,35 +9,42 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockscope.functions.bloom import FilterShape
 from blockscope.operators import build, query
-from blockscope.sources.particles import AXES, GROUP, block_catalogue, with_blocks
+from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, with_blocks
 
 KINDS = ("minmax", "rtree")
 
 
-def write_index(particles: DataFrame, path: str, kind: str, block_rows: int, slice_rows: int | None = None, bits_per_key: float | None = None, capacity: int = 10, records: list[str] | None = None) -> None:
+def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slice_rows: int | None = None, bits_per_key: float | None = None, capacity: int = 10, records: list[str] | None = None) -> None:
     """Build an index of a kind (with slices where slice_rows is given, with Bloom filters where bits_per_key is) and replace
-    what is stored at the path: blocks/, slices/, tree/, filters/ and the parameters. Each build writes to a folder of its own;
+    what is stored at the path: blocks/, slices/, tree/, filters/ and the parameters. The blocks are those of the layout. Each build writes to a folder of its own;
     `parameters`, written last, names it, so that readers see one whole index or the other. Only then the old one goes."""
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind!r}; there are {KINDS}")
+    if bits_per_key and kind != "rtree":
+        raise ValueError("Bloom filters belong to the nodes of a tree")
     spark, root, path = particles.sparkSession, path, f"{path}/build-{uuid.uuid4().hex}"
-    save = lambda df, name: df.write.mode("overwrite").partitionBy(*GROUP).parquet(f"{path}/{name}")
+    save = lambda df, name: df.write.mode("append").partitionBy("record").parquet(f"{path}/{name}")
+    leaf_rows = None
     if kind == "minmax":
-        save(build.minmax_blocks(particles, block_rows, records), "blocks")
+        save(build.minmax_blocks(particles, layout, records), "blocks")
         if slice_rows:
-            save(build.minmax_slices(particles, block_rows, slice_rows, records), "slices")
+            save(build.minmax_slices(particles, layout, slice_rows, records), "slices")
     else:
-        leaves = build.leaf_envelopes(particles, block_rows, records)
-        save(leaves, "blocks")
+        save(build.leaf_envelopes(particles, layout, records), "blocks")
         save(build.pack_tree(spark.read.parquet(f"{path}/blocks"), capacity), "tree")
         if slice_rows:
-            save(build.slice_envelopes(particles, block_rows, slice_rows, records), "slices")
+            save(build.slice_envelopes(particles, layout, slice_rows, records), "slices")
     if bits_per_key:
+        tree = spark.read.parquet(f"{path}/tree")
         for record in records or list(AXES):
-            build.filter_tree(particles, block_rows, bits_per_key, record).write.mode("append").partitionBy("record", "level").parquet(f"{path}/filters")
-    row = (kind, block_rows, slice_rows, float(bits_per_key) if bits_per_key else None, path.rsplit("/", 1)[1])
-    spark.createDataFrame([row], "kind string, block_rows long, slice_rows long, bits_per_key double, build string").coalesce(1).write.mode("overwrite").parquet(f"{root}/parameters")
+            shape = build.filter_shape(particles, layout, bits_per_key, capacity, record)
+            leaf_rows = shape.leaf_rows
+            save(build.node_filters(particles, tree, layout, shape, record), "filters")
+    row = (kind, slice_rows, float(bits_per_key) if bits_per_key else None, leaf_rows, capacity, path.rsplit("/", 1)[1])
+    names = "kind string, slice_rows long, bits_per_key double, leaf_rows long, capacity long, build string"
+    spark.createDataFrame([row], names).coalesce(1).write.mode("overwrite").parquet(f"{root}/parameters")
     _drop_other_builds(spark, root, row[-1])
 
 
@@ -49,9 +56,9 @@ def _drop_other_builds(spark: SparkSession, root: str, keep: str) -> None:
             files.delete(found.getPath(), True)
 
 
-def write_block_catalogue(particles: DataFrame, path: str, block_rows: int) -> None:
+def write_block_catalogue(particles: DataFrame, path: str, layout: Layout) -> None:
     """The block list as CSV (iteration, start, count), one row for each block."""
-    blocks = block_catalogue(with_blocks(particles, block_rows))
+    blocks = block_catalogue(with_blocks(particles, layout))
     blocks.select("iteration", "species", "start", "count").write.mode("overwrite").csv(path, header=True)
 
 
@@ -129,12 +136,13 @@ class RTreeQuery(_Stored):
             raise ValueError(f"{self.path} has no Bloom filters")
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id long")
-        rows, bits = self.parameters["block_rows"], self.parameters["bits_per_key"]
         particles = particles.where((F.col("iteration") == iteration) & (F.col("species") == species))
-        filters = self.table("filters", iteration, species)
+        tree, filters = self.table("tree", iteration, species), self.table("filters", iteration, species)
         held = [r[0] for r in filters.select("record").distinct().collect()]
         missing = set(records).difference(held)
         if missing and held:
             raise ValueError(f"{self.path} has no filters of {sorted(missing)}")
-        found = reduce(query.intersect_traces, (query.trace_candidates(filters, ids, rows, bits, r) for r in records or held[:1] or ["position"]))
-        return query.trace(particles, ids, rows, found)
+        p = self.parameters
+        shapes = {r: FilterShape(p["leaf_rows"], p["capacity"], p["bits_per_key"], build.SEEDS[r]) for r in AXES}
+        found = reduce(query.intersect_traces, (query.trace_candidates(tree, filters, ids, shapes[r], r) for r in records or held[:1] or ["position"]))
+        return query.trace(particles, ids, candidates=found)

@@ -1,11 +1,20 @@
 """Particle tables: positions in a dump, blocks and slices, and the layouts that dumps come in.
 
 A particle row is (iteration, species, pos, id, x, y, z, ux, uy, uz): pos is its offset in the dump of its iteration and
-species. Blocks are runs of `block_rows` offsets, slices runs of `slice_rows` within a block; the last of each is short.
+species. Blocks are runs of offsets, slices runs of `slice_rows` within a block; the last of each may be short.
+
+Functions that take a `layout` find blocks in one of three ways: a number of rows for blocks of equal length, a block table
+(iteration, species, block_id, start, count) for blocks of any lengths, or None for rows that carry their block_id.
+
+A null iteration or species is a group like any other: groups are matched null-safely everywhere, so that no row of them is
+lost. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +37,21 @@ def with_positions(rows: DataFrame, order: list[str], group: list[str] = GROUP)
     sizes = placed.groupBy(part.alias("_part"), *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")  # over one row for each partition
     offsets = stored(sizes.select("_part", *group, (before - F.col("_first")).alias("_shift")), "offsets")
-    same = placed.withColumn("_part", part).alias("l").join(offsets.alias("r"), (F.col("l._part") == F.col("r._part")) & _same(group))
+    same = placed.withColumn("_part", part).alias("l").join(offsets.alias("r"), (F.col("l._part") == F.col("r._part")) & same_keys(group))
     return same.select(*(F.col(f"l.{c}") for c in rows.columns), (F.col("l._at") + F.col("r._shift")).alias("pos"))
 
 
-def _same(columns: list[str]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return out
+def same_keys(columns: list[str]) -> Column:
+    """The columns of the sides aliased l and r are equal, or both null."""
+    return reduce(lambda out, c: out & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), columns, F.lit(True))
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *conditions: Column) -> DataFrame:
+    """Join on columns that may be null, a null being equal to a null; further conditions name the sides l and r. The left
+    side's columns, and the right side's that the left one lacks."""
+    joined = left.alias("l").join(right.alias("r"), reduce(lambda x, y: x & y, conditions, same_keys(on)), how)
+    extra = [] if how in ("left_semi", "left_anti") else [F.col(f"r.{c}") for c in right.columns if c not in left.columns]
+    return joined.select(*(F.col(f"l.{c}") for c in left.columns), *extra)
 
 
 def lineitem_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,26 +66,34 @@ def lineitem_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-_dumps: dict[tuple[str, str], str] = {}
+_dumps: dict[tuple[str, str, int], str] = {}
 
 
-def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The particles of `lineitem` as a stored dump, partitioned by iteration and species; made once in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> DataFrame:
+    """The particles of `lineitem` as a stored dump, partitioned by iteration, species and bucket; made once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
     if key not in _dumps:
         path = new_path(spark, "particles")
-        write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*ORDER), path)
+        write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*ORDER), path, key[2])
         _dumps[key] = path
     return read_dump(spark, _dumps[key])
 
 
 SCHEMA = "iteration int, species string, pos long, id long, x double, y double, z double, ux double, uy double, uz double"
+#: Offsets of a bucket: the rows of one are a folder, which is read or left out as a whole. At a few hundred bytes a row,
+#: that is some hundred megabytes.
+BUCKET_ROWS = 1 << 20
 
 
-def write_dump(particles: DataFrame, path: str) -> None:
-    """Files hold ranges of offsets in order, so that their statistics prune by block."""
+def write_dump(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Write rows by iteration, species and bucket of offsets, in offset order, so that folders and file statistics prune.
+
+    The bucket's folder is named bucket_<rows>=<number>, so that a reader knows what it holds. Folder names can't tell an empty
+    species from a null one: an empty one is an error."""
     parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    particles.repartitionByRange(parts, *GROUP, "pos").sortWithinPartitions(*GROUP, "pos").write.partitionBy(*GROUP).parquet(path)
+    name = F.when(F.col("species") == "", F.raise_error(F.lit("a dump has no folder for an empty species"))).otherwise(F.col("species"))
+    rows = particles.drop(*(c for c in particles.columns if re.fullmatch(r"bucket_\d+", c))).withColumns({"species": name, f"bucket_{bucket_rows}": F.floor(F.col("pos") / bucket_rows).cast("long")})
+    rows.repartitionByRange(parts, *GROUP, "pos").sortWithinPartitions(*GROUP, "pos").write.partitionBy(*GROUP, f"bucket_{bucket_rows}").parquet(path)
 
 
 def read_dump(spark: SparkSession, path: str, layout: str = "group") -> DataFrame:
@@ -86,48 +109,83 @@ def read_dump(spark: SparkSession, path: str, layout: str = "group") -> DataFram
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def buckets_of(particles: DataFrame) -> tuple[str, int] | None:
+    """The name of a dump's bucket column and the offsets of a bucket, where it has one."""
+    found = [(c, int(m[1])) for c in particles.columns if (m := re.fullmatch(r"bucket_(\d+)", c))]
+    return found[0] if found else None
+
+
+def in_buckets_of(particles: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows in buckets that windows (iteration, species, start, end) meet: folders without a window aren't read, however
+    many windows there are, because the join prunes partitions when it runs. The side that is broadcast has at most a row
+    for each folder. Rows that have no buckets come back as they are."""
+    bucket = buckets_of(particles)
+    if bucket is None:
+        return particles
+    name, size = bucket
+    met = F.explode(F.sequence(*(F.floor(c / size).cast("long") for c in (F.col("start"), F.col("end") - 1))))
+    # the comparison is always true; partitions are pruned only by sides that have one
+    folders = windows.where("end > start").select(*GROUP, met.alias("bucket")).where("bucket >= 0").distinct()
+    same = F.col(f"l.{name}") == F.col("r.bucket")
+    for c in GROUP:  # null-safe equality in a form that prunes partitions: no value stands for null, which a flag tells apart
+        kind = particles.schema[c].dataType.simpleString()
+        none = F.lit("" if kind == "string" else 0).cast(kind)
+        same = same & (F.coalesce(f"l.{c}", none) == F.coalesce(f"r.{c}", none)) & (F.isnull(f"l.{c}") == F.isnull(f"r.{c}"))
+    return particles.alias("l").join(F.broadcast(folders.alias("r")), same, "left_semi").select("l.*")
+
+
 def variable_path(path: Column) -> dict[str, Column]:
     """The parts of a path /data/<iteration>/particles/<species>/<record>/<axis>, for exact selection."""
     part = lambda k: F.get(F.split(path, "/"), F.lit(k))
     return {"iteration": part(2).cast("int"), "species": part(4), "record": part(5), "axis": part(6)}
 
 
-def with_blocks(particles: DataFrame, block_rows: int | None, slice_rows: int | None = None) -> DataFrame:
-    """Add block_id (and slice_id within the block): both from the offset, without a shuffle. Without block_rows the rows
-    have the block_id of blocks that differ in length; these have no slices."""
-    if block_rows is None:
-        if "block_id" not in particles.columns or slice_rows is not None:
-            raise ValueError("blocks of different lengths need rows with block_id, and have no slices")
-        return particles
-    out = particles.withColumn("block_id", F.floor(F.col("pos") / block_rows).cast("long"))
-    return out if slice_rows is None else out.withColumn("slice_id", F.floor((F.col("pos") - F.col("block_id") * block_rows) / slice_rows).cast("long"))
+Layout = int | DataFrame | None
+
+
+def with_blocks(particles: DataFrame, layout: Layout, slice_rows: int | None = None) -> DataFrame:
+    """Add block_id and block_start (and slice_id within the block). Equal blocks need no shuffle; a block table is joined by
+    segments of offsets, and rows outside all of its blocks go."""
+    if layout is None:
+        if "block_id" not in particles.columns:
+            raise ValueError("without a layout, rows need a block_id")
+        out = particles
+        if "block_start" not in out.columns:
+            out = matched(out, block_catalogue(particles).select(*GROUP, "block_id", F.col("start").alias("block_start")), [*GROUP, "block_id"])
+    elif isinstance(layout, DataFrame):
+        out = with_listed_blocks(particles, layout)
+    else:
+        block = F.floor(F.col("pos") / layout).cast("long")
+        out = particles.withColumns({"block_id": block, "block_start": block * layout})
+    return out if slice_rows is None else out.withColumn("slice_id", F.floor((F.col("pos") - F.col("block_start")) / slice_rows).cast("long"))
 
 
 #: Offsets of one segment; windows of offsets meet rows by segment.
 SEGMENT = 1_000
 
 
-def _by_segment(windows: DataFrame) -> DataFrame:
-    first, last = (F.floor(c / SEGMENT).cast("long") for c in (F.col("start"), F.col("end") - 1))
-    return windows.where("end > start").withColumn("segment", F.explode(F.sequence(first, last)))
+def _by_segment(windows: DataFrame, segment: int) -> DataFrame:
+    first, last = (F.floor(c / segment).cast("long") for c in (F.col("start"), F.col("end") - 1))
+    return windows.where("end > start").withColumn("_segment", F.explode(F.sequence(first, last)))
 
 
-def in_windows(particles: DataFrame, windows: DataFrame) -> DataFrame:
-    """The rows whose offsets lie in one of the windows (iteration, species, start, end) of any lengths: a join on segments."""
-    held = particles.withColumn("segment", F.floor(F.col("pos") / SEGMENT).cast("long")).alias("l")
-    asked = _by_segment(windows.select(*GROUP, "start", "end")).alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*GROUP, "segment")]
-    return held.join(asked, [*same, F.col("l.pos") >= F.col("r.start"), F.col("l.pos") < F.col("r.end")], "left_semi").drop("segment")
+def in_windows(particles: DataFrame, windows: DataFrame, segment: int = SEGMENT, few: bool = False) -> DataFrame:
+    """The rows whose offsets lie in one of the windows (iteration, species, start, end) of any lengths: a join on segments of
+    offsets, which are best about as long as the windows. Windows that the caller has counted as few are broadcast."""
+    held = particles.withColumn("_segment", F.floor(F.col("pos") / segment).cast("long"))
+    asked = _by_segment(windows.select(*GROUP, "start", "end"), segment)
+    inside = (F.col("l.pos") >= F.col("r.start")) & (F.col("l.pos") < F.col("r.end"))
+    return matched(held, F.broadcast(asked) if few else asked, [*GROUP, "_segment"], "left_semi", inside).drop("_segment")
 
 
 def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add block_id from a block list (iteration, species, block_id, start, count) of blocks of any lengths that don't
-    overlap. Rows outside all of them go."""
-    held = particles.drop("block_id").withColumn("segment", F.floor(F.col("pos") / SEGMENT).cast("long")).alias("l")
-    listed = _by_segment(blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end"))).alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*GROUP, "segment")]
-    met = held.join(listed, [*same, F.col("l.pos") >= F.col("r.start"), F.col("l.pos") < F.col("r.end")])
-    return met.select(*(F.col(f"l.{c}") for c in held.columns if c != "segment"), "r.block_id")
+    """Add block_id and block_start from a block table (iteration, species, block_id, start, count) of blocks of any lengths
+    that don't overlap. Rows outside all of them go."""
+    held = particles.drop("block_id", "block_start").withColumn("_segment", F.floor(F.col("pos") / SEGMENT).cast("long"))
+    listed = _by_segment(blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end")), SEGMENT)
+    listed = listed.select(*GROUP, "_segment", "block_id", F.col("start").alias("block_start"), F.col("end").alias("_end"))
+    inside = (F.col("l.pos") >= F.col("r.block_start")) & (F.col("l.pos") < F.col("r._end"))
+    return matched(held, listed, [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
 
 
 def block_catalogue(blocked: DataFrame) -> DataFrame:
@@ -140,7 +198,7 @@ def zip_axes(**columns: DataFrame) -> DataFrame:
     out = None
     for name, column in columns.items():
         column = column.select(*GROUP, "pos", F.col("value").alias(name))
-        out = column if out is None else out.join(column, [*GROUP, "pos"])
+        out = column if out is None else matched(out, column, [*GROUP, "pos"])
     return out
 
 

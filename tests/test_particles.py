@@ -88,12 +88,12 @@ def test_reading_through_the_index_equals_a_scan(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     p = table(spark, range(300), ids=[7 * k for k in range(300)])
-    filters, flat = build.filter_tree(p, 50), build.block_filters(p, 50)
+    flat = build.block_filters(p, 50)
     assert flat.select(F.max(F.octet_length("bitmap"))).first()[0] == 63  # 50 ids of 10 bits
     ids = spark.createDataFrame([(k,) for k in [7, 7, 2100 - 7, 5, 700, None]], "id long")
     k = bloom.hash_count(10)
-    found = {(r["block_id"], r["id"]) for r in query.trace_candidates(filters, ids, 50, 10).collect()}
-    assert {(0, 7), (5, 2093), (2, 700)} <= found
+    found = {(r["start"], r["id"]) for r in candidates(p, ids, 50).collect()}
+    assert {(0, 7), (250, 2093), (100, 700)} <= found
     merged = bloom.merge(flat, ["iteration", "species"])
     probes = ids.where("id in (7, 2093, 700)").select(bloom.probes(F.col("id"), k, bloom.bits_for(50, 10)).alias("bits"))
     assert probes.crossJoin(merged).where(~bloom.may_contain(F.col("bitmap"), F.col("bits"))).count() == 0
@@ -129,23 +129,193 @@ def test_stored_box_query_with_slices(spark, tmp_path):
         RTreeQuery(spark, path)
 
 
-def test_filter_tree_descends_by_levels(spark):
-    p = table(spark, range(3000), ids=[3 * k for k in range(3000)]).unionByName(table(spark, range(9), species="i"))
-    filters = build.filter_tree(p, 5, 10, "momentum")
-    assert filters.agg(F.max("level")).first()[0] == 3
-    ids = spark.createDataFrame([(k,) for k in (0, 3, 4500, 8997, 1)], "id long")
-    found = {(r["species"], r["block_id"], r["id"]) for r in query.trace_candidates(filters, ids, 5, 10, "momentum").collect()}
-    assert {("e", 0, 0), ("e", 0, 3), ("e", 300, 4500), ("e", 599, 8997), ("i", 0, 0), ("i", 0, 3), ("i", 0, 1)} <= found and len(found) < 15
-    assert query.trace_candidates(filters.limit(0), ids, 5, 10, "momentum").count() == 0
+def candidates(p, ids, layout, record="position", bits=10, capacity=10):
+    tree = build.pack_tree(build.leaf_envelopes(p, layout, [record]), capacity)
+    shape = build.filter_shape(p, layout, bits, capacity, record)
+    return query.trace_candidates(tree, build.node_filters(p, tree, layout, shape, record), ids, shape, record)
 
 
-def test_index_hits_reach_the_scan_as_conditions(spark, tmp_path):
-    source.write_dump(table(spark, range(1000)).unionByName(table(spark, range(1000), iteration=60)), f"{tmp_path}/d")
+def test_filters_of_the_packed_tree_are_descended(spark, monkeypatch):
+    p = table(spark, range(3000), ids=[3 * k for k in range(3000)]).unionByName(table(spark, range(9), species="i")).unionByName(table(spark, range(4), iteration=None, species=None)).cache()
+    ids = spark.createDataFrame([(k,) for k in (0, 3, 4500, 8997, 1, 1, None)], "id long")
+    want = {(50, "e", 0, 0), (50, "e", 0, 3), (50, "e", 1500, 4500), (50, "e", 2995, 8997), (50, "i", 0, 0), (50, "i", 0, 3), (50, "i", 0, 1), (None, None, 0, 0), (None, None, 0, 1), (None, None, 0, 3)}
+    tree = build.pack_tree(build.leaf_envelopes(p, 5, ["momentum"]), 4)
+    shape = build.filter_shape(p, 5, 10, 4, "momentum")
+    filters = build.node_filters(p, tree, 5, shape, "momentum").cache()
+    top = tree.agg(F.max("level")).first()[0]
+    assert top == 5 and filters.agg(F.max("level")).first()[0] == top - 1  # the root has no filter
+    for level in range(top):
+        held = filters.where(F.col("level") == level).agg(F.countDistinct("iteration", "species", "node"), F.max(F.octet_length("bitmap"))).first()
+        assert held[1] * 8 == shape.bits(level) and shape.hashes(level) == max(1, int(0.69 * (10 - level)))
+    found = {(r["iteration"], r["species"], r["start"], r["id"]) for r in query.trace_candidates(tree, filters, ids, shape, "momentum").collect()}
+    assert want <= found and len(found) < 20
+    assert query.trace_candidates(tree, filters.limit(0), ids, shape, "momentum").count() == 0
+    whole = sorted(map(tuple, filters.select("species", "level", "node", "segment", F.hex("bitmap")).collect()), key=str)
+    monkeypatch.setattr(build, "AT_ONCE", 1)  # every batch is turned into bitmaps of its own
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        cut = build.node_filters(p, tree, 5, shape, "momentum").select("species", "level", "node", "segment", F.hex("bitmap")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, cut), key=str) == whole
+
+
+def test_filters_are_nested_folds():
+    shape, rnd = bloom.FilterShape(100, 8, 10.0), random.Random(1)
+    assert [shape.bits(k) for k in range(4)] == [1024, 8192, 32768, 32768] and [shape.segments(k) for k in range(4)] == [1, 1, 2, 16]
+    import numpy as np
+
+    g, h = (np.array([rnd.getrandbits(64) - 2**63 for _ in range(50)], np.int64) for _ in range(2))
+    small, large = (np.frombuffer(shape.bitmaps(k, np.zeros(50, np.int64), g, h)[2][0], np.uint8) for k in (0, 1))
+    folded = np.bitwise_or.reduce(large.reshape(-1, len(small)))
+    assert not (folded & ~small).any()  # fewer hashes above, at bits that fold onto the child's
+
+
+def test_only_folders_with_hits_are_read(spark, tmp_path):
+    rows = spark.range(400_000).select(F.lit(50).alias("iteration"), F.when(F.col("id") % 2 == 0, "e").alias("species"), F.floor(F.col("id") / 2).cast("long").alias("pos"), "id",
+                                       ((F.col("id") % 97) * 1.0).alias("x"), *(F.lit(0.0).alias(c) for c in ("y", "z", "ux", "uy", "uz")))
+    source.write_dump(rows, f"{tmp_path}/d", 2000)
     p = source.read_dump(spark, f"{tmp_path}/d")
-    got = query.get_particle(p.where("iteration = 50"), build.minmax_blocks(p.where("iteration = 50"), 10), {("position", "x"): (500.0, 520.0)}, ["pos"], 10)
-    assert sorted(r[0] for r in got.collect()) == list(range(500, 521))
+    index = build.minmax_blocks(p, 10, ["position"]).where("start < 100000 or start >= 198000")
+    select = {("position", "x"): (50.0, 70.0)}
+    got = query.get_particle(p, index, select, ["species", "pos"], 10)
+    want = rows.where("(pos < 100000 or pos >= 198000) and x between 50 and 70").select("species", "pos")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    hits = query.blocks_on_all_axes(index, select).count()
+    assert hits > 10_000  # scattered over folders 0 to 49 and 99 of both species
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(pos,500)" in plan and "LessThanOrEqual(pos,529)" in plan
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "dynamicpruning" in line)
+    assert "dynamicpruningexpression" in scan
+    assert 2 * 51 <= _scan_files(got) <= 2 * 51 + 4  # of 200 folders; up to four are written as two files
+
+
+def _scan_files(df):
+    """Files that the scan with pruned partitions read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "FileSourceScanExec" and "dynamicpruning" in node.toString():
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return sum(found)
+
+
+def grouped(spark):
+    """Particles whose iteration or species is null in some groups."""
+    rnd, out = random.Random(8), []
+    for iteration, species, n in ((50, "e", 60), (50, None, 70), (None, "e", 33), (None, None, 41)):
+        out += [(iteration, species, k, k % 9, rnd.random(), rnd.random(), rnd.random(), 1.0, 2.0, 3.0) for k in range(n)]
+    return spark.createDataFrame(out, SCHEMA).cache()
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("stored_dump", [False, True])
+def test_null_groups_lose_no_row(spark, tmp_path, stored_dump):
+    p = grouped(spark)
+    if stored_dump:
+        source.write_dump(p, f"{tmp_path}/d", 16)
+        p = source.read_dump(spark, f"{tmp_path}/d")
+        assert rows_of(p, "iteration", "species", "pos") == rows_of(grouped(spark), "iteration", "species", "pos")
+    key = ["iteration", "species"]
+    blocks, slices = build.minmax_blocks(p, 10), build.minmax_slices(p, 10, 3)
+    select = {("position", "x"): (0.2, 0.6), ("position", "y"): (0.1, 0.9)}
+    want = rows_of(p.where("x between 0.2 and 0.6 and y between 0.1 and 0.9"), *key, "pos")
+    assert rows_of(query.get_particle(p, blocks, select, [*key, "pos"], 10), *key, "pos") == want
+    assert rows_of(query.get_particle(p, blocks, select, [*key, "pos"], 10, slices=slices, slice_rows=3), *key, "pos") == want
+    assert query.range_slices(blocks, slices, "position", "x").where("slice_start is null").count() == 0
+    leaves = build.leaf_envelopes(p, 10, ["position"])
+    tree = build.pack_tree(leaves, 3)
+    box = {"x": (0.3, 0.5), "y": (0.0, 1.0), "z": (0.0, 1.0)}
+    assert tree.where("level = 0").count() == leaves.count()
+    assert rows_of(query.tree_box(tree, "position", box), *key, "start") == rows_of(query.box_blocks(leaves, "position", box), *key, "start")
+    assert query.box_slices(leaves, build.slice_envelopes(p, 10, 3, ["position"]), "position", box).where("slice_start is not null").select(*key).distinct().count() == 4
+    ids = spark.createDataFrame([(3,), (8,)], "id long")
+    full = rows_of(query.trace(p, ids, 10), *key, "start", "end", "id")
+    assert rows_of(query.trace(p, ids, candidates=candidates(p, ids, 10, capacity=3)), *key, "start", "end", "id") == full and len({r[:2] for r in full}) == 4
+    shrunk = relayout.shrink_rows(p, 10, 2)
+    assert rows_of(shrunk, *key, "id", "x") == rows_of(p, *key, "id", "x") and rows_of(shrunk, *key, "pos") == rows_of(p, *key, "pos")
+    merged = relayout.extend(shrunk, None, 3)
+    assert rows_of(merged, *key, "pos") == rows_of(p, *key, "pos")
+    columns = {a: p.select(*key, "pos", F.col(a).alias("value")) for a in "xy"}
+    assert source.zip_axes(**columns).count() == p.count()
+
+
+def test_empty_species_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="empty species"):
+        source.write_dump(table(spark, [1], species=""), f"{tmp_path}/d")
+
+
+def test_blocks_of_any_lengths(spark, tmp_path):
+    p = grouped(spark).withColumns({"segment": F.lit("mine"), "start": F.lit(1), "end": F.lit(2)})
+    cuts = [0, 1, 4, 5, 17, 40, 90]
+    key = ["iteration", "species"]
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    groups = grouped(spark).groupBy(*key).agg(F.max("pos").alias("last"))
+    layout = groups.crossJoin(spark.createDataFrame(spans, "block_id long, start long, end long")).where("start <= last")
+    layout = layout.select(*key, "block_id", "start", (F.least("end", F.col("last") + 1) - F.col("start")).alias("count")).cache()
+    blocked = source.with_blocks(p, layout, 3)
+    assert rows_of(blocked, *key, "pos", "segment") == rows_of(p, *key, "pos", "segment")
+    for r in blocked.collect():
+        k = max(k for k, a, _ in spans if a <= r["pos"])
+        assert (r["block_id"], r["block_start"], r["slice_id"]) == (k, cuts[k], (r["pos"] - cuts[k]) // 3)
+    carried = p.drop("start", "end").join(layout, (p.iteration.eqNullSafe(layout.iteration)) & (p.species.eqNullSafe(layout.species)) & (p.pos >= layout.start) & (p.pos < layout.start + layout["count"])).select(*(p[c] for c in SCHEMA_NAMES), "block_id")
+    for f in (lambda rows, by: build.minmax_blocks(rows, by), lambda rows, by: build.minmax_slices(rows, by, 3), lambda rows, by: build.slice_envelopes(rows, by, 2)):
+        assert rows_of(f(p, layout), "*") == rows_of(f(carried, None), "*")
+    select = {("position", "x"): (0.2, 0.6), ("position", "y"): (0.1, 0.9)}
+    want = rows_of(p.where("x between 0.2 and 0.6 and y between 0.1 and 0.9"), *key, "pos")
+    blocks, slices = build.minmax_blocks(p, layout), build.minmax_slices(p, layout, 3)
+    assert rows_of(query.get_particle(p, blocks, select, [*key, "pos"], layout, slices=slices, slice_rows=3), *key, "pos") == want
+    ids = spark.createDataFrame([(3,), (8,), (77,)], "id long")
+    full = rows_of(query.trace(carried, ids), *key, "start", "end", "id")
+    assert rows_of(query.trace(p, ids, layout), *key, "start", "end", "id") == full
+    assert rows_of(query.trace(carried, ids, candidates=candidates(p.drop("start", "end"), ids, layout, capacity=2)), *key, "start", "end", "id") == full
+    write_index(carried, f"{tmp_path}/i", "rtree", None, slice_rows=3, bits_per_key=10, capacity=2)
+    index = RTreeQuery(spark, f"{tmp_path}/i", secondary=True)
+    hits = {r["start"]: len(r["q"]) for r in index.query_xyz(50, "e", "position").collect()}
+    assert hits == {a: -(-(min(b, 60) - a) // 3) for _, a, b in spans}
+    found = {(r["start"], r["end"]): r["id_data"] for r in index.trace_intersected(carried, 50, "e", [3, 8, 77]).collect()}
+    assert found == {(s, e): sorted(i for a, b, s2, e2, i in full if (a, b, s2, e2) == (50, "e", s, e)) for a, b, s, e, _ in full if (a, b) == (50, "e")}
+    merged = {(r["start"], r["count"]) for r in relayout.merged_blocks(layout, 4).where("iteration = 50 and species = 'e'").collect()}
+    assert merged == {(0, 17), (17, 43)}
+
+
+SCHEMA_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def test_dense_chunks(spark):
+    cells = spark.range(35).select(*(c.alias(n) for c, n in zip(from_row_major(F.col("id"), [5, 7]), "ij")), (F.col("id") * 1.5).alias("v"))
+    chunks = relayout.dense_chunks(cells.where("i <> 1 or j <> 2"), ["i", "j"], [5, 7], [2, 3], "v").cache()
+    got = {tuple(r["start"]): (r["count"], r["values"]) for r in chunks.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): [2, 3], (0, 3): [2, 4], (2, 0): [3, 3], (2, 3): [3, 4]}
+    assert got[0, 0][1] == [0.0, 1.5, 3.0, 10.5, 12.0, None]
+    box = sorted(map(tuple, relayout.read_box(chunks, ["i", "j"], [(1, 4), (2, 5)]).collect()))
+    assert box == sorted((i, j, None if (i, j) == (1, 2) else 1.5 * (7 * i + j)) for i in (1, 2, 3) for j in (2, 3, 4))
+    assert relayout.dense_chunks(cells.limit(0), ["i", "j"], [5, 7], [2, 3], "v").count() == 0
+
+
+def test_sketches_of_nodes(spark):
+    p = table(spark, range(4000), ids=[k % 1500 for k in range(4000)]).unionByName(table(spark, range(7), iteration=None, species=None)).cache()
+    tree = build.pack_tree(build.leaf_envelopes(p, 10, ["position"]))
+    found = build.sketch_ids_per_node(p, tree, 10)
+    assert found.count() == tree.count()
+    assert {r["ids"] for r in found.where("level = 0 and species = 'e'").collect()} == {10}
+    top = {r["species"]: r["ids"] for r in matched_top(found)}
+    assert abs(top["e"] - 1500) < 100 and top[None] == 7
+
+
+def matched_top(found):
+    tops = found.groupBy("species").agg(F.max("level").alias("level"))
+    return source.matched(found, tops, ["species", "level"], "left_semi").collect()
 
 
 def test_unknown_kind(spark, tmp_path):
@@ -177,8 +347,7 @@ def test_shrunk_rows_are_indexed_and_read(spark, tmp_path):
     assert sorted(map(tuple, listed.select("species", "pos", "block_id").collect())) == sorted(map(tuple, rows.select("species", "pos", "block_id").collect()))
     with pytest.raises(ValueError):
         build.minmax_blocks(p, None)
-    with pytest.raises(ValueError):
-        source.with_blocks(rows, None, 2)
+    assert source.with_blocks(rows, None, 2).where("slice_id < 0").count() == 0
     assert relayout.shrink_rows(p.where("false"), 50, 2).count() == 0
 
 
