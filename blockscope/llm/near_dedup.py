@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands, odd sketches and exact confirmation.
 
 1. Each text becomes its set of word shingles (64-bit hashes), MinHash samples in bands, and an odd sketch: the samples
-   folded into a bitmap by parity. Texts with equal sets are one node, named by their smallest id.
+   folded into a bitmap by parity. Texts with equal sets are one node, which their common digest tells apart, not an id.
 2. Nodes that agree in a band meet in its bucket. The population count of two sketches' XOR estimates their similarity;
    only a forest of the pairs that could reach the threshold leaves a bucket, not the pairs. Its components are
    candidate clusters.
@@ -13,10 +13,12 @@ each pair of blocks is a group of its own, so no task holds an unbounded group a
 with a probability of about MISS each.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than a
-shingle the whole sequence is one shingle. Rows with a null id take part with equal texts, never name a component, and
-get a null one if no row of their own set has an id. Rows that repeat an id repeat its result. Columns other than the id
-and the text are not read; `drop_near_duplicates` keeps them, and goes by rows: it numbers them, so that rows of one id
-or of none are documents of their own.
+shingle the whole sequence is one shingle. Ids may be of any type that has an order, null, or repeated: rows are linked by
+their texts, so that rows of one id with different texts each belong to the component of their own text, and rows without an
+id link what their texts link. A component is named by the smallest id in it, null if it has none; rows that repeat id and
+text repeat the result. An empty table gives no rows. A very long text is a block of its own in the last step, where its set
+(eight bytes a shingle) has to fit a task. Columns other than the id and the text are not read; `drop_near_duplicates` keeps
+them, and goes by rows: it numbers them, so that rows of one id or of none are documents of their own.
 """
 
 from __future__ import annotations
@@ -120,14 +122,19 @@ class Forest:
         return a != b
 
 
-def _signatures(width: int, threshold: float, id_col: str, text_col: str) -> Callable:
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _signatures(width: int, threshold: float) -> Callable:
+    """Of rows (id, text, key)."""
     bands, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(id_col))
-            for begin, texts in text_slices(batch, text_col):
+            ids = batch.column(batch.schema.get_field_index("id"))
+            for begin, texts in text_slices(batch, "text"):
                 n, digest, keys, sketches = [], [], [], []
                 for text in texts:
                     found = shingles(text, width)
@@ -136,9 +143,10 @@ def _signatures(width: int, threshold: float, id_col: str, text_col: str) -> Cal
                     key, sketch = signer.sign(found) if len(found) else (None, None)
                     keys.append(key)
                     sketches.append(sketch)
+                hashes = batch.column(batch.schema.get_field_index("key")).slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "n_shingles", "digest", "bands", "sketch"],
+                    [ids.slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), hashes],
+                    names=["id", "n_shingles", "digest", "bands", "sketch", "key"],
                 )
 
     return run
@@ -215,7 +223,7 @@ def _link_forest(percent: int, bound: int) -> Callable:
         out: list[tuple[int, int]] = []
         for nodes, sketches, mine, sets in _groups(batches, 3):
             known: dict[int, int] = {}
-            keep = [k for k, n in enumerate(nodes) if known.setdefault(n, k) == k]  # an id that rows repeat
+            keep = [k for k, n in enumerate(nodes) if known.setdefault(n, k) == k]  # a row that is repeated
             nodes, mine = [nodes[k] for k in keep], np.array([mine[k] for k in keep])
             hashes = [np.frombuffer(sets[k], np.uint64) for k in keep]
             bits = np.frombuffer(b"".join(sketches[k] for k in keep), np.uint64).reshape(len(keep), -1)
@@ -259,13 +267,19 @@ def _link_forest(percent: int, bound: int) -> Callable:
 
 
 def _with_sets(width: int) -> Callable:
+    """The full sets of candidate nodes. Rows that repeat id and text follow one another, as the join sorted them: one counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            nodes = batch.column(batch.schema.get_field_index("node")).to_pylist()
+            new = pa.array([n != m for n, m in zip(nodes, [last, *nodes])], pa.bool_())
+            last, batch = nodes[-1] if nodes else last, batch.filter(new)
             digests = batch.column(batch.schema.get_field_index("digest"))
             for begin, texts in text_slices(batch, "text"):
                 part = batch.slice(begin, len(texts))
                 found = [shingles(t, width).tobytes() for t in texts]
-                same = pa.array([xxhash.xxh3_128_digest(f) == d for f, d in zip(found, digests.slice(begin, len(texts)).to_pylist())])  # else another row of that id
+                same = pa.array([xxhash.xxh3_128_digest(f) == d for f, d in zip(found, digests.slice(begin, len(texts)).to_pylist())])  # else texts whose hashes agree
                 columns = [part.column(part.schema.get_field_index(c)) for c in ("cluster", "node", "sketch")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["cluster", "node", "sketch", "hashes"]).filter(same)
 
@@ -280,27 +294,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     bound = sketch_bound(threshold, bands * rows)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = materialize(docs.select(id_col, text_col).mapInArrow(_signatures(width, threshold, id_col, text_col), f"id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary"), "signatures")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(F.col(text_col)).alias("key"))
+    signed = materialize(keyed.mapInArrow(_signatures(width, threshold), f"id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary, `key` long"), "signatures")
 
-    nodes = materialize(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("id").cast("long").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("node is not null"), "nodes"
-    )
+    # a node's text is found again by an id and a hash of a row that has it
+    some = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("some")
+    nodes = signed.where("digest is not null").groupBy("digest").agg(some, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "some.id", "some.key", "bands", "sketch"), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "sketch")
     group = ["bucket", "left", "right"]
     met = _in_blocks(members, "bucket", "node").select(*group, "node", "sketch", "mine").repartition(parts, *group).sortWithinPartitions(*group)
     clusters = connected_components(met.mapInArrow(_sketch_forest(bound), "a long, b long"))
 
-    clustered = materialize(clusters.withColumnRenamed("component", "cluster").join(nodes.select("node", "digest", "sketch"), "node"), "clusters")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(clustered.hint("merge"), "node")  # one plan at every size
-    full = materialize(texts.select("cluster", "node", "digest", "sketch", "text").mapInArrow(_with_sets(width), "cluster long, node long, sketch binary, hashes binary"), "sets")
+    clustered = materialize(clusters.withColumnRenamed("component", "cluster").join(nodes.select("node", "digest", "id", "key", "sketch"), "node"), "clusters")
+    same = F.col("l.key").eqNullSafe(F.col("r.key")) & F.col("l.id").eqNullSafe(F.col("r.id"))
+    texts = keyed.alias("l").join(clustered.alias("r").hint("merge"), same).select("r.cluster", "r.node", "r.digest", "r.sketch", "l.text")  # one plan at every size
+    full = materialize(texts.mapInArrow(_with_sets(width), "cluster long, node long, sketch binary, hashes binary"), "sets")
     group = ["cluster", "left", "right"]
     met = _in_blocks(full, "cluster", "node", F.octet_length("hashes") / 8).select(*group, "node", "sketch", "mine", "hashes").repartition(parts, *group).sortWithinPartitions(*group)
     components = materialize(connected_components(met.mapInArrow(_link_forest(percent, bound), "a long, b long")), "components")
 
-    named = nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    own = F.col("id").cast("long")
-    component = F.when(F.col("digest").isNull(), own).otherwise(F.col("component"))
-    return signed.select("id", "n_shingles", "digest").join(named, "digest", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), own.eqNullSafe(component).alias("kept"))
+    least = components.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    linked = components.join(least, "component").select("node", "least", F.lit(True).alias("linked"))
+    named = nodes.select("digest", "node", "id").join(linked, "node", "left").select("digest", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component"))
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
+    return signed.select("id", "n_shingles", "digest").join(named, "digest", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

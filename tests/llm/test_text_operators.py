@@ -81,6 +81,26 @@ def test_near_duplicates(spark, docs, width, percent):
     assert near_duplicates(empty(docs), width, percent).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeated_and_missing_ids_lose_no_link(spark, kind):
+    from blockscope.llm.near_dedup import near_duplicates
+
+    rnd = random.Random(6)
+    base = [[f"t{k}w{rnd.randrange(500)}" for _ in range(200)] for k in range(4)]
+    text = lambda k, *more: " ".join([*base[k], *more])
+    rows = [(5, text(0)), (5, text(1)), (7, text(1, "x")), (8, text(1, "y")), (9, text(0, "z")), (9, text(0, "z"))]
+    rows += [(20, " ".join(base[2])), (None, " ".join(base[2][14:] + ["p"] * 14)), (21, " ".join(base[2][28:] + ["p"] * 14 + ["q"] * 14)), (None, text(3)), (None, text(3, "x"))]
+    known = [(i, t) for i, t in rows]
+    _, root = brute_components([t for _, t in known], 3, 85)
+    ids = lambda r: [i for (i, _), q in zip(known, root) if q == r and i is not None]
+    want = sorted(((i, min(ids(r)) if ids(r) else None) for (i, _), r in zip(known, root)), key=str)
+    assert (21, 20) in want  # only a row without an id links them
+    name = (lambda i: i) if kind == "long" else (lambda i: i if i is None else f"id-{i:03d}")
+    got = near_duplicates(spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string").repartition(3), 3, 85).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((name(i), name(c)) for i, c in want), key=str)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
 def test_oversized_groups_are_cut_into_blocks(spark, docs, monkeypatch):
     from blockscope.llm import near_dedup
 
