@@ -1,20 +1,26 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Block-level tags start a new line; a line has its text, its
-number of tags and the block element that it stands in. Lines inside elements that are never article text (navigation,
-headers, footers, forms, scripts, and blocks whose class, id or role names an advert, a notice, a sidebar or comments)
-count with no text. A name is weak evidence: an element that it speaks against is kept all the same where it holds more
-than half of the page's text, little of that in links, at a ratio of text to tags no lower than the rest has, and no
-article or main element outside has text; so a layout or article may be called after a sidebar. Names of comments count unless a main element stands inside. The lines' ratios of text characters to tags are smoothed with a Gaussian kernel;
-lines above the ratios' standard deviation cluster into content regions. A region grows to the outermost article (else
-main) around its lines, or without these to the block element that its lines share, and from there to the outermost
-element, the body included, that holds no text of the page's frame (navigation, headers, footers, sidebars). All text of
-a region stays, short paragraphs, headings and further sections too, but elements directly in the body that are nothing
-but three links or more.
+number of tags and the block element that it stands in. The lines' ratios of text characters to tags are smoothed with a
+Gaussian kernel; lines above the ratios' standard deviation cluster into content regions. A region grows to the outermost
+article (else main) around its lines, or without these to the block element that its lines share, and from there to the
+outermost element, the body included, that holds no text of the page's frame (navigation, headers, footers, sidebars). All
+text of a region stays, short paragraphs, headings and further sections too, but for links: elements directly in the body
+that are nothing but three links or more; and for loose lines: text directly in a division or the body, outside of any
+article, before the first line that reaches the deviation by itself (half of it, smoothed) or after the last.
+
+Tags and names are evidence that ratios can overrule. Scripts, styles and the like are never text. Navigation, headers,
+footers and sidebars have none either, nor have elements whose class, id or role is made of words for adverts, notices,
+menus or comments alone ("cookie-notice" or "user-reviews", not "related-work" or "notice-period"), nor forms. But an
+element that its name speaks against is kept where it holds more than half of the page's text, little of that in links, at
+a ratio no lower than the rest has; and within an article where it holds prose at half the page's ratio or more, unless it
+is named for comments or adverts beyond doubt. A form is kept if it holds more than half of the page's text. Names of
+comments count unless a main element stands inside.
 
 A null or empty page, or one without such text, gives the empty text; an empty table gives no rows. Repeated rows are
 extracted each. Columns other than the id, the address and the page are not read. A head ends where the first element or
-text begins that it can't hold. Time is linear in the page's length, unclosed and deeply nested elements included.
+text begins that it can't hold. Time is linear in the page's length, unclosed and deeply nested elements included; memory is
+bounded by one page and a slice of pages.
 """
 
 from __future__ import annotations
@@ -38,21 +44,31 @@ BLOCK = {
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table",
     "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-HIDDEN = {"aside", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "header", "iframe", "input", "label", "menu", "nav", "noscript", "object", "option", "script", "select", "style", "svg", "template", "textarea", "title"}
+HIDDEN = {"aside", "button", "canvas", "datalist", "dialog", "footer", "head", "header", "iframe", "input", "label", "menu", "nav", "noscript", "object", "option", "script", "select", "style", "svg", "template", "textarea", "title"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FURNITURE = {
     "ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "contentinfo", "complementary",
     "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager",
-    "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
+    "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "responses", "reviews", "search", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "thread", "toolbar", "topbar", "widget",
+}
+#: Words that say nothing about an element's kind, so that a name made of them and furniture still names furniture.
+NEUTRAL = {
+    "area", "article", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "entry", "form", "group", "holder", "icon", "icons", "inner", "item", "items", "js", "layout", "left", "link",
+    "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "text", "title", "top", "user", "visitor", "wrap", "wrapper",
 }
 WHOLE = {"html", "body"}
 FRAME = {"aside", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "copyright", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "sidenav", "toolbar", "topbar"}  # furniture of the page, not of an article in it
-COMMENTS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "respond"}
+COMMENTS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "respond", "responses", "reviews", "thread"}
+#: Words whose elements no ratio keeps within an article.
+CERTAIN = {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "gdpr", "newsletter", "respond", "sponsored"}
+LOOSE = {"div", "body"}
 IN_HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 LISTS = {"ul", "ol", "dl", "table", "select", "menu"}
 NO_P = BLOCK - {"p"}
 BODY = 0  # its number among the elements
 LEAST_LINKS = 3
+#: The fewest characters of prose.
+PROSE = 100
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -70,7 +86,8 @@ class LineParser(HTMLParser):
         self.lines: list[list] = [[[], 0, BODY, 0, 0]]
         self.tags: dict[int, str] = {}  # of article and main elements
         self.framed: set[int] = set()
-        self.named: dict[int, list] = {}  # [named element around, comments, characters, in links, tags, a main element inside]
+        self.named: dict[int, list] = {}  # [named element around, comments, characters, in links, tags, a main element inside, name, within an article]
+        self.kinds: dict[int, str] = {BODY: "body"}  # of visible blocks
         self.article = False  # whether an article or main element shows text
         self.page = [0, 0]  # characters and tags outside of elements hidden by their tag
 
@@ -88,7 +105,8 @@ class LineParser(HTMLParser):
                 return "hidden"
             if name in ("class", "id", "role") and value:
                 own = [v for v in value.split() if not v.lower().startswith(("has", "with", "no-"))]  # "has-sidebar" is a page's, not a sidebar's
-                found = [w.lower() for v in own for w in _NAMES.findall(v) if w.lower() in FURNITURE]
+                words = [[w.lower() for w in _NAMES.findall(v)] for v in own]
+                found = [w for ws in words if FURNITURE.union(NEUTRAL).issuperset(ws) for w in ws if w in FURNITURE]
                 if found:
                     return next((w for w in found if w in FRAME), found[0])
         return ""
@@ -129,16 +147,17 @@ class LineParser(HTMLParser):
         number, (_, hides, block, named) = self.made, self.open[-1] if self.open else ("", "", BODY, 0)
         certain = hides and not named  # hidden by a tag, not by a name
         if not certain:
-            name = tag if tag in HIDDEN else self._name(tag, attrs)
+            name = tag if tag in HIDDEN else self._name(tag, attrs) or ("form" if tag == "form" else "")
             if tag in HIDDEN or name == "hidden":
                 hides, named = hides or name, 0
             elif name and number not in self.spared:
-                self.named[number] = [named, name in COMMENTS, 0, 0, 0, False]
+                self.named[number] = [named, name in COMMENTS, 0, 0, 0, False, "form" if tag == "form" else name, bool(self.count["article"] or self.count["main"])]
                 hides, named = hides or name, number
             elif named and tag == "main":
                 self.named[named][5] = True
         if tag in BLOCK and tag not in WHOLE and not hides:
             self.up[number] = block
+            self.kinds[number] = tag
             block = number
         self.open.append((tag, hides, block, named))
         self.count[tag] += 1
@@ -182,15 +201,19 @@ class LineParser(HTMLParser):
     def wrongly_named(self) -> set[int]:
         """Elements that hold the page's text although their names speak against them."""
         found, (size, tags) = set(), self.page
-        if self.article:
-            return found
         for number in sorted(self.named, reverse=True):  # inner ones first
-            around, comments, n, linked, own, article = self.named[number]
+            around, comments, n, linked, own, article, name, within = self.named[number]
             if around:
                 for k, value in ((2, n), (3, linked), (4, own)):
                     self.named[around][k] += value
             dense = n * max(1, tags - own) >= (size - n) * max(1, own)
-            if 2 * n > size and 2 * linked < n and dense and (article or not comments):
+            if name == "form":
+                keep = 2 * n > size
+            elif within:
+                keep = name not in CERTAIN and n >= PROSE and 2 * linked < n and 2 * n * max(1, tags) >= size * max(1, own)
+            else:
+                keep = not self.article and 2 * n > size and 2 * linked < n and dense and (article or not comments)
+            if keep:
                 found.add(number)
                 if around and article:
                     self.named[around][5] = True
@@ -262,7 +285,12 @@ def main_text(page: str, sigma: float = 1.0) -> str:
     for n, around in sorted(up.items()):
         inside[n] = inside[around] or n in regions
     menus = _menus(parser.lines, top) if BODY in regions else set()
-    return " ".join(text for k, (text, _, block) in enumerate(lines) if text and (chosen[k] or inside[block] or BODY in regions and top[block] not in menus))
+    firm = np.flatnonzero((ratios > ratios.std()) & (level > ratios.std() / 2))
+    loose = set()
+    if len(firm):
+        loose = {k for k in (*range(firm[0]), *range(firm[-1] + 1, len(lines))) if parser.kinds[lines[k][2]] in LOOSE and not (article[lines[k][2]] or whole[lines[k][2]])}
+    kept = lambda k, block: chosen[k] or inside[block] or BODY in regions and top[block] not in menus
+    return " ".join(text for k, (text, _, block) in enumerate(lines) if text and k not in loose and kept(k, block))
 
 
 def _menus(lines: list[list], top: dict[int, int]) -> set[int]:

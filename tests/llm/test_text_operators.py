@@ -453,6 +453,52 @@ def test_html_takes_names_as_weak_evidence(page, wanted):
     assert main_text(page).split() == ["word"] * round(60 * wanted)
 
 
+PROSE = "<p>" + "prose that reads on " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ('<body><form id="aspnetForm"><div class="nav">Home</div><div>' + PROSE * 2 + "</div><input></form>", PROSE * 2),
+    ('<body><form id="aspnetForm"><article>' + PROSE * 2 + "</article></form>", PROSE * 2),
+    ("<body><article>" + PROSE + '<section id="discussion"><h2>Discussion</h2>' + PROSE + '</section><section id="related-work">' + PROSE + '</section><section id="binary-search"><p>Short.</p></section></article>',
+     PROSE + "Discussion" + PROSE * 2 + "Short."),
+    ("<body><article>" + PROSE + '<div class="social-history"><p>Few words</p></div><p class="notice-period">Four weeks.</p><div class="share">Share this</div></article>', PROSE + "Few words Four weeks."),
+    ("<body><article>" + PROSE + '<section id="comments">' + PROSE + '</section><div class="ad-box">' + PROSE + "</div></article>", PROSE),
+    ("<body><div>Home | News | Sport</div><div>Buy cheap shoes now! Call 555.</div>" + PROSE * 3 + "<p>Short end.</p><div>All rights reserved 2020</div>", PROSE * 3 + "Short end."),
+    ("<body><div>" + PROSE * 3 + '</div><div id="responses">' + PROSE + '</div><div id="thread">' + PROSE + '</div><div class="user-reviews">' + PROSE + "</div>", PROSE * 3),
+    ("<body><div>Title line</div>" + ("<div>" + "words of it " * 30 + "</div><div>He said so.</div>") * 2 + "<div>" + "words of it " * 30 + "</div>", ("words of it " * 30 + "He said so. ") * 2 + "words of it " * 30),
+])
+def test_html_lets_ratios_overrule_names(page, wanted):
+    from blockscope.llm.html_extract import main_text
+
+    assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", wanted).split())
+
+
+def test_html_without_ratios_gives_other_results(monkeypatch):
+    import numpy as np
+
+    from blockscope.llm import html_extract
+
+    page = "<body><div>Home | News | Sport</div>" + PROSE * 3 + "<div>All rights reserved 2020</div>"
+    with_ratios = html_extract.main_text(page)
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
+    assert html_extract.main_text(page) != with_ratios
+
+
+def test_html_of_the_given_pages(spark):
+    """A plain second way, which knows that each given page has one article: its text between block tags."""
+    import html
+
+    from blockscope.llm.html_extract import BLOCK, extract_main_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    blocks = re.compile(r"<!--.*?-->|</?(?:%s)(?:\s[^>]*)?/?>" % "|".join(BLOCK), re.S | re.I)
+    for r in pages.collect():
+        found = re.search(r"<article[^>]*>(.*?)</article>", r["html"] or "", re.S)
+        plain = html.unescape(re.sub(r"<[^>]*>", "", blocks.sub(" ", found[1]))) if found else ""
+        assert got[r["page_id"]] == " ".join(plain.split()), r["page_id"]
+
+
 @pytest.mark.parametrize("part", ["<font>", "<font>x", "<div>x", "<p>x", "<a>x", "</b>", '<div class="menu">x', "<li><ul>x"])
 def test_html_takes_linear_time(part):
     import time
