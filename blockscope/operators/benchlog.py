@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A number as streams print it, with an exponent where it is small or large.
+NUMBER = r"((?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 #: Formats of log file names and lines.
 NAME = r"index_build_(\w+?)_threads_(\d+)_blocks_(\d+)_(\d+)"
-IO_LINE = r"Read Batch finished in ([0-9.]+) ?s"
-BUILD_LINE = r"IO and CPU Finished in ([0-9.]+) ?s"
-ELAPSED_LINE = r"Elapsed time: ([0-9.]+) ?s"
+IO_LINE = f"Read Batch finished in {NUMBER} ?s"
+BUILD_LINE = f"IO and CPU Finished in {NUMBER} ?s"
+ELAPSED_LINE = f"Elapsed time: {NUMBER} ?s"
 
 
 def build_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -30,15 +32,24 @@ def build_runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, at, value): the lines of logs, which `split` and then `at` put in order within a file. A split is where in
+    the file the part begins that one task read, so that a log of any length is many rows and many tasks."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(blocks, count, seconds) of a read log, whose lines alternate between what was read and how long it took."""
-    whole = spark.read.text(path, wholetext=True)  # a log is a row, so that its lines keep their order
-    lines = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    here = Window.partitionBy("file").orderBy("at")
-    paired = lines.withColumn("after", F.lead("value").over(here))
+    """(blocks, count, seconds) of a read log, whose lines alternate between what was read and how long it took. A line's
+    follower is the next one of its split, or the first line of the file's next split that has one."""
+    lines = ordered_lines(spark, path)
+    here = Window.partitionBy("file", "split").orderBy("at")
+    firsts = lines.groupBy("file", "split").agg(F.min(F.struct("at", "value"))["value"].alias("first"))
+    firsts = firsts.withColumn("following", F.lead("first").over(Window.partitionBy("file").orderBy("split")))  # a row for each split
+    paired = lines.withColumn("after", F.lead("value").over(here)).join(firsts, ["file", "split"]).withColumn("after", F.coalesce("after", "following"))
     number = lambda c, p: F.regexp_extract(c, p, 1).try_cast("double")
     return paired.select(
-        number("value", r"[Bb]lock(?:s|Num)?\D*(\d+)").cast("long").alias("blocks"), number("value", r"[Cc]ount\D*(\d+)").cast("long").alias("count"), number("after", r"([0-9.]+) ?s").alias("seconds")
+        number("value", r"[Bb]lock(?:s|Num)?\D*(\d+)").cast("long").alias("blocks"), number("value", r"[Cc]ount\D*(\d+)").cast("long").alias("count"), number("after", rf"(?:^|\s){NUMBER} ?s").alias("seconds")
     ).where("count is not null and seconds is not null")
 
 

@@ -35,7 +35,8 @@ def _extrema(blocked: DataFrame, keys: list[str], records: list[str]) -> DataFra
     return blocked.groupBy(*keys).agg(*made)
 
 
-def _by_axis(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
+def by_axis(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
+    """A row for each record and axis of columns <record>_<axis>_min and _max."""
     cases = F.array(*(F.struct(F.lit(r).alias("record"), F.lit(a).alias("axis"), F.col(f"{r}_{a}_min").alias("min"), F.col(f"{r}_{a}_max").alias("max")) for r in records for a in AXES[r]))
     return wide.select(*keep, F.inline(cases))
 
@@ -52,13 +53,13 @@ def _by_slice(particles: DataFrame, layout: Layout, slice_rows: int, records: li
 def minmax_blocks(particles: DataFrame, layout: Layout, records: list[str] | None = None) -> DataFrame:
     """(iteration, species, start, end, record, axis, min, max): a row for each block and axis. NaN is ignored."""
     records = records or list(AXES)
-    return _by_axis(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
+    return by_axis(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
 
 
 def minmax_slices(particles: DataFrame, layout: Layout, slice_rows: int, records: list[str] | None = None) -> DataFrame:
     """As for blocks, for each slice, with its block's start."""
     records = records or list(AXES)
-    return _by_axis(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
+    return by_axis(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
 
 
 def rollup_slices(slices: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.operators import build, query, relayout
+from blockscope.sources.footers import folder_minmax
 from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_index
-from blockscope.sources.particles import AXES, GROUP, SCHEMA, block_catalogue, dump, matched, read_dump, with_blocks, with_listed_blocks, write_dump
+from blockscope.sources.particles import AXES, GROUP, ORDER, SCHEMA, block_catalogue, dump, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump
 from blockscope.sources.shared import new_path, stored
 
 BLOCK, SLICE, BITS = 100, 25, 10
@@ -446,8 +447,6 @@ def get_particle_scattered(spark, sf_dir):
 
 def _null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump with species A and iteration 1996 unknown: offsets run through the groups that this makes."""
-    from blockscope.sources.particles import ORDER, lineitem_particles, with_positions
-
     rows = lineitem_particles(spark, sf_dir).withColumns({"species": F.expr("nullif(species, 'A')"), "iteration": F.expr("nullif(iteration, 1996)")})
     write_dump(with_positions(rows, ORDER).drop(*ORDER), path := new_path(spark, "null-groups"), 1000)
     return read_dump(spark, path)
@@ -514,3 +513,32 @@ def sketched_ids(spark, sf_dir):
     roots = matched(found, found.groupBy(*GROUP).agg(F.max("level").alias("top")), GROUP).where("level = top").withColumnRenamed("ids", "about")
     exact = particles.groupBy(*GROUP).agg(F.countDistinct("id").alias("ids"))
     return matched(exact, roots.select(*GROUP, "about"), GROUP).select(*GROUP, "ids", (F.abs(F.col("about") - F.col("ids")) <= 0.06 * F.col("ids") + 2).alias("near"))
+
+
+@registered("""
+SELECT iteration, species, min(pos) AS "start", max(pos) + 1 AS "end", record, axis, min(v) AS "min", max(v) AS "max" FROM long GROUP BY iteration, species, pos // 1000, record, axis""")
+def footer_minmax(spark, sf_dir):
+    """Extrema of a dump's folders, which are its blocks, from Parquet footers."""
+    write_dump(dump(spark, sf_dir), path := new_path(spark, "folders"), 10 * BLOCK)
+    return folder_minmax(spark, path)
+
+
+@registered("""
+WITH a AS (
+  SELECT 'part_' || CAST(p_partkey AS VARCHAR) || '_name' AS name, 'string' AS type, CAST(1 AS BIGINT) AS elements, '"' || p_name || '"' AS value FROM part
+  UNION ALL SELECT 'part_' || CAST(p_partkey AS VARCHAR) || '_size', 'uint32', 1, CAST(p_size AS VARCHAR) FROM part
+  UNION ALL SELECT 'part_' || CAST(p_partkey AS VARCHAR) || '_pair', 'double', 2, '{ ' || CAST(-p_size AS VARCHAR) || ', ' || CAST(p_size AS VARCHAR) || 'e1 }' FROM part
+)
+SELECT name, type, elements, CASE WHEN type = 'string' THEN trim(value, '"') END AS text,
+  CASE WHEN type = 'uint32' THEN CAST(value AS DOUBLE) WHEN type = 'double' THEN CAST(trim(split_part(trim(value, '{} '), ',', 1)) AS DOUBLE) END AS first_number,
+  CASE WHEN type = 'double' THEN CAST(trim(split_part(trim(value, '{} '), ',', 2)) AS DOUBLE) END AS second_number FROM a""", with_particles=False)
+def copied_attributes(spark, sf_dir):
+    """Attributes of three types made from `part`, written, copied to another dump, read back and parsed."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size").cast("string")
+    values = [("name", "string", 1, F.concat(F.lit('"'), "p_name", F.lit('"'))), ("size", "uint32", 1, size), ("pair", "double", 2, F.concat(F.lit("{ "), (-F.col("p_size")).cast("string"), F.lit(", "), size, F.lit("e1 }")))]
+    rows = F.array(*(F.struct(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit(f"_{n}")).alias("name"), F.lit(t).alias("type"), F.lit(k).cast("long").alias("elements"), v.alias("value")) for n, t, k, v in values))
+    write_attributes(part.select(F.inline(rows)), first := new_path(spark, "attributes"))
+    write_attributes(read_attributes(spark, first), second := new_path(spark, "attributes"))
+    parsed = parse_attributes(read_attributes(spark, second))
+    return parsed.select("name", "type", "elements", "text", F.get("numbers", F.lit(0)).alias("first_number"), F.get("numbers", F.lit(1)).alias("second_number"))

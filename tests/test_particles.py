@@ -433,6 +433,52 @@ def test_logs(spark, tmp_path):
     assert pairs == [(k, 10 * k, k + 0.5) for k in range(1, 400)]
 
 
+def test_log_numbers_with_exponents(spark, tmp_path):
+    from blockscope.operators import benchlog
+
+    (tmp_path / "index_build_minmax_threads_2_blocks_10_1.log").write_text("Read Batch finished in 3.2e-05s\nRead Batch finished in 1E+1 s\nIO and CPU Finished in .5e2s\nElapsed time: 60 s\n")
+    row = benchlog.build_runs(spark, f"{tmp_path}/*.log").first()
+    assert (row["io_s"], row["build_s"], row["elapsed_s"]) == (10.000032, 50.0, 60.0)
+    (tmp_path / "read.txt").write_text("Blocks 7 Count 5\nThe code execution took 9.5e-05 seconds\nBlocks 8 Count 6\nno time here\n")
+    assert [tuple(r) for r in benchlog.read_pairs(spark, f"{tmp_path}/read.txt").collect()] == [(7, 5, 9.5e-05)]
+
+
+def test_a_log_is_many_tasks(spark, tmp_path):
+    from blockscope.operators import benchlog
+
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} line {k}\n" for k in range(500)) + "x" * 3000 + "\nlast\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = benchlog.ordered_lines(spark, f"{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({(r["file"], r["split"]) for r in rows}) > 10
+    for name in "ab":
+        held = [r["value"] for r in sorted(rows, key=lambda r: (r["split"], r["at"])) if r["file"].endswith(f"{name}.txt")]
+        assert held == (tmp_path / f"{name}.txt").read_text().split("\n")[:-1]
+
+
+def test_block_metadata_comes_from_footers(spark, tmp_path):
+    from blockscope.sources import footers
+
+    p = grouped(spark)
+    source.write_dump(p, f"{tmp_path}/d", 16)
+    got = footers.folder_minmax(spark, f"{tmp_path}/d")
+    assert rows_of(got, *got.columns) == rows_of(build.minmax_blocks(p, 16), *got.columns)
+    assert rows_of(footers.folder_blocks(spark, f"{tmp_path}/d"), "iteration", "species", "block_id", "start", "count") == rows_of(source.block_catalogue(source.with_blocks(p, 16)), "iteration", "species", "block_id", "start", "count")
+    with footers.footer_reads(spark):
+        plan = footers.pushed_blocks(spark, f"{tmp_path}/d", ["position"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(pos), MAX(pos), COUNT(pos), MIN(x)" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    source.write_dump(p.withColumn("x", F.when(F.col("pos") == 3, math.nan).otherwise(F.col("x"))), f"{tmp_path}/n", 16)
+    nan = footers.folder_minmax(spark, f"{tmp_path}/n").where("record = 'position' and axis = 'x'")
+    assert rows_of(nan, "iteration", "species", "start", "min", "max") == rows_of(build.minmax_blocks(source.read_dump(spark, f"{tmp_path}/n"), 16).where("record = 'position' and axis = 'x'"), "iteration", "species", "start", "min", "max")
+    with pytest.raises(ValueError):
+        p.write.parquet(f"{tmp_path}/v")
+        footers.folder_blocks(spark, f"{tmp_path}/v")
+
+
 def test_incremental_index_equals_a_batch_build(spark, tmp_path):
     from blockscope.streaming import incremental
 
