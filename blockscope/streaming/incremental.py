@@ -1,32 +1,105 @@
 """Incremental index maintenance: an extension, which batch results define.
 
-Extrema, envelopes and Bloom bitmaps merge, so each micro-batch is indexed by itself and folded into the stored index.
+Extrema, envelopes and Bloom bitmaps merge, so each micro-batch is indexed by itself and stored under its number; a reader
+merges what is stored. Merging takes each part any number of times, so that a batch that is repeated, or stored beside a
+compacted table that holds it already, changes nothing.
+
+path/<kind>/base=<n> holds what batches up to n came to, path/<kind>/batch=<n> a batch of its own. `compact` writes a new base
+from the last one and the batches since, and only then deletes what it holds; a base counts once its _SUCCESS is there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from blockscope.operators.build import minmax_blocks
+from blockscope.functions import bloom
+from blockscope.operators.build import ENVELOPE, block_filters, leaf_envelopes, minmax_blocks, minmax_slices, slice_envelopes
 from blockscope.sources.particles import GROUP
 
+_SIDES = {"start": F.min, "end": F.max, "min": F.min, "max": F.max} | {c: F.min if c.startswith("min") else F.max for c in ENVELOPE}
+
+
+def _merge(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of whole blocks or slices from rows of their parts."""
+    return parts.groupBy(*GROUP, *by).agg(*(_SIDES[c](c).alias(c) for c in parts.columns if c in _SIDES and c not in by))
+
+
+def _number(rows: DataFrame, slice_rows: int) -> DataFrame:
+    return rows.withColumn("slice", F.floor((F.col("start") - F.col("block_start")) / slice_rows))
+
+
+def _kinds(block_rows: int, slice_rows: int | None, bits_per_key: float | None) -> dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]]:
+    """For each kind of index: how a batch is indexed, and how parts are merged."""
+    out = {
+        "minmax": (lambda rows: minmax_blocks(rows, block_rows), lambda parts: _merge(parts, ["start", "record", "axis"])),
+        "envelopes": (lambda rows: leaf_envelopes(rows, block_rows), lambda parts: _merge(parts, ["start", "record"])),
+    }
+    if slice_rows:
+        out["slices"] = (lambda rows: minmax_slices(rows, block_rows, slice_rows), lambda parts: _merge(_number(parts, slice_rows), ["block_start", "slice", "record", "axis"]).drop("slice"))
+        out["slice_envelopes"] = (lambda rows: slice_envelopes(rows, block_rows, slice_rows), lambda parts: _merge(_number(parts, slice_rows), ["block_start", "slice", "record"]).drop("slice"))
+    if bits_per_key:
+        out["filters"] = (lambda rows: block_filters(rows.where("id is not null"), block_rows, bits_per_key), lambda parts: bloom.merge(parts, [*GROUP, "block_id"]))
+    return out
+
+
+class MaintainedIndex:
+    """All kinds of indexes of a growing table of particles: extrema and envelopes of blocks and slices, and Bloom filters of
+    blocks. Rows of a block may come in any number of batches."""
 
-def merge_minmax(parts: DataFrame) -> DataFrame:
-    """Block rows from partial block rows."""
-    return parts.groupBy(*GROUP, "record", "axis", "block_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("min").alias("min"), F.max("max").alias("max")).drop("block_id")
+    def __init__(self, spark: SparkSession, path: str, block_rows: int, slice_rows: int | None = None, bits_per_key: float | None = None):
+        self.spark, self.path = spark, path
+        self.kinds = _kinds(block_rows, slice_rows, bits_per_key)
 
+    def add(self, batch: DataFrame, n: int) -> None:
+        """Index a batch; a batch that is repeated replaces its own folder."""
+        batch.persist()  # read once for all kinds
+        for kind, (index, _) in self.kinds.items():
+            index(batch).write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={n}")
+        batch.unpersist()
 
-def maintain_minmax(stream: DataFrame, path: str, checkpoint: str, block_rows: int) -> StreamingQuery:
-    """Index each micro-batch of particle rows under path/batch=<n>. A batch that is repeated replaces its own folder."""
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def add(batch: DataFrame, n: int) -> None:
-        found = minmax_blocks(batch, block_rows).withColumn("block_id", F.floor(F.col("start") / block_rows).cast("long"))
-        found.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    def _fs(self, kind: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def _stored(self, kind: str) -> tuple[list[int], list[int]]:
+        """The numbers of the bases and of the batches that are whole."""
+        folder, fs = self._fs(kind)
+        found = {"base": [], "batch": []}
+        if fs.exists(folder):
+            for status in fs.listStatus(folder):
+                name = re.fullmatch(r"(base|batch)=(\d+)", status.getPath().getName())
+                if name and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                    found[name[1]].append(int(name[2]))
+        return sorted(found["base"]), sorted(found["batch"])
 
+    def table(self, kind: str) -> DataFrame:
+        """The index as a batch build over all rows so far gives it."""
+        bases, batches = self._stored(kind)
+        since = bases[-1] if bases else -1
+        paths = [f"{self.path}/{kind}/base={n}" for n in bases[-1:]] + [f"{self.path}/{kind}/batch={n}" for n in batches if n > since]
+        if not paths:
+            raise ValueError(f"nothing is stored under {self.path}/{kind}")
+        parts = [self.spark.read.parquet(p) for p in paths]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return self.kinds[kind][1](whole)
 
-def read_minmax(spark, path: str) -> DataFrame:
-    return merge_minmax(spark.read.parquet(path))
+    def compact(self) -> None:
+        """Merge the batches so far into a new base for each kind."""
+        for kind in self.kinds:
+            bases, batches = self._stored(kind)
+            if not batches or bases and batches[-1] <= bases[-1]:
+                continue
+            self.table(kind).write.mode("overwrite").parquet(f"{self.path}/{kind}/base={batches[-1]}")
+            folder, fs = self._fs(kind)
+            for name in [f"base={n}" for n in bases] + [f"batch={n}" for n in batches]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)

@@ -479,17 +479,35 @@ def test_block_metadata_comes_from_footers(spark, tmp_path):
         footers.folder_blocks(spark, f"{tmp_path}/v")
 
 
-def test_incremental_index_equals_a_batch_build(spark, tmp_path):
-    from blockscope.streaming import incremental
+def test_incremental_indexes_equal_a_batch_build(spark, tmp_path):
+    from blockscope.streaming.incremental import MaintainedIndex
 
-    p = table(spark, range(10))
-    p.where("pos < 5").write.parquet(f"{tmp_path}/in")
-    p.where("pos >= 5").write.mode("append").parquet(f"{tmp_path}/in")
+    p = grouped(spark)
+    for k in range(4):  # blocks and slices arrive in parts
+        p.where(F.col("pos") % 4 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    incremental.maintain_minmax(stream, f"{tmp_path}/idx", f"{tmp_path}/cp", 4).awaitTermination(60)
-    columns = ["iteration", "species", "start", "end", "record", "axis", "min", "max"]
-    got = incremental.read_minmax(spark, f"{tmp_path}/idx").select(columns).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, build.minmax_blocks(p, 4).select(columns).collect()))
+    index = MaintainedIndex(spark, f"{tmp_path}/idx", 10, slice_rows=3, bits_per_key=10)
+    index.start(stream, f"{tmp_path}/cp").awaitTermination(120)
+    want = {
+        "minmax": build.minmax_blocks(p, 10), "slices": build.minmax_slices(p, 10, 3), "envelopes": build.leaf_envelopes(p, 10), "slice_envelopes": build.slice_envelopes(p, 10, 3),
+        "filters": build.block_filters(p, 10, 10),
+    }
+    want = {k: (df.columns, rows_of(df, *df.columns)) for k, df in want.items()}
+
+    def same():
+        return all(rows_of(index.table(k), *columns) == rows for k, (columns, rows) in want.items())
+
+    assert same()
+    index.add(p.where("pos % 4 = 3"), 3)  # a batch that is repeated
+    assert same()
+    index.compact()
+    assert same() and not list(tmp_path.glob("idx/*/batch=*")) and len(list(tmp_path.glob("idx/*/base=3"))) == 5
+    index.add(p.where("pos % 4 = 2"), 3)  # one that the base holds
+    index.add(p.where("pos % 4 = 1"), 4)
+    index.compact()
+    assert same() and len(list(tmp_path.glob("idx/*/base=*"))) == 5
+    tree = build.pack_tree(index.table("envelopes").where("record = 'position'"))
+    assert tree.where("level = 0").count() == build.leaf_envelopes(p, 10, ["position"]).count()
 
 
 def test_command_line(spark, tmp_path, capsys):
