@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockscope.functions.bloom import FilterShape
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
 from blockscope.operators.build import hull
-from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, in_buckets_of, in_windows, matched, with_blocks
+from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, group_key, in_buckets_of, in_windows, matched, with_blocks
 from blockscope.sources.shared import stored, stored_and_counted
 
 #: Rows of an index hit list that are broadcast; beyond, the join is left to Spark.
@@ -19,16 +19,32 @@ MAX_BROADCAST = 500_000
 
 def range_blocks(blocks: DataFrame, record: str, axis: str, bounds: Bounds = EVERYTHING) -> DataFrame:
     """Blocks whose extrema on one axis meet the closed interval."""
-    return blocks.where((F.col("record") == record) & (F.col("axis") == axis) & overlaps(F.col("min"), F.col("max"), bounds)).select(*GROUP, "start", "end")
+    return _range_hits(blocks, record, axis, bounds).select(*GROUP, "start", "end")
+
+
+def _range_hits(nodes: DataFrame, record: str, axis: str, bounds: Bounds) -> DataFrame:
+    return nodes.where((F.col("record") == record) & (F.col("axis") == axis) & overlaps(F.col("min"), F.col("max"), bounds))
+
+
+def _box_hits(nodes: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
+    return nodes.where((F.col("record") == record) & meets_box(box))
+
+
+def _with_slices(blocks: DataFrame, slices: DataFrame) -> DataFrame:
+    """Hit blocks with their hit slices. Tables that are bucketed by the block's key are joined on it, without an exchange."""
+    hits = slices.withColumns({"slice_start": F.col("start"), "slice_end": F.col("end"), "start": F.col("block_start")})
+    if "_key" in blocks.columns and "_key" in slices.columns:
+        joined = blocks.select("_key", *GROUP, "start", "end").join(hits.select("_key", "slice_start", "slice_end"), "_key", "left")
+    else:
+        joined = matched(blocks.select(*GROUP, "start", "end"), hits.select(*GROUP, "start", "slice_start", "slice_end"), [*GROUP, "start"], "left")
+    return joined.select(*GROUP, "start", "end", "slice_start", "slice_end")
 
 
 def range_slices(blocks: DataFrame, slices: DataFrame, record: str, axis: str, bounds: Bounds = EVERYTHING) -> DataFrame:
     """Those blocks with their slices that meet the interval: (iteration, species, start, end, slice_start, slice_end).
 
     A block none of whose slices meets it stays, with null slices."""
-    hits = slices.where((F.col("record") == record) & (F.col("axis") == axis) & overlaps(F.col("min"), F.col("max"), bounds))
-    hits = hits.select(*GROUP, F.col("block_start").alias("start"), F.col("start").alias("slice_start"), F.col("end").alias("slice_end"))
-    return matched(range_blocks(blocks, record, axis, bounds), hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
+    return _with_slices(_range_hits(blocks, record, axis, bounds), _range_hits(slices, record, axis, bounds))
 
 
 def nested(flat: DataFrame) -> DataFrame:
@@ -47,13 +63,11 @@ def blocks_on_all_axes(blocks: DataFrame, select: dict[tuple[str, str], Bounds])
 
 def box_blocks(envelopes: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
     """Blocks whose envelope meets the box (closed on all sides)."""
-    return envelopes.where((F.col("record") == record) & meets_box(box)).select(*GROUP, "start", "end")
+    return _box_hits(envelopes, record, box).select(*GROUP, "start", "end")
 
 
 def box_slices(envelopes: DataFrame, slices: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
-    hits = slices.where((F.col("record") == record) & meets_box(box))
-    hits = hits.select(*GROUP, F.col("block_start").alias("start"), F.col("start").alias("slice_start"), F.col("end").alias("slice_end"))
-    return matched(box_blocks(envelopes, record, box), hits, [*GROUP, "start"], "left").select(*GROUP, "start", "end", "slice_start", "slice_end")
+    return _with_slices(_box_hits(envelopes, record, box), _box_hits(slices, record, box))
 
 
 def tree_box(tree: DataFrame, record: str, box: dict[str, Bounds]) -> DataFrame:
@@ -90,11 +104,17 @@ def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str,
     return rows.select(*columns)
 
 
+def filter_key() -> Column:
+    """What filters are bucketed by."""
+    return group_key("level", "node", "segment")
+
+
 def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape: FilterShape, record: str = "position", id_col: str = "id") -> DataFrame:
     """(iteration, species, start, end, id): blocks whose Bloom filters may have the id. Distinct ids count once.
 
     The packed tree is descended: an id is asked of the nodes below the root, then of the children of those that may have it.
-    A probe is a join on node and segment; only candidates grow with the ids, filters are read as they are stored."""
+    A probe is a join on node and segment; only candidates grow with the ids. Filters that are bucketed by node and segment are
+    read where they are: only what is asked is exchanged."""
     filters, nodes = filters.where(F.col("record") == record), tree.where(F.col("record") == record)
     top = filters.agg(F.max("level")).first()[0] or 0
     found = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
@@ -102,8 +122,13 @@ def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape:
         if level < top:
             found = found.withColumn("node", F.explode(F.sequence(F.col("node") * shape.capacity, (F.col("node") + 1) * shape.capacity - 1)))
         asked = found.withColumns(shape.hashed(F.col("id"))).withColumn("segment", shape.segment(level))
-        held = filters.where(F.col("level") == level).select(*GROUP, "node", "segment", "bitmap")
-        met = asked.join(held, "segment") if level == top else matched(asked, held, [*GROUP, "node", "segment"])
+        held = filters.where(F.col("level") == level)
+        if level == top:
+            met = asked.join(held.select(*GROUP, "node", "segment", "bitmap"), "segment")
+        elif "_key" in filters.columns:
+            met = asked.withColumn("level", F.lit(level)).withColumn("_key", filter_key()).join(held.select("_key", "bitmap"), "_key")
+        else:
+            met = matched(asked, held.select(*GROUP, "node", "segment", "bitmap"), [*GROUP, "node", "segment"])
         found = stored(met.where(shape.may_hold(F.col("bitmap"), level)).select(*GROUP, "node", "id"), "descent")
     leaves = nodes.where("level = 0").select(*GROUP, "node", "start", "end")
     return matched(found, leaves, [*GROUP, "node"]).select(*GROUP, "start", "end", "id")

@@ -1,4 +1,9 @@
-"""Stored indexes: written by key, listed, looked up; and the query classes over them."""
+"""Stored indexes: written by key, listed, looked up; and the query classes over them.
+
+Tables are bucketed: blocks and slices by iteration, species and block, filters by node and segment. A block's slices, and
+the filters that ids are asked of, are then joined without an exchange of the stored side. The files are plain Parquet; a
+session that opens an index registers them in its catalog under a name of the build.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +16,30 @@ from pyspark.sql import functions as F
 
 from blockscope.functions.bloom import FilterShape
 from blockscope.operators import build, query
-from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, with_blocks
+from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, group_key, with_blocks
 
 KINDS = ("minmax", "rtree")
+#: What each bucketed table is bucketed by.
+KEYS = {"blocks": lambda: group_key("start"), "slices": lambda: group_key("block_start"), "filters": query.filter_key}
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+    """Add rows (with `_key`) to a bucketed table at a path: a file for each bucket, sorted."""
+    name = f"writing_{uuid.uuid4().hex}"
+    df.repartition(buckets, "_key").write.format("parquet").bucketBy(buckets, "_key").sortBy("_key").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # of the catalog; the files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The table at a path, registered under a name that the path gives."""
+    build, table = path.rsplit("/", 2)[1:]
+    name = f"{build}_{table}".replace("-", "_")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (_key) SORTED BY (_key) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
-def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slice_rows: int | None = None, bits_per_key: float | None = None, capacity: int = 10, records: list[str] | None = None) -> None:
+def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slice_rows: int | None = None, bits_per_key: float | None = None, capacity: int = 10, records: list[str] | None = None, buckets: int | None = None) -> None:
     """Build an index of a kind (with slices where slice_rows is given, with Bloom filters where bits_per_key is) and replace
     what is stored at the path: blocks/, slices/, tree/, filters/ and the parameters. The blocks are those of the layout. Each build writes to a folder of its own;
     `parameters`, written last, names it, so that readers see one whole index or the other. Only then the old one goes."""
@@ -25,7 +48,8 @@ def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slic
     if bits_per_key and kind != "rtree":
         raise ValueError("Bloom filters belong to the nodes of a tree")
     spark, root, path = particles.sparkSession, path, f"{path}/build-{uuid.uuid4().hex}"
-    save = lambda df, name: df.write.mode("append").partitionBy("record").parquet(f"{path}/{name}")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    save = lambda df, name: write_bucketed(df.withColumn("_key", KEYS[name]()), f"{path}/{name}", buckets)
     leaf_rows = None
     if kind == "minmax":
         save(build.minmax_blocks(particles, layout, records), "blocks")
@@ -33,17 +57,20 @@ def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slic
             save(build.minmax_slices(particles, layout, slice_rows, records), "slices")
     else:
         save(build.leaf_envelopes(particles, layout, records), "blocks")
-        save(build.pack_tree(spark.read.parquet(f"{path}/blocks"), capacity), "tree")
+        build.pack_tree(spark.read.parquet(f"{path}/blocks").drop("_key"), capacity).write.partitionBy("record").parquet(f"{path}/tree")
         if slice_rows:
             save(build.slice_envelopes(particles, layout, slice_rows, records), "slices")
     if bits_per_key:
         tree = spark.read.parquet(f"{path}/tree")
+        found = None
         for record in records or list(AXES):
             shape = build.filter_shape(particles, layout, bits_per_key, capacity, record)
             leaf_rows = shape.leaf_rows
-            save(build.node_filters(particles, tree, layout, shape, record), "filters")
-    row = (kind, slice_rows, float(bits_per_key) if bits_per_key else None, leaf_rows, capacity, path.rsplit("/", 1)[1])
-    names = "kind string, slice_rows long, bits_per_key double, leaf_rows long, capacity long, build string"
+            made = build.node_filters(particles, tree, layout, shape, record)
+            found = made if found is None else found.unionByName(made)
+        save(found, "filters")
+    row = (kind, slice_rows, float(bits_per_key) if bits_per_key else None, leaf_rows, capacity, buckets, path.rsplit("/", 1)[1])
+    names = "kind string, slice_rows long, bits_per_key double, leaf_rows long, capacity long, buckets long, build string"
     spark.createDataFrame([row], names).coalesce(1).write.mode("overwrite").parquet(f"{root}/parameters")
     _drop_other_builds(spark, root, row[-1])
 
@@ -81,7 +108,8 @@ class _Stored:
             raise ValueError(f"{path} has no slices")
 
     def table(self, name: str, iteration: int | None = None, species: str | None = None) -> DataFrame:
-        out = self.spark.read.parquet(f"{self.path}/{name}")
+        path = f"{self.path}/{name}"
+        out = read_bucketed(self.spark, path, self.parameters["buckets"]) if name in KEYS else self.spark.read.parquet(path)
         out = out if iteration is None else out.where(F.col("iteration") == iteration)
         return out if species is None else out.where(F.col("species") == species)
 

@@ -46,6 +46,13 @@ def same_keys(columns: list[str]) -> Column:
     return reduce(lambda out, c: out & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), columns, F.lit(True))
 
 
+def group_key(*parts: str) -> Column:
+    """Iteration, species (nulls told apart from all values) and further numbers as one string: what bucketed tables are
+    bucketed and joined by, since a single key that is never null needs no exchange."""
+    named = [F.coalesce(F.col("iteration").cast("string"), F.lit("~")), F.coalesce(F.concat(F.lit("="), "species"), F.lit("~"))]
+    return F.concat_ws("/", *named, *(F.col(p).cast("string") for p in parts))
+
+
 def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *conditions: Column) -> DataFrame:
     """Join on columns that may be null, a null being equal to a null; further conditions name the sides l and r. The left
     side's columns, and the right side's that the left one lacks."""

@@ -303,6 +303,34 @@ def test_dense_chunks(spark):
     assert relayout.dense_chunks(cells.limit(0), ["i", "j"], [5, 7], [2, 3], "v").count() == 0
 
 
+def test_stored_tables_are_joined_without_an_exchange(spark, tmp_path):
+    p = grouped(spark)
+    write_index(p, f"{tmp_path}/m", "minmax", 10, slice_rows=3, buckets=5)
+    write_index(p, f"{tmp_path}/r", "rtree", 10, slice_rows=3, bits_per_key=10, capacity=3, buckets=5)
+    minmax, tree = MinMaxQuery(spark, f"{tmp_path}/m", secondary=True), RTreeQuery(spark, f"{tmp_path}/r", secondary=True)
+    flat = query.range_slices(minmax.table("blocks"), minmax.table("slices"), "position", "x", (0.2, 0.3))
+    want = query.range_slices(build.minmax_blocks(p, 10), build.minmax_slices(p, 10, 3), "position", "x", (0.2, 0.3))
+    assert rows_of(flat, *flat.columns) == rows_of(want, *flat.columns)
+    box = {"x": (0.2, 0.5), "y": (0.1, 0.9)}
+    boxed = query.box_slices(tree.table("blocks"), tree.table("slices"), "momentum", {"x": (1.0, 1.0)})
+    assert boxed.count() == build.slice_envelopes(p, 10, 3, ["momentum"]).count()
+    shape = build.filter_shape(p, 10, 10, 3)
+    ids = spark.createDataFrame([(3,), (8,)], "id long")
+    found = query.trace_candidates(tree.table("tree"), tree.table("filters"), ids, shape)
+    assert set(map(tuple, query.trace(p, ids, 10).collect())) <= set(map(tuple, found.collect()))
+    keys = tree.table("filters").where("level = 0 and record = 'position'").select("_key", "bitmap")
+    probe = ids.withColumn("_key", F.concat(F.lit("50/=e/0/0/"), (F.col("id") % 1).cast("string"))).join(keys, "_key")
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    try:
+        for df, exchanges in ((query.box_slices(tree.table("blocks"), tree.table("slices"), "position", box), 0), (query.range_slices(minmax.table("blocks"), minmax.table("slices"), "position", "x"), 0), (probe, 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges and "SortMergeJoin" in plan, plan
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
 def test_sketches_of_nodes(spark):
     p = table(spark, range(4000), ids=[k % 1500 for k in range(4000)]).unionByName(table(spark, range(7), iteration=None, species=None)).cache()
     tree = build.pack_tree(build.leaf_envelopes(p, 10, ["position"]))
