@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockscope.llm import bpe_index, merkle, oracle
-from blockscope.llm.common import load, new_path
+from blockscope.llm.common import load, materialize, new_path
 from blockscope.llm.decontaminate import contamination
 from blockscope.llm.html_extract import extract_main_text
 from blockscope.llm.line_dedup import line_report
@@ -58,6 +58,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and the replies that follow them, packed under limits of tokens, segments and loss-bearing (reply) tokens at once."""
+    path, turns = public_tokenizers.path("word_bpe_49k.json"), load(spark, sf_dir, "conversations")
+    example = F.concat_ws(":", "conv_id", "turn").alias("example")
+    prompts = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.coalesce("text", F.lit("")).alias("prompt"))
+    replies = turns.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reply"))
+    pairs = materialize(prompts.join(replies, ["conv_id", "turn"]).select(example, "prompt", "reply"), "examples")
+    sizes = token_counts(pairs, path, "example", "prompt").select("example", F.col("n_tokens").alias("prompt_tokens"))
+    whole = pairs.select("example", F.concat_ws("\n", "prompt", "reply").alias("text")).join(sizes, "example")
+    return pack(whole, path, "example", "text", "prompt_tokens", capacity=2048, max_segments=12, max_loss=1024)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -87,6 +99,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "packed_conversations": packed_conversations,
     "op11_bpe": op11_bpe,
     "op12_merkle": op12_merkle,
     "op13_prefix_trie": op13_prefix_trie,

@@ -144,6 +144,23 @@ class PrefixCounter:
                 del known[chunk]
         return total
 
+    def cut(self, text: bytes, limit: int) -> int:
+        """The most characters that a prefix of at most `limit` tokens can have. Only the chunk in which the running count passes
+        the limit needs its prefixes' counts: after it, no prefix has fewer tokens."""
+        base, seen = 0, text.decode()
+        for match in re.finditer(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]*)", seen):
+            chunk = match[2]
+            if not chunk:
+                continue
+            known = self.chunks.get(chunk.encode())
+            n = base + (self._count(chunk.encode()) if known is None else known)
+            if n > limit:
+                counts = self._chunk_prefixes(chunk)
+                fits = [k for k, more in enumerate(counts, 1) if base + more <= limit]
+                return match.start(2) + (fits[-1] if fits else 0)
+            base = n
+        return len(seen)
+
     def prefixes(self, text: str) -> list[int]:
         """The token count of text[:i] for i from 0 to len(text)."""
         out, base = [0], 0
@@ -245,11 +262,17 @@ def _per_text(path: str, text_col: str, keep: list[str], fields: list[tuple[str,
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for each row: the last entry of each text's prefix counts."""
+    """(id, n_bytes, n_tokens, over_limit, chars_within) for each row: the last entry of each text's prefix counts, and the most
+    characters that a prefix within the limit can have, by the counts at the prefixes of the word that is cut."""
     kind = docs.schema[id_col].dataType.simpleString()
-    run = _per_text(tokenizer_path, text_col, [id_col], [("n_bytes", pa.int64()), ("n_tokens", pa.int64())], lambda c, t: (len(t), c.total(t)))
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+    def row(counter: PrefixCounter, text: bytes) -> tuple[int, int, int]:
+        n = counter.total(text)
+        return len(text), n, counter.cut(text, limit) if n > limit else len(text) if text.isascii() else len(text.decode())
+
+    run = _per_text(tokenizer_path, text_col, [id_col], [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("chars_within", pa.int64())], row)
+    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, chars_within long")
+    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "chars_within")
 
 
 def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -655,6 +655,33 @@ def test_prefix_counts_of_cut_words_and_long_chunks(library):
     assert all(len(c) <= 64 for c in counter.chunks)
 
 
+def test_texts_are_cut_by_prefix_counts(library):
+    from blockscope.llm.token_counts import PrefixCounter
+
+    counter, rnd = PrefixCounter(TOKENIZER), random.Random(9)
+    parts = ["a", "the", "E", "'s", "'re", "12", "!", "<|endoftext|>", "é", "e\u0301", "中", "한", "क\u093c", " ", " \n", "antidisestablishment", "x" * 9]
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30)))
+        counts = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        limit = rnd.randint(0, max(counts))
+        assert counter.cut(text.encode(), limit) == max(k for k, n in enumerate(counts) if n <= limit), (text, limit)
+
+
+def test_packed_conversations_bind_all_three_limits(spark):
+    from blockscope.llm.queries import packed_conversations
+
+    rows = packed_conversations(spark, "/root/testdata/sf0.01").collect()
+    turns = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
+    want = {f"{c}:{t}" for (c, t), r in turns.items() if r["role"] == "assistant" and (c, t - 1) in turns and turns[c, t - 1]["role"] == "user"}
+    assert {r["example"] for r in rows} == want
+    sequences = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        for k, n in enumerate((r["length"], 1, r["loss_tokens"])):
+            sequences[r["sequence_id"]][k] += n
+    assert all(n <= 2048 and m <= 12 and loss <= 1024 for n, m, loss in sequences.values())
+    assert max(loss for _, _, loss in sequences.values()) == 1024 and max(m for _, m, _ in sequences.values()) == 12
+
+
 def test_every_token_is_its_own_encoding():
     from blockscope.llm.token_counts import PrefixCounter
 
