@@ -21,6 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from blockscope.llm.common import materialize, text_slices
 MAX_WORDS = 100_000
 #: Automata that rows go through between two tables in the shared folder: each has a worker of its own.
 CHAIN = 4
+#: Bits of the filter for each window, its probes, and the most bits (128 MB); with more windows, more rows are suspects.
+BITS_PER_WINDOW, PROBES, MOST_BITS = 32, 8, 1 << 30
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -148,6 +151,78 @@ class ItemAutomaton:
         return mask, items, most
 
 
+def window_hashes(words: list[bytes], length: int) -> np.ndarray:
+    """A 64-bit hash of each run of `length` words."""
+    n = len(words) - length + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.full(n, length, np.uint64)
+    for k in range(length):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+class WindowFilter:
+    """Which hashes of windows may occur in the benchmark, by the lengths that windows have."""
+
+    def __init__(self, lengths: list[int], bits: int, held: np.ndarray):
+        self.lengths, self.bits, self.held = lengths, bits, held
+
+    def may_hit(self, text: bytes) -> bool:
+        words = normalised_words(text)
+        for length in self.lengths:
+            left = window_hashes(words, length)
+            for at in range(PROBES if len(left) else 0):
+                bit = (left & np.uint64(0xFFFFFFFF)) + (left >> np.uint64(32) | np.uint64(1)) * np.uint64(at) & np.uint64(self.bits - 1)
+                left = left[self.held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                if not len(left):
+                    break
+            if len(left):
+                return True
+        return False
+
+
+def window_filter(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> WindowFilter:
+    """The filter, aggregated by Spark in pages of bits; the driver gets the pages, MOST_BITS / 8 bytes at most."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch, "text"):
+                for text in texts:
+                    words = normalised_words(text)
+                    if words:
+                        length = min(window, len(words))
+                        found = window_hashes(words, length).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), length), pa.int32()), pa.array(found)], names=["length", "hash"])
+
+    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    found = materialize(items.mapInArrow(hashes, "length int, hash long"), "windows")
+    lengths, n = found.agg(F.collect_set("length"), F.count(F.lit(1))).first()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_PER_WINDOW * n - 1).bit_length()))
+    low, high = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("hash", 32).bitwiseOR(F.lit(1))
+    bit = F.explode(F.array(*((low + high * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES))))
+    pages = found.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("held"))
+    held = np.zeros(bits // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        held[row["page"] * 4096 : (row["page"] + 1) * 4096] = np.frombuffer(row["held"], np.uint8)
+    return WindowFilter(sorted(lengths), bits, held)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, text_col: str) -> DataFrame:
+    """The rows with `__suspect`, stored: whether a window may occur in the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(window_filter(benchmark, window, item_col, item_text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [shared.value.may_hit(text) for _, texts in text_slices(batch, text_col) for text in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=[*batch.schema.names, "__suspect"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return materialize(docs.mapInArrow(run, f"{schema}, __suspect boolean"), "marked")
+
+
 def _automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[ItemAutomaton]:
     items, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
@@ -171,7 +246,8 @@ def _chained(docs: DataFrame, steps: list[tuple]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run) for each document row."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run) for each document row; longest_run is 0
+    where no window occurs."""
     kind = docs.schema[id_col].dataType.simpleString()
     automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, item_col, item_text_col)]
 
@@ -197,10 +273,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         text = "" if last else f"`{text_col}` {docs.schema[text_col].dataType.simpleString()}, "
         return run, f"`{id_col}` {kind}, {text}__words long, __hits array<int>, __items array<string>, __longest long"
 
-    found = _chained(docs.select(id_col, text_col), [step(a, k == 0, k == len(automata) - 1) for k, a in enumerate(automata)])
+    rows = docs.select(id_col, text_col)
+    clean = None
+    if len(automata) > 1:
+        marked = _marked(rows, benchmark, window, item_col, item_text_col, text_col)
+        rows, clean = marked.where("__suspect").select(id_col, text_col), marked.where("not __suspect").select(id_col, text_col)
+    found = _chained(rows, [step(a, k == 0, k == len(automata) - 1) for k, a in enumerate(automata)])
+    if clean is not None:  # their words alone are counted
+        none = step(docs.sparkSession.sparkContext.broadcast(ItemAutomaton([], window)), True, True)
+        found = found.unionByName(clean.mapInArrow(*none))
     return found.select(
         id_col, F.col("__words").alias("n_words"), F.size("__hits").cast("long").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"), (F.size("__hits") > 0).alias("contaminated"), F.col("__longest").alias("longest_run"),
+        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"), (F.size("__hits") > 0).alias("contaminated"),
+        F.when(F.size("__hits") > 0, F.col("__longest")).otherwise(0).cast("long").alias("longest_run"),
     )
 
 
@@ -245,7 +330,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     """
     automata = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, item_col, item_text_col)]
     if len(automata) > 1:
-        return _decontaminate_in_rounds(docs, automata, max_share, text_col)
+        marked = _marked(docs, benchmark, window, item_col, item_text_col, text_col)
+        suspects = marked.where("__suspect").select(*docs.columns)
+        return _decontaminate_in_rounds(suspects, automata, max_share, text_col).unionByName(marked.where("not __suspect").select(*docs.columns))
     (shared,) = automata
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -619,6 +619,27 @@ def test_contamination_does_not_depend_on_the_number_of_automata(spark, monkeypa
         assert results() == (whole, clean)
 
 
+def test_only_suspects_go_through_the_automata(spark, monkeypatch):
+    from blockscope.llm import decontaminate as d
+
+    rnd = random.Random(12)
+    items = [(k, " ".join(f"i{rnd.randrange(5000)}" for _ in range(rnd.choice([1, 3, 9, 10, 30])))) for k in range(60)]
+    bench = spark.createDataFrame([*items, (None, "one two"), (61, None), (62, "..")], "item_id long, text string")
+    found = d.window_filter(bench, 10, "item_id", "text")
+    texts = [" ".join(f"i{rnd.randrange(5000)}" for _ in range(200)) for _ in range(300)] + [f"x {t} y" for _, t in items] + ["", "one two"]
+    windows = brute_windows(items, 10)
+    hit = [brute_contamination(t, windows)[4] for t in texts]
+    suspects = [found.may_hit(t.encode()) for t in texts]
+    assert all(s for s, h in zip(suspects, hit) if h) and sum(suspects) - sum(hit) <= 2
+    monkeypatch.setattr(d, "MAX_WORDS", 50)
+    seen = []
+    chained = d._chained
+    monkeypatch.setattr(d, "_chained", lambda rows, steps: seen.append(rows.count()) or chained(rows, steps))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in d.contamination(table, bench).collect()}
+    assert [got[k] for k in range(len(texts))] == hit and seen == [sum(suspects)]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
