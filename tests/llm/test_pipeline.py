@@ -69,9 +69,43 @@ def test_packing_has_every_document(spark, stages):
     assert after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).where("n <> d").count() == 0
 
 
+def _tables(spark, folder, docs, labels, bench):
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long, kept string, cluster int, pos int"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{folder}/{name}.parquet")
+    return f"file://{folder}"
+
+
+def test_awkward_tables_go_through_the_chain(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    prose = lambda n, k: " ".join(f"word{rnd.randrange(3000)}x{k}" for _ in range(n))
+    good, item, shared = [prose(120, k) for k in range(8)], prose(30, 99), prose(70, 98)
+    rows = [
+        (1, good[0]), (2, good[0]), (2, good[0]), (None, good[1]), (3, good[1] + " end"), (4, None), (5, ""), (6, " \n\t"), (7, "x " * 5000), (8, good[2] + " " + item), (8, good[3]),
+        (9, good[4] + "\n" + shared), (10, good[5] + "\n" + shared), (11, prose(60_000, 97)), (None, None), (12, item),
+    ]
+    sf = _tables(spark, tmp_path / "a", [(i, t, None, "s", None, "clash", 1, 2) for i, t in rows], [(1, 1, 0), (7, 0, 0), (None, 1, None), (3, None, 0)], [(1, item), (None, "x"), (2, None)])
+    docs, kept = load(spark, sf, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), f"awkward-{name}")
+        kept[name] = docs.collect()
+    texts = lambda name: sorted(((r["doc_id"], r["text"]) for r in kept[name]), key=str)
+    assert sorted(texts("quality_rules"), key=str) == sorted([r for r in rows if r[1] and len(r[1].split()) >= 50 and not r[1].startswith("x ")], key=str)
+    assert (10, good[5]) in texts("line_dedup") and (9, good[4] + "\n" + shared) in texts("line_dedup")
+    assert [i for i, t in texts("near_dedup") if t == good[0]] == [1] and [i for i, t in texts("near_dedup") if t.startswith(good[1])] == [3]
+    assert {(8, good[2] + " "), (8, good[3])} <= set(texts("decontamination"))
+    packed = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    assert {r["doc_id"] for r in packed.collect()} == {1, 3, 8, 9, 10, 11}
+
+
+def test_empty_tables_go_through_the_chain(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _tables(spark, tmp_path / "e", [], [], [])).count() == 0
+
+
 def test_entry_registers_everything(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)

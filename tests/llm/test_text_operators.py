@@ -348,6 +348,39 @@ def test_quality_rules_find_bad_texts_and_keep_good_ones(spark):
     assert kept[1] > 0.995 and kept[0] < 0.05
 
 
+def test_quality_verdicts_against_rules_read_row_by_row(spark):
+    from blockscope.llm.quality_rules import MIN_COVER, PREFIX, _gain, cover, features, learn_rules, quality_verdicts, text_statistics
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = learn_rules(docs, labels)
+    values = features(F.col(PREFIX + "stats"))
+    rows = {r["doc_id"]: r for r in text_statistics(docs, "text").select("doc_id", *(v.alias(k) for k, v in values.items())).collect()}
+    got = quality_verdicts(docs, labels).collect()
+    assert rules and len(got) == len(rows)
+    for r in got:
+        first = 0
+        for number, rule in enumerate(rules, 1):
+            if all((rows[r["doc_id"]][name] <= limit) == (sign == "<=") for name, sign, limit in rule):
+                first = number
+                break
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert (r["rule"], r["base_failed"], r["kept"]) == (first, failed, not failed and not first)
+    # the first condition of the first rule, by trying all
+    rnd = random.Random(2)
+    table = [(bad := rnd.random() < 0.4, True, (rnd.gauss(2.0 if bad else 0.0, 1.0), rnd.random())) for _ in range(300)] + [(k % 2 == 0, False, (2.5 if k % 2 == 0 else -1.0, 0.5)) for k in range(100)]
+    name, sign, limit = cover(table, ["a", "b"])[0][0]
+    grow = [(b, v) for b, g, v in table if g]
+    p0 = sum(b for b, _ in grow)
+
+    def gain(k, sign, limit):
+        inside = [b for b, v in grow if (v[k] <= limit) == (sign == "<=")]
+        p = sum(inside)
+        return _gain(p, len(inside) - p, p0, len(grow) - p0) if p >= MIN_COVER else -1.0
+
+    best = max(gain(k, s, v[k]) for k in (0, 1) for s in ("<=", ">") for _, v in grow)
+    assert name == "a" and gain(0, sign, limit) > 0.9 * best
+
+
 def test_quality_rules_without_labels(spark, docs):
     from blockscope.llm.quality_rules import filter_quality, quality_verdicts
 
