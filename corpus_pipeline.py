@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage takes all rows that the one before kept, as read back from Parquet in the shared folder; all but the last
-return the columns of `documents`, whatever these are.
+return the columns of `documents`, whatever these are, names that operators use among them.
+
+Null and empty texts, and those of under 50 words, fail the base rule of the first stage and go. Rows without an id are
+documents of their own; repeated rows are copies, of which near-dedup keeps one; of equal ids any one may stand for a group.
+Labels and benchmark items that are null or of unknown documents count for nothing. Empty tables give an empty result. Very
+long texts are taken whole by each stage.
 """
 
 from __future__ import annotations
