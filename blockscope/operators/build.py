@@ -97,6 +97,7 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
     number at level L is its rank over capacity^L. The tree only speeds pruning up; results never depend on it.
     """
     key = [*GROUP, "record"]
+    leaves = stored(leaves, "leaves")  # they are read several times
     sizes = leaves.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     slabs = F.ceil(F.pow(F.col("n") / capacity, F.lit(1 / 3))).cast("int")
     widest = sizes.agg(F.max("n")).first()[0] or 0

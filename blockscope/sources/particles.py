@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockscope.sources.shared import new_path, stored
+from blockscope.sources.shared import is_stored, new_path, stored
 
 GROUP = ["iteration", "species"]
 AXES = {"position": {"x": "x", "y": "y", "z": "z"}, "momentum": {"x": "ux", "y": "uy", "z": "uz"}}
@@ -79,7 +79,7 @@ _dumps: dict[tuple[str, str, int], str] = {}
 def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> DataFrame:
     """The particles of `lineitem` as a stored dump, partitioned by iteration, species and bucket; made once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
-    if key not in _dumps:
+    if key not in _dumps or not is_stored(spark, _dumps[key]):
         path = new_path(spark, "particles")
         write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*ORDER), path, key[2])
         _dumps[key] = path

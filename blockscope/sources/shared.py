@@ -21,8 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables and folders that applications of this process have made.
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    return path in _made.get(spark.sparkContext.applicationId, [])
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete all that this application has stored, and say how many folders there were. Results that are still to be read go
+    with it: call it after the last of them."""
+    found = _made.pop(spark.sparkContext.applicationId, [])
+    for path in found:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(found)
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

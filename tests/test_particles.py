@@ -346,6 +346,16 @@ def matched_top(found):
     return source.matched(found, tops, ["species", "level"], "left_semi").collect()
 
 
+def test_stored_tables_are_dropped(spark, monkeypatch, tmp_path):
+    from blockscope.sources import shared
+
+    monkeypatch.setattr(shared, "_made", {})
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert shared.stored_and_counted(spark.range(5), "five")[1] == 5
+    assert shared.stored(spark.range(3), "three").count() == 3 and len(list(tmp_path.iterdir())) == 2
+    assert shared.drop_stored(spark) == 2 and not list(tmp_path.iterdir()) and shared.drop_stored(spark) == 0
+
+
 def test_unknown_kind(spark, tmp_path):
     with pytest.raises(ValueError):
         write_index(table(spark, [1]), f"{tmp_path}/k", "other", 2)
