@@ -13,7 +13,7 @@ from blockscope.operators.build import hull
 from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, group_key, in_buckets_of, in_windows, matched, with_blocks
 from blockscope.sources.shared import stored, stored_and_counted
 
-#: Rows of an index hit list that are broadcast; beyond, the join is left to Spark.
+#: Segments of an index hit list that are broadcast; beyond, the join is left to Spark.
 MAX_BROADCAST = 500_000
 
 
@@ -96,8 +96,9 @@ def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str,
     """
     chosen = [c for c in ((F.col("iteration") == iteration) if iteration is not None else None, (F.col("species") == species) if species is not None else None) if c is not None]
     narrowed = lambda df: reduce(lambda d, c: d.where(c), chosen, df)
-    hits, n = stored_and_counted(blocks_on_all_axes(narrowed(index if slices is None else slices), select), "hits")
     length = (slice_rows if slices is not None else None) or (layout if isinstance(layout, int) else SEGMENT)
+    segments = F.floor((F.col("end") - 1) / length) - F.floor(F.col("start") / length) + 1
+    hits, n = stored_and_counted(blocks_on_all_axes(narrowed(index if slices is None else slices), select), "hits", segments)
     rows = in_windows(in_buckets_of(narrowed(particles), hits), hits, length, few=n <= MAX_BROADCAST)
     for (record, axis), bounds in select.items():
         rows = rows.where(within(F.col(AXES[record][axis]), bounds))

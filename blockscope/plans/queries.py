@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
+from blockscope.functions.predicates import cut_block, from_row_major, row_major
 from blockscope.operators import build, query, relayout
 from blockscope.sources.footers import folder_minmax
-from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_index
-from blockscope.sources.particles import AXES, GROUP, ORDER, SCHEMA, block_catalogue, dump, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump
+from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_block_catalogue, write_index
+from blockscope.sources.particles import AXES, GROUP, ORDER, SCHEMA, block_catalogue, dump, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, variable_path, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump, zip_axes
 from blockscope.sources.shared import new_path, stored
+from blockscope.streaming.incremental import MaintainedIndex
 
 BLOCK, SLICE, BITS = 100, 25, 10
 RANGE = (1400.0, 1500.0)
@@ -542,3 +544,92 @@ def copied_attributes(spark, sf_dir):
     write_attributes(read_attributes(spark, first), second := new_path(spark, "attributes"))
     parsed = parse_attributes(read_attributes(spark, second))
     return parsed.select("name", "type", "elements", "text", F.get("numbers", F.lit(0)).alias("first_number"), F.get("numbers", F.lit(1)).alias("second_number"))
+
+
+@registered("""
+, leaves AS (SELECT iteration, species, record, count(*) AS n, min("start") AS "start", max("end") AS "end", min(minx) AS minx, max(maxz) AS maxz FROM e1 GROUP BY ALL)
+SELECT iteration, species, record, CAST(l AS INTEGER) AS level, CAST(ceil(n / pow(10, l)) AS BIGINT) AS nodes, "start", "end", minx, maxz, true AS enclosed
+FROM leaves, range(0, 12) t(l) WHERE l = 0 OR n > pow(10, l - 1)""")
+def tree_levels(spark, sf_dir):
+    """Levels of the packed tree: how many nodes each has, what they span, and whether each node encloses its children."""
+    tree = build.pack_tree(build.leaf_envelopes(dump(spark, sf_dir), BLOCK))
+    key = [*GROUP, "record"]
+    parents = tree.select(*key, F.col("level").alias("above"), F.col("node").alias("parent"), *(F.col(c).alias(f"_{c}") for c in (*build.ENVELOPE, "start", "end")))
+    inside = [F.col(c) >= F.col(f"_{c}") if c.startswith(("min", "start")) else F.col(c) <= F.col(f"_{c}") for c in (*build.ENVELOPE, "start", "end")]
+    held = matched(tree.withColumn("above", F.col("level") + 1), parents, [*key, "above", "parent"], "left")
+    inside_all = F.coalesce(F.expr("true") & inside[0] & inside[1] & inside[2] & inside[3] & inside[4] & inside[5] & inside[6] & inside[7], F.lit(True))  # a root has no parent
+    return held.withColumn("inside", inside_all).groupBy(*key, "level").agg(
+        F.count(F.lit(1)).alias("nodes"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("minx").alias("minx"), F.max("maxz").alias("maxz"), F.bool_and("inside").alias("enclosed")
+    )
+
+
+@registered("SELECT iteration, species, count(DISTINCT id) AS ids, CAST(0 AS BIGINT) AS missed FROM p GROUP BY ALL")
+def merged_filters(spark, sf_dir):
+    """Filters of blocks united to one for each dump: none of its ids is missed."""
+    particles = dump(spark, sf_dir)
+    merged = bloom.merge(build.block_filters(particles, BLOCK, BITS), GROUP)
+    ids = particles.select(*GROUP, "id").distinct().withColumn("segment", bloom.segment_of(F.col("id"), bloom.segments_for(BLOCK, BITS)))
+    probes = bloom.probes(F.col("id"), bloom.hash_count(BITS), bloom.bits_for(BLOCK, BITS))
+    asked = matched(ids, merged, [*GROUP, "segment"], "left").withColumn("found", F.coalesce(bloom.may_contain(F.col("bitmap"), probes), F.lit(False)))
+    return asked.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("ids"), F.sum((~F.col("found")).cast("long")).alias("missed"))
+
+
+@registered("SELECT iteration, species, pos, x, y, uz FROM p")
+def zipped_axes(spark, sf_dir):
+    """Columns stored apart, as one table again."""
+    particles, columns = dump(spark, sf_dir), {}
+    for axis in ("x", "y", "uz"):
+        columns[axis] = stored(particles.select(*GROUP, "pos", F.col(axis).alias("value")), f"axis-{axis}")
+    return zip_axes(**columns)
+
+
+@registered("""
+SELECT DISTINCT '/data/' || CAST(iteration AS VARCHAR) || '/particles/' || species || '/' || record || '/' || axis AS path, iteration, species, record, axis FROM l1 WHERE iteration <> 1997""")
+def variable_paths(spark, sf_dir):
+    """The parts of variables' paths, made from the index's keys, and an exact choice among them."""
+    keys = build.minmax_blocks(dump(spark, sf_dir), BLOCK).select(*GROUP, "record", "axis").distinct()
+    paths = keys.select(F.concat_ws("/", F.lit("/data"), F.col("iteration").cast("string"), F.lit("particles"), "species", "record", "axis").alias("path"))
+    return paths.select("path", *(c.alias(n) for n, c in variable_path(F.col("path")).items())).where("iteration <> 1997")
+
+
+@registered("""
+SELECT iteration, species, "start", CAST(k AS INTEGER) AS part, minx + k * ((maxx - minx) * CAST(1.1 AS DOUBLE) / 3) AS low, minx + (k + 1) * ((maxx - minx) * CAST(1.1 AS DOUBLE) / 3) AS high
+FROM e1, range(0, 3) t(k) WHERE record = 'position'""")
+def cut_blocks(spark, sf_dir):
+    """Each block's extent along x in three parts."""
+    leaves = build.leaf_envelopes(dump(spark, sf_dir), BLOCK, ["position"])
+    return leaves.select(*GROUP, "start", F.posexplode(cut_block(F.col("minx"), F.col("maxx"), 3)).alias("part", "cut")).select(*GROUP, "start", "part", "cut.low", "cut.high")
+
+
+@registered("""
+WITH c AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
+SELECT i, CAST(j AS BIGINT) AS j, CAST(i * 64 + j AS BIGINT) AS "offset", i AS back_i, CAST(j AS BIGINT) AS back_j FROM c""", with_particles=False)
+def row_major_cells(spark, sf_dir):
+    """Offsets of the vectors' cells, and the indices that they come from."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shape = [vectors.agg(F.max("vec_id")).first()[0] + 1, 64]
+    cells = vectors.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"))
+    placed = cells.withColumn("offset", row_major([F.col("i"), F.col("j")], shape))
+    return placed.select("i", "j", "offset", *(c.alias(f"back_{n}") for c, n in zip(from_row_major(F.col("offset"), shape), "ij")))
+
+
+@registered("""SELECT iteration, species, min(pos) AS "start", count(*) AS "count" FROM b GROUP BY iteration, species, block_id""")
+def catalogue_csv(spark, sf_dir):
+    """The block list, written as CSV and read back."""
+    write_block_catalogue(dump(spark, sf_dir), path := new_path(spark, "catalogue"), BLOCK)
+    return spark.read.csv(path, header=True, schema="iteration int, species string, start long, count long")
+
+
+@registered("""
+SELECT 'minmax' AS kind, iteration, species, "start", "end", record, axis, "min", "max" FROM l1
+UNION ALL SELECT 'slices', iteration, species, "start", "end", record, axis, "min", "max" FROM l2""")
+def maintained_index(spark, sf_dir):
+    """Extrema that batches of rows, one of them twice, and a compaction come to."""
+    particles = dump(spark, sf_dir)
+    index = MaintainedIndex(spark, new_path(spark, "maintained"), BLOCK, slice_rows=SLICE)
+    for n, part in enumerate((0, 1, 1, 2)):
+        index.add(particles.where(F.col("id") % 3 == part), n)
+        if n == 1:
+            index.compact()
+    columns = [*GROUP, "start", "end", "record", "axis", "min", "max"]
+    return index.table("minmax").select(F.lit("minmax").alias("kind"), *columns).unionByName(index.table("slices").select(F.lit("slices").alias("kind"), *columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,8 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_and_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As stored, with the number of rows, which the job that writes them counts."""
+def stored_and_counted(df: DataFrame, name: str, amount: Column | None = None) -> tuple[DataFrame, int]:
+    """As stored, with the number of rows (or another sum), which the job that writes them counts."""
     path, seen = new_path(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.observe(seen, (F.count(F.lit(1)) if amount is None else F.sum(amount)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"] or 0
