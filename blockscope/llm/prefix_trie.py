@@ -34,7 +34,7 @@ from blockscope.llm.common import WORD_GAP, materialize
 from blockscope.sources.particles import with_positions
 
 #: Turns of a piece of a path, rows of a shard (about), and ids of a chunk, as a power of two.
-SEGMENT, SHARD_ROWS, CHUNK_BITS = 4096, 8192, 12
+SEGMENT, SHARD_ROWS, CHUNK_BITS = 4096, 2048, 12
 NAME = ["depth", "a", "b"]
 PARENT = ["pa", "pb"]
 
