@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.functions.predicates import highest, lowest
-from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, matched, with_blocks, with_positions
+from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, if_few, matched, with_blocks, with_positions
 from blockscope.sources.shared import stored
 
 #: Blocks of a node for which distinct ids are counted, as a power for each level.
@@ -198,9 +198,10 @@ def node_filters(particles: DataFrame, tree: DataFrame, layout: Layout, shape: b
     runs into bitmaps of all levels. Only bitmaps at the ends of what a task has at a time are merged with others."""
     nodes = tree.where(F.col("record") == record)
     leaves = nodes.where("level = 0").select(*GROUP, F.col("start").alias("block_start"), F.col("node").alias("leaf"))
-    levels = max(1, nodes.agg(F.max("level")).first()[0] or 0)
+    seen = nodes.agg(F.max("level").alias("top"), F.count_if(F.col("level") == 0).alias("leaves")).first()
+    levels = max(1, seen["top"] or 0)
     ids = with_blocks(particles, layout).where("id is not null").select(*GROUP, "block_start", "id")
-    ids = matched(ids, leaves, [*GROUP, "block_start"]).select(*GROUP, "leaf", *(c.alias(n) for n, c in shape.hashed(F.col("id")).items()))
+    ids = matched(ids, if_few(leaves, seen["leaves"]), [*GROUP, "block_start"]).select(*GROUP, "leaf", *(c.alias(n) for n, c in shape.hashed(F.col("id")).items()))
     parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = ids.repartitionByRange(parts, *GROUP, "leaf").sortWithinPartitions(*GROUP, "leaf")
     made_of = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("segment", pa.int32()), ("bitmap", pa.binary()), ("whole", pa.bool_())])

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from blockscope.functions.bloom import FilterShape
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
 from blockscope.operators.build import hull
-from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, group_key, in_buckets_of, in_windows, matched, with_blocks
-from blockscope.sources.shared import stored, stored_and_counted
+from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, group_key, if_few, in_buckets_of, in_windows, matched, with_blocks
+from blockscope.sources.shared import stored_and_counted
 
 #: Segments of an index hit list that are broadcast; beyond, the join is left to Spark.
 MAX_BROADCAST = 500_000
+#: Bytes of the uppermost filters that are broadcast.
+MAX_TOP_BYTES = 8 << 20
 
 
 def range_blocks(blocks: DataFrame, record: str, axis: str, bounds: Bounds = EVERYTHING) -> DataFrame:
@@ -105,34 +107,36 @@ def get_particle(particles: DataFrame, index: DataFrame, select: dict[tuple[str,
     return rows.select(*columns)
 
 
-def filter_key() -> Column:
-    """What filters are bucketed by."""
-    return group_key("level", "node", "segment")
+def filter_key(capacity: int = 10) -> Column:
+    """What filters are bucketed by: their parent and segment, since an id is asked of all children of a node."""
+    return group_key("level", F.floor(F.col("node") / capacity).cast("long"), "segment")
 
 
 def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape: FilterShape, record: str = "position", id_col: str = "id") -> DataFrame:
     """(iteration, species, start, end, id): blocks whose Bloom filters may have the id. Distinct ids count once.
 
     The packed tree is descended: an id is asked of the nodes below the root, then of the children of those that may have it.
-    A probe is a join on node and segment; only candidates grow with the ids. Filters that are bucketed by node and segment are
-    read where they are: only what is asked is exchanged."""
+    A probe is a join on parent and segment, so that an id goes through the shuffle once for all children. Filters that are
+    bucketed by these are read where they are. What is asked is broadcast only if it was counted as few: its stored form is
+    far smaller than its rows."""
     filters, nodes = filters.where(F.col("record") == record), tree.where(F.col("record") == record)
     top = filters.agg(F.max("level")).first()[0] or 0
-    found = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    found, n = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), None
     for level in range(top, -1, -1):
-        if level < top:
-            found = found.withColumn("node", F.explode(F.sequence(F.col("node") * shape.capacity, (F.col("node") + 1) * shape.capacity - 1)))
         asked = found.withColumns(shape.hashed(F.col("id"))).withColumn("segment", shape.segment(level))
         held = filters.where(F.col("level") == level)
         if level == top:
-            met = asked.join(held.select(*GROUP, "node", "segment", "bitmap"), "segment")
+            size = held.agg(F.sum(F.octet_length("bitmap"))).first()[0] or 0
+            held = held.select(*GROUP, "node", "segment", "bitmap")
+            met = asked.join(F.broadcast(held), "segment") if size <= MAX_TOP_BYTES else asked.hint("merge").join(held, "segment")
         elif "_key" in filters.columns:
-            met = asked.withColumn("level", F.lit(level)).withColumn("_key", filter_key()).join(held.select("_key", "bitmap"), "_key")
+            met = if_few(asked.withColumns({"level": F.lit(level), "_key": group_key("level", "node", "segment")}).drop("node", *GROUP), n).join(held.select("_key", *GROUP, "node", "bitmap"), "_key")
         else:
-            met = matched(asked, held.select(*GROUP, "node", "segment", "bitmap"), [*GROUP, "node", "segment"])
-        found = stored(met.where(shape.may_hold(F.col("bitmap"), level)).select(*GROUP, "node", "id"), "descent")
+            below = held.select(*GROUP, F.floor(F.col("node") / shape.capacity).cast("long").alias("parent"), "node", "segment", "bitmap")
+            met = matched(if_few(asked.withColumnRenamed("node", "parent"), n), below, [*GROUP, "parent", "segment"])
+        found, n = stored_and_counted(met.where(shape.may_hold(F.col("bitmap"), level)).select(*GROUP, "node", "id"), "descent")
     leaves = nodes.where("level = 0").select(*GROUP, "node", "start", "end")
-    return matched(found, leaves, [*GROUP, "node"]).select(*GROUP, "start", "end", "id")
+    return matched(if_few(found, n), leaves, [*GROUP, "node"]).select(*GROUP, "start", "end", "id")
 
 
 def trace(particles: DataFrame, ids: DataFrame, layout: Layout = None, candidates: DataFrame | None = None, id_col: str = "id") -> DataFrame:
@@ -145,10 +149,10 @@ def trace(particles: DataFrame, ids: DataFrame, layout: Layout = None, candidate
         ends = blocked.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
         hits = blocked.join(wanted, "id", "left_semi").select(*GROUP, "block_id", "id").distinct()
         return matched(hits, ends, [*GROUP, "block_id"]).select(*GROUP, "start", "end", "id")
-    candidates = stored(candidates.join(wanted, "id", "left_semi").select(*GROUP, "start", "end", "id").distinct(), "candidates")
+    candidates, n = stored_and_counted(candidates.join(wanted, "id", "left_semi").select(*GROUP, "start", "end", "id").distinct(), "candidates")
     rows = in_buckets_of(particles, candidates.select(*GROUP, "start", "end").distinct()).select(*GROUP, "pos", "id")
     inside = (F.col("l.pos") >= F.col("r.start")) & (F.col("l.pos") < F.col("r.end"))
-    return matched(rows, candidates, [*GROUP, "id"], "inner", inside).select(*GROUP, "start", "end", "id").distinct()
+    return matched(rows, if_few(candidates, n), [*GROUP, "id"], "inner", inside).select(*GROUP, "start", "end", "id").distinct()
 
 
 def intersect_traces(a: DataFrame, b: DataFrame) -> DataFrame:

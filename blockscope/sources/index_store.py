@@ -1,6 +1,6 @@
 """Stored indexes: written by key, listed, looked up; and the query classes over them.
 
-Tables are bucketed: blocks and slices by iteration, species and block, filters by node and segment. A block's slices, and
+Tables are bucketed: blocks and slices by iteration, species and block, filters by parent node and segment. A block's slices, and
 the filters that ids are asked of, are then joined without an exchange of the stored side. The files are plain Parquet; a
 session that opens an index registers them in its catalog under a name of the build.
 """
@@ -20,7 +20,7 @@ from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, g
 
 KINDS = ("minmax", "rtree")
 #: What each bucketed table is bucketed by.
-KEYS = {"blocks": lambda: group_key("start"), "slices": lambda: group_key("block_start"), "filters": query.filter_key}
+KEYS = {"blocks": lambda capacity: group_key("start"), "slices": lambda capacity: group_key("block_start"), "filters": query.filter_key}
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
@@ -49,7 +49,7 @@ def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slic
         raise ValueError("Bloom filters belong to the nodes of a tree")
     spark, root, path = particles.sparkSession, path, f"{path}/build-{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    save = lambda df, name: write_bucketed(df.withColumn("_key", KEYS[name]()), f"{path}/{name}", buckets)
+    save = lambda df, name: write_bucketed(df.withColumn("_key", KEYS[name](capacity)), f"{path}/{name}", buckets)
     leaf_rows = None
     if kind == "minmax":
         save(build.minmax_blocks(particles, layout, records), "blocks")
@@ -69,8 +69,8 @@ def write_index(particles: DataFrame, path: str, kind: str, layout: Layout, slic
             made = build.node_filters(particles, tree, layout, shape, record)
             found = made if found is None else found.unionByName(made)
         save(found, "filters")
-    row = (kind, slice_rows, float(bits_per_key) if bits_per_key else None, leaf_rows, capacity, buckets, path.rsplit("/", 1)[1])
-    names = "kind string, slice_rows long, bits_per_key double, leaf_rows long, capacity long, buckets long, build string"
+    row = (kind, slice_rows, float(bits_per_key) if bits_per_key else None, leaf_rows, capacity, buckets, "parent", path.rsplit("/", 1)[1])
+    names = "kind string, slice_rows long, bits_per_key double, leaf_rows long, capacity long, buckets long, filters_by string, build string"
     spark.createDataFrame([row], names).coalesce(1).write.mode("overwrite").parquet(f"{root}/parameters")
     _drop_other_builds(spark, root, row[-1])
 
@@ -162,6 +162,8 @@ class RTreeQuery(_Stored):
     def _hits(self, particles: DataFrame, iteration: int, species: str, ids: list[int] | DataFrame, records: tuple[str, ...] = ()) -> DataFrame:
         if self.parameters["bits_per_key"] is None:
             raise ValueError(f"{self.path} has no Bloom filters")
+        if "filters_by" not in self.parameters:
+            raise ValueError(f"{self.path} has filters bucketed by node: build the index anew")
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id long")
         particles = particles.where((F.col("iteration") == iteration) & (F.col("species") == species))

@@ -46,11 +46,21 @@ def same_keys(columns: list[str]) -> Column:
     return reduce(lambda out, c: out & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), columns, F.lit(True))
 
 
-def group_key(*parts: str) -> Column:
+def group_key(*parts: str | Column) -> Column:
     """Iteration, species (nulls told apart from all values) and further numbers as one string: what bucketed tables are
     bucketed and joined by, since a single key that is never null needs no exchange."""
     named = [F.coalesce(F.col("iteration").cast("string"), F.lit("~")), F.coalesce(F.concat(F.lit("="), "species"), F.lit("~"))]
-    return F.concat_ws("/", *named, *(F.col(p).cast("string") for p in parts))
+    return F.concat_ws("/", *named, *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+
+
+#: Rows of a side of a join that may be broadcast.
+FEW = 100_000
+
+
+def if_few(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose rows were counted: broadcast by Spark's choice only if they are few. Spark goes by the size of the
+    files, which for sorted keys is a small part of what the rows take in the driver's memory."""
+    return side if rows <= FEW else side.hint("merge")
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *conditions: Column) -> DataFrame:

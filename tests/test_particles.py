@@ -160,6 +160,27 @@ def test_filters_of_the_packed_tree_are_descended(spark, monkeypatch):
     assert sorted(map(tuple, cut), key=str) == whole
 
 
+def test_what_is_asked_of_filters_is_not_broadcast(spark, monkeypatch):
+    p = table(spark, range(3000), ids=[3 * k for k in range(3000)]).unionByName(table(spark, range(40), iteration=None, species=None)).cache()
+    ids = spark.createDataFrame([(k,) for k in (0, 3, 4500, 1, None)], "id long")
+    want, plans = set(map(tuple, candidates(p, ids, 5, capacity=4).collect())), []
+
+    def spied(kept):
+        def keep(df, name, *more):
+            if name == "descent":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return kept(df, name, *more)
+
+        return keep
+
+    for name in ("stored", "stored_and_counted"):
+        if hasattr(query, name):
+            monkeypatch.setattr(query, name, spied(getattr(query, name)))
+    monkeypatch.setattr(source, "FEW", 0, raising=False)  # all counts are large ones
+    assert set(map(tuple, candidates(p, ids, 5, capacity=4).collect())) == want
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in plan or "explode" in plan for plan in plans[1:])
+
+
 def test_filters_are_nested_folds():
     shape, rnd = bloom.FilterShape(100, 8, 10.0), random.Random(1)
     assert [shape.bits(k) for k in range(4)] == [1024, 8192, 32768, 32768] and [shape.segments(k) for k in range(4)] == [1, 1, 2, 16]
