@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockscope.functions.predicates import cell, highest, lowest
-from blockscope.sources.particles import BUCKET_ROWS, GROUP, Layout, block_catalogue, matched, with_blocks, with_listed_blocks, with_positions, write_dump
-from blockscope.sources.shared import stored
+from blockscope.sources.index_store import read_bucketed, write_bucketed
+from blockscope.sources.particles import BUCKET_ROWS, FEW, GROUP, Layout, block_catalogue, group_key, matched, with_blocks, with_listed_blocks, with_positions, write_dump
+from blockscope.sources.shared import new_path, stored, stored_and_counted
 
 
 def merged_blocks(blocks: DataFrame, n: int) -> DataFrame:
@@ -26,14 +27,19 @@ def extend(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     return with_listed_blocks(particles, stored(merged_blocks(layout if layout is not None else block_catalogue(particles), n), "merged")).drop("block_start")
 
 
-def shrink_cells(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
-    """The rows with block_id, block_start and their cell (i*n + j)*n + k among the n^3 cells of their block's envelope."""
-    blocked = with_blocks(particles, layout)
-    ends = [f(F.col(a)).alias(f"_{name}_{a}") for a in "xyz" for name, f in (("low", lowest), ("high", highest))]
-    out = matched(blocked, blocked.groupBy(*GROUP, "block_id").agg(*ends), [*GROUP, "block_id"])
+def _celled(blocked: DataFrame, n: int, block: list[str]) -> DataFrame:
+    old, ends = Window.partitionBy(*block), {}
+    for a in "xyz":
+        ends |= {f"_low_{a}": lowest(F.col(a)).over(old), f"_high_{a}": highest(F.col(a)).over(old)}
     at = {a: cell(F.col(a), F.col(f"_low_{a}"), F.col(f"_high_{a}"), n) for a in "xyz"}
     number = (at["x"] * n + at["y"]) * n + at["z"]
-    return out.withColumn("cell", F.coalesce(number, F.lit(0))).drop(*(f"_{s}_{a}" for a in "xyz" for s in ("low", "high")))
+    return blocked.withColumns(ends).withColumn("cell", F.coalesce(number, F.lit(0))).drop(*ends)
+
+
+def shrink_cells(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
+    """The rows with block_id, block_start and their cell (i*n + j)*n + k among the n^3 cells of their block's envelope. A block's
+    rows are brought together by one shuffle, which what is done block by block needs anyway."""
+    return _celled(with_blocks(particles, layout), n, [*GROUP, "block_id"])
 
 
 def shrink(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
@@ -46,21 +52,38 @@ def shrink(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     return counts.withColumn("start", F.col("block_start") + before).select(*GROUP, "block_id", "cell", "start", "count")
 
 
+def _first_numbers(blocks: DataFrame, amount: str) -> tuple[DataFrame, int]:
+    """(_key, _number) of each block (_key, iteration, species, block_start, and an amount), with how many there are: the sum of the
+    amounts of the blocks before it in its iteration and species. As in `with_positions`, sums are taken within range partitions."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged, n = stored_and_counted(blocks.repartitionByRange(parts, *GROUP, "block_start").withColumn("_part", F.spark_partition_id()), "old-blocks")
+    totals = ranged.groupBy("_part", *GROUP).agg(F.sum(amount).alias("_n"))
+    before = stored(totals.withColumn("_before", F.sum("_n").over(Window.partitionBy(*GROUP).orderBy("_part")) - F.col("_n")).drop("_n"), "offsets")
+    within = F.sum(amount).over(Window.partitionBy("_part", *GROUP).orderBy("block_start")) - F.col(amount)
+    numbered = matched(ranged.withColumn("_within", within), before, ["_part", *GROUP])
+    return numbered.select("_key", (F.col("_before") + F.col("_within")).alias("_number")), n
+
+
 def shrink_rows(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     """The rows as the smaller blocks hold them: pos is the new offset, block_id the new block's number from 0 in its
     iteration and species, and rows of one block keep their order. All other columns stay.
 
-    Ranks are taken within an old block, whose rows the cells have brought together already; the numbers of the new blocks
-    before it come from a distributed ranking of the block list."""
-    blocks = with_positions(stored(shrink(particles, layout, n), "new-blocks"), ["start"])
-    first = blocks.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("_number"))
-    old = Window.partitionBy(*GROUP, "block_id")
-    placed = shrink_cells(particles, layout, n).withColumns({
-        "_pos": F.col("block_start") + F.row_number().over(old.orderBy("cell", "pos")) - 1,
-        "_nth": F.dense_rank().over(old.orderBy("cell")) - 1,
-    })
+    Rows are shuffled once, by their old block, within which cells and ranks are taken. They are stored in buckets of old
+    blocks, so that the numbers of the new blocks before an old one are joined without shuffling the rows again."""
+    spark, path = particles.sparkSession, new_path(particles.sparkSession, "celled")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = with_blocks(particles, layout).withColumn("_key", group_key("block_id")).repartition(buckets, "_key")
+    old = Window.partitionBy("_key")
+    placed = _celled(keyed, n, ["_key"]).withColumns({"_pos": F.col("block_start") + F.row_number().over(old.orderBy("cell", "pos")) - 1, "_nth": F.dense_rank().over(old.orderBy("cell")) - 1})
     names = [c for c in particles.columns if c not in ("pos", "block_id", "block_start")]
-    return matched(placed, first, [*GROUP, "block_id"]).select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_number") + F.col("_nth")).cast("long").alias("block_id"))
+    placed = placed.select("_key", "block_start", *names, "_pos", "_nth")
+    write_bucketed(placed, path, buckets)
+    placed = read_bucketed(spark, path, buckets, placed.schema)
+    blocks = placed.groupBy("_key").agg(*(F.first(c).alias(c) for c in (*GROUP, "block_start")), (F.max("_nth") + 1).cast("long").alias("_cells"))
+    first, blocks_n = _first_numbers(blocks, "_cells")
+    first = first if blocks_n <= FEW else first.hint("shuffle_hash")
+    joined = placed.join(first, "_key")
+    return joined.select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_number") + F.col("_nth")).cast("long").alias("block_id"))
 
 
 def write_relayout(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from blockscope.functions.bloom import FilterShape
 from blockscope.operators import build, query
@@ -30,11 +31,11 @@ def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     df.sparkSession.sql(f"DROP TABLE {name}")  # of the catalog; the files stay
 
 
-def read_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """The table at a path, registered under a name that the path gives."""
+def read_bucketed(spark: SparkSession, path: str, buckets: int, schema: StructType | None = None) -> DataFrame:
+    """The table at a path, registered under a name that the path gives. A table without rows has no files that tell its schema."""
     build, table = path.rsplit("/", 2)[1:]
     name = f"{build}_{table}".replace("-", "_")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema or spark.read.parquet(path).schema)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (_key) SORTED BY (_key) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 

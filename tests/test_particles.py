@@ -410,6 +410,20 @@ def test_shrunk_rows_are_indexed_and_read(spark, tmp_path):
     assert relayout.shrink_rows(p.where("false"), 50, 2).count() == 0
 
 
+def test_shrinking_shuffles_rows_once(spark):
+    p = table(spark, range(230))
+    assert relayout.shrink(p, 50, 2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        plan = relayout.shrink_rows(p, 50, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert "Bucketed: true" in plan and plan.index("_celled_") < plan.index("Exchange"), plan  # the rows' side comes first
+
+
 def test_windows_longer_than_a_segment(spark):
     p = table(spark, range(3500))
     windows = spark.createDataFrame([(50, "e", 990, 3005), (50, "e", 3005, 3005), (50, "e", 3400, 9000), (60, "e", 0, 50)], "iteration int, species string, start long, end long")
