@@ -78,11 +78,13 @@ def lineitem_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("l_shipdate").cast("int").alias("iteration"), F.col("l_returnflag").alias("species"), F.col("l_orderkey").alias("id"),
         F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_discount") + 0.0).alias("z"),
         (F.col("l_tax") + 0.0).alias("ux"), F.col("l_partkey").cast("double").alias("uy"), F.col("l_suppkey").cast("double").alias("uz"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+        *EXTRA,
     )
 
 
-ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+#: Columns that only tell rows apart, and the order of a dump.
+EXTRA = ["l_linenumber", "l_partkey", "l_suppkey"]
+ORDER = ["id", *EXTRA, "y", "x"]
 _dumps: dict[tuple[str, str, int], str] = {}
 
 
@@ -91,7 +93,7 @@ def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> Da
     key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
     if key not in _dumps or not is_stored(spark, _dumps[key]):
         path = new_path(spark, "particles")
-        write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*ORDER), path, key[2])
+        write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*EXTRA), path, key[2], ranged=True)
         _dumps[key] = path
     return read_dump(spark, _dumps[key])
 
@@ -102,15 +104,18 @@ SCHEMA = "iteration int, species string, pos long, id long, x double, y double,
 BUCKET_ROWS = 1 << 20
 
 
-def write_dump(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+def write_dump(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, ranged: bool = False) -> None:
     """Write rows by iteration, species and bucket of offsets, in offset order, so that folders and file statistics prune.
 
     The bucket's folder is named bucket_<rows>=<number>, so that a reader knows what it holds. Folder names can't tell an empty
-    species from a null one: an empty one is an error."""
+    species from a null one: an empty one is an error. Rows that just got their offsets (`with_positions`) lie in ranges of them
+    already (`ranged`) and aren't shuffled. Files are committed by the tasks, since there may be a folder for each block."""
     parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.when(F.col("species") == "", F.raise_error(F.lit("a dump has no folder for an empty species"))).otherwise(F.col("species"))
     rows = particles.drop(*(c for c in particles.columns if re.fullmatch(r"bucket_\d+", c))).withColumns({"species": name, f"bucket_{bucket_rows}": F.floor(F.col("pos") / bucket_rows).cast("long")})
-    rows.repartitionByRange(parts, *GROUP, "pos").sortWithinPartitions(*GROUP, "pos").write.partitionBy(*GROUP, f"bucket_{bucket_rows}").parquet(path)
+    rows = rows if ranged else rows.repartitionByRange(parts, *GROUP, "pos")
+    writer = rows.sortWithinPartitions(*GROUP, "pos").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(*GROUP, f"bucket_{bucket_rows}").parquet(path)
 
 
 def read_dump(spark: SparkSession, path: str, layout: str = "group") -> DataFrame:

@@ -424,6 +424,18 @@ def test_shrinking_shuffles_rows_once(spark):
     assert "Bucketed: true" in plan and plan.index("_celled_") < plan.index("Exchange"), plan  # the rows' side comes first
 
 
+def test_rows_with_offsets_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    p = table(spark, range(600)).drop("pos")
+    ranked = source.with_positions(p, ["id"])
+
+    def never(*_):
+        raise AssertionError("rows are shuffled")
+
+    monkeypatch.setattr(type(p), "repartitionByRange", never)
+    source.write_dump(ranked, f"{tmp_path}/d", 50, ranged=True)
+    assert sorted((r["pos"], r["id"]) for r in source.read_dump(spark, f"{tmp_path}/d").collect()) == [(k, k) for k in range(600)]
+
+
 def test_windows_longer_than_a_segment(spark):
     p = table(spark, range(3500))
     windows = spark.createDataFrame([(50, "e", 990, 3005), (50, "e", 3005, 3005), (50, "e", 3400, 9000), (60, "e", 0, 50)], "iteration int, species string, start long, end long")
