@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BITS = 32768
 #: Hash functions for each bit of budget, and the fewest and most of them.
 HASHES_PER_BIT, FEWEST, MOST = 0.69, 1, 30
+#: Words of 64 bits of bitmaps that are built as so many numbers.
+MAX_WORDS = 32
 
 
 def hash_count(bits_per_key: float) -> int:
@@ -41,9 +43,17 @@ def probes(id_: Column, k: int, bits: int = BITS, seed: int = 0) -> Column:
 
 
 def build(ids: DataFrame, by: list[str], id_col: str = "id", segments: int = 1, k: int = 7, bits: int = BITS, seed: int = 0) -> DataFrame:
-    """(by..., segment, bitmap) from rows (by..., id)."""
+    """(by..., segment, bitmap) from rows (by..., id). A bitmap aggregate takes 4 KB for each partial sum, which compresses well, so
+    that Spark joins many of them to one task: short bitmaps are built as 64-bit words instead."""
     rows = ids.select(*by, segment_of(F.col(id_col), segments).alias("segment"), F.explode(probes(F.col(id_col), k, bits, seed)).alias("bit"))
-    return rows.groupBy(*by, "segment").agg(F.substring(F.bitmap_construct_agg("bit"), 1, bits // 8).alias("bitmap"))
+    words = -(-bits // 64)
+    if words > MAX_WORDS:
+        return rows.groupBy(*by, "segment").agg(F.substring(F.bitmap_construct_agg("bit"), 1, bits // 8).alias("bitmap"))
+    # bit b of byte a of a word, whose hexadecimal form has the bytes in order
+    rows = rows.selectExpr(*(f"`{c}`" for c in by), "segment", "bit >> 6 AS word", "shiftleft(1L, cast((7 - ((bit >> 3) & 7)) * 8 + (bit & 7) AS int)) AS mask")
+    held = rows.groupBy(*by, "segment").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("mask"))).alias(f"_{w}") for w in range(words)))
+    whole = F.unhex(F.concat(*(F.lpad(F.hex(F.coalesce(f"_{w}", F.lit(0).cast("long"))), 16, "0") for w in range(words))))
+    return held.select(*by, "segment", F.substring(whole, 1, bits // 8).alias("bitmap"))
 
 
 def merge(filters: DataFrame, by: list[str]) -> DataFrame:

@@ -436,6 +436,21 @@ def test_rows_with_offsets_are_written_without_a_shuffle(spark, tmp_path, monkey
     assert sorted((r["pos"], r["id"]) for r in source.read_dump(spark, f"{tmp_path}/d").collect()) == [(k, k) for k in range(600)]
 
 
+def test_short_bitmaps_take_no_more_than_their_bits(spark):
+    p = table(spark, range(900), ids=[7 * k for k in range(900)]).unionByName(table(spark, range(9), iteration=None, species=None))
+    made = build.block_filters(p, 100, 10)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" not in plan and "SortAggregate" not in plan
+    k, bits = bloom.hash_count(10), bloom.bits_for(100, 10)
+    got = {(r["species"], r["block_id"]): r["bitmap"] for r in made.collect()}
+    want = {}
+    for r in source.with_blocks(p, 100).select("species", "block_id", bloom.probes(F.col("id"), k, bits).alias("bits")).collect():
+        held = want.setdefault((r["species"], r["block_id"]), bytearray(bits // 8))
+        for b in r["bits"]:
+            held[b // 8] |= 1 << b % 8
+    assert got == want
+
+
 def test_windows_longer_than_a_segment(spark):
     p = table(spark, range(3500))
     windows = spark.createDataFrame([(50, "e", 990, 3005), (50, "e", 3005, 3005), (50, "e", 3400, 9000), (60, "e", 0, 50)], "iteration int, species string, start long, end long")
