@@ -121,7 +121,8 @@ def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape:
     far smaller than its rows."""
     filters, nodes = filters.where(F.col("record") == record), tree.where(F.col("record") == record)
     top = filters.agg(F.max("level")).first()[0] or 0
-    found, n = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), None
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ids are short, but each is asked of many nodes
+    found, n = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").repartition(parts, "id").distinct(), None
     for level in range(top, -1, -1):
         asked = found.withColumns(shape.hashed(F.col("id"))).withColumn("segment", shape.segment(level))
         held = filters.where(F.col("level") == level)

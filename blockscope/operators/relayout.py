@@ -24,7 +24,7 @@ def extend(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     no shuffle."""
     if isinstance(layout, int):
         return particles.withColumn("block_id", F.floor(F.col("pos") / (layout * n)).cast("long"))
-    return with_listed_blocks(particles, stored(merged_blocks(layout if layout is not None else block_catalogue(particles), n), "merged")).drop("block_start")
+    return with_listed_blocks(particles, merged_blocks(layout if layout is not None else block_catalogue(particles), n)).drop("block_start")
 
 
 def _celled(blocked: DataFrame, n: int, block: list[str]) -> DataFrame:

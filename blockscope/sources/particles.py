@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockscope.sources.shared import is_stored, new_path, stored
+from blockscope.sources.shared import is_stored, new_path, stored, stored_and_counted
 
 GROUP = ["iteration", "species"]
 AXES = {"position": {"x": "x", "y": "y", "z": "z"}, "momentum": {"x": "ux", "y": "uy", "z": "uz"}}
@@ -58,9 +58,9 @@ FEW = 100_000
 
 
 def if_few(side: DataFrame, rows: int) -> DataFrame:
-    """A side of a join whose rows were counted: broadcast by Spark's choice only if they are few. Spark goes by the size of the
-    files, which for sorted keys is a small part of what the rows take in the driver's memory."""
-    return side if rows <= FEW else side.hint("merge")
+    """A side of a join whose rows were counted: broadcast if they are few, and else neither side is. Spark goes by the size of
+    the files, which for sorted keys and short bitmaps is a small part of what the rows take in the driver's memory."""
+    return F.broadcast(side) if rows <= FEW else side.hint("merge")
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *conditions: Column) -> DataFrame:
@@ -202,12 +202,14 @@ def in_windows(particles: DataFrame, windows: DataFrame, segment: int = SEGMENT,
 
 def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add block_id and block_start from a block table (iteration, species, block_id, start, count) of blocks of any lengths
-    that don't overlap. Rows outside all of them go."""
+    that don't overlap. Rows outside all of them go. The blocks' segments are stored and counted, since there may be a block for
+    every few rows."""
     held = particles.drop("block_id", "block_start").withColumn("_segment", F.floor(F.col("pos") / SEGMENT).cast("long"))
     listed = _by_segment(blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end")), SEGMENT)
     listed = listed.select(*GROUP, "_segment", "block_id", F.col("start").alias("block_start"), F.col("end").alias("_end"))
+    listed, n = stored_and_counted(listed, "listed")
     inside = (F.col("l.pos") >= F.col("r.block_start")) & (F.col("l.pos") < F.col("r._end"))
-    return matched(held, listed, [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
+    return matched(held, if_few(listed, n), [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
 
 
 def block_catalogue(blocked: DataFrame) -> DataFrame:

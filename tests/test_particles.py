@@ -181,6 +181,19 @@ def test_what_is_asked_of_filters_is_not_broadcast(spark, monkeypatch):
     assert len(plans) > 2 and not any("BroadcastHashJoin" in plan or "explode" in plan for plan in plans[1:])
 
 
+def test_a_long_block_table_is_not_broadcast(spark, monkeypatch):
+    p = table(spark, range(3000)).cache()
+    blocks = p.groupBy("iteration", "species", F.floor(F.col("pos") / 3).alias("block_id")).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("count"))
+    names = ["pos", "block_id", "block_start"]
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = source.with_listed_blocks(p, blocks)
+    want = rows_of(few, *names)
+    assert "BroadcastHashJoin" in plan_of(few) and len(want) == 3000
+    monkeypatch.setattr(source, "FEW", 999)  # the table has 1,000 blocks, a few of them in two segments
+    many = source.with_listed_blocks(p, blocks)
+    assert "BroadcastHashJoin" not in plan_of(many) and rows_of(many, *names) == want
+
+
 def test_filters_are_nested_folds():
     shape, rnd = bloom.FilterShape(100, 8, 10.0), random.Random(1)
     assert [shape.bits(k) for k in range(4)] == [1024, 8192, 32768, 32768] and [shape.segments(k) for k in range(4)] == [1, 1, 2, 16]
