@@ -62,12 +62,24 @@ def minmax_slices(particles: DataFrame, layout: Layout, slice_rows: int, records
     return by_axis(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
 
 
+def wide_blocks(particles: DataFrame, layout: Layout) -> DataFrame:
+    """(iteration, species, start, end, <record>_<axis>_min and _max): a row for each block, with which extrema by axis and
+    envelopes are made."""
+    return _extrema(_blocked(particles, layout), [*GROUP, "block_id"], list(AXES)).drop("block_id")
+
+
+def wide_slices(particles: DataFrame, layout: Layout, slice_rows: int) -> DataFrame:
+    """The same for each slice, with its block's start and its number there."""
+    return _by_slice(particles, layout, slice_rows, list(AXES)).drop("block_id")
+
+
 def rollup_slices(slices: DataFrame) -> DataFrame:
     """Block rows from slice rows."""
     return slices.groupBy(*GROUP, "block_start", "record", "axis").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("min").alias("min"), F.max("max").alias("max")).drop("block_start")
 
 
-def _envelopes(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
+def by_record(wide: DataFrame, keep: list[str], records: list[str]) -> DataFrame:
+    """A row for each record, with its envelope."""
     cases = F.array(*(F.struct(F.lit(r).alias("record"), *(F.col(f"{r}_{a}_{m}").alias(f"{m}{a}") for a in "xyz" for m in ("min", "max"))) for r in records))
     return wide.select(*keep, F.inline(cases))
 
@@ -75,12 +87,12 @@ def _envelopes(wide: DataFrame, keep: list[str], records: list[str]) -> DataFram
 def leaf_envelopes(particles: DataFrame, layout: Layout, records: list[str] | None = None) -> DataFrame:
     """(iteration, species, start, end, record, minx ... maxz) of each block."""
     records = records or list(AXES)
-    return _envelopes(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
+    return by_record(_extrema(_blocked(particles, layout), [*GROUP, "block_id"], records), [*GROUP, "start", "end"], records)
 
 
 def slice_envelopes(particles: DataFrame, layout: Layout, slice_rows: int, records: list[str] | None = None) -> DataFrame:
     records = records or list(AXES)
-    return _envelopes(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
+    return by_record(_by_slice(particles, layout, slice_rows, records), [*GROUP, "block_start", "start", "end"], records)
 
 
 def hull(nodes: DataFrame, by: list[str]) -> DataFrame:

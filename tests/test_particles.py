@@ -623,6 +623,23 @@ def test_incremental_indexes_equal_a_batch_build(spark, tmp_path):
     assert tree.where("level = 0").count() == build.leaf_envelopes(p, 10, ["position"]).count()
 
 
+def test_parts_of_an_index_have_a_row_for_each_block(spark, tmp_path):
+    from blockscope.streaming.incremental import MaintainedIndex
+
+    p = table(spark, [*range(50), math.nan]).unionByName(table(spark, range(7), iteration=None, species=None))
+    for name, slice_rows in (("a", 5), ("b", None)):
+        index = MaintainedIndex(spark, f"{tmp_path}/{name}", 10, slice_rows=slice_rows)
+        index.add(p.where("pos % 2 = 0"), 0)
+        index.add(p.where("pos % 2 = 1"), 1)
+        assert spark.read.parquet(f"{tmp_path}/{name}/minmax/batch=0").count() == 7  # for all axes
+        want = build.minmax_blocks(p, 10)
+        assert index.table("minmax").columns == want.columns and rows_of(index.table("minmax"), *want.columns) == rows_of(want, *want.columns)
+    slices = MaintainedIndex(spark, f"{tmp_path}/a", 10, slice_rows=5)
+    assert spark.read.parquet(f"{tmp_path}/a/slices/batch=0").count() == 13
+    want = build.minmax_slices(p, 10, 5)
+    assert slices.table("slices").columns == want.columns and rows_of(slices.table("slices"), *want.columns) == rows_of(want, *want.columns)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from blockscope.__main__ import main
 
