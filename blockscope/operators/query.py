@@ -143,13 +143,15 @@ def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape:
 def trace(particles: DataFrame, ids: DataFrame, layout: Layout = None, candidates: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """(iteration, species, start, end, id): each block that has the id, verified on the rows, so that false positives of
     filters never show. Of a dump, only folders that have a candidate block are read, and blocks' ends come from the
-    candidates; without candidates all rows are read, and blocks come from the layout."""
-    wanted = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    candidates; without candidates all rows are read, and blocks come from the layout. Ids, blocks and candidates are counted,
+    and broadcast only if they are few."""
+    wanted, asked = stored_and_counted(ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), "wanted")
+    wanted = if_few(wanted, asked)
     if candidates is None:
         blocked = with_blocks(particles, layout).select(*GROUP, "block_id", "pos", "id")
-        ends = blocked.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+        ends, n = stored_and_counted(blocked.groupBy(*GROUP, "block_id").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")), "ends")
         hits = blocked.join(wanted, "id", "left_semi").select(*GROUP, "block_id", "id").distinct()
-        return matched(hits, ends, [*GROUP, "block_id"]).select(*GROUP, "start", "end", "id")
+        return matched(hits, if_few(ends, n), [*GROUP, "block_id"]).select(*GROUP, "start", "end", "id")
     candidates, n = stored_and_counted(candidates.join(wanted, "id", "left_semi").select(*GROUP, "start", "end", "id").distinct(), "candidates")
     rows = in_buckets_of(particles, candidates.select(*GROUP, "start", "end").distinct()).select(*GROUP, "pos", "id")
     inside = (F.col("l.pos") >= F.col("r.start")) & (F.col("l.pos") < F.col("r.end"))

@@ -13,8 +13,8 @@ from blockscope.functions.predicates import cut_block, from_row_major, row_major
 from blockscope.operators import build, query, relayout
 from blockscope.sources.footers import folder_minmax
 from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_block_catalogue, write_index
-from blockscope.sources.particles import AXES, EXTRA, GROUP, ORDER, SCHEMA, block_catalogue, dump, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, variable_path, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump, zip_axes
-from blockscope.sources.shared import new_path, stored
+from blockscope.sources.particles import AXES, EXTRA, GROUP, ORDER, SCHEMA, block_catalogue, dump, if_few, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, variable_path, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump, zip_axes
+from blockscope.sources.shared import new_path, stored, stored_and_counted
 from blockscope.streaming.incremental import MaintainedIndex
 
 BLOCK, SLICE, BITS = 100, 25, 10
@@ -207,8 +207,8 @@ def bloom_accuracy(spark, sf_dir):
     """Candidates of the filters against the blocks that have the ids: none is missed, and few are false."""
     particles, ids = dump(spark, sf_dir), _urgent(spark, sf_dir)
     hits = query.trace(particles, ids, BLOCK)
-    found = _candidates(particles, ids, BLOCK).withColumn("found", F.lit(1))
-    both = matched(hits.withColumn("hit", F.lit(1)), found, [*GROUP, "start", "end", "id"], "left")
+    found, n = stored_and_counted(_candidates(particles, ids, BLOCK).withColumn("found", F.lit(1)), "found")
+    both = matched(hits.withColumn("hit", F.lit(1)), if_few(found, n), [*GROUP, "start", "end", "id"], "left")
     asked, blocks = ids.distinct().count(), matched(particles.groupBy(*GROUP).agg(F.ceil(F.max("pos") / BLOCK).alias("blocks")), found.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("candidates")), GROUP)
     per = both.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("found").isNull().cast("long")).alias("missed"))
     few = (F.col("candidates") - F.col("hits")) < 0.02 * asked * F.col("blocks")  # about 1 % at ten bits for an id

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from blockscope.functions import bloom
 from blockscope.functions.predicates import cut_block, from_row_major, row_major
 from blockscope.operators import build, query, relayout
+from blockscope.plans import queries
 from blockscope.sources import particles as source
 from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_block_catalogue, write_index
+from blockscope.sources.shared import stored
 
 SCHEMA = source.SCHEMA
 
@@ -181,6 +183,30 @@ def test_what_is_asked_of_filters_is_not_broadcast(spark, monkeypatch):
     assert len(plans) > 2 and not any("BroadcastHashJoin" in plan or "explode" in plan for plan in plans[1:])
 
 
+def test_traced_ids_and_blocks_are_not_broadcast(spark, monkeypatch):
+    p = table(spark, range(3000)).cache()
+    ids, plans = spark.createDataFrame([(k,) for k in (0, 3, 1500, -1, None)], "id long"), []
+    found = stored(candidates(p, ids, 5, capacity=4), "found")
+    whole, pruned = (set(map(tuple, query.trace(p, ids, *more).collect())) for more in ((5,), (None, found)))
+    assert whole and whole == pruned
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = query.stored_and_counted
+    monkeypatch.setattr(query, "stored_and_counted", lambda df, name, *more: plans.append(plan_of(df)) or kept(df, name, *more))
+    monkeypatch.setattr(source, "FEW", 0)  # all counts are large ones
+    for more in ((5,), (None, found)):
+        plans.append(plan_of(traced := query.trace(p, ids, *more)))
+        assert set(map(tuple, traced.collect())) == whole
+    assert not any("BroadcastHashJoin" in plan for plan in plans) and sum("SortMergeJoin" in plan for plan in plans) == 3
+
+
+def test_hits_and_candidates_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(source, "FEW", 0)
+    found = queries.bloom_accuracy(spark, "/root/testdata/sf0.001")
+    assert all(r.missed == 0 and r.few_false for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()  # as it ran
+    assert not any("BroadcastHashJoin" in line and "LeftOuter" in line for line in plan.split("\n")) and "LeftOuter" in plan
+
+
 def test_a_long_block_table_is_not_broadcast(spark, monkeypatch):
     p = table(spark, range(3000)).cache()
     blocks = p.groupBy("iteration", "species", F.floor(F.col("pos") / 3).alias("block_id")).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("count"))
