@@ -112,13 +112,14 @@ def pack_tree(leaves: DataFrame, capacity: int = 10) -> DataFrame:
     leaves = stored(leaves, "leaves")  # they are read several times
     sizes = leaves.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     slabs = F.ceil(F.pow(F.col("n") / capacity, F.lit(1 / 3))).cast("int")
-    widest = sizes.agg(F.max("n")).first()[0] or 0
+    widest, trees = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
     most = max(2, math.ceil((widest / capacity) ** (1 / 3)))
     marks = [k / most for k in range(1, most)]
-    out = matched(leaves, sizes.select(*key, slabs.alias("slabs")), key)
-    for axis, tile, by in (("x", "tile_x", key), ("y", "tile_y", [*key, "tile_x"])):
+    out = matched(leaves, if_few(sizes.select(*key, slabs.alias("slabs")), trees), key)
+    for axis, tile, by, tiles in (("x", "tile_x", key, trees), ("y", "tile_y", [*key, "tile_x"], trees * most)):
         out = out.withColumn("centre", (F.col(f"min{axis}") + F.col(f"max{axis}")) / 2)
-        out = matched(out, out.groupBy(*by).agg(F.percentile_approx("centre", marks, max(1000, 20 * most)).alias("cuts")), by)
+        cuts = out.groupBy(*by).agg(F.percentile_approx("centre", marks, max(1000, 20 * most)).alias("cuts"))
+        out = matched(out, if_few(cuts, tiles * most), by)  # by the cuts' number, not that of the rows that hold them
         out = out.withColumn(tile, F.floor(F.size(F.filter("cuts", lambda c: c < F.col("centre"))) * F.col("slabs") / most).cast("int")).drop("cuts")
     out = out.withColumn("centre", (F.col("minz") + F.col("maxz")) / 2).drop("slabs")
     ranked = with_positions(out, ["tile_x", "tile_y", "centre", "start"], key).drop("tile_x", "tile_y", "centre")

@@ -102,6 +102,13 @@ SCHEMA = "iteration int, species string, pos long, id long, x double, y double,
 #: Offsets of a bucket: the rows of one are a folder, which is read or left out as a whole. At a few hundred bytes a row,
 #: that is some hundred megabytes.
 BUCKET_ROWS = 1 << 20
+#: Folders beyond which buckets get longer, where their length isn't part of the result: the driver lists every folder.
+MOST_FOLDERS = 1_000
+
+
+def bucket_for(rows: int, least: int) -> int:
+    """Offsets of a bucket for a dump of so many rows: `least`, or more if that made over MOST_FOLDERS whole buckets."""
+    return max(least, -(-rows // MOST_FOLDERS))
 
 
 def write_dump(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, ranged: bool = False) -> None:

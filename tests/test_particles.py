@@ -199,6 +199,31 @@ def test_traced_ids_and_blocks_are_not_broadcast(spark, monkeypatch):
     assert not any("BroadcastHashJoin" in plan for plan in plans) and sum("SortMergeJoin" in plan for plan in plans) == 3
 
 
+def test_folders_of_null_groups_stay_few(spark, monkeypatch):
+    of = lambda: queries._null_groups(spark, "/root/testdata/sf0.001")
+    assert source.buckets_of(of()) == ("bucket_1000", 1000)
+    monkeypatch.setattr(source, "MOST_FOLDERS", 3, raising=False)
+    rows = of()
+    name, size = source.buckets_of(rows)
+    assert size == 2000 and rows.count() == 6000 and rows.where(F.floor(F.col("pos") / size) != F.col(name)).count() == 0
+
+
+def test_leaves_are_not_broadcast_to_be_packed(spark, monkeypatch):
+    leaves, plans = build.leaf_envelopes(table(spark, range(3000)), 5, ["position"]), []
+    kept = source.stored
+
+    def spied(df, name, *more):
+        made = kept(df, name, *more)
+        if name == "placed":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return made
+
+    monkeypatch.setattr(source, "stored", spied)
+    build.pack_tree(leaves)
+    assert plans and "BuildRight" in plans[0] and "BuildLeft" not in plans[0]
+
+
 def test_hits_and_candidates_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(source, "FEW", 0)
     found = queries.bloom_accuracy(spark, "/root/testdata/sf0.001")
