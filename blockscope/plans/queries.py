@@ -13,7 +13,7 @@ from blockscope.functions.predicates import cut_block, from_row_major, row_major
 from blockscope.operators import build, query, relayout
 from blockscope.sources.footers import folder_minmax
 from blockscope.sources.index_store import MinMaxQuery, RTreeQuery, index_directory, write_block_catalogue, write_index
-from blockscope.sources.particles import AXES, EXTRA, GROUP, ORDER, SCHEMA, block_catalogue, bucket_for, dump, if_few, lineitem_particles, matched, parse_attributes, read_attributes, read_dump, variable_path, with_blocks, with_listed_blocks, with_positions, write_attributes, write_dump, zip_axes
+from blockscope.sources.particles import AXES, GROUP, SCHEMA, block_catalogue, bucket_for, dump, if_few, lineitem_particles, matched, parse_attributes, placed_particles, read_attributes, read_dump, variable_path, with_blocks, with_listed_blocks, write_attributes, write_dump, zip_axes
 from blockscope.sources.shared import new_path, stored, stored_and_counted
 from blockscope.streaming.incremental import MaintainedIndex
 
@@ -450,7 +450,7 @@ def get_particle_scattered(spark, sf_dir):
 def _null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump with species A and iteration 1996 unknown: offsets run through the groups that this makes."""
     rows = lineitem_particles(spark, sf_dir).withColumns({"species": F.expr("nullif(species, 'A')"), "iteration": F.expr("nullif(iteration, 1996)")})
-    write_dump(with_positions(rows, ORDER).drop(*EXTRA), path := new_path(spark, "null-groups"), bucket_for(rows.count(), 1000), ranged=True)
+    write_dump(placed_particles(rows), path := new_path(spark, "null-groups"), bucket_for(rows.count(), 1000), ranged=True)
     return read_dump(spark, path)
 
 

@@ -85,6 +85,15 @@ def lineitem_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Columns that only tell rows apart, and the order of a dump.
 EXTRA = ["l_linenumber", "l_partkey", "l_suppkey"]
 ORDER = ["id", *EXTRA, "y", "x"]
+#: Columns that are made anew from those of EXTRA once rows are placed, and so aren't sorted and stored along with them.
+REMADE = {"uy": "l_partkey", "uz": "l_suppkey"}
+
+
+def placed_particles(rows: DataFrame) -> DataFrame:
+    """Rows of `lineitem_particles` with their offsets, and without EXTRA."""
+    return with_positions(rows.drop(*REMADE), ORDER).withColumns({c: F.col(of).cast("double") for c, of in REMADE.items()}).drop(*EXTRA)
+
+
 _dumps: dict[tuple[str, str, int], str] = {}
 
 
@@ -93,7 +102,7 @@ def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> Da
     key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
     if key not in _dumps or not is_stored(spark, _dumps[key]):
         path = new_path(spark, "particles")
-        write_dump(with_positions(lineitem_particles(spark, sf_dir), ORDER).drop(*EXTRA), path, key[2], ranged=True)
+        write_dump(placed_particles(lineitem_particles(spark, sf_dir)), path, key[2], ranged=True)
         _dumps[key] = path
     return read_dump(spark, _dumps[key])
 

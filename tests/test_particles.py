@@ -199,6 +199,15 @@ def test_traced_ids_and_blocks_are_not_broadcast(spark, monkeypatch):
     assert not any("BroadcastHashJoin" in plan for plan in plans) and sum("SortMergeJoin" in plan for plan in plans) == 3
 
 
+def test_columns_that_extra_ones_give_are_not_stored_twice(spark, monkeypatch):
+    kept, placed = source.stored, []
+    monkeypatch.setattr(source, "stored", lambda df, name, *more: placed.extend(df.columns if name == "placed" else ()) or kept(df, name, *more))
+    found = queries._null_groups(spark, "/root/testdata/sf0.001")
+    assert placed and not {"uy", "uz"} & set(placed)
+    want = source.lineitem_particles(spark, "/root/testdata/sf0.001")
+    assert sorted(found.select("id", "y", "uy", "uz").collect()) == sorted(want.select("id", "y", "uy", "uz").collect())
+
+
 def test_folders_of_null_groups_stay_few(spark, monkeypatch):
     of = lambda: queries._null_groups(spark, "/root/testdata/sf0.001")
     assert source.buckets_of(of()) == ("bucket_1000", 1000)
