@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
@@ -207,16 +207,19 @@ def node_filters(particles: DataFrame, tree: DataFrame, layout: Layout, shape: b
     """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of the packed tree's nodes, the
     root's left out unless it is a leaf. Null ids don't count.
 
-    Ids are hashed once and sorted once, by their leaf's number, in which the nodes of every level are runs; a task turns its
-    runs into bitmaps of all levels. Only bitmaps at the ends of what a task has at a time are merged with others."""
+    Ids are hashed once and sorted once, by their leaf's number (counted on from tree to tree, which gives ranges of equal size
+    without a sample of the rows), in which the nodes of every level are runs; a task turns its runs into bitmaps of all levels. Only bitmaps at the ends of what a task has at a time are merged with others."""
     nodes = tree.where(F.col("record") == record)
     leaves = nodes.where("level = 0").select(*GROUP, F.col("start").alias("block_start"), F.col("node").alias("leaf"))
-    seen = nodes.agg(F.max("level").alias("top"), F.count_if(F.col("level") == 0).alias("leaves")).first()
-    levels = max(1, seen["top"] or 0)
+    seen = nodes.agg(F.max("level").alias("top"), F.count_if(F.col("level") == 0).alias("leaves"), F.count_if((F.col("level") == 0) & (F.col("node") == 0)).alias("trees")).first()
+    levels, parts = max(1, seen["top"] or 0), int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = leaves.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
+    before = stored(sizes.select(*GROUP, (F.sum("_n").over(Window.orderBy(*GROUP)) - F.col("_n")).alias("_before")), "leaves-before")  # a row for each tree
+    leaves = matched(leaves, if_few(before, seen["trees"]), GROUP).select(*GROUP, "block_start", "leaf", (F.col("_before") + F.col("leaf")).alias("_rank"))
     ids = with_blocks(particles, layout).where("id is not null").select(*GROUP, "block_start", "id")
-    ids = matched(ids, if_few(leaves, seen["leaves"]), [*GROUP, "block_start"]).select(*GROUP, "leaf", *(c.alias(n) for n, c in shape.hashed(F.col("id")).items()))
-    parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = ids.repartitionByRange(parts, *GROUP, "leaf").sortWithinPartitions(*GROUP, "leaf")
+    ids = matched(ids, if_few(leaves, seen["leaves"]), [*GROUP, "block_start"]).select(*GROUP, "leaf", "_rank", *(c.alias(n) for n, c in shape.hashed(F.col("id")).items()))
+    run = F.floor(F.col("_rank") * parts / max(1, seen["leaves"])).cast("int")
+    ids = ids.repartitionById(parts, run).sortWithinPartitions("_rank").drop("_rank")
     made_of = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("segment", pa.int32()), ("bitmap", pa.binary()), ("whole", pa.bool_())])
 
     def made(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

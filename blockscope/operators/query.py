@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockscope.functions.bloom import FilterShape
+from blockscope.functions.bloom import FilterShape, words_of
 from blockscope.functions.predicates import EVERYTHING, Bounds, meets_box, overlaps, within
 from blockscope.operators.build import hull
 from blockscope.sources.particles import AXES, GROUP, SEGMENT, Layout, group_key, if_few, in_buckets_of, in_windows, matched, with_blocks
@@ -125,17 +125,17 @@ def trace_candidates(tree: DataFrame, filters: DataFrame, ids: DataFrame, shape:
     found, n = ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").repartition(parts, "id").distinct(), None
     for level in range(top, -1, -1):
         asked = found.withColumns(shape.hashed(F.col("id"))).withColumn("segment", shape.segment(level))
-        held = filters.where(F.col("level") == level)
+        held, words = filters.where(F.col("level") == level), words_of(F.col("bitmap"))
         if level == top:
             size = held.agg(F.sum(F.octet_length("bitmap"))).first()[0] or 0
-            held = held.select(*GROUP, "node", "segment", "bitmap")
+            held = held.select(*GROUP, "node", "segment", words.alias("words"))
             met = asked.join(F.broadcast(held), "segment") if size <= MAX_TOP_BYTES else asked.hint("merge").join(held, "segment")
         elif "_key" in filters.columns:
-            met = if_few(asked.withColumns({"level": F.lit(level), "_key": group_key("level", "node", "segment")}).drop("node", *GROUP), n).join(held.select("_key", *GROUP, "node", "bitmap"), "_key")
+            met = if_few(asked.withColumns({"level": F.lit(level), "_key": group_key("level", "node", "segment")}).drop("node", *GROUP), n).join(held.select("_key", *GROUP, "node", words.alias("words")), "_key")
         else:
-            below = held.select(*GROUP, F.floor(F.col("node") / shape.capacity).cast("long").alias("parent"), "node", "segment", "bitmap")
+            below = held.select(*GROUP, F.floor(F.col("node") / shape.capacity).cast("long").alias("parent"), "node", "segment", words.alias("words"))
             met = matched(if_few(asked.withColumnRenamed("node", "parent"), n), below, [*GROUP, "parent", "segment"])
-        found, n = stored_and_counted(met.where(shape.may_hold(F.col("bitmap"), level)).select(*GROUP, "node", "id"), "descent")
+        found, n = stored_and_counted(met.where(shape.may_hold(F.col("words"), level)).select(*GROUP, "node", "id"), "descent")
     leaves = nodes.where("level = 0").select(*GROUP, "node", "start", "end")
     return matched(if_few(found, n), leaves, [*GROUP, "node"]).select(*GROUP, "start", "end", "id")
 

@@ -53,8 +53,8 @@ def shrink(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
 
 
 def _first_numbers(blocks: DataFrame, amount: str) -> tuple[DataFrame, int]:
-    """(_key, _number) of each block (_key, iteration, species, block_start, and an amount), with how many there are: the sum of the
-    amounts of the blocks before it in its iteration and species. As in `with_positions`, sums are taken within range partitions."""
+    """(_key, _number) of each run of blocks (_key, iteration, species, block_start, and an amount), with how many there are: the sum
+    of the amounts of the runs before it in its iteration and species. As in `with_positions`, sums are taken within range partitions."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged, n = stored_and_counted(blocks.repartitionByRange(parts, *GROUP, "block_start").withColumn("_part", F.spark_partition_id()), "old-blocks")
     totals = ranged.groupBy("_part", *GROUP).agg(F.sum(amount).alias("_n"))
@@ -64,31 +64,37 @@ def _first_numbers(blocks: DataFrame, amount: str) -> tuple[DataFrame, int]:
     return numbered.select("_key", (F.col("_before") + F.col("_within")).alias("_number")), n
 
 
+#: Offsets of a run of old blocks, which one task shrinks.
+RUN = 1 << 16
+
+
 def shrink_rows(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     """The rows as the smaller blocks hold them: pos is the new offset, block_id the new block's number from 0 in its
     iteration and species, and rows of one block keep their order. All other columns stay.
 
-    Rows are shuffled once, by their old block, within which cells and ranks are taken. They are stored in buckets of old
-    blocks, so that the numbers of the new blocks before an old one are joined without shuffling the rows again."""
+    Rows are shuffled once, by runs of old blocks, within which cells and ranks are taken. They are stored in buckets of these
+    runs, so that the numbers of the new blocks before a run are joined without shuffling the rows again. A block's rows stay
+    within its offsets, so that the result lies in ranges of offsets as a ranged dump does."""
     spark, path = particles.sparkSession, new_path(particles.sparkSession, "celled")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = with_blocks(particles, layout).withColumn("_key", group_key("block_id")).repartition(buckets, "_key")
-    old = Window.partitionBy("_key")
-    placed = _celled(keyed, n, ["_key"]).withColumns({"_pos": F.col("block_start") + F.row_number().over(old.orderBy("cell", "pos")) - 1, "_nth": F.dense_rank().over(old.orderBy("cell")) - 1})
+    keyed = with_blocks(particles, layout).withColumn("_key", group_key(F.floor(F.col("block_start") / RUN))).repartition(buckets, "_key")
+    block = ["block_start", "block_id"]
+    old, run = Window.partitionBy("_key", *block), Window.partitionBy("_key")
+    placed = _celled(keyed, n, ["_key", *block]).withColumns({"_pos": F.col("block_start") + F.row_number().over(old.orderBy("cell", "pos")) - 1, "_nth": F.dense_rank().over(run.orderBy(*block, "cell")) - 1})
     names = [c for c in particles.columns if c not in ("pos", "block_id", "block_start")]
     placed = placed.select("_key", "block_start", *names, "_pos", "_nth")
     write_bucketed(placed, path, buckets)
     placed = read_bucketed(spark, path, buckets, placed.schema)
-    blocks = placed.groupBy("_key").agg(*(F.first(c).alias(c) for c in (*GROUP, "block_start")), (F.max("_nth") + 1).cast("long").alias("_cells"))
+    blocks = placed.groupBy("_key").agg(*(F.first(c).alias(c) for c in GROUP), F.min("block_start").alias("block_start"), (F.max("_nth") + 1).cast("long").alias("_cells"))
     first, blocks_n = _first_numbers(blocks, "_cells")
     first = first if blocks_n <= FEW else first.hint("shuffle_hash")
     joined = placed.join(first, "_key")
     return joined.select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_number") + F.col("_nth")).cast("long").alias("block_id"))
 
 
-def write_relayout(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
-    """Write rows as a dump: a block's rows lie together, since blocks are runs of offsets."""
-    write_dump(particles, path, bucket_rows)
+def write_relayout(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, ranged: bool = False) -> None:
+    """Write rows as a dump: a block's rows lie together, since blocks are runs of offsets. Rows of `shrink_rows` are ranged."""
+    write_dump(particles, path, bucket_rows, ranged)
 
 
 def rechunk(cells: DataFrame, indices: list[str], shape: list[int], block_shape: list[int]) -> DataFrame:

@@ -178,8 +178,11 @@ WHERE b.id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
 
 def _candidates(particles: DataFrame, ids: DataFrame, layout, record: str = "position") -> DataFrame:
     """Candidate blocks of the ids, from filters in the nodes of a packed tree."""
-    tree = build.pack_tree(build.leaf_envelopes(particles, layout, [record]))
     shape = build.filter_shape(particles, layout, BITS, record=record)
+    if isinstance(layout, DataFrame):  # rows meet a block table once
+        blocked = with_blocks(particles, layout).select(*GROUP, "pos", "id", "block_id", "block_start", *AXES[record].values())
+        particles, layout = stored(blocked, "blocked"), None
+    tree = build.pack_tree(build.leaf_envelopes(particles, layout, [record]))
     filters = stored(build.node_filters(particles, tree, layout, shape, record), "filters", "level")
     return query.trace_candidates(tree, filters, ids, shape, record)
 
@@ -276,7 +279,7 @@ def relayout_shrink_rows(spark, sf_dir):
 
 def _shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump with its blocks split in space: blocks of many lengths."""
-    relayout.write_relayout(relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3), path := new_path(spark, "shrunk"))
+    relayout.write_relayout(relayout.shrink_rows(dump(spark, sf_dir), BLOCK, 3), path := new_path(spark, "shrunk"), ranged=True)
     return spark.read.schema(f"{SCHEMA}, block_id long").parquet(path)
 
 

@@ -12,6 +12,7 @@ lost. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -218,14 +219,21 @@ def in_windows(particles: DataFrame, windows: DataFrame, segment: int = SEGMENT,
 
 def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add block_id and block_start from a block table (iteration, species, block_id, start, count) of blocks of any lengths
-    that don't overlap. Rows outside all of them go. The blocks' segments are stored and counted, since there may be a block for
-    every few rows."""
-    held = particles.drop("block_id", "block_start").withColumn("_segment", F.floor(F.col("pos") / SEGMENT).cast("long"))
-    listed = _by_segment(blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end")), SEGMENT)
-    listed = listed.select(*GROUP, "_segment", "block_id", F.col("start").alias("block_start"), F.col("end").alias("_end"))
+    that don't overlap. Rows outside all of them go. The blocks are stored and counted, since there may be a block for every few
+    rows; segments are a few blocks long, since a row is compared with all blocks of its segment."""
+    listed = blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end")).where("end > start")
     listed, n = stored_and_counted(listed, "listed")
+    segment = block_segment(listed.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0)
+    met = listed.agg(F.sum(F.floor((F.col("end") - 1) / segment) - F.floor(F.col("start") / segment) + 1)).first()[0] or 0 if n <= FEW else n
+    held = particles.drop("block_id", "block_start").withColumn("_segment", F.floor(F.col("pos") / segment).cast("long"))
+    listed = _by_segment(listed, segment).select(*GROUP, "_segment", "block_id", F.col("start").alias("block_start"), F.col("end").alias("_end"))
     inside = (F.col("l.pos") >= F.col("r.block_start")) & (F.col("l.pos") < F.col("r._end"))
-    return matched(held, if_few(listed, n), [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
+    return matched(held, if_few(listed, met), [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
+
+
+def block_segment(mean: float) -> int:
+    """Offsets of a segment by which rows meet blocks of a mean length: about four blocks, and no more than SEGMENT."""
+    return min(SEGMENT, max(1, 4 * math.ceil(mean)))
 
 
 def block_catalogue(blocked: DataFrame) -> DataFrame:

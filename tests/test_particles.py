@@ -254,6 +254,43 @@ def test_a_long_block_table_is_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plan_of(many) and rows_of(many, *names) == want
 
 
+def test_bits_are_found_in_words(spark):
+    rnd = random.Random(3)
+    bitmaps = [bytes(rnd.choice((0, 1, 128, 255, rnd.randrange(256))) for _ in range(n)) for n in (8, 8, 64, 4096)]
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bitmaps)], "k int, bitmap binary").withColumn("words", bloom.words_of(F.col("bitmap")))
+    got = rows.select("k", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("bitmap") * 8 - 1), lambda p: bloom._is_set_in(F.col("words"), p)))).collect()
+    assert len(got) == sum(8 * len(b) for b in bitmaps) and all(r["col"] == bool(bitmaps[r["k"]][r["pos"] >> 3] >> (r["pos"] & 7) & 1) for r in got)
+
+
+def test_rows_meet_a_block_table_once_in_short_segments(spark, monkeypatch):
+    p = table(spark, range(3000), ids=[3 * k for k in range(3000)]).unionByName(table(spark, range(40), iteration=None, species=None)).cache()
+    carried = p.withColumn("block_id", F.floor(F.col("pos") / 3))
+    ids, blocks = spark.createDataFrame([(k,) for k in (0, 3, 4500, 1, None)], "id long"), source.block_catalogue(carried).cache()
+    want, kept, listed = set(map(tuple, query.trace(carried, ids).collect())), source.stored_and_counted, []
+    monkeypatch.setattr(source, "stored_and_counted", lambda df, name, *more: listed.append(name) or kept(df, name, *more))
+    found = queries._candidates(p, ids, blocks)
+    assert listed == ["listed"] and want <= set(map(tuple, found.collect()))
+    assert set(map(tuple, query.trace(p, ids, candidates=found).collect())) == want
+    assert source.block_segment(3) == 12 and source.block_segment(5000) == source.SEGMENT
+
+
+def test_ids_of_nodes_and_shrunk_rows_are_not_sampled(spark, tmp_path, monkeypatch):
+    p = table(spark, range(700), ids=[3 * k for k in range(700)]).unionByName(table(spark, range(40), iteration=None, species=None)).cache()
+    tree, shape = build.pack_tree(build.leaf_envelopes(p, 5, ["position"]), 4), build.filter_shape(p, 5, 10, 4)
+    want = rows_of(relayout.shrink_rows(p, 50, 2), *p.columns, "block_id")
+    monkeypatch.setattr(relayout, "RUN", 100)  # several runs of old blocks
+    rows = relayout.shrink_rows(p, 50, 2)
+
+    def never(*_):
+        raise AssertionError("rows are sampled")
+
+    monkeypatch.setattr(type(p), "repartitionByRange", never)
+    relayout.write_relayout(rows, f"{tmp_path}/d", ranged=True)
+    assert rows_of(spark.read.schema(f"{source.SCHEMA}, block_id long").parquet(f"{tmp_path}/d"), *p.columns, "block_id") == want
+    filters = build.node_filters(p, tree, 5, shape)
+    assert filters.where("level = 0").select("iteration", "species", "node").distinct().count() == 148
+
+
 def test_filters_are_nested_folds():
     shape, rnd = bloom.FilterShape(100, 8, 10.0), random.Random(1)
     assert [shape.bits(k) for k in range(4)] == [1024, 8192, 32768, 32768] and [shape.segments(k) for k in range(4)] == [1, 1, 2, 16]
