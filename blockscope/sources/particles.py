@@ -99,11 +99,12 @@ _dumps: dict[tuple[str, str, int], str] = {}
 
 
 def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> DataFrame:
-    """The particles of `lineitem` as a stored dump, partitioned by iteration, species and bucket; made once in an application."""
+    """The particles of `lineitem` as a stored dump, partitioned by iteration, species and bucket; made once in an application. Buckets
+    are longer than asked for if there were over MOST_FOLDERS of them: a folder costs about as much as tens of thousands of rows."""
     key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
     if key not in _dumps or not is_stored(spark, _dumps[key]):
-        path = new_path(spark, "particles")
-        write_dump(placed_particles(lineitem_particles(spark, sf_dir)), path, key[2], ranged=True)
+        path, rows = new_path(spark, "particles"), lineitem_particles(spark, sf_dir)
+        write_dump(placed_particles(rows), path, key[2] if bucket_rows is None else bucket_for(rows.count(), bucket_rows), ranged=True)
         _dumps[key] = path
     return read_dump(spark, _dumps[key])
 

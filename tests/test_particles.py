@@ -217,6 +217,17 @@ def test_folders_of_null_groups_stay_few(spark, monkeypatch):
     assert size == 2000 and rows.count() == 6000 and rows.where(F.floor(F.col("pos") / size) != F.col(name)).count() == 0
 
 
+def test_folders_of_a_dump_stay_few(spark, monkeypatch):
+    sf, small = "/root/testdata/sf0.001", queries.get_particle_scattered(spark, "/root/testdata/sf0.001").collect()
+    assert source.buckets_of(source.dump(spark, sf, 1000)) == ("bucket_1000", 1000)
+    monkeypatch.setattr(source, "_dumps", {})
+    monkeypatch.setattr(source, "MOST_FOLDERS", 3)
+    name, size = source.buckets_of(rows := source.dump(spark, sf, 1000))
+    assert size == 2000 and rows.count() == 6000 and rows.where(F.floor(F.col("pos") / size) != F.col(name)).count() == 0
+    assert source.buckets_of(source.dump(spark, sf))[1] == source.BUCKET_ROWS
+    assert small and sorted(queries.get_particle_scattered(spark, sf).collect()) == sorted(small)
+
+
 def test_leaves_are_not_broadcast_to_be_packed(spark, monkeypatch):
     leaves, plans = build.leaf_envelopes(table(spark, range(3000)), 5, ["position"]), []
     kept = source.stored
