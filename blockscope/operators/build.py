@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from blockscope.functions import bloom
 from blockscope.functions.predicates import highest, lowest
-from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, if_few, matched, with_blocks, with_positions
+from blockscope.sources.particles import AXES, GROUP, Layout, block_catalogue, if_few, matched, runs_of, with_blocks, with_positions
 from blockscope.sources.shared import stored
 
 #: Blocks of a node for which distinct ids are counted, as a power for each level.
@@ -192,17 +192,6 @@ def filter_shape(particles: DataFrame, layout: Layout, bits_per_key: float, capa
 AT_ONCE = 500_000
 
 
-def _runs(table: pa.Table) -> list[tuple[int, int]]:
-    """Where iteration and species stay the same in rows that are sorted by them."""
-    change = np.zeros(table.num_rows, bool)
-    change[:1] = True
-    for c in GROUP:
-        codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-        change[1:] |= codes[1:] != codes[:-1]
-    begins = np.flatnonzero(change).tolist()
-    return list(zip(begins, [*begins[1:], table.num_rows]))
-
-
 def node_filters(particles: DataFrame, tree: DataFrame, layout: Layout, shape: bloom.FilterShape, record: str = "position") -> DataFrame:
     """(iteration, species, record, level, node, segment, bitmap): Bloom filters over the ids of the packed tree's nodes, the
     root's left out unless it is a leaf. Null ids don't count.
@@ -224,7 +213,7 @@ def node_filters(particles: DataFrame, tree: DataFrame, layout: Layout, shape: b
 
     def made(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        for begin, end in _runs(table):
+        for begin, end in runs_of(table, GROUP):
             part = table.slice(begin, end - begin)
             leaf, g, h = (part.column(c).to_numpy() for c in ("leaf", "_g", "_h"))
             for level in range(levels):

@@ -524,7 +524,7 @@ def sketched_ids(spark, sf_dir):
 SELECT iteration, species, min(pos) AS "start", max(pos) + 1 AS "end", record, axis, min(v) AS "min", max(v) AS "max" FROM long GROUP BY iteration, species, pos // 1000, record, axis""")
 def footer_minmax(spark, sf_dir):
     """Extrema of a dump's folders, which are its blocks, from Parquet footers."""
-    write_dump(dump(spark, sf_dir), path := new_path(spark, "folders"), 10 * BLOCK)
+    write_dump(dump(spark, sf_dir), path := new_path(spark, "folders"), 10 * BLOCK, ranged=True)  # a dump's files are ranges of offsets
     return folder_minmax(spark, path)
 
 

@@ -9,6 +9,7 @@ no folders and no blocks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -52,10 +53,26 @@ def pushed_blocks(spark: SparkSession, path: str, records: list[str] | None = No
     return _extrema(read_dump(spark, path), records or list(AXES), F.min, F.max)
 
 
+def bucket_column(spark: SparkSession, path: str) -> str | None:
+    """The name of a dump's bucket column, found in one folder of each depth: all of them are listed once, when footers are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    while at is not None:
+        name = re.fullmatch(r"(bucket_\d+)=.*", at.getName())
+        if name:
+            return name[1]
+        found = files.listStatusIterator(at)
+        at = None
+        while at is None and found.hasNext():
+            entry = found.next()
+            at = entry.getPath() if entry.isDirectory() and not entry.getPath().getName().startswith(("_", ".")) else None
+    return None
+
+
 def folder_blocks(spark: SparkSession, path: str, records: list[str] | None = None) -> DataFrame:
     """(iteration, species, block_id, start, end, count, <record>_<axis>_min, _max ...) of each folder of a dump."""
     records = records or list(AXES)
-    if buckets_of(read_dump(spark, path)) is None:
+    if bucket_column(spark, path) is None:
         raise ValueError(f"{path} is not a dump with buckets of offsets")
     try:
         with footer_reads(spark):

@@ -13,9 +13,17 @@ lost. Empty tables give empty results.
 from __future__ import annotations
 
 import math
+import os
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,25 +130,117 @@ def bucket_for(rows: int, least: int) -> int:
     return max(least, -(-rows // MOST_FOLDERS))
 
 
+#: Offsets of a bucket up to which tasks write its rows as a file of their own (`write_small_folders`).
+SMALL = 1 << 14
+
+
 def write_dump(particles: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, ranged: bool = False) -> None:
     """Write rows by iteration, species and bucket of offsets, in offset order, so that folders and file statistics prune.
 
     The bucket's folder is named bucket_<rows>=<number>, so that a reader knows what it holds. Folder names can't tell an empty
     species from a null one: an empty one is an error. Rows that just got their offsets (`with_positions`) lie in ranges of them
-    already (`ranged`) and aren't shuffled. Files are committed by the tasks, since there may be a folder for each block."""
+    already (`ranged`) and aren't shuffled. Files are committed by the tasks, since there may be a folder for each block; in a local
+    or mounted file system, small folders are written by `write_small_folders`."""
     parts = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.when(F.col("species") == "", F.raise_error(F.lit("a dump has no folder for an empty species"))).otherwise(F.col("species"))
     rows = particles.drop(*(c for c in particles.columns if re.fullmatch(r"bucket_\d+", c))).withColumns({"species": name, f"bucket_{bucket_rows}": F.floor(F.col("pos") / bucket_rows).cast("long")})
     rows = rows if ranged else rows.repartitionByRange(parts, *GROUP, "pos")
-    writer = rows.sortWithinPartitions(*GROUP, "pos").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    rows = rows.sortWithinPartitions(*GROUP, "pos")
+    folder = mounted(particles.sparkSession, path)
+    if bucket_rows <= SMALL and folder and all(f.dataType.typeName() in PLAIN for f in rows.schema):
+        return write_small_folders(rows, folder, [*GROUP, f"bucket_{bucket_rows}"])
+    writer = rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.partitionBy(*GROUP, f"bucket_{bucket_rows}").parquet(path)
 
 
+#: Types of columns that `write_small_folders` writes, which Parquet's writers agree on.
+PLAIN = ("integer", "long", "float", "double", "string", "boolean")
+#: What a partition's folder name holds in place of null, and the letters that are escaped in it, as Spark writes them.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = frozenset(map(chr, (*range(1, 32), 127))) | frozenset("\"#%'*/:=?\\{[]^")
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path in the machine's own file system that a Hadoop path names, or None where it lies in another one."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(found).toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
+def folder_name(column: str, value: object) -> str:
+    """A partition's folder as Spark names it."""
+    return f"{column}={NO_VALUE if value is None else ''.join(f'%{ord(c):02X}' if c in ESCAPED else c for c in str(value))}"
+
+
+def write_small_folders(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Write rows, sorted within their partitions, as `partitionBy` does, a file for each folder and task. Hadoop's local file system
+    starts a process for each folder and file (and its checksum's) that it makes, which takes longer than a thousand rows do: here
+    tasks write what Arrow hands them. A file's name is the task's, and it is put in place whole, so that a task that runs again
+    replaces it."""
+    if os.path.exists(path):
+        raise FileExistsError(f"{path} already exists")
+    os.makedirs(path)
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, held, at, files = TaskContext.get(), [], None, 0
+        name = f"part-{context.partitionId():05d}-{token}.snappy.parquet"
+
+        def flush() -> None:
+            folder = os.path.join(path, *(folder_name(c, v) for c, v in zip(by, at)))
+            os.makedirs(folder, exist_ok=True)
+            made = os.path.join(folder, f".{context.taskAttemptId()}-{name}")
+            pq.write_table(pa.Table.from_batches(held).drop_columns(by), made)
+            os.replace(made, os.path.join(folder, name))
+
+        for batch in batches:
+            for begin, end in runs_of(table := pa.Table.from_batches([batch]), by):
+                if at != (now := tuple(table.column(c)[begin].as_py() for c in by)):
+                    if held:
+                        flush()
+                        files += 1
+                    held, at = [], now
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            flush()
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    rows.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def runs_of(table: pa.Table, by: list[str]) -> list[tuple[int, int]]:
+    """Where columns stay the same in rows that are sorted by them."""
+    change = np.zeros(table.num_rows, bool)
+    change[:1] = True
+    for c in by:
+        codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    begins = np.flatnonzero(change).tolist()
+    return list(zip(begins, [*begins[1:], table.num_rows]))
+
+
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, folders are listed by a few tasks for each core. Spark takes a task for each folder, up to 10,000 at a time, and
+    starting one takes longer than listing a folder."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def read_dump(spark: SparkSession, path: str, layout: str = "group") -> DataFrame:
     """A dump in one of three layouts: `group` (a folder for each iteration), `file` (a file or folder for each, with the
     number at the end of its name) or `variable` (iteration is a stored column)."""
     if layout == "group":
-        return spark.read.schema(SCHEMA).parquet(path)
+        with few_listing_tasks(spark):
+            return spark.read.schema(SCHEMA).parquet(path)
     if layout == "file":
         rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
         return rows.withColumn("iteration", F.regexp_extract(F.input_file_name(), r"_(\d+)(?:\.parquet|/)", 1).cast("int"))

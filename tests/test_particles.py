@@ -700,6 +700,40 @@ def test_block_metadata_comes_from_footers(spark, tmp_path):
         footers.folder_blocks(spark, f"{tmp_path}/v")
 
 
+def test_small_folders_are_written_as_partitions_are(spark, tmp_path, monkeypatch):
+    rows = grouped(spark).unionByName(table(spark, range(40), species="a/b=c%d e")).withColumn("z", F.expr("CASE WHEN pos = 3 THEN double('NaN') WHEN pos > 3 THEN -0.0 END")).withColumn("kept", F.col("pos") % 2 == 0)
+    tries = []
+    monkeypatch.setattr(source, "write_small_folders", lambda *a, kept=source.write_small_folders: tries.append(a[1]) or kept(*a))
+    source.write_dump(rows, f"{tmp_path}/small", 16)
+    assert tries == [f"{tmp_path}/small"]
+    monkeypatch.setattr(source, "SMALL", 0)
+    source.write_dump(rows, f"{tmp_path}/spark", 16)
+    assert len(tries) == 1
+    folders = [sorted({str(f.parent.relative_to(tmp_path / n)) for f in (tmp_path / n).glob("*/*/*/*.parquet")}) for n in ("small", "spark")]
+    assert folders[0] == folders[1] and len(folders[0]) > 10
+    small, by_spark = (spark.read.schema(f"{source.SCHEMA}, kept boolean").parquet(f"{tmp_path}/{n}") for n in ("small", "spark"))
+    told = lambda df: rows_of(df.withColumn("z", F.col("z").cast("string")), *small.columns)
+    assert small.columns == by_spark.columns and told(small) == told(by_spark) == told(rows.withColumn("bucket_16", F.floor(F.col("pos") / 16)))
+    monkeypatch.undo()
+    with pytest.raises(FileExistsError):
+        source.write_dump(rows, f"{tmp_path}/small", 16)
+    source.write_dump(rows.limit(0), f"{tmp_path}/none", 16)
+    assert source.read_dump(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_folders_are_listed_once_by_few_tasks(spark, tmp_path, monkeypatch):
+    from blockscope.sources import footers
+
+    source.write_dump(grouped(spark), f"{tmp_path}/d", 2)
+    before, lists = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"), []
+    monkeypatch.setattr(footers, "read_dump", lambda *a, kept=source.read_dump: lists.append(a) or kept(*a))
+    assert footers.folder_blocks(spark, f"{tmp_path}/d").count() > 40 and len(lists) == 1
+    assert footers.bucket_column(spark, f"{tmp_path}/d") == "bucket_2"
+    with source.few_listing_tasks(spark):
+        assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
 def test_incremental_indexes_equal_a_batch_build(spark, tmp_path):
     from blockscope.streaming.incremental import MaintainedIndex
 
