@@ -86,7 +86,7 @@ def shrink_rows(particles: DataFrame, layout: Layout, n: int) -> DataFrame:
     write_bucketed(placed, path, buckets)
     placed = read_bucketed(spark, path, buckets, placed.schema)
     blocks = placed.groupBy("_key").agg(*(F.first(c).alias(c) for c in GROUP), F.min("block_start").alias("block_start"), (F.max("_nth") + 1).cast("long").alias("_cells"))
-    first, blocks_n = _first_numbers(blocks, "_cells")
+    first, blocks_n = _first_numbers(stored(blocks, "runs"), "_cells")  # which are sampled, and so asked for twice
     first = first if blocks_n <= FEW else first.hint("shuffle_hash")
     joined = placed.join(first, "_key")
     return joined.select(*names, F.col("_pos").cast("long").alias("pos"), (F.col("_number") + F.col("_nth")).cast("long").alias("block_id"))
