@@ -324,7 +324,8 @@ def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
     rows; segments are a few blocks long, since a row is compared with all blocks of its segment."""
     listed = blocks.select(*GROUP, "block_id", "start", (F.col("start") + F.col("count")).alias("end")).where("end > start")
     listed, n = stored_and_counted(listed, "listed")
-    segment = block_segment(listed.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0)
+    length = F.col("end") - F.col("start")
+    segment = block_segment(*(v or 0 for v in listed.agg(F.avg(length), F.max(length)).first()))
     met = listed.agg(F.sum(F.floor((F.col("end") - 1) / segment) - F.floor(F.col("start") / segment) + 1)).first()[0] or 0 if n <= FEW else n
     held = particles.drop("block_id", "block_start").withColumn("_segment", F.floor(F.col("pos") / segment).cast("long"))
     listed = _by_segment(listed, segment).select(*GROUP, "_segment", "block_id", F.col("start").alias("block_start"), F.col("end").alias("_end"))
@@ -332,9 +333,10 @@ def with_listed_blocks(particles: DataFrame, blocks: DataFrame) -> DataFrame:
     return matched(held, if_few(listed, met), [*GROUP, "_segment"], "inner", inside).drop("_segment", "_end")
 
 
-def block_segment(mean: float) -> int:
-    """Offsets of a segment by which rows meet blocks of a mean length: about four blocks, and no more than SEGMENT."""
-    return min(SEGMENT, max(1, 4 * math.ceil(mean)))
+def block_segment(mean: float, longest: int) -> int:
+    """Offsets of a segment by which rows meet blocks: about four blocks of mean length, but the longest block has at most some 10,000
+    segments, and a segment no more than SEGMENT offsets."""
+    return min(SEGMENT, max(1, 4 * math.ceil(mean), math.ceil(longest / 10_000)))
 
 
 def block_catalogue(blocked: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ def test_rows_meet_a_block_table_once_in_short_segments(spark, monkeypatch):
     found = queries._candidates(p, ids, blocks)
     assert listed == ["listed"] and want <= set(map(tuple, found.collect()))
     assert set(map(tuple, query.trace(p, ids, candidates=found).collect())) == want
-    assert source.block_segment(3) == 12 and source.block_segment(5000) == source.SEGMENT
+    assert source.block_segment(3, 3) == 12 and source.block_segment(3, 200_000) == 20 and source.block_segment(5000, 10**9) == source.SEGMENT
 
 
 def test_ids_of_nodes_and_shrunk_rows_are_not_sampled(spark, tmp_path, monkeypatch):
