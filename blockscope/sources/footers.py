@@ -3,7 +3,8 @@
 Spark's Parquet source answers minimum, maximum and count by partition columns from the row groups' statistics, if its second
 version reads the files. The blocks are the folders that `write_dump` makes, each with the offsets of one bucket.
 
-Statistics of a column with NaN are left out by the writer: then Spark can't answer, and the rows are read. An empty dump has
+Spark's writer leaves out the statistics of a column with NaN, and Arrow's (of small folders) those of a column of NaN alone, and
+else ignores NaN: without statistics Spark can't answer, and the rows are read. An empty dump has
 no folders and no blocks.
 """
 
