@@ -108,7 +108,8 @@ _dumps: dict[tuple[str, str, int], str] = {}
 
 def dump(spark: SparkSession, sf_dir: str, bucket_rows: int | None = None) -> DataFrame:
     """The particles of `lineitem` as a stored dump, partitioned by iteration, species and bucket; made once in an application. Buckets
-    are longer than asked for if there were over MOST_FOLDERS of them: a folder costs about as much as tens of thousands of rows."""
+    are longer than asked for if there were over MOST_FOLDERS of them: a folder takes longer to write, list and scan than
+    its thousand rows do."""
     key = (spark.sparkContext.applicationId, sf_dir, bucket_rows or BUCKET_ROWS)
     if key not in _dumps or not is_stored(spark, _dumps[key]):
         path, rows = new_path(spark, "particles"), lineitem_particles(spark, sf_dir)
@@ -174,8 +175,8 @@ def folder_name(column: str, value: object) -> str:
 
 def write_small_folders(rows: DataFrame, path: str, by: list[str]) -> None:
     """Write rows, sorted within their partitions, as `partitionBy` does, a file for each folder and task. Hadoop's local file system
-    starts a process for each folder and file (and its checksum's) that it makes, which takes longer than a thousand rows do: here
-    tasks write what Arrow hands them. A file's name is the task's, and it is put in place whole, so that a task that runs again
+    starts processes for each folder and file (and its checksum's) that it makes, which takes longer than a thousand rows do: here
+    tasks write what Arrow hands them; their Python workers must be able to import this package, as for filters. A file's name is the task's, and it is put in place whole, so that a task that runs again
     replaces it."""
     if os.path.exists(path):
         raise FileExistsError(f"{path} already exists")
